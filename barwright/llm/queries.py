@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from barwright.llm import chat_format, decontamination, jaccard_join, language_id, lm_scoring, media, packing, token_counts, toxicity
+from barwright.llm import chat_format, decontamination, jaccard_join, language_id, lm_scoring, media, packing, suffix_dedup, token_counts, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -44,6 +44,10 @@ def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_scoring.score(_table(spark, sf_dir, "documents"))
 
 
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.removals(_table(spark, sf_dir, "documents"))
+
+
 def op9_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.digest(media.encoded(_table(spark, sf_dir, "documents")))
 
@@ -62,6 +66,7 @@ QUERIES: dict[str, Query] = {
     "op5_token_counts": op5_token_counts,
     "op6_packing": op6_packing,
     "op7_lm_scoring": op7_lm_scoring,
+    "op8_suffix_dedup": op8_suffix_dedup,
     "op9_media_columns": op9_media_columns,
     "op10_toxicity": op10_toxicity,
 }
