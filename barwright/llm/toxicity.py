@@ -4,10 +4,10 @@ A sentence's score is a logistic function of its words' 5-byte n-grams (so infle
 1 - (1 - leak) * prod(1 - score), and the weights are trained from document labels through that combination. The sentences'
 own scores then tell where the offence is.
 
-1. Word statistics by label, over all labelled training documents (hashed into `BUCKETS`, summed by a shuffle).
-2. The `FEATURES` buckets that tell the labels apart best are the model's features (the model's size is fixed).
-3. Weights are fitted on at most `SAMPLE` labelled documents of each class, those first in the order of a hash of the text
-   and doc_id (a documented bound; all other steps use all documents).
+1. About `SAMPLE` labelled documents of each class train, chosen by a hash of doc_id (a documented bound; so labels are
+   joined by a broadcast of bounded size and no text is shuffled). Their n-grams are counted by label.
+2. The `FEATURES` n-grams that tell the labels apart best are the model's features (the model's size is fixed).
+3. Weights are fitted to the sample's labels.
 4. All documents are scored in one scan; the model is a small broadcast of fixed size.
 """
 
@@ -31,7 +31,7 @@ FEATURES = 2048
 LEAST_CHI = 30.0
 #: The weight of the toxic class in training, as a share: above its own share, as a missed toxic document costs more.
 TOXIC_SHARE = 0.3
-SAMPLE = 6000
+SAMPLE = 8000
 STEPS = 300
 _END = np.zeros(256, bool)
 _END[[ord(c) for c in ".!?\n"]] = True
@@ -142,17 +142,13 @@ def features(labelled: DataFrame, n_toxic: int, n_clean: int) -> np.ndarray:
     return np.array(sorted(r["bucket"] for r in rows), np.int64)
 
 
-def fitted(documents: list[list[list[int]]], labels: np.ndarray, prior: float, steps: int = STEPS) -> tuple[np.ndarray, float, float]:
-    """Weights by feature, bias and leak. documents: for each, its sentences that have features, each as feature numbers; the first entry is [number of all sentences].
+def fitted(doc: np.ndarray, owner: np.ndarray, feature: np.ndarray, n_features: int, n_sentences: np.ndarray, labels: np.ndarray, prior: float, steps: int = STEPS) -> tuple[np.ndarray, float, float]:
+    """Weights by feature, bias and leak, by gradient steps (with momentum and a step for each weight) on the noisy-or likelihood of the labels.
 
-    Gradient steps (with momentum and a step for each weight) on the noisy-or likelihood of the labels.
+    doc: the document of each sentence that has features; owner and feature: the sentence of each of its features;
+    n_sentences: all sentences of each document; prior: the weight of label 1.
     """
-    n_features = 1 + max((f for d in documents for s in d[1:] for f in s), default=0)
-    doc = np.array([i for i, d in enumerate(documents) for _ in d[1:]], np.int64)
-    sizes = np.array([len(s) for d in documents for s in d[1:]], np.int64)
-    feature = np.array([f for d in documents for s in d[1:] for f in s], np.int64)
-    owner = np.repeat(np.arange(len(sizes)), sizes)
-    plain = np.array([d[0][0] for d in documents], float) - np.bincount(doc, minlength=len(documents))
+    plain = n_sentences - np.bincount(doc, minlength=len(labels)).astype(float)
     leak = 0.001
     x = np.zeros(n_features + 1)
     x[-1] = -6.0
@@ -161,10 +157,10 @@ def fitted(documents: list[list[list[int]]], labels: np.ndarray, prior: float, s
     weight = np.where(labels == 1, prior / max(share, 1e-9), (1 - prior) / max(1 - share, 1e-9))  # each class weighs its share, whatever the sample holds
     weight = weight / weight.sum() if len(weight) else weight
     for step in range(1, steps + 1):
-        z = np.bincount(owner, x[feature], len(sizes)) + x[-1]
+        z = np.bincount(owner, x[feature], len(doc)) + x[-1]
         p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
         p0 = 1 / (1 + np.exp(-x[-1]))
-        log_clean = np.bincount(doc, np.log1p(-np.minimum(p, 1 - 1e-9)), len(documents)) + plain * np.log1p(-p0) + np.log1p(-leak)
+        log_clean = np.bincount(doc, np.log1p(-np.minimum(p, 1 - 1e-9)), len(labels)) + plain * np.log1p(-p0) + np.log1p(-leak)
         clean = np.exp(log_clean)
         slope = np.where(labels == 1, clean / np.maximum(1 - clean, 1e-6), -1.0) * weight  # of the log-likelihood by -log_clean
         gz = slope[doc] * p
@@ -177,11 +173,11 @@ def fitted(documents: list[list[list[int]]], labels: np.ndarray, prior: float, s
 
 
 def learned(labelled: DataFrame) -> Model:
-    """A model from rows (doc_id, text, toxic 0 or 1); rows with a null label are left out; null texts are empty.
+    """A model from rows (text, toxic 0 or 1), as many as one task can hold features of; rows with a null label are left out; null texts are empty.
 
     Without any labelled row the model scores everything as the leak.
     """
-    labelled = labelled.where(F.col("toxic").isin(0, 1)).select("doc_id", F.col("text").cast("string").alias("text"), F.col("toxic").cast("int").alias("toxic"))
+    labelled = labelled.where(F.col("toxic").isin(0, 1)).select(F.col("text").cast("string").alias("text"), F.col("toxic").cast("int").alias("toxic"))
     n = {r["toxic"]: r["n"] for r in labelled.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     n_toxic, n_clean = n.get(1, 0), n.get(0, 0)
     weights = np.zeros(BUCKETS)
@@ -190,7 +186,6 @@ def learned(labelled: DataFrame) -> Model:
     chosen = features(labelled, n_toxic, n_clean)
     if not len(chosen):
         return Model(weights, -20.0, 0.001)
-    order = F.xxhash64("text", F.col("doc_id").cast("string"))
     known = labelled.sparkSession.sparkContext.broadcast(chosen)
 
     def reduced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -201,21 +196,20 @@ def learned(labelled: DataFrame) -> Model:
             n_sentences = np.bincount(s.doc, minlength=s.texts)
             f = number[s.buckets]
             pairs = np.unique(s.sentence[f >= 0] * BUCKETS + f[f >= 0])
-            rows: list[list[list[int]]] = [[[int(k)]] for k in n_sentences]
-            owner = pairs // BUCKETS
-            for part in np.split(pairs, np.flatnonzero(np.diff(owner)) + 1) if len(pairs) else []:
-                rows[int(s.doc[part[0] // BUCKETS])].append((part % BUCKETS).tolist())
-            yield pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array(rows, pa.list_(pa.list_(pa.int32())))], names=["toxic", "sentences"])
-
-    sampled = None
-    for k, total in ((1, n_toxic), (0, n_clean)):
-        # rows with the smallest hashes: by a threshold on the hash, so nothing is sorted whole
-        part = labelled.where((F.col("toxic") == k) & (F.pmod(order, F.lit(1_000_000)) < int(min(1.0, SAMPLE / max(total, 1)) * 1_000_000)))
-        sampled = part if sampled is None else sampled.unionByName(part)
-    rows = sampled.mapInArrow(reduced, "toxic int, sentences array<array<int>>").collect()
-    rows = sorted(([list(map(list, r["sentences"])), r["toxic"]] for r in rows), key=lambda r: (r[1], r[0]))
-    x, bias, leak = fitted([r[0] for r in rows], np.array([r[1] for r in rows]), TOXIC_SHARE)
-    weights[chosen[: len(x)]] = x
+            sentence, feature = pairs // BUCKETS, pairs % BUCKETS
+            cuts = np.searchsorted(s.doc[sentence], np.arange(s.texts + 1))
+            packed = [np.stack([sentence[a:b], feature[a:b]], axis=1).astype("<i4").tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array(n_sentences, pa.int64()), pa.array(packed, pa.binary())], names=["toxic", "n", "packed"])
+
+    rows = sorted((r["toxic"], r["n"], bytes(r["packed"])) for r in labelled.mapInArrow(reduced, "toxic int, n long, packed binary").collect())
+    pairs = [np.frombuffer(r[2], "<i4").reshape(-1, 2).astype(np.int64) for r in rows]
+    doc_of = np.repeat(np.arange(len(rows)), [len(p) for p in pairs])
+    every = np.concatenate(pairs)
+    # sentences are told apart within their documents; their numbers are made anew
+    _, owner = np.unique(doc_of * (1 << 32) + every[:, 0], return_inverse=True)
+    doc = doc_of[np.unique(owner, return_index=True)[1]]
+    x, bias, leak = fitted(doc, owner, every[:, 1], len(chosen), np.array([r[1] for r in rows]), np.array([r[0] for r in rows]), TOXIC_SHARE)
+    weights[chosen] = x
     return Model(weights, bias, leak)
 
 
@@ -251,6 +245,12 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def labelled_training(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Documents with a label whose doc_id isn't held out. A doc_id labelled twice counts as toxic if one label says so."""
-    labels = labels.select("doc_id", "toxic").where(F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    return docs.select("doc_id", "text").where(~is_held_out()).join(labels, "doc_id")
+    """text and toxic of about SAMPLE documents of each label whose doc_id isn't held out (all, if there are no more).
+
+    A doc_id labelled twice counts as toxic if one label says so; labels other than 0 and 1 count as none.
+    """
+    labels = labels.where(F.col("toxic").isin(0, 1) & ~is_held_out()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    n = {r["toxic"]: r["n"] for r in labels.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    share = F.when(F.col("toxic") == 1, int(SAMPLE / max(n.get(1, 0), SAMPLE) * 1_000_000)).otherwise(int(SAMPLE / max(n.get(0, 0), SAMPLE) * 1_000_000))
+    chosen = labels.where(F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(1_000_000)) < share)
+    return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "toxic")
