@@ -18,6 +18,7 @@ so exact copies never meet as pairs.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,7 +30,7 @@ from barwright.llm import bytesets
 from barwright.llm.components import components
 from barwright.llm.store import written
 
-SKETCH_BITS = 20
+SKETCH_BITS = 22
 SLICES = 16
 #: Partial sketches added up by one task.
 FAN_IN = 32
@@ -76,25 +77,27 @@ def sets_of(docs: DataFrame, n: int) -> DataFrame:
 
 
 def sketch(docs: DataFrame, n: int) -> np.ndarray:
-    """Of all documents, how often a shingle's bucket occurs in a set (2**SKETCH_BITS buckets: 4 MB whatever the input)."""
+    """Of all documents, how often a shingle's bucket occurs in a set (2**SKETCH_BITS buckets: 8 MB whatever the input)."""
     width = (1 << SKETCH_BITS) // SLICES
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        total = np.zeros(1 << SKETCH_BITS, np.uint32)
+        total = np.zeros(1 << SKETCH_BITS, np.int64)
         for batch in bytesets.chunks(batches):
             values, _, _ = shingle_sets(batch.column("text"), n)
-            total += np.bincount((values >> _U(64 - SKETCH_BITS)).astype(np.int64), minlength=1 << SKETCH_BITS).astype(np.uint32)
+            at, c = np.unique(values >> _U(64 - SKETCH_BITS), return_counts=True)
+            total[at.astype(np.int64)] += c
+        blobs = [zlib.compress(x.tobytes(), 1) for x in np.minimum(total, 0xFFFF).astype("<u2").reshape(SLICES, width)]
         at = TaskContext.get().partitionId()
-        yield pa.RecordBatch.from_arrays([pa.array([at] * SLICES, pa.int32()), pa.array(range(SLICES), pa.int32()), pa.array([x.tobytes() for x in total.reshape(SLICES, width)], pa.binary())], names=["at", "slice", "counts"])
+        yield pa.RecordBatch.from_arrays([pa.array([at] * SLICES, pa.int32()), pa.array(range(SLICES), pa.int32()), pa.array(blobs, pa.binary())], names=["at", "slice", "counts"])
 
     def add(key, table):
-        total = np.zeros(width, np.uint32)
+        total = np.zeros(width, np.int64)
         for x in table.column("counts").to_pylist():
-            part = np.frombuffer(x, np.uint32)
-            total = np.where(total > ~part, np.uint32(0xFFFFFFFF), total + part)  # it stops at the largest number
-        return pa.table({"at": pa.array([key[0].as_py()], pa.int32()), "slice": pa.array([key[1].as_py()], pa.int32()), "counts": pa.array([total.tobytes()], pa.binary())})
+            total += np.frombuffer(zlib.decompress(x), "<u2")
+        blob = zlib.compress(np.minimum(total, 0xFFFF).astype("<u2").tobytes(), 1)  # it stops at the largest number
+        return pa.table({"at": pa.array([key[0].as_py()], pa.int32()), "slice": pa.array([key[1].as_py()], pa.int32()), "counts": pa.array([blob], pa.binary())})
 
     parts, schema = docs.select("text").mapInArrow(count, "at int, slice int, counts binary"), "at int, slice int, counts binary"
     tasks = docs.rdd.getNumPartitions()
@@ -103,8 +106,8 @@ def sketch(docs: DataFrame, n: int) -> np.ndarray:
         parts = parts.withColumn("at", F.floor(F.col("at") / FAN_IN).cast("int")).groupBy("at", "slice").applyInArrow(add, schema)
         if tasks <= 1:
             break
-    rows = {r["slice"]: np.frombuffer(bytes(r["counts"]), np.uint32) for r in parts.collect()}
-    return np.concatenate([rows.get(k, np.zeros(width, np.uint32)) for k in range(SLICES)])
+    rows = {r["slice"]: np.frombuffer(zlib.decompress(bytes(r["counts"])), "<u2") for r in parts.collect()}
+    return np.concatenate([rows.get(k, np.zeros(width, "<u2")) for k in range(SLICES)])
 
 
 def prefixes(docs: DataFrame, n: int, percent: int, counts) -> DataFrame:
@@ -144,8 +147,7 @@ def whole_sets(docs: DataFrame, nodes: DataFrame, n: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(set_hash(values, texts, sizes)), pa.array(sizes.astype(np.int32)), pa.array([x.tobytes() for x in table], pa.binary()), pa.array(members, pa.binary())], names=["node", "n", "segments", "members"])
 
     few = nodes.count() <= BROADCAST_IDS
-    found = docs.join(F.broadcast(nodes) if few else nodes, "doc_id").select("text").mapInArrow(run, "node long, n int, segments binary, members binary")
-    return found.dropDuplicates(["node"])  # where a doc_id stands for two documents
+    return docs.join(F.broadcast(nodes) if few else nodes, "doc_id").select("text").mapInArrow(run, "node long, n int, segments binary, members binary")
 
 
 def runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[dict[str, np.ndarray]]:
@@ -171,11 +173,11 @@ def runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[dict[st
 
 
 def passing(x: dict[str, np.ndarray], percent: int, low: int, high: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of rows of the same list that pass the filters; of each row, its low-th to high-th such partner among those before it."""
+    """Pairs of rows of the same list that pass the filters (the suffix filter only where x has segments); of each row, its low-th to high-th such partner among those before it."""
     order = np.lexsort((x["node"], x["n"], x["right"], x["left"], x["shingle"]))
     shingle, left, right, node, n, place, comp, side = (x[c][order] for c in ("shingle", "left", "right", "node", "n", "place", "comp", "side"))
     n, place = n.astype(np.int64), place.astype(np.int64)
-    segments = np.frombuffer(b"".join(x["segments"][order]), np.uint8).reshape(-1, SEGMENTS).astype(np.int16)
+    segments = np.frombuffer(b"".join(x["segments"][order]), np.uint8).reshape(-1, SEGMENTS).astype(np.int16) if "segments" in x else None
     new = np.ones(len(shingle), bool)
     new[1:] = (shingle[1:] != shingle[:-1]) | (left[1:] != left[:-1]) | (right[1:] != right[:-1])
     begin = np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))
@@ -191,8 +193,9 @@ def passing(x: dict[str, np.ndarray], percent: int, low: int, high: int) -> tupl
         ok = (100 * np.minimum(n[i], n[j]) >= percent * np.maximum(n[i], n[j])) & (np.minimum(place[i], place[j]) + 1 + np.minimum(n[i] - place[i], n[j] - place[j]) - 1 >= need)
         ok &= (left[i] == right[i]) | (side[i] != side[j])
         i, j, need = i[ok], j[ok], need[ok]
-        ok = np.abs(segments[i] - segments[j]).sum(axis=1) <= n[i] + n[j] - 2 * need
-        i, j = i[ok], j[ok]
+        if segments is not None:
+            ok = np.abs(segments[i] - segments[j]).sum(axis=1) <= n[i] + n[j] - 2 * need
+            i, j = i[ok], j[ok]
         rank = seen[i]
         seen[i] += 1
         ok = (rank >= low) & (rank < high) & (comp[i] != comp[j])
@@ -202,6 +205,19 @@ def passing(x: dict[str, np.ndarray], percent: int, low: int, high: int) -> tupl
     return np.concatenate([f[0] for f in found] or [np.zeros(0, np.int64)]), np.concatenate([f[1] for f in found] or [np.zeros(0, np.int64)])
 
 
+def partnered(lists: DataFrame, percent: int) -> DataFrame:
+    """The nodes that have a partner by length and position in some list, and all nodes of lists longer than BLOCK."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for x in runs(batches, ["shingle"]):
+            none = np.zeros(len(x["node"]), np.int64)
+            a, b = passing(x | {"left": none, "right": none, "side": none, "comp": x["node"]}, percent, 0, 1 << 60)
+            yield pa.RecordBatch.from_arrays([pa.array(np.unique(np.concatenate([a, b])))], names=["node"])
+
+    short = lists.where(F.col("length") <= BLOCK).select("shingle", "node", "n", "place").repartition("shingle").sortWithinPartitions("shingle")
+    return short.mapInArrow(run, "node long").unionByName(lists.where(F.col("length") > BLOCK).select("node")).distinct()
+
+
 def candidates(lists: DataFrame, percent: int, low: int, high: int) -> DataFrame:
     """Distinct pairs a < b of one round. lists: shingle, node, n, place, segments, comp, length (of the list)."""
     blocks = F.ceil(F.col("length") / BLOCK).cast("int")
@@ -240,15 +256,16 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 def links(docs: DataFrame, documents: DataFrame, n: int, percent: int) -> DataFrame | None:
     """Components of the nodes that have links (node, label). documents: what sets_of gave."""
     counts = docs.sparkSession.sparkContext.broadcast(sketch(docs, n))
-    postings = prefixes(docs, n, percent, counts)
+    postings = written(prefixes(docs, n, percent, counts))
     shared = postings.groupBy("shingle").agg(F.min("node").alias("least"), F.max("node").alias("most")).where("least <> most").select("shingle")
     lists = written(postings.join(shared, "shingle").distinct())
     if lists.isEmpty():
         return None
-    nodes = lists.select("node").distinct().join(documents.where("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id")), "node").select("doc_id")
-    sets = written(whole_sets(docs, written(nodes), n))
-    length = lists.groupBy("shingle").agg(F.count("*").alias("length"))
-    lists = written(lists.join(length, "shingle").join(sets.select("node", "segments"), "node"))
+    lists = lists.join(lists.groupBy("shingle").agg(F.count("*").alias("length")), "shingle")
+    nodes = written(partnered(lists, percent))
+    one = documents.where("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
+    sets = written(whole_sets(docs, written(nodes.join(one, "node").select("doc_id")), n))
+    lists = written(lists.join(sets.select("node", "segments"), "node"))
     labels = found = None
     for low, high in ROUNDS:
         if labels is None:
