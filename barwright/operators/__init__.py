@@ -1 +1 @@
-"""Part of barwright."""
+"""Operators: DataFrame in, DataFrame out."""

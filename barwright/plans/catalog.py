@@ -2,20 +2,24 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import importlib
 
-from pyspark.sql import DataFrame, SparkSession
+from barwright.plans.registry import QUERIES, SQL, Query
 
-Query = Callable[[SparkSession, str], DataFrame]
 FLAGSHIP = "ma_cross_lookahead"
+MODULES = ("relational", "bars", "windows", "studies", "candles", "fib", "options", "text", "dates", "quality", "streams", "sources")
 
-_QUERIES: dict[str, Query] = {}
-_SQL: dict[str, str] = {}
+
+def _load() -> None:
+    for name in MODULES:
+        importlib.import_module(f"barwright.plans.{name}")
 
 
 def queries() -> dict[str, Query]:
-    return dict(_QUERIES)
+    _load()
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(_SQL)
+    _load()
+    return dict(SQL)
