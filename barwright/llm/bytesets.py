@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text worked on at once (a longer single text is worked on alone).
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 20
 U64 = np.uint64
 _ODD = U64(0x9E3779B97F4A7C15)
 _BASE = U64(0xD6E8FEB86659FD93)

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from barwright.llm import bytesets
 from barwright.llm.components import components
-from barwright.llm.store import written
+from barwright.llm.store import Scratch, written
 
 SKETCH_BITS = 22
 SLICES = 16
@@ -254,34 +254,37 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def links(docs: DataFrame, documents: DataFrame, n: int, percent: int) -> DataFrame | None:
-    """Components of the nodes that have links (node, label). documents: what sets_of gave."""
+    """Components of the nodes that have links (node, label; a written table). documents: what sets_of gave."""
     counts = docs.sparkSession.sparkContext.broadcast(sketch(docs, n))
-    postings = written(prefixes(docs, n, percent, counts))
-    shared = postings.groupBy("shingle").agg(F.min("node").alias("least"), F.max("node").alias("most")).where("least <> most").select("shingle")
-    lists = written(postings.join(shared, "shingle").distinct())
-    if lists.isEmpty():
-        return None
-    lists = lists.join(lists.groupBy("shingle").agg(F.count("*").alias("length")), "shingle")
-    nodes = written(partnered(lists, percent))
-    one = documents.where("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
-    sets = written(whole_sets(docs, written(nodes.join(one, "node").select("doc_id")), n))
-    lists = written(lists.join(sets.select("node", "segments"), "node"))
-    labels = found = None
-    for low, high in ROUNDS:
-        if labels is None:
-            now = lists.withColumn("comp", F.col("node"))
-        else:  # lists within one component have nothing to add
-            now = lists.join(labels.withColumnRenamed("label", "comp"), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-            open_lists = now.groupBy("shingle").agg(F.min("comp").alias("c"), F.max("comp").alias("d")).where((F.col("c") < F.col("d"))).select("shingle")
-            now = now.where(F.col("length") > low).join(open_lists, "shingle")
-        pairs = written(candidates(now, percent, low, high))
-        if pairs.isEmpty():
-            continue
-        new = written(verified(pairs, sets, percent))
-        if not new.isEmpty():
-            found = new if found is None else found.unionByName(new)
-            labels = components(found)
-    return labels
+    scratch = Scratch()
+    try:
+        postings = scratch.keep(prefixes(docs, n, percent, counts))
+        # tables of one row a key are made before they are joined, so that hot keys of the other side can be split
+        shared = scratch.keep(postings.groupBy("shingle").agg(F.min("node").alias("least"), F.max("node").alias("most")).where("least <> most").select("shingle"))
+        lists = scratch.keep(postings.join(shared, "shingle").distinct())
+        length = scratch.keep(lists.groupBy("shingle").agg(F.count("*").alias("length")))
+        lists = scratch.keep(lists.join(length, "shingle"))
+        one = documents.where("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
+        nodes = scratch.keep(partnered(lists, percent).join(one, "node").select("doc_id"))
+        if nodes.isEmpty():
+            return None
+        sets = scratch.keep(whole_sets(docs, nodes, n))
+        lists = scratch.keep(lists.join(sets.select("node", "segments"), "node"))
+        labels = found = None
+        for low, high in ROUNDS:
+            if labels is None:
+                now = lists.withColumn("comp", F.col("node"))
+            else:  # lists within one component have nothing to add
+                now = lists.join(labels.withColumnRenamed("label", "comp"), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+                open_lists = now.groupBy("shingle").agg(F.min("comp").alias("c"), F.max("comp").alias("d")).where(F.col("c") < F.col("d")).select("shingle")
+                now = now.where(F.col("length") > low).join(scratch.keep(open_lists), "shingle")
+            new = written(verified(candidates(now, percent, low, high), sets, percent))
+            if not new.isEmpty():
+                found = new if found is None else found.unionByName(new)
+                labels = components(found)
+        return labels
+    finally:
+        scratch.release()
 
 
 def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
@@ -299,7 +302,7 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame
         some = some.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     else:
         some = some.withColumn("label", F.col("node"))
-    least = some.groupBy("label").agg(F.min("doc_id").alias("component_id"))
+    least = written(some.groupBy("label").agg(F.min("doc_id").alias("component_id")))
     out = some.join(least, "label").select("doc_id", "n_shingles", "component_id")
     return out.unionByName(documents.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -25,3 +26,21 @@ def written(df: DataFrame) -> DataFrame:
     path = f"{shared_dir(spark)}/tables/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+class Scratch:
+    """Intermediate tables that are read more than once within one operator, on the executors' disks until `release`.
+
+    They keep their lineage: what a lost executor held is computed again from the input.
+    """
+
+    def __init__(self) -> None:
+        self.tables: list[DataFrame] = []
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        self.tables.append(df.persist(StorageLevel.DISK_ONLY))
+        return self.tables[-1]
+
+    def release(self) -> None:
+        while self.tables:
+            self.tables.pop().unpersist()

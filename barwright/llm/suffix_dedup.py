@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from barwright.llm import bytesets
 from barwright.llm.jaccard_join import runs
-from barwright.llm.store import written
+from barwright.llm.store import Scratch, written
 
 LENGTH = 400
 GRAM = 48
@@ -272,31 +272,33 @@ def across_chunks(packed: DataFrame, keep_first: bool) -> DataFrame:
     return packed.select("bucket", "packed").repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, "doc long, lo int, n int")
 
 
-def repeated_windows(docs: DataFrame, length: int, keep_first: bool) -> DataFrame:
+def repeated_windows(docs: DataFrame, length: int, keep_first: bool, scratch: Scratch) -> DataFrame:
     """doc, lo, n: runs of window starts with a match (keep_first: an earlier match), of documents with doc_ids of their own."""
     gram = max(1, min(GRAM, length // 2))
-    every = written(anchors(docs, length, gram))
-    twice = every.groupBy("anchor").agg(F.count("*").alias("total")).where("total > 1").select("anchor")
-    met = written(every.join(twice, "anchor"))
+    every = scratch.keep(anchors(docs, length, gram))
+    # tables of one row a key are made before they are joined, so that hot keys of the other side can be split
+    twice = scratch.keep(every.groupBy("anchor").agg(F.count("*").alias("total")).where("total > 1").select("anchor"))
+    met = scratch.keep(every.join(twice, "anchor"))
     place = F.struct("doc", "lo", "n")
-    classes = written(met.groupBy("anchor", "context").agg(F.count("*").alias("copies"), F.min(place).alias("first")))
-    kinds = classes.groupBy("anchor").agg(F.count("*").alias("kinds"))
+    classes = scratch.keep(met.groupBy("anchor", "context").agg(F.count("*").alias("copies"), F.min(place).alias("first")))
+    kinds = scratch.keep(classes.groupBy("anchor").agg(F.count("*").alias("kinds")).where("kinds > 1"))
     # all occurrences in classes of two or more
     copied = classes.where("copies > 1").select("anchor", "context", F.col("first.doc").alias("first_doc"), F.col("first.lo").alias("first_lo"))
     copies = met.join(copied, ["anchor", "context"])
     if keep_first:
         copies = copies.where((F.col("doc") != F.col("first_doc")) | (F.col("lo") != F.col("first_lo")))
-    several = classes.join(kinds.where("kinds > 1"), "anchor")
+    several = classes.join(kinds, "anchor")
     chunks = F.ceil(F.col("kinds") / CHUNK).cast("int")
-    wanted = written(several.select("anchor", F.pmod(F.xxhash64("context"), chunks).cast("int").alias("salt"), "first.doc", "first.lo", "first.n", (F.col("copies") > 1).alias("many"), (chunks > 1).alias("spread")))
-    found = written(chunk_matches(contexts(docs, wanted, length), length, keep_first))
+    wanted = scratch.keep(several.select("anchor", F.pmod(F.xxhash64("context"), chunks).cast("int").alias("salt"), "first.doc", "first.lo", "first.n", (F.col("copies") > 1).alias("many"), (chunks > 1).alias("spread")))
+    found = scratch.keep(chunk_matches(contexts(docs, wanted, length), length, keep_first))
     out = copies.select("doc", "lo", "n").unionByName(found.where("kind = 0").select("doc", "lo", "n"))
     return out.unionByName(across_chunks(found.where("kind = 1"), keep_first))
 
 
 def with_spans(docs: DataFrame, length: int, keep_first: bool) -> DataFrame:
     """docs and removed (binary: begin and end bytes, 64-bit each, of the maximal removed runs; null: none)."""
-    windows = repeated_windows(docs.select("doc_id", "text"), length, keep_first)
+    scratch = Scratch()
+    windows = repeated_windows(docs.select("doc_id", "text"), length, keep_first, scratch)
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -314,6 +316,7 @@ def with_spans(docs: DataFrame, length: int, keep_first: bool) -> DataFrame:
 
     lists = windows.groupBy("doc").agg(F.collect_list("lo").alias("lo"), F.collect_list("n").alias("n"))
     spans = written(lists.mapInArrow(merge, "doc long, removed binary"))
+    scratch.release()
     size = spans.agg(F.sum(F.octet_length("removed") + 24)).first()[0] or 0
     return docs.join(F.broadcast(spans) if size <= BROADCAST_BYTES else spans, docs["doc_id"] == spans["doc"], "left").drop("doc")
 
