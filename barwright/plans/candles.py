@@ -1 +1,46 @@
-"""."""
+"""Queries of the candlestick patterns, over monthly bars (where bars have a range)."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from barwright.operators import candles as K
+from barwright.operators import studies as S
+from barwright.plans.bars import load, over
+from barwright.plans.registry import query
+from barwright.plans.studies import CHANGED, W
+
+
+def _named(source: str) -> str:
+    used = sorted({n for p in K.PATTERNS for n in K.names(p) if len(n) > 1})
+    leads = ", ".join(f"{'lag' if '_' in n else 'lead'}({n[0]}, {n[-1]}) OVER {W} AS {n}" for n in used)
+    return f"base AS (SELECT symbol, date, fOpen AS O, fHigh AS H, fLow AS L, fClose AS C, fHigh - fLow AS R, fChangeP AS G FROM {source}), named AS (SELECT *, {leads} FROM base)"
+
+
+def _input(spark: SparkSession, d: str) -> DataFrame:
+    return S.change_pct(load(spark, d, "month"))
+
+
+def _register(pattern: K.Pattern) -> None:
+    sql = over("month", f", {CHANGED}, {_named('changed')} SELECT symbol, date, {K.pattern_sql(pattern)} AS {pattern.name} FROM named")
+
+    @query(f"candle_{pattern.name}", sql)
+    def one(spark: SparkSession, d: str) -> DataFrame:
+        return K.patterns(_input(spark, d), (pattern.name,))
+
+
+for _pattern in K.PATTERNS:
+    _register(_pattern)
+
+_ALL = ", ".join(f"{K.pattern_sql(p)} AS {p.name}" for p in K.PATTERNS)
+
+
+@query("candle_counts", over("month", f", {CHANGED}, {_named('changed')}, p AS (SELECT {_ALL} FROM named) SELECT " + ", ".join(f"sum(abs({p.name}))::BIGINT AS {p.name}" for p in K.PATTERNS) + " FROM p"))
+def candle_counts(spark: SparkSession, d: str) -> DataFrame:
+    return K.patterns(_input(spark, d)).agg(*[F.sum(F.abs(p.name)).alias(p.name) for p in K.PATTERNS])
+
+
+@query("candle_scan_filtered", over("month", f", {CHANGED}, kept AS (SELECT * FROM changed WHERE fClose > 1.5 AND fVolume > 150), {_named('kept')} SELECT symbol, date, {_ALL} FROM named"))
+def candle_scan_filtered(spark: SparkSession, d: str) -> DataFrame:
+    return K.scan(_input(spark, d), 1.5, 150)
