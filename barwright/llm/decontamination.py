@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from barwright.llm import bytesets
+from barwright.llm.store import without, written
 
 WINDOW_WORDS = 13
 BLOCK_BYTES = 16 << 20
@@ -141,8 +142,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, spans: bool = False) -> DataFra
     """
     found = hits(docs, benchmark)
     if not spans:
-        dropped = found.where(contaminated(F.col("n_hit"), F.col("n_words"))).select("doc_id").distinct()
-        return docs.join(dropped, "doc_id", "left_anti")
+        return without(docs, written(found.where(contaminated(F.col("n_hit"), F.col("n_words"))).select("doc_id").distinct()))
     cuts = found.where(F.size("byte_spans") > 0).groupBy("doc_id").agg(F.first("byte_spans").alias("_cuts"))
     raw = F.encode("text", "utf-8")
     begins = F.concat(F.array(F.lit(0)), F.col("_cuts")["end"])

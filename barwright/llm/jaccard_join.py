@@ -5,8 +5,8 @@ so exact copies never meet as pairs.
 
 1. How many sets a shingle is in is counted by a sketch of fixed size over all documents; a set is ordered by that count, then
    by hash, so the rarest shingles come first. (Any common order gives right results; a rare-first one keeps lists short.)
-2. Two sets that are similar enough share a shingle of their prefixes. Prefix shingles go through one shuffle; those that one
-   node alone has are dropped there. What remains are the lists of nodes by prefix shingle.
+2. Two sets that are similar enough share a shingle of their prefixes. Prefix shingles go through one shuffle, packed by
+   bucket (24 bytes each); those that one node alone has are dropped there. What remains are the lists of nodes by shingle.
 3. In each list, pairs must pass the length filter, the positional filter, and the suffix filter: the sets are cut at fixed
    pivots into segments, and the segments' sizes bound the number of elements that differ.
 4. Pairs are not all sent on: in the first round a node meets the first few partners of each list that pass, the pairs are
@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from barwright.llm import bytesets
 from barwright.llm.components import components
-from barwright.llm.store import Scratch, written
+from barwright.llm.store import BROADCAST_IDS, Scratch, without, written
 
 SKETCH_BITS = 22
 SLICES = 16
@@ -38,8 +38,10 @@ SEGMENTS = 64
 BLOCK = 256
 #: Partners of a node in a list by round; the last round has no end.
 ROUNDS = ((0, 3), (3, 48), (48, 1 << 60))
-#: Up to so many ids (of 8 bytes) are broadcast; more are joined by a shuffle.
-BROADCAST_IDS = 1_000_000
+#: Rows of prefixes that a task holds before it sends them, and buckets for each shuffle partition.
+HELD_ROWS = 500_000
+BUCKETS = 4
+_POSTING = np.dtype([("shingle", "<i8"), ("node", "<i8"), ("n", "<i4"), ("place", "<i4")])
 _U = np.uint64
 
 
@@ -110,11 +112,21 @@ def sketch(docs: DataFrame, n: int) -> np.ndarray:
     return np.concatenate([rows.get(k, np.zeros(width, "<u2")) for k in range(SLICES)])
 
 
-def prefixes(docs: DataFrame, n: int, percent: int, counts) -> DataFrame:
-    """shingle, node, n, place: the prefix of every set, rarest shingles first."""
+def prefixes(docs: DataFrame, n: int, percent: int, counts, buckets: int) -> DataFrame:
+    """bucket, packed: the prefix of every set, rarest shingles first, as _POSTING rows by bucket of the shingle."""
+
+    def packed(held: list[np.ndarray]) -> pa.RecordBatch:
+        rows = np.unique(np.concatenate(held))  # copies are one
+        bucket = rows["shingle"].view(_U) % _U(buckets)
+        order = np.argsort(bucket, kind="stable")
+        rows, bucket = rows[order], bucket[order]
+        names, first = np.unique(bucket, return_index=True)
+        return pa.RecordBatch.from_arrays([pa.array(names.astype(np.int32)), pa.array([x.tobytes() for x in np.split(rows, first[1:])], pa.binary())], names=["bucket", "packed"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = counts.value
+        held: list[np.ndarray] = []
+        size = 0
         for batch in bytesets.chunks(batches):
             values, texts, sizes = shingle_sets(batch.column("text"), n)
             node = set_hash(values, texts, sizes)
@@ -122,16 +134,38 @@ def prefixes(docs: DataFrame, n: int, percent: int, counts) -> DataFrame:
             place = np.arange(len(values)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
             length = sizes - -(-percent * sizes // 100) + 1
             inside = place < length[texts]
-            _, once = np.unique(node, return_index=True)  # copies in a batch are one
-            first = np.zeros(len(sizes), bool)
-            first[once] = True
-            inside &= first[texts]
             at = texts[inside]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(values[order][inside].view(np.int64)), pa.array(node[at]), pa.array(sizes[at].astype(np.int32)), pa.array(place[inside].astype(np.int32))], names=["shingle", "node", "n", "place"]
-            )
+            rows = np.empty(len(at), _POSTING)
+            rows["shingle"], rows["node"], rows["n"], rows["place"] = values[order][inside].view(np.int64), node[at], sizes[at], place[inside]
+            held.append(rows)
+            size += len(rows)
+            if size >= HELD_ROWS:
+                yield packed(held)
+                held, size = [], 0
+        if size:
+            yield packed(held)
+
+    return docs.select("text").mapInArrow(run, "bucket int, packed binary")
+
 
-    return docs.select("text").mapInArrow(run, "shingle long, node long, n int, place int")
+def shared_lists(postings: DataFrame) -> DataFrame:
+    """shingle, node, n, place, length (of the list): prefix shingles that two nodes or more have."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for x in runs(batches, ["bucket"]):
+            for b in np.unique(x["bucket"]):
+                rows = np.unique(np.frombuffer(b"".join(x["packed"][x["bucket"] == b]), _POSTING))
+                new = np.ones(len(rows), bool)
+                new[1:] = rows["shingle"][1:] != rows["shingle"][:-1]
+                first = np.flatnonzero(new)
+                length = np.diff(np.append(first, len(rows)))
+                several = np.repeat(length > 1, length)
+                rows, length = rows[several], np.repeat(length, length)[several]
+                for k in range(0, len(rows), 100_000):
+                    part = rows[k : k + 100_000]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(part[c])) for c in ("shingle", "node", "n", "place")] + [pa.array(length[k : k + 100_000])], names=["shingle", "node", "n", "place", "length"])
+
+    return postings.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, "shingle long, node long, n int, place int, length long")
 
 
 def whole_sets(docs: DataFrame, nodes: DataFrame, n: int) -> DataFrame:
@@ -258,12 +292,8 @@ def links(docs: DataFrame, documents: DataFrame, n: int, percent: int) -> DataFr
     counts = docs.sparkSession.sparkContext.broadcast(sketch(docs, n))
     scratch = Scratch()
     try:
-        postings = scratch.keep(prefixes(docs, n, percent, counts))
-        # tables of one row a key are made before they are joined, so that hot keys of the other side can be split
-        shared = scratch.keep(postings.groupBy("shingle").agg(F.min("node").alias("least"), F.max("node").alias("most")).where("least <> most").select("shingle"))
-        lists = scratch.keep(postings.join(shared, "shingle").distinct())
-        length = scratch.keep(lists.groupBy("shingle").agg(F.count("*").alias("length")))
-        lists = scratch.keep(lists.join(length, "shingle"))
+        buckets = BUCKETS * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        lists = scratch.keep(shared_lists(prefixes(docs, n, percent, counts, buckets)))
         one = documents.where("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
         nodes = scratch.keep(partnered(lists, percent).join(one, "node").select("doc_id"))
         if nodes.isEmpty():
@@ -309,5 +339,4 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame
 
 def deduplicated(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     """docs with one document of each component: that of the least doc_id. All columns stay; rows with equal doc_id stay or go together."""
-    dropped = near_duplicates(docs, n, percent).where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(dropped, "doc_id", "left_anti")
+    return without(docs, written(near_duplicates(docs, n, percent).where("doc_id <> component_id").select("doc_id").distinct()))

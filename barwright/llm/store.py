@@ -28,6 +28,15 @@ def written(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Up to so many ids (of 8 bytes) are broadcast; more are joined by a shuffle.
+BROADCAST_IDS = 1_000_000
+
+
+def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """docs whose doc_id is not among ids (doc_id, each once; a written table). Few ids are broadcast, so no text is shuffled for them."""
+    return docs.join(ids.hint("broadcast") if ids.count() <= BROADCAST_IDS else ids, "doc_id", "left_anti")
+
+
 class Scratch:
     """Intermediate tables that are read more than once within one operator, on the executors' disks until `release`.
 

@@ -244,6 +244,22 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     return rows.mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int, sentences array<struct<sentence: int, begin: int, end: int, score: double>>")
 
 
+def without_toxic(docs: DataFrame, model: Model) -> DataFrame:
+    """docs that the model doesn't predict toxic, in one scan. All columns stay; null texts are kept as they are."""
+    known = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = known.value
+        for batch in batches:
+            clean = []
+            for part in bytesets.chunks(iter([batch])):
+                s = Sentences(*bytesets.utf8(part.column("text")))
+                clean.append(m.document_scores(s, m.sentence_scores(s)) < 0.5)
+            yield batch.filter(pa.array(np.concatenate(clean))) if clean else batch
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def labelled_training(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """text and toxic of about SAMPLE documents of each label whose doc_id isn't held out (all, if there are no more).
 

@@ -14,11 +14,9 @@ from barwright.llm.store import written
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents predicted toxic go. The model learns from the labelled ones among docs; rows with equal doc_id share their fate."""
+    """Documents predicted toxic go. The model learns from the labelled ones among docs."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    model = toxicity.learned(toxicity.labelled_training(docs, labels))
-    toxic = toxicity.score(docs, model).where("predicted = 1").select("doc_id").distinct()
-    return docs.join(toxic, "doc_id", "left_anti").select(*docs.columns)
+    return toxicity.without_toxic(docs, toxicity.learned(toxicity.labelled_training(docs, labels)))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
