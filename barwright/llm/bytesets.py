@@ -129,10 +129,10 @@ class Words:
         return mixed(sums[self.text_offsets[1:]] - sums[self.text_offsets[:-1]] + counts.astype(U64))
 
 
-def distinct_in_texts(values: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct (owner, value) pairs, sorted by owner, then value."""
+def distinct_in_texts(values: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct (owner, value) pairs, sorted by owner, then value, and a place where each was."""
     order = np.lexsort((values, owner))
     values, owner = values[order], owner[order]
     new = np.ones(len(values), bool)
     new[1:] = (values[1:] != values[:-1]) | (owner[1:] != owner[:-1])
-    return values[new], owner[new]
+    return values[new], owner[new], order[new]

@@ -3,8 +3,9 @@
 A document's set is its distinct word shingles as 64-bit hashes. Documents with equal sets are one node (a hash of the set),
 so exact copies never meet as pairs.
 
-1. How many sets a shingle is in is counted by a sketch of fixed size over all documents; a set is ordered by that count, then
-   by hash, so the rarest shingles come first. (Any common order gives right results; a rare-first one keeps lists short.)
+1. A shingle is as rare as its rarest word at least. Words are counted by a sketch of fixed size over all documents; a set is
+   ordered by its shingles' rarest word's count, then by hash, so the rarest shingles come first. (Any common order gives
+   right results; a rare-first one keeps lists short: most texts have enough shingles with a word of their own.)
 2. Two sets that are similar enough share a shingle of their prefixes. Prefix shingles go through one shuffle, packed by
    bucket (24 bytes each); those that one node alone has are dropped there. What remains are the lists of nodes by shingle.
 3. In each list, pairs must pass the length filter, the positional filter, and the suffix filter: the sets are cut at fixed
@@ -37,26 +38,37 @@ FAN_IN = 32
 SEGMENTS = 64
 BLOCK = 256
 #: Partners of a node in a list by round; the last round has no end.
-ROUNDS = ((0, 3), (3, 48), (48, 1 << 60))
+ROUNDS = ((0, 1), (1, 16), (16, 1 << 60))
+#: Different pairs that a task holds before it sends them.
+HELD_PAIRS = 500_000
 #: Rows of prefixes that a task holds before it sends them, and buckets for each shuffle partition.
 HELD_ROWS = 500_000
 BUCKETS = 4
+_PAIR = np.dtype([("a", "<i8"), ("b", "<i8")])
 _POSTING = np.dtype([("shingle", "<i8"), ("node", "<i8"), ("n", "<i4"), ("place", "<i4")])
 _U = np.uint64
 
 
-def shingle_sets(column: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The distinct shingles of each text, sorted by text and hash, the text of each, and the sizes of the sets."""
+def shingle_sets(column: pa.Array, n: int, word_counts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct shingles of each text, sorted by text and hash, the text of each, the sizes of the sets, and, with word_counts (a sketch), the count of each shingle's rarest word."""
     words = bytesets.Words(*bytesets.utf8(column), bytesets.SPACED_WORD)
     hashes, fits = words.shingles(n)
     counts = words.counts()
     owner = np.repeat(np.arange(len(counts)), counts)
     short = np.flatnonzero((counts > 0) & (counts < n))
     values, texts = hashes[fits], owner[fits]
+    rarest = np.zeros(len(values), np.uint32)
+    if word_counts is not None and len(values):
+        c = word_counts[bucket_of(words.hashes)]
+        rarest = np.lib.stride_tricks.sliding_window_view(c, n).min(axis=1)[np.flatnonzero(fits)]
     if len(short):
-        values, texts = np.concatenate([values, words.whole()[short]]), np.concatenate([texts, short])
-    values, texts = bytesets.distinct_in_texts(values, texts)
-    return values, texts, np.bincount(texts, minlength=len(counts))
+        values, texts, rarest = np.concatenate([values, words.whole()[short]]), np.concatenate([texts, short]), np.concatenate([rarest, np.zeros(len(short), np.uint32)])
+    values, texts, at = bytesets.distinct_in_texts(values, texts)
+    return values, texts, np.bincount(texts, minlength=len(counts)), rarest[at]
+
+
+def bucket_of(hashes: np.ndarray) -> np.ndarray:
+    return (hashes >> _U(64 - SKETCH_BITS)).astype(np.int64)
 
 
 def set_hash(values: np.ndarray, texts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -72,33 +84,33 @@ def sets_of(docs: DataFrame, n: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in bytesets.chunks(batches):
-            values, texts, sizes = shingle_sets(batch.column("text"), n)
+            values, texts, sizes, _ = shingle_sets(batch.column("text"), n)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes), pa.array(set_hash(values, texts, sizes))], names=["doc_id", "n_shingles", "node"])
 
     return docs.mapInArrow(run, "doc_id long, n_shingles long, node long")
 
 
-def sketch(docs: DataFrame, n: int) -> np.ndarray:
-    """Of all documents, how often a shingle's bucket occurs in a set (2**SKETCH_BITS buckets: 8 MB whatever the input)."""
+def sketch(docs: DataFrame) -> np.ndarray:
+    """How often the words of each bucket occur in all documents (2**SKETCH_BITS buckets of 4 bytes, whatever the input)."""
     width = (1 << SKETCH_BITS) // SLICES
+    most = 0xFFFFFFFF
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         total = np.zeros(1 << SKETCH_BITS, np.int64)
         for batch in bytesets.chunks(batches):
-            values, _, _ = shingle_sets(batch.column("text"), n)
-            at, c = np.unique(values >> _U(64 - SKETCH_BITS), return_counts=True)
-            total[at.astype(np.int64)] += c
-        blobs = [zlib.compress(x.tobytes(), 1) for x in np.minimum(total, 0xFFFF).astype("<u2").reshape(SLICES, width)]
+            at, c = np.unique(bucket_of(bytesets.Words(*bytesets.utf8(batch.column("text")), bytesets.SPACED_WORD).hashes), return_counts=True)
+            total[at] += c
+        blobs = [zlib.compress(x.tobytes(), 1) for x in np.minimum(total, most).astype("<u4").reshape(SLICES, width)]
         at = TaskContext.get().partitionId()
         yield pa.RecordBatch.from_arrays([pa.array([at] * SLICES, pa.int32()), pa.array(range(SLICES), pa.int32()), pa.array(blobs, pa.binary())], names=["at", "slice", "counts"])
 
     def add(key, table):
         total = np.zeros(width, np.int64)
         for x in table.column("counts").to_pylist():
-            total += np.frombuffer(zlib.decompress(x), "<u2")
-        blob = zlib.compress(np.minimum(total, 0xFFFF).astype("<u2").tobytes(), 1)  # it stops at the largest number
+            total += np.frombuffer(zlib.decompress(x), "<u4")
+        blob = zlib.compress(np.minimum(total, most).astype("<u4").tobytes(), 1)  # it stops at the largest number
         return pa.table({"at": pa.array([key[0].as_py()], pa.int32()), "slice": pa.array([key[1].as_py()], pa.int32()), "counts": pa.array([blob], pa.binary())})
 
     parts, schema = docs.select("text").mapInArrow(count, "at int, slice int, counts binary"), "at int, slice int, counts binary"
@@ -108,8 +120,8 @@ def sketch(docs: DataFrame, n: int) -> np.ndarray:
         parts = parts.withColumn("at", F.floor(F.col("at") / FAN_IN).cast("int")).groupBy("at", "slice").applyInArrow(add, schema)
         if tasks <= 1:
             break
-    rows = {r["slice"]: np.frombuffer(zlib.decompress(bytes(r["counts"])), "<u2") for r in parts.collect()}
-    return np.concatenate([rows.get(k, np.zeros(width, "<u2")) for k in range(SLICES)])
+    rows = {r["slice"]: np.frombuffer(zlib.decompress(bytes(r["counts"])), "<u4") for r in parts.collect()}
+    return np.concatenate([rows.get(k, np.zeros(width, "<u4")) for k in range(SLICES)])
 
 
 def prefixes(docs: DataFrame, n: int, percent: int, counts, buckets: int) -> DataFrame:
@@ -128,9 +140,9 @@ def prefixes(docs: DataFrame, n: int, percent: int, counts, buckets: int) -> Dat
         held: list[np.ndarray] = []
         size = 0
         for batch in bytesets.chunks(batches):
-            values, texts, sizes = shingle_sets(batch.column("text"), n)
+            values, texts, sizes, rarest = shingle_sets(batch.column("text"), n, known)
             node = set_hash(values, texts, sizes)
-            order = np.lexsort((values, known[(values >> _U(64 - SKETCH_BITS)).astype(np.int64)], texts))
+            order = np.lexsort((values, rarest, texts))
             place = np.arange(len(values)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
             length = sizes - -(-percent * sizes // 100) + 1
             inside = place < length[texts]
@@ -168,20 +180,24 @@ def shared_lists(postings: DataFrame) -> DataFrame:
     return postings.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, "shingle long, node long, n int, place int, length long")
 
 
-def whole_sets(docs: DataFrame, nodes: DataFrame, n: int) -> DataFrame:
-    """node, n, segments, members of the nodes that are asked for: nodes has one document (doc_id) of each."""
+def whole_sets(docs: DataFrame, ids: DataFrame, n: int, members: bool) -> DataFrame:
+    """doc_id, node, n and segments (sizes of the set's parts), or the set's members, of the documents in ids (doc_id)."""
+    column = "members" if members else "segments"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in bytesets.chunks(batches):
-            values, texts, sizes = shingle_sets(batch.column("text"), n)
-            segment = (values >> _U(58)).astype(np.int64)
-            table = np.minimum(np.bincount(texts * SEGMENTS + segment, minlength=len(sizes) * SEGMENTS), 255).astype(np.uint8).reshape(-1, SEGMENTS)
-            ends = np.cumsum(sizes)
-            members = [values[e - k : e].tobytes() for e, k in zip(ends.tolist(), sizes.tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(set_hash(values, texts, sizes)), pa.array(sizes.astype(np.int32)), pa.array([x.tobytes() for x in table], pa.binary()), pa.array(members, pa.binary())], names=["node", "n", "segments", "members"])
+            values, texts, sizes, _ = shingle_sets(batch.column("text"), n)
+            if members:
+                ends = np.cumsum(sizes)
+                blobs = [values[e - k : e].tobytes() for e, k in zip(ends.tolist(), sizes.tolist(), strict=True)]
+            else:
+                segment = (values >> _U(58)).astype(np.int64)
+                table = np.minimum(np.bincount(texts * SEGMENTS + segment, minlength=len(sizes) * SEGMENTS), 255).astype(np.uint8).reshape(-1, SEGMENTS)
+                blobs = [x.tobytes() for x in table]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(set_hash(values, texts, sizes)), pa.array(sizes.astype(np.int32)), pa.array(blobs, pa.binary())], names=["doc_id", "node", "n", column])
 
-    few = nodes.count() <= BROADCAST_IDS
-    return docs.join(F.broadcast(nodes) if few else nodes, "doc_id").select("text").mapInArrow(run, "node long, n int, segments binary, members binary")
+    few = ids.count() <= BROADCAST_IDS
+    return docs.join(F.broadcast(ids) if few else ids, "doc_id").select("doc_id", "text").mapInArrow(run, f"doc_id long, node long, n int, {column} binary")
 
 
 def runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[dict[str, np.ndarray]]:
@@ -262,17 +278,24 @@ def candidates(lists: DataFrame, percent: int, low: int, high: int) -> DataFrame
     keys = ["shingle", "left", "right"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.zeros(0, _PAIR)
         for x in runs(batches, keys):
             a, b = passing(x, percent, low, high)
-            pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0)
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+            pairs = np.empty(len(a), _PAIR)
+            pairs["a"], pairs["b"] = np.minimum(a, b), np.maximum(a, b)
+            held = np.unique(np.concatenate([held, pairs]))  # a pair passes in most lists that it shares
+            if len(held) >= HELD_PAIRS:
+                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(held[c])) for c in "ab"], names=["a", "b"])
+                held = held[:0]
+        yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(held[c])) for c in "ab"], names=["a", "b"])
 
     return dealt.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, "a long, b long").distinct()
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Of pairs (a, b), those whose whole sets are similar enough."""
-    side = lambda c: sets.select(F.col("node").alias(c), F.col("members").alias(f"{c}_members"))
+    members = sets.select("node", "members")
+    side = lambda c: members.select(F.col("node").alias(c), F.col("members").alias(f"{c}_members"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -289,7 +312,7 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 def links(docs: DataFrame, documents: DataFrame, n: int, percent: int) -> DataFrame | None:
     """Components of the nodes that have links (node, label; a written table). documents: what sets_of gave."""
-    counts = docs.sparkSession.sparkContext.broadcast(sketch(docs, n))
+    counts = docs.sparkSession.sparkContext.broadcast(sketch(docs))
     scratch = Scratch()
     try:
         buckets = BUCKETS * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -298,7 +321,7 @@ def links(docs: DataFrame, documents: DataFrame, n: int, percent: int) -> DataFr
         nodes = scratch.keep(partnered(lists, percent).join(one, "node").select("doc_id"))
         if nodes.isEmpty():
             return None
-        sets = scratch.keep(whole_sets(docs, nodes, n))
+        sets = scratch.keep(whole_sets(docs, nodes, n, members=False))
         lists = scratch.keep(lists.join(sets.select("node", "segments"), "node"))
         labels = found = None
         for low, high in ROUNDS:
@@ -308,7 +331,9 @@ def links(docs: DataFrame, documents: DataFrame, n: int, percent: int) -> DataFr
                 now = lists.join(labels.withColumnRenamed("label", "comp"), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
                 open_lists = now.groupBy("shingle").agg(F.min("comp").alias("c"), F.max("comp").alias("d")).where(F.col("c") < F.col("d")).select("shingle")
                 now = now.where(F.col("length") > low).join(scratch.keep(open_lists), "shingle")
-            new = written(verified(candidates(now, percent, low, high), sets, percent))
+            pairs = scratch.keep(candidates(now, percent, low, high))
+            wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(sets.select("node", "doc_id"), "node").select("doc_id")
+            new = written(verified(pairs, scratch.keep(whole_sets(docs, scratch.keep(wanted), n, members=True)), percent))
             if not new.isEmpty():
                 found = new if found is None else found.unionByName(new)
                 labels = components(found)
