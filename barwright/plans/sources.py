@@ -1 +1,56 @@
-"""."""
+"""Queries of sources and sinks over the shared tables."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from barwright.plans.registry import query, table
+from barwright.sources import readers as R
+
+
+@query("scan_pruned", "SELECT l_orderkey, l_quantity FROM lineitem WHERE l_shipdate >= TIMESTAMP '2000-01-01' AND l_shipdate < TIMESTAMP '2000-02-01'")
+def scan_pruned(spark: SparkSession, d: str) -> DataFrame:
+    df = R.parquet(spark, f"{d}/lineitem.parquet", columns=["l_orderkey", "l_quantity", "l_shipdate"])
+    return df.where("l_shipdate >= '2000-01-01' AND l_shipdate < '2000-02-01'").drop("l_shipdate")
+
+
+@query("catalog_table", "SELECT o_orderkey, upper(o_orderstatus) AS o_orderstatus FROM orders WHERE o_custkey = 7")
+def catalog_table(spark: SparkSession, d: str) -> DataFrame:
+    catalog = R.Catalog(spark, d)
+    catalog.register("orders", lambda df: df.withColumn("o_orderstatus", F.upper("o_orderstatus")))
+    return catalog.table("orders", ["o_orderkey", "o_orderstatus"], o_custkey=7)
+
+
+@query("html_titles", "SELECT page_id, nullif(trim(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)), '') AS title, len(regexp_extract_all(html, '(?i)<a\\s[^>]*href=[\"'']([^\"'']*)[\"'']'))::INT AS links FROM pages")
+def html_titles(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "pages").select("page_id", R.html_title(F.col("html")).alias("title"), F.size(R.html_links(F.col("html"))).alias("links"))
+
+
+@query("html_plain_text", r"SELECT page_id, length(t) AS n, md5(t) AS digest FROM (SELECT page_id, trim(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<(?:script|style)[^>]*>.*?</(?:script|style)>', ' ', 'g'), '(?s)<[^>]*>', ' ', 'g'), '[ \t\r\n]+', ' ', 'g')) AS t FROM pages)")
+def html_plain_text(spark: SparkSession, d: str) -> DataFrame:
+    t = R.html_text(F.col("html"))
+    return table(spark, d, "pages").select("page_id", F.length(t).cast("long").alias("n"), F.md5(t).alias("digest"))
+
+
+@query("json_normalize", "SELECT user_id, event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS p_k FROM events")
+def json_normalize(spark: SparkSession, d: str) -> DataFrame:
+    packed = table(spark, d, "events").select(F.format_string('{"user": {"id": %d}, "items": [{"event_id": %d, "k": %s}]}', "user_id", "event_id", F.get_json_object("props", "$.k")).alias("raw"))
+    flat = R.normalized(packed, "raw", "user struct<id: bigint>, items array<struct<event_id: bigint, k: bigint>>", "items", ["user"], "p_")
+    return flat.select(F.col("user.id").alias("user_id"), F.col("p_event_id").alias("event_id"), "p_k")
+
+
+@query("xml_leaf_values", "SELECT p_partkey, p_name AS name, p_size::VARCHAR AS size FROM part")
+def xml_leaf_values(spark: SparkSession, d: str) -> DataFrame:
+    filing = F.format_string("HEADER\n<XML><part><name>%s</name><size>%d</size></part></XML>\nFOOTER", "p_name", "p_size")
+    island = F.get(R.xml_islands(filing, "XML"), F.lit(0))
+    v = R.leaf_values(F.col("island"))
+    return table(spark, d, "part").select("p_partkey", island.alias("island")).select("p_partkey", F.element_at(v, "name").alias("name"), F.element_at(v, "size").alias("size"))
+
+
+@query("paged_service", "SELECT i AS id, i * i AS square FROM range(0, 40) AS t(i)")
+def paged_service(spark: SparkSession, d: str) -> DataFrame:
+    from barwright.sources.pages import paged_source
+
+    spark.dataSource.register(paged_source("squares_service", "id bigint, square bigint", 4, lambda page: [(i, i * i) for i in range(page * 10, page * 10 + 10)]))
+    return spark.read.format("squares_service").load()

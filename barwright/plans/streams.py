@@ -1 +1,79 @@
-"""."""
+"""Queries of streams: events as a file stream, run until nothing is left, result read back as a table."""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from barwright.plans.registry import query, table
+from barwright.streaming import feeds as S
+
+
+def _folder(spark: SparkSession) -> str:
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if found is None:
+        import tempfile
+
+        found = "file://" + tempfile.mkdtemp(prefix="barwright-")
+        spark.sparkContext.setCheckpointDir(found)
+    return f"{found.rstrip('/')}/streams/{uuid.uuid4().hex}"
+
+
+def _events(spark: SparkSession, d: str) -> DataFrame:
+    schema = table(spark, d, "events").schema
+    return spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet*").parquet(d).withColumn("ts", F.col("ts").cast("timestamp"))
+
+
+def _run(stream: DataFrame, mode: str = "append") -> DataFrame:
+    """All of a stream's output, by way of a table in the shared folder."""
+    spark = stream.sparkSession
+    at = _folder(spark)
+    stream.writeStream.format("parquet").option("path", f"{at}/out").option("checkpointLocation", f"{at}/state").outputMode(mode).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{at}/out")
+
+
+@query("stream_window_watermark", None)
+def stream_window_watermark(spark: SparkSession, d: str) -> DataFrame:
+    return _run(S.windowed(_events(spark, d), ["event_type"], "1 hour", "1 hour", "value"))
+
+
+@query("stream_window_sliding", None)
+def stream_window_sliding(spark: SparkSession, d: str) -> DataFrame:
+    return _run(S.windowed(_events(spark, d), ["event_type"], "2 hours", "1 hour", "value", "1 hour"))
+
+
+@query("stream_session", None)
+def stream_session(spark: SparkSession, d: str) -> DataFrame:
+    return _run(S.sessions(_events(spark, d), ["user_id"], "30 minutes", "1 hour"))
+
+
+@query("stream_dedup", "SELECT event_id, user_id, value FROM events")
+def stream_dedup(spark: SparkSession, d: str) -> DataFrame:
+    twice = _events(spark, d).withColumn("copy", F.explode(F.array(F.lit(1), F.lit(2))))
+    return _run(S.once(twice, ["event_id"], "40 days").select("event_id", "user_id", "value"))
+
+
+@query(
+    "stream_ffill_state",
+    "SELECT user_id, ts, last_value(v IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS v FROM (SELECT user_id, ts, CASE WHEN event_id % 3 = 0 THEN value END AS v FROM events)",
+)
+def stream_ffill_state(spark: SparkSession, d: str) -> DataFrame:
+    holes = _events(spark, d).select("user_id", "ts", F.when(F.col("event_id") % 3 == 0, F.col("value")).alias("v"))
+    out = _run(S.last_known(holes, "user_id", "v", "user_id long, ts timestamp, v double"))
+    return out.withColumn("ts", F.col("ts").cast("timestamp_ntz")).withColumn("v", F.nanvl("v", F.lit(None).cast("double")))
+
+
+@query("stream_upsert", "SELECT user_id, max(ts) AS ts FROM events GROUP BY 1")
+def stream_upsert(spark: SparkSession, d: str) -> DataFrame:
+    at = _folder(spark)
+    stream = _events(spark, d).select("user_id", "ts")
+    S.upsert_sink(stream, f"{at}/table", ["user_id"], [F.desc("ts")], f"{at}/state").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{at}/table").withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+
+
+@query("stream_unsent", "SELECT event_id FROM events WHERE event_type <> 'view'")
+def stream_unsent(spark: SparkSession, d: str) -> DataFrame:
+    sent = table(spark, d, "events").where("event_type = 'view'").select("event_id")
+    return _run(S.unsent(_events(spark, d).select("event_id"), sent, "event_id"))
