@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from barwright.llm import bytesets
 from barwright.llm.components import components
-from barwright.llm.store import BROADCAST_IDS, Scratch, without, written
+from barwright.llm.store import BROADCAST_IDS, ROWS_A_FILE, Scratch, without, written
 
 SKETCH_BITS = 22
 SLICES = 16
@@ -321,8 +321,10 @@ def links(docs: DataFrame, documents: DataFrame, n: int, percent: int) -> DataFr
         nodes = scratch.keep(partnered(lists, percent).join(one, "node").select("doc_id"))
         if nodes.isEmpty():
             return None
-        sets = scratch.keep(whole_sets(docs, nodes, n, members=False))
-        lists = scratch.keep(lists.join(sets.select("node", "segments"), "node"))
+        # written, so that the rounds' plans begin here
+        sets = written(whole_sets(docs, nodes, n, members=False))
+        lists = written(lists.join(sets.select("node", "segments"), "node"))
+        scratch.release()
         labels = found = None
         for low, high in ROUNDS:
             if labels is None:
@@ -333,7 +335,9 @@ def links(docs: DataFrame, documents: DataFrame, n: int, percent: int) -> DataFr
                 now = now.where(F.col("length") > low).join(scratch.keep(open_lists), "shingle")
             pairs = scratch.keep(candidates(now, percent, low, high))
             wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(sets.select("node", "doc_id"), "node").select("doc_id")
-            new = written(verified(pairs, scratch.keep(whole_sets(docs, scratch.keep(wanted), n, members=True)), percent))
+            new = verified(pairs, scratch.keep(whole_sets(docs, scratch.keep(wanted), n, members=True)), percent)
+            new = written(new.repartition(-(-pairs.count() // ROWS_A_FILE) or 1))
+            scratch.release()
             if not new.isEmpty():
                 found = new if found is None else found.unionByName(new)
                 labels = components(found)

@@ -28,6 +28,8 @@ def written(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Rows of a few longs in one file of a small table.
+ROWS_A_FILE = 250_000
 #: Up to so many ids (of 8 bytes) are broadcast; more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 
