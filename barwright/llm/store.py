@@ -7,6 +7,7 @@ import uuid
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -39,6 +40,19 @@ def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return docs.join(ids.hint("broadcast") if ids.count() <= BROADCAST_IDS else ids, "doc_id", "left_anti")
 
 
+def join_by_weight(left: DataFrame, right: DataFrame, keys: list[str], weight: str, parts: int = 10_000) -> DataFrame:
+    """left joined with right (one row a key; weight: how many rows of left have it), whatever share of left one key has.
+
+    Keys with more than a `parts`-th of all rows (there can be at most `parts` of them) are joined by a broadcast; all other
+    keys by a shuffle, from which the rows of the heavy ones are kept out.
+    """
+    total = right.agg(F.sum(weight)).first()[0] or 0
+    limit = max(1000, total // parts)
+    heavy = F.broadcast(right.where(F.col(weight) > limit).drop(weight))
+    light = left.join(heavy.select(*keys), keys, "left_anti").join(right.where(F.col(weight) <= limit).drop(weight), keys)
+    return left.join(heavy, keys).unionByName(light)
+
+
 class Scratch:
     """Intermediate tables that are read more than once within one operator, on the executors' disks until `release`.
 

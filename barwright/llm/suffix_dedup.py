@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from barwright.llm import bytesets
 from barwright.llm.jaccard_join import runs
-from barwright.llm.store import Scratch, written
+from barwright.llm.store import Scratch, join_by_weight, written
 
 LENGTH = 400
 GRAM = 48
@@ -35,7 +35,7 @@ CHUNK = 96
 ARRAY_BYTES = 1 << 20
 BUCKETS = 2048
 #: Tables up to this size are broadcast; larger ones are joined by a shuffle.
-BROADCAST_BYTES = 24 << 20
+BROADCAST_BYTES = 8 << 20
 _U = np.uint64
 
 
@@ -63,7 +63,11 @@ class Hashed:
 
 
 def anchors(docs: DataFrame, length: int, gram: int) -> DataFrame:
-    """anchor, context (hashes), doc, lo (first window), n (windows) of every anchor of every text."""
+    """anchor, context (hashes), doc, lo (first window), n (windows), copies of every anchor of every text.
+
+    Of equal contexts in one text the first is sent, with their number; the windows of the others, which it repeats, are sent
+    as they are, with a null anchor.
+    """
     width = length - gram + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -88,13 +92,30 @@ def anchors(docs: DataFrame, length: int, gram: int) -> DataFrame:
             n = np.diff(np.append(first, len(starts)))
             lo, at = starts[first], picked[first]
             context = bytesets.mixed(hashed.of(lo, lo + n + length - 1) + (at - lo).astype(_U) * _U(0x9FB21C651E98DF25))
-            doc = batch.column("doc_id").to_numpy(zero_copy_only=False)[text[first]]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(grams[at].view(np.int64)), pa.array(context.view(np.int64)), pa.array(doc.astype(np.int64)), pa.array((lo - offsets[text[first]]).astype(np.int32)), pa.array(n.astype(np.int32))],
-                names=["anchor", "context", "doc", "lo", "n"],
-            )
-
-    return docs.mapInArrow(run, "anchor long, context long, doc long, lo int, n int")
+            doc = batch.column("doc_id").to_numpy(zero_copy_only=False)[text[first]].astype(np.int64)
+            lo = (lo - offsets[text[first]]).astype(np.int64)
+            order = np.lexsort((lo, context, grams[at], doc))
+            same = np.zeros(len(order), bool)
+            a, b = order[1:], order[:-1]
+            same[1:] = (doc[a] == doc[b]) & (grams[at][a] == grams[at][b]) & (context[a] == context[b])
+            one = np.flatnonzero(~same)
+            copies = np.diff(np.append(one, len(order))).astype(np.int32)
+            again = order[same]
+            windows = np.repeat(lo[again] - (np.cumsum(n[again]) - n[again]), n[again]) + np.arange(int(n[again].sum()))
+            more = spans_of(np.repeat(doc[again], n[again]), windows)
+            one = order[one]
+            nulls = pa.nulls(len(more[0]), pa.int64())
+            columns = [
+                pa.concat_arrays([pa.array(grams[at][one].view(np.int64)), nulls]),
+                pa.concat_arrays([pa.array(context[one].view(np.int64)), nulls]),
+                pa.array(np.concatenate([doc[one], more[0]])),
+                pa.array(np.concatenate([lo[one].astype(np.int32), more[1]])),
+                pa.array(np.concatenate([n[one].astype(np.int32), more[2]])),
+                pa.array(np.concatenate([copies, np.ones(len(more[0]), np.int32)])),
+            ]
+            yield pa.RecordBatch.from_arrays(columns, names=["anchor", "context", "doc", "lo", "n", "copies"])
+
+    return docs.mapInArrow(run, "anchor long, context long, doc long, lo int, n int, copies int")
 
 
 def ranked(key: np.ndarray) -> np.ndarray:
@@ -276,22 +297,22 @@ def repeated_windows(docs: DataFrame, length: int, keep_first: bool, scratch: Sc
     """doc, lo, n: runs of window starts with a match (keep_first: an earlier match), of documents with doc_ids of their own."""
     gram = max(1, min(GRAM, length // 2))
     every = written(anchors(docs, length, gram))
-    # tables of one row a key are made before they are joined, so that hot keys of the other side can be split
-    twice = scratch.keep(every.groupBy("anchor").agg(F.count("*").alias("total")).where("total > 1").select("anchor"))
-    met = written(every.join(twice, "anchor"))
+    first, again = every.where("anchor IS NOT NULL"), every.where("anchor IS NULL")
+    twice = scratch.keep(first.groupBy("anchor").agg(F.sum("copies").alias("total"), F.count("*").alias("rows")).where("total > 1").select("anchor", "rows"))
+    met = written(join_by_weight(first, twice, ["anchor"], "rows"))
     place = F.struct("doc", "lo", "n")
-    classes = written(met.groupBy("anchor", "context").agg(F.count("*").alias("copies"), F.min(place).alias("first")))
+    classes = written(met.groupBy("anchor", "context").agg(F.sum("copies").alias("copies"), F.count("*").alias("rows"), F.min(place).alias("first")))
     kinds = scratch.keep(classes.groupBy("anchor").agg(F.count("*").alias("kinds")).where("kinds > 1"))
     # all occurrences in classes of two or more
-    copied = classes.where("copies > 1").select("anchor", "context", F.col("first.doc").alias("first_doc"), F.col("first.lo").alias("first_lo"))
-    copies = met.join(copied, ["anchor", "context"])
+    copied = classes.where("copies > 1").select("anchor", "context", "rows", F.col("first.doc").alias("first_doc"), F.col("first.lo").alias("first_lo"))
+    copies = join_by_weight(met, copied, ["anchor", "context"], "rows")
     if keep_first:
         copies = copies.where((F.col("doc") != F.col("first_doc")) | (F.col("lo") != F.col("first_lo")))
-    several = classes.join(kinds, "anchor")
+    several = join_by_weight(classes.drop("rows"), kinds.withColumn("rows", F.col("kinds")), ["anchor"], "rows")
     chunks = F.ceil(F.col("kinds") / CHUNK).cast("int")
     wanted = written(several.select("anchor", F.pmod(F.xxhash64("context"), chunks).cast("int").alias("salt"), "first.doc", "first.lo", "first.n", (F.col("copies") > 1).alias("many"), (chunks > 1).alias("spread")))
     found = written(chunk_matches(contexts(docs, wanted, length), length, keep_first))
-    out = copies.select("doc", "lo", "n").unionByName(found.where("kind = 0").select("doc", "lo", "n"))
+    out = again.select("doc", "lo", "n").unionByName(copies.select("doc", "lo", "n")).unionByName(found.where("kind = 0").select("doc", "lo", "n"))
     return out.unionByName(across_chunks(found.where("kind = 1"), keep_first))
 
 
