@@ -81,3 +81,21 @@ def drop_sparse(df: DataFrame, share: float = 0.75) -> DataFrame:
     counts = df.agg(F.count(F.lit(1)).alias("_n"), *[F.count(c).alias(c) for c in df.columns]).first().asDict()
     n = counts.pop("_n")
     return df.select(*[c for c, k in counts.items() if not n or (n - k) / n <= share])
+
+
+def drop_empty(df: DataFrame, prefix: str) -> DataFrame:
+    """df without the columns of a name family that are null throughout (one aggregation pass; an empty table keeps all)."""
+    family = [c for c in df.columns if c.startswith(prefix)]
+    counts = df.agg(F.count(F.lit(1)).alias("_n"), *[F.count(c).alias(c) for c in family]).first()
+    return df.drop(*[c for c in family if counts["_n"] and not counts[c]])
+
+
+def drop_identical(df: DataFrame) -> DataFrame:
+    """df without columns that equal an earlier one in type and every row: one aggregate of each column's hashes (in row pairs, so order doesn't matter)."""
+    first = df.columns[0]
+    sums = df.agg(*[F.bit_xor(F.xxhash64(F.col(first), F.col(c), F.lit(7))).alias(c) for c in df.columns], *[F.sum(F.hash(F.col(first), F.col(c)).cast("decimal(38,0)")).alias(f"_{c}") for c in df.columns]).first()
+    seen: dict[tuple, str] = {}
+    types = dict(df.dtypes)
+    for c in df.columns:
+        seen.setdefault((types[c], sums[c], sums[f"_{c}"]), c)
+    return df.select(*seen.values())

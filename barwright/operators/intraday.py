@@ -36,3 +36,9 @@ def dedup_session(df: DataFrame, keys: Sequence[str], ts: str, tie: str) -> Data
     inside = session(F.col(ts))
     w = Window.partitionBy(*keys, inside).orderBy(ts, tie)
     return df.withColumn("_rn", F.row_number().over(w)).where(~inside | (F.col("_rn") == 1)).drop("_rn")
+
+
+def clean_minutes(df: DataFrame, date: str, minute: str, value: str) -> DataFrame:
+    """dtime from text dates and minutes; rows without a value go; the value as a 32-bit float."""
+    when = F.try_to_timestamp(F.concat_ws(" ", date, minute), F.lit("yyyy-MM-dd HH:mm"))
+    return df.where(F.col(value).isNotNull()).withColumns({"dtime": when, value: F.col(value).cast("float")})

@@ -86,3 +86,11 @@ def domain_check(df: DataFrame, allowed: dict[str, Sequence]) -> DataFrame:
     """df with problems: an array of the columns whose value is null or not among the allowed ones."""
     bad = [F.when(~F.coalesce(F.col(c).isin(list(v)), F.lit(False)), F.lit(c)) for c, v in allowed.items()]
     return df.withColumn("problems", F.array_compact(F.array(*bad)))
+
+
+def view_clean(df: DataFrame, low: float = -0.9, high: float = 15.0) -> DataFrame:
+    """Rows of symbols above the lowest quartile of deviation of fChangeP, without jumps that must be errors."""
+    std = df.groupBy("symbol").agg(F.stddev_samp("fChangeP").alias("_std"))
+    cut = std.agg(F.percentile("_std", 0.25).alias("_cut"))
+    kept = std.crossJoin(F.broadcast(cut)).where("_std > _cut").select("symbol")
+    return df.join(kept, "symbol", "left_semi").where(~((F.col("fChangeP") < low) | (F.col("fChangeP") > high)))
