@@ -70,4 +70,37 @@ QUERIES: dict[str, Query] = {
     "op9_media_columns": op9_media_columns,
     "op10_toxicity": op10_toxicity,
 }
-ORACLE_SQL: dict[str, str] = {"op2_chat_formatting": chat_format.ORACLE_SQL}
+_LOWER = "translate({text}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
+def _words(text: str, word: str) -> str:
+    return f"regexp_extract_all({_LOWER.format(text=text)}, '{word}')"
+
+
+_OP1 = f"""
+WITH RECURSIVE d AS (SELECT doc_id, {_words("text", "[^ \\t-\\r]+")} AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 2], ' ') AS g FROM d, unnest(range(1, greatest(len(w) - 2, 1) + 1)) AS t(i) WHERE len(w) > 0),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+shared AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS o FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+links AS (SELECT x, y FROM shared JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * o >= 90 * (a.n + b.n - o)),
+e AS (SELECT x, y FROM links UNION ALL SELECT y, x FROM links),
+reach AS (SELECT doc_id, doc_id AS r FROM d UNION SELECT reach.doc_id, e.y FROM reach JOIN e ON reach.r = e.x)
+SELECT reach.doc_id, coalesce(any_value(n), 0) AS n_shingles, min(r) AS component_id FROM reach LEFT JOIN n ON n.doc_id = reach.doc_id GROUP BY reach.doc_id
+"""
+_PLAIN = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+_OP4 = f"""
+WITH b AS (SELECT CAST(item_id AS VARCHAR) AS item, {_words("text", _PLAIN)} AS w FROM benchmark),
+bw AS (SELECT DISTINCT item, least(13, len(w)) AS k, array_to_string(w[i:i + least(13, len(w)) - 1], ' ') AS win FROM b, unnest(range(1, len(w) - least(13, len(w)) + 2)) AS t(i) WHERE len(w) > 0),
+ks AS (SELECT DISTINCT k FROM bw),
+d AS (SELECT doc_id, {_words("text", _PLAIN)} AS w FROM documents),
+dw AS (SELECT doc_id, i, k, array_to_string(w[i:i + k - 1], ' ') AS win FROM d, ks, unnest(range(1, len(w) - k + 2)) AS t(i) WHERE len(w) >= k),
+h AS (SELECT DISTINCT doc_id, i, k, item FROM dw JOIN bw USING (k, win)),
+pos AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + k)) AS p FROM h) GROUP BY 1),
+its AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, item FROM h) GROUP BY 1)
+SELECT d.doc_id, coalesce(len(w), 0) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256,
+       coalesce(n_hit > 0 AND 20 * n_hit >= len(w), false) AS contaminated
+FROM d LEFT JOIN pos ON pos.doc_id = d.doc_id LEFT JOIN its ON its.doc_id = d.doc_id
+"""
+
+#: Where SQL can say it and is fast enough on whole tables; the other operators are tested against brute force and by round trips.
+ORACLE_SQL: dict[str, str] = {"op1_jaccard_join": _OP1, "op2_chat_formatting": chat_format.ORACLE_SQL, "op4_decontamination": _OP4}
