@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barwright.llm.store import ROWS_A_FILE, written
+from barwright.llm.store import files_for, written
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -14,7 +14,7 @@ def components(links: DataFrame) -> DataFrame:
     Each round takes the least label among a node and its neighbours and then that label's own label. Only minima are
     taken, with partial sums on the map side, so a node with very many links is no hot spot. No links: no rows.
     """
-    files = -(-links.count() // ROWS_A_FILE) or 1  # by the number of rows, as links are few against what they were found in
+    files = files_for(links.count())  # by the number of rows, as links are few against what they were found in
     both = written(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct().coalesce(2 * files))
     labels = written(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("label")).coalesce(files))
     while True:

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from barwright.llm import bytesets
 from barwright.llm.components import components
-from barwright.llm.store import BROADCAST_IDS, ROWS_A_FILE, Scratch, without, written
+from barwright.llm.store import BROADCAST_IDS, Scratch, files_for, without, written
 
 SKETCH_BITS = 22
 SLICES = 16
@@ -322,8 +322,8 @@ def links(docs: DataFrame, documents: DataFrame, n: int, percent: int) -> DataFr
         if nodes.isEmpty():
             return None
         # written, so that the rounds' plans begin here
-        sets = written(whole_sets(docs, nodes, n, members=False))
-        lists = written(lists.join(sets.select("node", "segments"), "node"))
+        sets = written(whole_sets(docs, nodes, n, members=False).repartition(files_for(nodes.count())))
+        lists = written(lists.join(sets.select("node", "segments"), "node").coalesce(files_for(lists.count())))
         scratch.release()
         labels = found = None
         for low, high in ROUNDS:
@@ -336,7 +336,7 @@ def links(docs: DataFrame, documents: DataFrame, n: int, percent: int) -> DataFr
             pairs = scratch.keep(candidates(now, percent, low, high))
             wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(sets.select("node", "doc_id"), "node").select("doc_id")
             new = verified(pairs, scratch.keep(whole_sets(docs, scratch.keep(wanted), n, members=True)), percent)
-            new = written(new.repartition(-(-pairs.count() // ROWS_A_FILE) or 1))
+            new = written(new.repartition(files_for(pairs.count())))
             scratch.release()
             if not new.isEmpty():
                 found = new if found is None else found.unionByName(new)
@@ -354,18 +354,19 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame
     Equal rows are copies. Other columns are ignored; an empty table gives no rows.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    documents = written(sets_of(docs, n))
+    documents = sets_of(docs, n)
     labels = links(docs, documents, n, percent)
     some = documents.where("n_shingles > 0")
     if labels is not None:
         some = some.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     else:
         some = some.withColumn("label", F.col("node"))
-    least = written(some.groupBy("label").agg(F.min("doc_id").alias("component_id")))
+    least = written(some.groupBy("label").agg(F.min("doc_id").alias("component_id")).coalesce(files_for(docs.count())))
     out = some.join(least, "label").select("doc_id", "n_shingles", "component_id")
     return out.unionByName(documents.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
 
 
 def deduplicated(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     """docs with one document of each component: that of the least doc_id. All columns stay; rows with equal doc_id stay or go together."""
-    return without(docs, written(near_duplicates(docs, n, percent).where("doc_id <> component_id").select("doc_id").distinct()))
+    dropped = near_duplicates(docs, n, percent).where("doc_id <> component_id").select("doc_id").distinct()
+    return without(docs, written(dropped.coalesce(files_for(docs.count()))))

@@ -31,6 +31,13 @@ def written(df: DataFrame) -> DataFrame:
 
 #: Rows of a few longs in one file of a small table.
 ROWS_A_FILE = 250_000
+
+
+def files_for(rows: int, rows_a_file: int = ROWS_A_FILE) -> int:
+    """Files for a table of so many rows."""
+    return max(1, -(-rows // rows_a_file))
+
+
 #: Up to so many ids (of 8 bytes) are broadcast; more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from barwright.llm import bytesets
 from barwright.llm.jaccard_join import runs
-from barwright.llm.store import Scratch, join_by_weight, written
+from barwright.llm.store import Scratch, files_for, join_by_weight, written
 
 LENGTH = 400
 GRAM = 48
@@ -296,12 +296,13 @@ def across_chunks(packed: DataFrame, keep_first: bool) -> DataFrame:
 def repeated_windows(docs: DataFrame, length: int, keep_first: bool, scratch: Scratch) -> DataFrame:
     """doc, lo, n: runs of window starts with a match (keep_first: an earlier match), of documents with doc_ids of their own."""
     gram = max(1, min(GRAM, length // 2))
-    every = written(anchors(docs, length, gram))
+    every = scratch.keep(anchors(docs, length, gram))
     first, again = every.where("anchor IS NOT NULL"), every.where("anchor IS NULL")
     twice = scratch.keep(first.groupBy("anchor").agg(F.sum("copies").alias("total"), F.count("*").alias("rows")).where("total > 1").select("anchor", "rows"))
-    met = written(join_by_weight(first, twice, ["anchor"], "rows"))
+    met = scratch.keep(join_by_weight(first, twice, ["anchor"], "rows"))
+    files = files_for(met.count())
     place = F.struct("doc", "lo", "n")
-    classes = written(met.groupBy("anchor", "context").agg(F.sum("copies").alias("copies"), F.count("*").alias("rows"), F.min(place).alias("first")))
+    classes = written(met.groupBy("anchor", "context").agg(F.sum("copies").alias("copies"), F.count("*").alias("rows"), F.min(place).alias("first")).coalesce(files))
     kinds = scratch.keep(classes.groupBy("anchor").agg(F.count("*").alias("kinds")).where("kinds > 1"))
     # all occurrences in classes of two or more
     copied = classes.where("copies > 1").select("anchor", "context", "rows", F.col("first.doc").alias("first_doc"), F.col("first.lo").alias("first_lo"))
@@ -310,8 +311,8 @@ def repeated_windows(docs: DataFrame, length: int, keep_first: bool, scratch: Sc
         copies = copies.where((F.col("doc") != F.col("first_doc")) | (F.col("lo") != F.col("first_lo")))
     several = join_by_weight(classes.drop("rows"), kinds.withColumn("rows", F.col("kinds")), ["anchor"], "rows")
     chunks = F.ceil(F.col("kinds") / CHUNK).cast("int")
-    wanted = written(several.select("anchor", F.pmod(F.xxhash64("context"), chunks).cast("int").alias("salt"), "first.doc", "first.lo", "first.n", (F.col("copies") > 1).alias("many"), (chunks > 1).alias("spread")))
-    found = written(chunk_matches(contexts(docs, wanted, length), length, keep_first))
+    wanted = scratch.keep(several.select("anchor", F.pmod(F.xxhash64("context"), chunks).cast("int").alias("salt"), "first.doc", "first.lo", "first.n", (F.col("copies") > 1).alias("many"), (chunks > 1).alias("spread")))
+    found = written(chunk_matches(contexts(docs, wanted, length), length, keep_first).repartition(files_for(wanted.count(), 20_000)))
     out = again.select("doc", "lo", "n").unionByName(copies.select("doc", "lo", "n")).unionByName(found.where("kind = 0").select("doc", "lo", "n"))
     return out.unionByName(across_chunks(found.where("kind = 1"), keep_first))
 
@@ -336,7 +337,7 @@ def with_spans(docs: DataFrame, length: int, keep_first: bool) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("doc"), pa.array(out, pa.binary())], names=["doc", "removed"])
 
     lists = windows.groupBy("doc").agg(F.collect_list("lo").alias("lo"), F.collect_list("n").alias("n"))
-    spans = written(lists.mapInArrow(merge, "doc long, removed binary"))
+    spans = written(lists.mapInArrow(merge, "doc long, removed binary").coalesce(files_for(docs.count())))
     scratch.release()
     size = spans.agg(F.sum(F.octet_length("removed") + 24)).first()[0] or 0
     return docs.join(F.broadcast(spans) if size <= BROADCAST_BYTES else spans, docs["doc_id"] == spans["doc"], "left").drop("doc")
