@@ -36,6 +36,8 @@ ARRAY_BYTES = 1 << 20
 BUCKETS = 2048
 #: Tables up to this size are broadcast; larger ones are joined by a shuffle.
 BROADCAST_BYTES = 8 << 20
+#: Documents of a task of the last step, whose rows are small.
+DOCS_A_TASK = 20_000
 _U = np.uint64
 
 
@@ -379,7 +381,7 @@ def removals(docs: DataFrame, length: int = LENGTH, keep_first: bool = False) ->
                     c.append(v)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.string()), strict=True))], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    rows = with_spans(docs, length, keep_first).select(F.col(name).alias("doc_id"), "text", "removed")
+    rows = with_spans(docs, length, keep_first).select(F.col(name).alias("doc_id"), "text", "removed").coalesce(files_for(docs.count(), DOCS_A_TASK))
     return rows.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 

@@ -10,33 +10,40 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from barwright.llm import decontamination, jaccard_join, packing, suffix_dedup, toxicity
-from barwright.llm.store import written
+from barwright.llm.store import files_for, written
+
+#: Documents in a file that a stage leaves, about: stages that drop rows would leave many small ones.
+DOCS_A_FILE = 10_000
+
+
+def _files(df: DataFrame, docs: DataFrame) -> DataFrame:
+    return df.coalesce(files_for(docs.count(), DOCS_A_FILE))
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents predicted toxic go. The model learns from the labelled ones among docs."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    return toxicity.without_toxic(docs, toxicity.learned(toxicity.labelled_training(docs, labels)))
+    return _files(toxicity.without_toxic(docs, toxicity.learned(toxicity.labelled_training(docs, labels))), docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents linked by a Jaccard similarity of 0.8 or more of their five-word shingles, that of the least doc_id stays."""
-    return jaccard_join.deduplicated(docs).select(*docs.columns)
+    return _files(jaccard_join.deduplicated(docs).select(*docs.columns), docs)
 
 
 def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Bytes in strings of 400 that start earlier too go; the first copy stays."""
-    return suffix_dedup.deduplicated(docs)
+    return _files(suffix_dedup.deduplicated(docs), docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents go of whose words one in twenty or more lies in a 13-word window of a benchmark item."""
-    return decontamination.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select(*docs.columns)
+    return _files(decontamination.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select(*docs.columns), docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sequences of at most 2048 tokens."""
-    return packing.pack(docs)
+    return _files(packing.pack(docs), docs)
 
 
 STAGES = [
