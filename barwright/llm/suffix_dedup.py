@@ -181,9 +181,11 @@ def factor_matches(rank: np.ndarray, position: np.ndarray) -> np.ndarray:
 
 
 def contexts(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
-    """anchor, salt, doc, lo, n, many, spread, bytes of the wanted occurrences (anchor, doc, lo, n, salt, many, spread)."""
+    """anchor, salt, doc, lo, n, many, spread, bytes of the wanted occurrences (anchor, doc, lo, n, salt, many, spread).
+
+    What is wanted grows with the input, so it is joined to the texts by a shuffle.
+    """
     by_doc = wanted.groupBy("doc").agg(F.collect_list(F.struct("anchor", "salt", "lo", "n", "many", "spread")).alias("parts"))
-    small = wanted.count() * 40 <= BROADCAST_BYTES
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in bytesets.chunks(batches):
@@ -194,7 +196,7 @@ def contexts(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
             kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.bool_(), pa.binary()]
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kinds[k]) for k in range(8)], names=["anchor", "salt", "doc", "lo", "n", "many", "spread", "bytes"])
 
-    joined = docs.join(F.broadcast(by_doc) if small else by_doc, docs["doc_id"] == by_doc["doc"]).select("doc_id", "text", "parts")
+    joined = docs.join(by_doc, docs["doc_id"] == by_doc["doc"]).select("doc_id", "text", "parts")
     return joined.mapInArrow(run, "anchor long, salt int, doc long, lo int, n int, many boolean, spread boolean, bytes binary")
 
 
