@@ -351,7 +351,8 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame
 
     Documents link if 100 * intersection >= percent * union of their sets of n-word shingles. Null and empty texts, and texts
     without words, have empty sets and no links: each is a component of its own. Texts of fewer than n words are one shingle.
-    Equal rows are copies. Other columns are ignored; an empty table gives no rows.
+    Equal rows are copies. A row with a null doc_id is linked to what a copy with a doc_id is linked to; without one it is
+    linked to its copies only, and their component is null. Other columns are ignored; an empty table gives no rows.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     documents = sets_of(docs, n)

@@ -71,15 +71,15 @@ def token_counts(docs: DataFrame, tokenizer: str | None = None, limit: int = 102
     """doc_id, n_bytes, n_tokens, over_limit (n_tokens > limit) of every document.
 
     Null and empty texts have 0 bytes and tokens. Special strings inside texts count as the tokenizer's library takes them
-    by default (one token each). Rows with equal doc_id must be equal documents or are summed apart only if doc_id differs:
-    give each row its own doc_id. Other columns are ignored; an empty table gives no rows.
+    by default (one token each). Repeated rows and rows with equal or null doc_id are counted each for itself. Other columns are
+    ignored; an empty table gives no rows.
     """
     path = tokenizer or tokenizer_path()
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     table = written(pretoken_table(docs, path))
     frequent = most_frequent(table, broadcast_rows).select("pretoken", "n_pieces").toPandas()
     known = docs.sparkSession.sparkContext.broadcast(dict(zip(frequent["pretoken"], frequent["n_pieces"].tolist(), strict=True)))
-    schema = "doc_id long, n_bytes long, n_known long, rare array<struct<pretoken: string, freq: int>>"
+    schema = "row long, doc_id long, n_bytes long, n_known long, rare array<struct<pretoken: string, freq: int>>"
     rare_type = pa.list_(pa.struct([("pretoken", pa.string()), ("freq", pa.int32())]))
 
     def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -99,9 +99,10 @@ def token_counts(docs: DataFrame, tokenizer: str | None = None, limit: int = 102
                 offsets.append(len(names))
             rare = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(freqs, pa.int32())], names=["pretoken", "freq"])).cast(rare_type)
             sizes = np.diff(bytesets.utf8(batch.column("text"))[1])
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(sums, pa.int64()), rare], names=["doc_id", "n_bytes", "n_known", "rare"])
+            yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(sums, pa.int64()), rare], names=["row", "doc_id", "n_bytes", "n_known", "rare"])
 
-    counted = written(docs.mapInArrow(frequencies, schema))
-    rare = counted.select("doc_id", F.inline("rare")).join(table.select("pretoken", "n_pieces"), "pretoken").groupBy("doc_id").agg(F.sum(F.col("freq").cast("long") * F.col("n_pieces")).alias("n_rare"))
+    # rows are told apart by their numbers, which the written table fixes
+    counted = written(docs.withColumn("row", F.monotonically_increasing_id()).mapInArrow(frequencies, schema))
+    rare = counted.select("row", F.inline("rare")).join(table.select("pretoken", "n_pieces"), "pretoken").groupBy("row").agg(F.sum(F.col("freq").cast("long") * F.col("n_pieces")).alias("n_rare"))
     n_tokens = F.col("n_known") + F.coalesce("n_rare", F.lit(0))
-    return counted.select("doc_id", "n_bytes", "n_known").join(rare, "doc_id", "left").select("doc_id", "n_bytes", n_tokens.alias("n_tokens"), (n_tokens > limit).alias("over_limit"))
+    return counted.select("row", "doc_id", "n_bytes", "n_known").join(rare, "row", "left").select("doc_id", "n_bytes", n_tokens.alias("n_tokens"), (n_tokens > limit).alias("over_limit"))

@@ -245,7 +245,9 @@ def ids_by_library(text):
 def test_token_counts_match_the_library(docs, edge, empty, broadcast_rows):
     both = docs.select("doc_id", "text").union(edge.select(edge.doc_id + 10_000, "text"))
     want = {r[0]: len(ids_by_library(r[1])) for r in both.collect()}
-    got = {r["doc_id"]: r for r in token_counts.token_counts(both, broadcast_rows=broadcast_rows).collect()}
+    rows = token_counts.token_counts(both.union(both.limit(20)), broadcast_rows=broadcast_rows).collect()  # some rows are repeated
+    got = {r["doc_id"]: r for r in rows}
+    assert len(rows) == len(want) + 20 and all(r["n_tokens"] == want[r["doc_id"]] for r in rows)
     assert {k: r["n_tokens"] for k, r in got.items()} == want
     assert got[10_001]["n_bytes"] == 0 and got[10_007]["over_limit"] and got[10_006]["n_bytes"] == len(EDGE[5][1].encode())
     assert token_counts.token_counts(empty).count() == 0
@@ -313,6 +315,14 @@ def test_lm_scores(spark, docs, edge, monkeypatch, known):
     assert sum(s for _, s in held) > sum(b for b, _ in held)  # better than the base on held-out texts
 
 
+def test_lm_scores_of_repeated_rows(spark, monkeypatch):
+    monkeypatch.setattr(lm_scoring, "KNOWN_WORDS", 2)
+    one = next(i for i in range(99) if zlib.crc32(str(i).encode()) % 7 not in (lm_scoring.HELD_OUT, lm_scoring.DELETED))
+    rows = [(one, "the cat sat"), (one, "the cat sat"), (one, "rare words here"), (None, "the end")]
+    got = lm_scoring.score(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(r["n_known"] for r in got) == [3, 4, 4, 4] and all(r["train_tokens"] == 15 for r in got)
+
+
 def test_lm_scores_of_nothing(spark, empty):
     assert lm_scoring.score(empty).count() == 0
     lone = spark.createDataFrame([(i, "a b") for i in range(40) if zlib.crc32(str(i).encode()) % 7 == 2], "doc_id long, text string")
