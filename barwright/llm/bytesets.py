@@ -6,6 +6,8 @@ step below is a vector operation over a batch. Batches are cut by bytes first, s
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -13,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text worked on at once (a longer single text is worked on alone).
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 19
 U64 = np.uint64
 _ODD = U64(0x9E3779B97F4A7C15)
 _BASE = U64(0xD6E8FEB86659FD93)
@@ -54,6 +56,13 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers(max(CHUNK_BYTES + 4096, 1 << int(n).bit_length()))
 
 
+def give_back() -> None:
+    """Returns freed memory to the system: a worker process is used again for other stages, beside the executor's heap."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only where the C library is glibc
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def chunks(batches: Iterator[pa.RecordBatch], text: str = "text", size: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
     """The batches, cut so that the texts of each part hold about `size` bytes; null texts become empty."""
     for batch in batches:
@@ -69,6 +78,7 @@ def chunks(batches: Iterator[pa.RecordBatch], text: str = "text", size: int = CH
             end = max(begin + 1, int(np.searchsorted(ends, base + size, side="right")))
             yield batch.slice(begin, end - begin)
             begin = end
+    give_back()
 
 
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

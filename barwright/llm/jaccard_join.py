@@ -124,11 +124,19 @@ def sketch(docs: DataFrame) -> np.ndarray:
     return np.concatenate([rows.get(k, np.zeros(width, "<u4")) for k in range(SLICES)])
 
 
+def distinct_rows(rows: np.ndarray) -> np.ndarray:
+    """Rows sorted by shingle and node, each pair of them once."""
+    rows = rows[np.lexsort((rows["node"], rows["shingle"]))]
+    new = np.ones(len(rows), bool)
+    new[1:] = (rows["shingle"][1:] != rows["shingle"][:-1]) | (rows["node"][1:] != rows["node"][:-1])
+    return rows[new]
+
+
 def prefixes(docs: DataFrame, n: int, percent: int, counts, buckets: int) -> DataFrame:
     """bucket, packed: the prefix of every set, rarest shingles first, as _POSTING rows by bucket of the shingle."""
 
     def packed(held: list[np.ndarray]) -> pa.RecordBatch:
-        rows = np.unique(np.concatenate(held))  # copies are one
+        rows = distinct_rows(np.concatenate(held))  # copies are one
         bucket = rows["shingle"].view(_U) % _U(buckets)
         order = np.argsort(bucket, kind="stable")
         rows, bucket = rows[order], bucket[order]
@@ -163,19 +171,30 @@ def prefixes(docs: DataFrame, n: int, percent: int, counts, buckets: int) -> Dat
 def shared_lists(postings: DataFrame) -> DataFrame:
     """shingle, node, n, place, length (of the list): prefix shingles that two nodes or more have."""
 
+    def several(held: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        rows = distinct_rows(np.concatenate(held))
+        new = np.ones(len(rows), bool)
+        new[1:] = rows["shingle"][1:] != rows["shingle"][:-1]
+        length = np.diff(np.append(np.flatnonzero(new), len(rows)))
+        keep = np.repeat(length > 1, length)
+        rows, length = rows[keep], np.repeat(length, length)[keep]
+        for k in range(0, len(rows), 100_000):
+            part = rows[k : k + 100_000]
+            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(part[c])) for c in ("shingle", "node", "n", "place")] + [pa.array(length[k : k + 100_000])], names=["shingle", "node", "n", "place", "length"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for x in runs(batches, ["bucket"]):
-            for b in np.unique(x["bucket"]):
-                rows = np.unique(np.frombuffer(b"".join(x["packed"][x["bucket"] == b]), _POSTING))
-                new = np.ones(len(rows), bool)
-                new[1:] = rows["shingle"][1:] != rows["shingle"][:-1]
-                first = np.flatnonzero(new)
-                length = np.diff(np.append(first, len(rows)))
-                several = np.repeat(length > 1, length)
-                rows, length = rows[several], np.repeat(length, length)[several]
-                for k in range(0, len(rows), 100_000):
-                    part = rows[k : k + 100_000]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(part[c])) for c in ("shingle", "node", "n", "place")] + [pa.array(length[k : k + 100_000])], names=["shingle", "node", "n", "place", "length"])
+        held: list[np.ndarray] = []  # of one bucket
+        bucket = None
+        for batch in batches:
+            for b, packed in zip(batch.column("bucket").to_pylist(), batch.column("packed"), strict=True):
+                if b != bucket and held:
+                    yield from several(held)
+                    held = []
+                bucket = b
+                held.append(np.frombuffer(packed.as_buffer(), _POSTING))
+        if held:
+            yield from several(held)
+        bytesets.give_back()
 
     return postings.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, "shingle long, node long, n int, place int, length long")
 

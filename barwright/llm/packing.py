@@ -175,5 +175,7 @@ def pack(docs: DataFrame, tokenizer: str | None = None, limits: Limits = Limits(
                     yield flush()
         if ids:
             yield flush()
+        encoder.cache_clear()  # the worker is used again for other stages
+        bytesets.give_back()
 
     return docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text")).mapInArrow(run, PIECES)
