@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from barwright.llm import bytesets
 from barwright.llm.components import components
-from barwright.llm.store import BROADCAST_IDS, Scratch, files_for, without, written
+from barwright.llm.store import BROADCAST_IDS, Scratch, files_for, small_batches, without, written
 
 SKETCH_BITS = 22
 SLICES = 16
@@ -373,7 +373,7 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame
     Equal rows are copies. A row with a null doc_id is linked to what a copy with a doc_id is linked to; without one it is
     linked to its copies only, and their component is null. Other columns are ignored; an empty table gives no rows.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    docs = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     documents = sets_of(docs, n)
     labels = links(docs, documents, n, percent)
     some = documents.where("n_shingles > 0")

@@ -29,6 +29,19 @@ def written(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Bytes of rows that a Python worker is handed at once. Spark's own limit of 64 MB is held twice over by the executor, outside its
+#: heap, and by the worker, for each task; longer single rows are handed over alone.
+BATCH_BYTES = 4 << 20
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """df, its session set to batches of about BATCH_BYTES for Python workers, unless the session has a limit set already."""
+    limit = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if df.sparkSession.conf.get(limit, None) is None:
+        df.sparkSession.conf.set(limit, str(BATCH_BYTES))
+    return df
+
+
 #: Rows of a few longs in one file of a small table.
 ROWS_A_FILE = 250_000
 

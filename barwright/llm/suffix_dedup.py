@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from barwright.llm import bytesets
 from barwright.llm.jaccard_join import runs
-from barwright.llm.store import Scratch, files_for, join_by_weight, written
+from barwright.llm.store import Scratch, files_for, join_by_weight, small_batches, written
 
 LENGTH = 400
 GRAM = 48
@@ -324,7 +324,7 @@ def repeated_windows(docs: DataFrame, length: int, keep_first: bool, scratch: Sc
 def with_spans(docs: DataFrame, length: int, keep_first: bool) -> DataFrame:
     """docs and removed (binary: begin and end bytes, 64-bit each, of the maximal removed runs; null: none)."""
     scratch = Scratch()
-    windows = repeated_windows(docs.select("doc_id", "text"), length, keep_first, scratch)
+    windows = repeated_windows(small_batches(docs).select("doc_id", "text"), length, keep_first, scratch)
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

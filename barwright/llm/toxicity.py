@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from barwright.llm import bytesets
+from barwright.llm.store import small_batches
 
 GRAM = 5
 BITS = 19
@@ -177,7 +178,7 @@ def learned(labelled: DataFrame) -> Model:
 
     Without any labelled row the model scores everything as the leak.
     """
-    labelled = labelled.where(F.col("toxic").isin(0, 1)).select(F.col("text").cast("string").alias("text"), F.col("toxic").cast("int").alias("toxic"))
+    labelled = small_batches(labelled).where(F.col("toxic").isin(0, 1)).select(F.col("text").cast("string").alias("text"), F.col("toxic").cast("int").alias("toxic"))
     n = {r["toxic"]: r["n"] for r in labelled.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     n_toxic, n_clean = n.get(1, 0), n.get(0, 0)
     weights = np.zeros(BUCKETS)
