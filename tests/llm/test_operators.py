@@ -341,6 +341,50 @@ def test_probabilities_of_known_classes_sum_to_one(docs, spark):
     assert 0.98 < p.sum() < 1.02
 
 
+def of_class(c, n):
+    """n ids of a class."""
+    return [i for i in range(60 * n + 60) if zlib.crc32(str(i).encode()) % 7 == c][:n]
+
+
+def scores(spark, rows):
+    return {r["doc_id"]: r["score"] for r in lm_scoring.score(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+
+
+def test_lm_scores_tell_pairs_of_rare_words(spark):
+    """Every word has the same count and rank beyond any class table; only the pairs differ."""
+    pairs = [(f"a{i}", f"b{i}") for i in range(3000)]
+    rows = [(i, " ".join(w for p in pairs for w in p)) for c in (0, 1, lm_scoring.DELETED) for i in of_class(c, 2)]
+    seen, other = of_class(lm_scoring.HELD_OUT, 2)
+    tail = pairs[2500:]
+    got = scores(spark, [*rows, (seen, " ".join(f"{a} {b}" for a, b in tail)), (other, " ".join(f"{a} {b}" for (a, _), (_, b) in zip(tail, tail[7:] + tail[:7])))])
+    assert got[seen] > got[other] + 500
+
+
+@pytest.mark.parametrize(("chunk", "bucket"), [(4_000_000, 1_000_000), (300, 50)])
+def test_lm_ngrams_are_counted_in_full(spark, docs, monkeypatch, chunk, bucket):
+    """Counts of all words, bigrams and trigrams that train, over several chunks and buckets; every text's estimates."""
+    monkeypatch.setattr(lm_scoring, "CHUNK_TOKENS", chunk)
+    some = docs.select("doc_id", "text").where("length(text) < 400").limit(60).collect()
+    counts = collections.Counter()
+    for i, t in some:
+        if zlib.crc32(str(i).encode()) % 7 != lm_scoring.HELD_OUT:
+            w = ["<", "<", *spaced(t), 0]
+            counts.update((n, *w[k - n + 1 : k + 1]) for k in range(2, len(w)) for n in (1, 2, 3))
+    chunks = lm_scoring.chunked(spark.createDataFrame(some, "doc_id long, text string")).persist()
+    back = lm_scoring.replies(lm_scoring.messages(chunks, max(1, 3000 // bucket))).where("chunk is not null")
+    texts = dict(some)
+    found = 0
+    for c in chunks.unionByName(back, allowMissingColumns=True).toArrow().to_pandas().groupby("chunk"):
+        table = lm_scoring.pa.Table.from_pandas(c[1].astype({"bucket": "Int64", "n1": "Int64", "n2": "Int64", "n3": "Int64", "n_words": "Int64"}), preserve_index=False)
+        got = lm_scoring.Counted(table)
+        for d, i in enumerate(got.row["doc_id"]):
+            w, at = ["<", "<", *spaced(texts[i]), 0], int(got.offsets[d])
+            for n in (1, 2, 3):
+                assert got.counts[n - 1][at : at + len(w) - 2].tolist() == [counts[(n, *w[k - n + 1 : k + 1])] for k in range(2, len(w))]
+            found += 1
+    assert found == len(some)
+
+
 # 8 suffix-array dedup
 
 
