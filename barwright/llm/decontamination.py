@@ -95,6 +95,24 @@ def scan(docs: DataFrame, items: list[tuple[str | None, str | None]], n: int) ->
     return docs.mapInArrow(run, f"row string, doc_id long, n_words long, spans {spans}, byte_spans {spans}, items array<string>")
 
 
+def row_key():
+    """What rows with equal doc_id and text share, and no others."""
+    return F.concat_ws("/", F.col("doc_id").cast("long").cast("string"), F.sha2(F.coalesce(F.col("text").cast("string"), F.lit("")), 256))
+
+
+def fused(spans):
+    """Spans (struct of spans and byte_spans) in order, those that overlap or touch made one: what one block would have found."""
+    kind = "array<struct<spans: struct<begin: int, end: int>, byte_spans: struct<begin: int, end: int>>>"
+
+    def add(done, x):
+        last = F.element_at(done, -1)
+        longer = lambda c: F.struct(last[c]["begin"].alias("begin"), F.greatest(last[c]["end"], x[c]["end"]).alias("end")).alias(c)
+        joined = F.concat(F.slice(done, 1, F.size(done) - 1), F.array(F.struct(longer("spans"), longer("byte_spans"))))
+        return F.when((F.size(done) > 0) & (x["spans"]["begin"] <= F.get(done, F.size(done) - 1)["spans"]["end"]), joined).otherwise(F.concat(done, F.array(x))).cast(kind)
+
+    return F.aggregate(F.array_sort(spans), F.array().cast(kind), add)
+
+
 def hits(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW_WORDS, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """doc_id, n_words, spans, byte_spans, items, n_hit of every document.
 
@@ -102,20 +120,32 @@ def hits(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW_WORDS, block_byt
     are not named; repeated items are named once; with no items nothing is hit. Rows with equal doc_id are kept apart.
     Columns other than doc_id and text (item_id and text of the benchmark) are ignored.
     """
+    return findings(docs, benchmark, n, block_bytes).drop("row")
+
+
+def findings(docs: DataFrame, benchmark: DataFrame, n: int, block_bytes: int, by_content: bool = False) -> DataFrame:
+    """`hits` and row: a row's number or, with several blocks or by_content, its `row_key`."""
     items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text"))
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = -(-total // block_bytes) or 1
-    docs = docs.select((F.monotonically_increasing_id().cast("string") if blocks == 1 else F.concat_ws("/", F.col("doc_id").cast("string"), F.sha2(F.coalesce("text", F.lit("")), 256))).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    number = F.monotonically_increasing_id().cast("string") if blocks == 1 and not by_content else row_key()
+    docs = docs.select(number.alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     found = None
     for k in range(blocks):
         part = items if blocks == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k)
         one = scan(docs, [tuple(r) for r in part.collect()], n)
         found = one if found is None else found.unionByName(one)
     if blocks > 1:  # equal rows of equal documents have equal findings, so they are counted apart by the first block only
-        found = found.groupBy("row", "doc_id").agg(F.first("n_words").alias("n_words"), *[F.array_distinct(F.flatten(F.collect_list(c))).alias(c) for c in ("spans", "byte_spans", "items")], (F.count("*") / blocks).cast("int").alias("copies"))
+        found = found.groupBy("row", "doc_id").agg(
+            F.first("n_words").alias("n_words"),
+            fused(F.array_distinct(F.flatten(F.collect_list(F.arrays_zip("spans", "byte_spans"))))).alias("both"),
+            F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"),
+            (F.count("*") / blocks).cast("int").alias("copies"),
+        )
+        found = found.select("row", "doc_id", "n_words", F.col("both.spans").alias("spans"), F.col("both.byte_spans").alias("byte_spans"), "items", "copies")
         found = found.withColumn("copies", F.explode(F.sequence(F.lit(1), "copies"))).drop("copies")
     covered = F.size(F.array_distinct(F.flatten(F.transform("spans", lambda s: F.sequence(s["begin"], s["end"] - 1)))))
-    return found.select("doc_id", "n_words", "spans", "byte_spans", F.array_sort("items").alias("items"), covered.cast("long").alias("n_hit"))
+    return found.select("row", "doc_id", "n_words", "spans", "byte_spans", F.array_sort("items").alias("items"), covered.cast("long").alias("n_hit"))
 
 
 def contaminated(n_hit, n_words):
@@ -135,17 +165,20 @@ def digest(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     )
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, spans: bool = False) -> DataFrame:
+def clean(docs: DataFrame, benchmark: DataFrame, spans: bool = False, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """docs without contaminated documents; with spans=True, those stay and lose the hit passages instead. All columns stay.
 
-    The text of a document that loses spans is what lies outside them, as it was. Rows with equal doc_id share their fate.
+    The text of a document that loses spans is what lies outside them, as it was; every row loses its own. Without spans, rows
+    with equal doc_id share their fate.
     """
-    found = hits(docs, benchmark)
     if not spans:
+        found = hits(docs, benchmark, block_bytes=block_bytes)
         return without(docs, written(found.where(contaminated(F.col("n_hit"), F.col("n_words"))).select("doc_id").distinct()))
-    cuts = found.where(F.size("byte_spans") > 0).groupBy("doc_id").agg(F.first("byte_spans").alias("_cuts"))
+    found = findings(docs, benchmark, WINDOW_WORDS, block_bytes, by_content=True)
+    cuts = found.where(F.size("byte_spans") > 0).groupBy(F.col("row").alias("_row")).agg(F.first("byte_spans").alias("_cuts"))
     raw = F.encode("text", "utf-8")
     begins = F.concat(F.array(F.lit(0)), F.col("_cuts")["end"])
     ends = F.concat(F.col("_cuts")["begin"], F.array(F.octet_length("text")))
     kept = F.aggregate(F.zip_with(begins, ends, lambda b, e: F.decode(F.substring(raw, b + 1, e - b), "utf-8")), F.lit(""), lambda a, x: F.concat(a, x))
-    return docs.join(cuts, "doc_id", "left").withColumn("text", F.when(F.col("_cuts").isNull(), F.col("text")).otherwise(kept)).drop("_cuts")
+    joined = docs.withColumn("_row", row_key()).join(cuts, "_row", "left")
+    return joined.withColumn("text", F.when(F.col("_cuts").isNull(), F.col("text")).otherwise(kept)).select(*docs.columns)

@@ -221,6 +221,20 @@ def test_decontamination_is_exact(spark, docs, block_bytes):
     assert got == {r["doc_id"]: brute_hits(r["text"], items) for r in docs.collect()}
 
 
+@pytest.mark.parametrize("block_bytes", [16 << 20, 200])
+def test_decontamination_cuts_the_same_with_several_blocks(spark, block_bytes):
+    """Passages in any order, nested, overlapping and side by side; equal and null doc_ids have cuts of their own."""
+    words = [f"w{i}" for i in range(200)]
+    at = lambda b, e: " ".join(words[b:e])
+    passages = [(100, 130), (0, 20), (105, 118), (120, 145), (145, 160), (10, 30), (180, 195)]
+    bench = spark.createDataFrame([(f"b{k}", at(b, e)) for k, (b, e) in enumerate(passages)], "item_id string, text string")
+    rows = [(1, at(0, 200)), (1, at(90, 170)), (1, at(40, 60)), (None, at(170, 200)), (2, at(50, 200)), (2, at(50, 200))]
+    got = decontamination.clean(spark.createDataFrame(rows, "doc_id long, text string"), bench, spans=True, block_bytes=block_bytes).collect()
+    left = lambda b, e: [w for i, w in enumerate(words[b:e], b) if not any(x <= i < y for x, y in passages)]
+    want = [(1, left(0, 200)), (1, left(90, 170)), (1, left(40, 60)), (None, left(170, 200)), (2, left(50, 200)), (2, left(50, 200))]
+    assert sorted((str(r["doc_id"]), r["text"].split()) for r in got) == sorted((str(i), w) for i, w in want)
+
+
 def test_decontamination_edge_cases(spark, edge, empty):
     bench = spark.createDataFrame([(1, "one", "z"), (2, "", "z"), (3, "漢字 text twice", "z")], "item_id long, text string, doc_id string")
     got = {r["doc_id"]: r for r in decontamination.digest(edge, bench).collect()}
