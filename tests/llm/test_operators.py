@@ -374,6 +374,14 @@ def test_lm_scores_tell_pairs_of_rare_words(spark):
     assert got[seen] > got[other] + 500
 
 
+def test_lm_scores_use_pairs_that_only_the_class_of_the_weights_has(spark):
+    words = [f"w{i}" for i in range(40)]
+    rows = [(i, " ".join(words)) for i in of_class(lm_scoring.DELETED, 3)] + [(i, "other words of the other texts") for c in (0, 1) for i in of_class(c, 3)]
+    seen, other = of_class(lm_scoring.HELD_OUT, 2)
+    got = scores(spark, [*rows, (seen, " ".join(words)), (other, " ".join(words[::-1]))])
+    assert got[seen] > got[other] + 1
+
+
 @pytest.mark.parametrize(("chunk", "bucket"), [(4_000_000, 1_000_000), (300, 50)])
 def test_lm_ngrams_are_counted_in_full(spark, docs, monkeypatch, chunk, bucket):
     """Counts of all words, bigrams and trigrams that train, over several chunks and buckets; every text's estimates."""
