@@ -367,7 +367,8 @@ def scores(spark, rows):
 def test_lm_scores_tell_pairs_of_rare_words(spark):
     """Every word has the same count and rank beyond any class table; only the pairs differ."""
     pairs = [(f"a{i}", f"b{i}") for i in range(3000)]
-    rows = [(i, " ".join(w for p in pairs for w in p)) for c in (0, 1, lm_scoring.DELETED) for i in of_class(c, 2)]
+    common = " ".join(f"c{i}" for i in range(2500))  # more frequent than the words of the pairs
+    rows = [(i, " ".join([common, common, *(w for p in pairs for w in p)])) for c in (0, 1, lm_scoring.DELETED) for i in of_class(c, 2)]
     seen, other = of_class(lm_scoring.HELD_OUT, 2)
     tail = pairs[2500:]
     got = scores(spark, [*rows, (seen, " ".join(f"{a} {b}" for a, b in tail)), (other, " ".join(f"{a} {b}" for (a, _), (_, b) in zip(tail, tail[7:] + tail[:7])))])
