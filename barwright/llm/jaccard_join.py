@@ -8,13 +8,17 @@ so exact copies never meet as pairs.
    right results; a rare-first one keeps lists short: most texts have enough shingles with a word of their own.)
 2. Two sets that are similar enough share a shingle of their prefixes. Prefix shingles go through one shuffle, packed by
    bucket (24 bytes each); those that one node alone has are dropped there. What remains are the lists of nodes by shingle.
-3. In each list, pairs must pass the length filter, the positional filter, and the suffix filter: the sets are cut at fixed
-   pivots into segments, and the segments' sizes bound the number of elements that differ.
-4. Pairs are not all sent on: in the first round a node meets the first few partners of each list that pass, the pairs are
-   made distinct and verified by their whole sets, and verified links make components. Later rounds take the further
-   partners, but only between nodes in different components, until every pair that passes the filters was either verified or
-   lies within one component. So no link between components is lost, and a large group of near copies costs about its size.
-5. A list longer than BLOCK is dealt into blocks by a hash of the node; the pairs of blocks are tasks of their own.
+   Of lists with the same nodes only that of the first shingle in the order stays: two near copies share most of their
+   prefixes, and one list is enough to meet.
+3. In each list, pairs must pass the length filter, the positional filter (by the first shingle that two sets share, what
+   lies behind it bounds what they share), and the suffix filter: a bitmap of `SIGNATURE_BITS` holds for each place the parity
+   of the number of shingles there, so the bits in which two bitmaps differ are at most the elements that are in one set only.
+4. Verified links make components. The first rounds send, of the pairs of a task that pass, only as many as would join their
+   components if all were links; the last round sends every pair that passes between nodes of different components. So
+   every pair that passes the filters was verified or lies within one component, no link between components is lost, and
+   a large group of near copies costs about its size.
+5. A list longer than BLOCK is dealt into blocks. In the last rounds the members of its largest component need not meet
+   each other: they are copied for each block of the other nodes only.
 """
 
 from __future__ import annotations
@@ -29,22 +33,23 @@ from pyspark.sql import functions as F
 
 from barwright.llm import bytesets
 from barwright.llm.components import components
-from barwright.llm.store import BROADCAST_IDS, Scratch, files_for, small_batches, without, written
+from barwright.llm.store import BROADCAST_IDS, Scratch, distinct_ids, files_for, join_by_weight, small_batches, without, written
 
 SKETCH_BITS = 22
 SLICES = 16
 #: Partial sketches added up by one task.
 FAN_IN = 32
-SEGMENTS = 64
-BLOCK = 256
-#: Partners of a node in a list by round; the last round has no end.
-ROUNDS = ((0, 1), (1, 16), (16, 1 << 60))
+SIGNATURE_BITS = 1024
+BLOCK = 1024
+#: By round: partners of a node in a list, and whether only pairs that would join components are sent. The last round has no end.
+ROUNDS = ((2, True), (1 << 60, True), (1 << 60, False))
 #: Different pairs that a task holds before it sends them.
 HELD_PAIRS = 500_000
-#: Rows of prefixes that a task holds before it sends them, and buckets for each shuffle partition.
+#: Rows of prefixes that a task holds before it sends them, and of a bucket before it sends what it has.
 HELD_ROWS = 500_000
+BUCKET_ROWS = 4_000_000
+#: Buckets for each shuffle partition at least; more if buckets would have more than a fourth of BUCKET_ROWS.
 BUCKETS = 4
-_PAIR = np.dtype([("a", "<i8"), ("b", "<i8")])
 _POSTING = np.dtype([("shingle", "<i8"), ("node", "<i8"), ("n", "<i4"), ("place", "<i4")])
 _U = np.uint64
 
@@ -169,39 +174,63 @@ def prefixes(docs: DataFrame, n: int, percent: int, counts, buckets: int) -> Dat
 
 
 def shared_lists(postings: DataFrame) -> DataFrame:
-    """shingle, node, n, place, length (of the list): prefix shingles that two nodes or more have."""
+    """shingle, node, n, place, part: prefix shingles that two nodes or more have. part: of a bucket that was too large to hold, which is sent in parts; there, shingles of one node and repeated rows may be left."""
 
-    def several(held: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+    def several(held: list[np.ndarray], part: bool) -> Iterator[pa.RecordBatch]:
         rows = distinct_rows(np.concatenate(held))
         new = np.ones(len(rows), bool)
         new[1:] = rows["shingle"][1:] != rows["shingle"][:-1]
         length = np.diff(np.append(np.flatnonzero(new), len(rows)))
-        keep = np.repeat(length > 1, length)
-        rows, length = rows[keep], np.repeat(length, length)[keep]
+        rows = rows[np.repeat((length > 1) | part, length)]
         for k in range(0, len(rows), 100_000):
-            part = rows[k : k + 100_000]
-            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(part[c])) for c in ("shingle", "node", "n", "place")] + [pa.array(length[k : k + 100_000])], names=["shingle", "node", "n", "place", "length"])
+            some = rows[k : k + 100_000]
+            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(some[c])) for c in ("shingle", "node", "n", "place")] + [pa.array(np.full(len(some), part))], names=["shingle", "node", "n", "place", "part"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []  # of one bucket
-        bucket = None
+        bucket, size, part = None, 0, False
         for batch in batches:
             for b, packed in zip(batch.column("bucket").to_pylist(), batch.column("packed"), strict=True):
-                if b != bucket and held:
-                    yield from several(held)
-                    held = []
-                bucket = b
+                if b != bucket:
+                    if held:
+                        yield from several(held, part)
+                    held, bucket, size, part = [], b, 0, False
+                elif size > BUCKET_ROWS:
+                    part = True
+                    yield from several(held, part)
+                    held, size = [], 0
                 held.append(np.frombuffer(packed.as_buffer(), _POSTING))
+                size += len(held[-1])
         if held:
-            yield from several(held)
+            yield from several(held, part)
         bytesets.give_back()
 
-    return postings.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, "shingle long, node long, n int, place int, length long")
+    return postings.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, "shingle long, node long, n int, place int, part boolean")
+
+
+def different_lists(lists: DataFrame) -> DataFrame:
+    """shingle, node, n, place, length (of the list): of lists with the same nodes, that of the shingle that comes first in the order.
+
+    Two sets' first common shingle has a list that stays, as no other list with the same nodes can come before it.
+    """
+    heads = lists.groupBy("shingle").agg(F.count("*").alias("length"), F.bit_xor(F.xxhash64("node")).alias("h1"), F.bit_xor(F.xxhash64(F.lit(1), "node")).alias("h2"), F.min_by("place", "node").alias("place"), F.max("part").alias("part"))
+    alone = F.when(F.col("part"), F.col("shingle")).alias("alone")  # rows may repeat there, so hashes don't tell lists apart
+    kept = heads.where("length > 1").groupBy("length", "h1", "h2", alone).agg(F.min_by("shingle", "place").alias("shingle"))
+    return join_by_weight(lists.drop("part"), kept.select("shingle", "length", F.col("length").alias("rows")), ["shingle"], "rows")
+
+
+def signatures(values: np.ndarray, texts: np.ndarray, n_texts: int) -> np.ndarray:
+    """A row of bits for each set: the parity of the number of its shingles at each of SIGNATURE_BITS places."""
+    out = np.zeros(n_texts * SIGNATURE_BITS // 8, np.uint8)
+    at, times = np.unique(texts * SIGNATURE_BITS + (values >> _U(64 - SIGNATURE_BITS.bit_length() + 1)).astype(np.int64), return_counts=True)
+    odd = at[times % 2 == 1]
+    np.add.at(out, odd >> 3, (1 << (odd & 7)).astype(np.uint8))
+    return out.reshape(n_texts, SIGNATURE_BITS // 8)
 
 
 def whole_sets(docs: DataFrame, ids: DataFrame, n: int, members: bool) -> DataFrame:
-    """doc_id, node, n and segments (sizes of the set's parts), or the set's members, of the documents in ids (doc_id)."""
-    column = "members" if members else "segments"
+    """doc_id, node, n and signature, or the set's members, of the documents in ids (doc_id)."""
+    column = "members" if members else "signature"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in bytesets.chunks(batches):
@@ -210,9 +239,7 @@ def whole_sets(docs: DataFrame, ids: DataFrame, n: int, members: bool) -> DataFr
                 ends = np.cumsum(sizes)
                 blobs = [values[e - k : e].tobytes() for e, k in zip(ends.tolist(), sizes.tolist(), strict=True)]
             else:
-                segment = (values >> _U(58)).astype(np.int64)
-                table = np.minimum(np.bincount(texts * SEGMENTS + segment, minlength=len(sizes) * SEGMENTS), 255).astype(np.uint8).reshape(-1, SEGMENTS)
-                blobs = [x.tobytes() for x in table]
+                blobs = [x.tobytes() for x in signatures(values, texts, len(sizes))]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(set_hash(values, texts, sizes)), pa.array(sizes.astype(np.int32)), pa.array(blobs, pa.binary())], names=["doc_id", "node", "n", column])
 
     few = ids.count() <= BROADCAST_IDS
@@ -241,37 +268,42 @@ def runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[dict[st
         yield arrays(rest)
 
 
-def passing(x: dict[str, np.ndarray], percent: int, low: int, high: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of rows of the same list that pass the filters (the suffix filter only where x has segments); of each row, its low-th to high-th such partner among those before it."""
-    order = np.lexsort((x["node"], x["n"], x["right"], x["left"], x["shingle"]))
-    shingle, left, right, node, n, place, comp, side = (x[c][order] for c in ("shingle", "left", "right", "node", "n", "place", "comp", "side"))
+def passing(x: dict[str, np.ndarray], percent: int, most: int) -> np.ndarray:
+    """Pairs of rows of the same key (shingle, left, right), of different components, that pass the filters (the suffix filter only where x has signatures).
+
+    A column for each pair: both nodes, their components, and by how much the pair passes the suffix filter (0 without signatures).
+    Of each row, the first `most` such partners among the front rows before it.
+    """
+    order = np.lexsort((x["node"], x["n"], -x["front"], x["right"], x["left"], x["shingle"]))
+    shingle, left, right, node, n, place, comp, side, front = (x[c][order] for c in ("shingle", "left", "right", "node", "n", "place", "comp", "side", "front"))
     n, place = n.astype(np.int64), place.astype(np.int64)
-    segments = np.frombuffer(b"".join(x["segments"][order]), np.uint8).reshape(-1, SEGMENTS).astype(np.int16) if "segments" in x else None
+    bits = np.frombuffer(b"".join(x["signature"][order]), _U).reshape(len(order), -1) if "signature" in x else None
     new = np.ones(len(shingle), bool)
     new[1:] = (shingle[1:] != shingle[:-1]) | (left[1:] != left[:-1]) | (right[1:] != right[:-1])
-    begin = np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))
-    within = np.arange(len(new)) - begin
+    first = np.flatnonzero(new)
+    sizes = np.diff(np.append(first, len(new)))
+    begin = np.repeat(first, sizes)
+    partners = np.minimum(np.arange(len(new)) - begin, np.repeat(np.add.reduceat(front.astype(np.int64), first), sizes)) if len(first) else np.zeros(0, np.int64)
     seen = np.zeros(len(new), np.int64)
-    found: list[tuple[np.ndarray, np.ndarray]] = []
-    live = np.flatnonzero(within > 0)
+    found: list[np.ndarray] = [np.zeros((5, 0), np.int64)]
+    live = np.flatnonzero(partners > 0)
     step = 0
     while len(live):
-        i, j = live, begin[live] + step  # the list's first rows first
+        i, j = live, begin[live] + step
+        ok = (comp[i] != comp[j]) & ((left[i] == right[i]) | (side[i] != side[j]))  # no pair of one block in a pair of blocks
+        i, j = i[ok], j[ok]
         need = -(-percent * (n[i] + n[j]) // (100 + percent))
-        # length, position (what lies before both places, the shared shingle, and what lies behind both), and no pair of one block in a pair of blocks
-        ok = (100 * np.minimum(n[i], n[j]) >= percent * np.maximum(n[i], n[j])) & (np.minimum(place[i], place[j]) + 1 + np.minimum(n[i] - place[i], n[j] - place[j]) - 1 >= need)
-        ok &= (left[i] == right[i]) | (side[i] != side[j])
-        i, j, need = i[ok], j[ok], need[ok]
-        if segments is not None:
-            ok = np.abs(segments[i] - segments[j]).sum(axis=1) <= n[i] + n[j] - 2 * need
-            i, j = i[ok], j[ok]
-        rank = seen[i]
+        ok = (100 * np.minimum(n[i], n[j]) >= percent * np.maximum(n[i], n[j])) & (np.minimum(n[i] - place[i], n[j] - place[j]) >= need)
+        i, j, room = i[ok], j[ok], (n[i] + n[j] - 2 * need)[ok]
+        if bits is not None and len(i):
+            room = room - np.bitwise_count(bits[i] ^ bits[j]).sum(axis=1, dtype=np.int64)
+            ok = room >= 0
+            i, j, room = i[ok], j[ok], room[ok]
         seen[i] += 1
-        ok = (rank >= low) & (rank < high) & (comp[i] != comp[j])
-        found.append((node[i[ok]], node[j[ok]]))
+        found.append(np.stack([node[i], node[j], comp[i], comp[j], room]))
         step += 1
-        live = live[(within[live] > step) & (seen[live] < high)]
-    return np.concatenate([f[0] for f in found] or [np.zeros(0, np.int64)]), np.concatenate([f[1] for f in found] or [np.zeros(0, np.int64)])
+        live = live[(partners[live] > step) & (seen[live] < most)]
+    return np.concatenate(found, axis=1)
 
 
 def partnered(lists: DataFrame, percent: int) -> DataFrame:
@@ -280,35 +312,78 @@ def partnered(lists: DataFrame, percent: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in runs(batches, ["shingle"]):
             none = np.zeros(len(x["node"]), np.int64)
-            a, b = passing(x | {"left": none, "right": none, "side": none, "comp": x["node"]}, percent, 0, 1 << 60)
-            yield pa.RecordBatch.from_arrays([pa.array(np.unique(np.concatenate([a, b])))], names=["node"])
+            pairs = passing(x | {"left": none, "right": none, "side": none, "front": none + 1, "comp": x["node"]}, percent, 1 << 60)
+            yield pa.RecordBatch.from_arrays([pa.array(np.unique(pairs[:2]))], names=["node"])
 
     short = lists.where(F.col("length") <= BLOCK).select("shingle", "node", "n", "place").repartition("shingle").sortWithinPartitions("shingle")
     return short.mapInArrow(run, "node long").unionByName(lists.where(F.col("length") > BLOCK).select("node")).distinct()
 
 
-def candidates(lists: DataFrame, percent: int, low: int, high: int) -> DataFrame:
-    """Distinct pairs a < b of one round. lists: shingle, node, n, place, segments, comp, length (of the list)."""
-    blocks = F.ceil(F.col("length") / BLOCK).cast("int")
-    own = F.pmod(F.xxhash64("node"), blocks).cast("int")
-    other = F.explode(F.when(blocks <= 1, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), blocks - 1)))
-    dealt = lists.withColumn("own", F.when(blocks <= 1, F.lit(0)).otherwise(own)).withColumn("other", other)
-    dealt = dealt.select("shingle", "node", "n", "place", "segments", "comp", F.least("own", "other").alias("left"), F.greatest("own", "other").alias("right"), (F.col("own") < F.col("other")).cast("int").alias("side"))
+def dealt(lists: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """lists (shingle, node, n, place, signature) with comp, and the keys under which rows meet: shingle, left, right, side, front (see `passing`).
+
+    Without labels every node is a component, and a row goes to its own block only. With labels, lists within one component
+    go; nodes of a list's largest component meet the other nodes, and these meet each other, in all pairs of blocks.
+    """
+    own = lambda blocks: F.pmod(F.xxhash64("node"), F.greatest(blocks, F.lit(1))).cast("int")
+    zero = F.lit(0)
+    if labels is None:
+        block = own(F.ceil(F.col("length") / BLOCK).cast("int"))
+        return lists.select("shingle", "node", "n", "place", "signature", F.col("node").alias("comp"), block.alias("left"), block.alias("right"), zero.alias("side"), F.lit(1).alias("front"))
+    now = lists.drop("length").join(labels.withColumnRenamed("label", "comp"), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    sizes = now.groupBy("shingle", "comp").agg(F.count("*").alias("c")).groupBy("shingle").agg(F.max_by("comp", "c").alias("top"), F.max("c").alias("most"), F.sum("c").alias("length"))
+    now = join_by_weight(now, sizes.where("most < length").withColumn("rows", F.col("length")), ["shingle"], "rows")
+    rest = F.col("comp") != F.col("top")
+    blocks, top_blocks = F.ceil((F.col("length") - F.col("most")) / BLOCK).cast("int"), F.ceil(F.col("most") / BLOCK).cast("int")
+    key = lambda left, right, side, front: F.struct(left.cast("int").alias("left"), right.cast("int").alias("right"), side.cast("int").alias("side"), front.cast("int").alias("front"))
+    s, t = own(blocks), own(top_blocks)
+    among = F.transform(F.sequence(zero, blocks - 1), lambda o: key(F.least(s, o), F.greatest(s, o), s < o, s >= o))
+    against = F.transform(F.sequence(zero, top_blocks - 1), lambda o: key(s, blocks + o, zero, F.lit(1)))
+    of_top = F.transform(F.sequence(zero, blocks - 1), lambda o: key(o, blocks + t, F.lit(1), zero))
+    keys = F.when(F.col("length") <= BLOCK, F.array(key(zero, zero, zero, rest))).when(rest, F.concat(among, against)).otherwise(of_top)
+    return now.select("shingle", "node", "n", "place", "signature", "comp", F.inline(keys))
+
+
+def joining(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Which pairs join two parts, if all pairs before them were joined."""
+    _, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    parent = list(range(int(at.max()) + 1 if len(at) else 0))
+
+    def top(k: int) -> int:
+        while parent[k] != k:
+            parent[k] = parent[parent[k]]
+            k = parent[k]
+        return k
+
+    out = np.zeros(len(a), bool)
+    for i, (x, y) in enumerate(zip(at[: len(a)].tolist(), at[len(a) :].tolist(), strict=True)):
+        x, y = top(x), top(y)
+        if x != y:
+            parent[x] = y
+            out[i] = True
+    return out
+
+
+def candidates(rows: DataFrame, percent: int, most: int, only_joining: bool) -> DataFrame:
+    """Distinct pairs a < b of one round. rows: what `dealt` gave."""
     keys = ["shingle", "left", "right"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = np.zeros(0, _PAIR)
+        held = np.zeros((5, 0), np.int64)
+        out = lambda: pa.RecordBatch.from_arrays([pa.array(np.minimum(held[0], held[1])), pa.array(np.maximum(held[0], held[1]))], names=["a", "b"])
         for x in runs(batches, keys):
-            a, b = passing(x, percent, low, high)
-            pairs = np.empty(len(a), _PAIR)
-            pairs["a"], pairs["b"] = np.minimum(a, b), np.maximum(a, b)
-            held = np.unique(np.concatenate([held, pairs]))  # a pair passes in most lists that it shares
-            if len(held) >= HELD_PAIRS:
-                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(held[c])) for c in "ab"], names=["a", "b"])
-                held = held[:0]
-        yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(held[c])) for c in "ab"], names=["a", "b"])
+            held = np.concatenate([held, passing(x, percent, most)], axis=1)
+            if only_joining:  # the likeliest links first
+                held = held[:, np.argsort(-held[4], kind="stable")]
+                held = held[:, joining(held[2], held[3])]
+            else:  # a pair passes in several lists that it shares
+                held = held[:, np.unique(np.stack([np.minimum(held[0], held[1]), np.maximum(held[0], held[1])]), axis=1, return_index=True)[1]]
+            if held.shape[1] >= HELD_PAIRS:
+                yield out()
+                held = held[:, :0]
+        yield out()
 
-    return dealt.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, "a long, b long").distinct()
+    return rows.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, "a long, b long").distinct()
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -329,40 +404,37 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(run, "a long, b long")
 
 
-def links(docs: DataFrame, documents: DataFrame, n: int, percent: int) -> DataFrame | None:
-    """Components of the nodes that have links (node, label; a written table). documents: what sets_of gave."""
-    counts = docs.sparkSession.sparkContext.broadcast(sketch(docs))
-    scratch = Scratch()
+def links(docs: DataFrame, documents: DataFrame, n: int, percent: int, scratch: Scratch) -> DataFrame | None:
+    """Components of the nodes that have links (node, label; a table of scratch). documents: what sets_of gave."""
+    own = Scratch()
     try:
-        buckets = BUCKETS * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        lists = scratch.keep(shared_lists(prefixes(docs, n, percent, counts, buckets)))
+        counts = docs.sparkSession.sparkContext.broadcast(sketch(docs))
+        postings = documents.agg(F.sum(F.floor(F.col("n_shingles") * (100 - percent) / 100) + 1)).first()[0] or 0
+        buckets = max(BUCKETS * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-4 * postings // BUCKET_ROWS))
+        lists = own.keep(different_lists(own.keep(shared_lists(prefixes(docs, n, percent, counts, buckets)))))
         one = documents.where("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
-        nodes = scratch.keep(partnered(lists, percent).join(one, "node").select("doc_id"))
+        nodes = own.keep(partnered(lists, percent).join(one, "node").select("doc_id"))
         if nodes.isEmpty():
             return None
         # written, so that the rounds' plans begin here
-        sets = written(whole_sets(docs, nodes, n, members=False).repartition(files_for(nodes.count())))
-        lists = written(lists.join(sets.select("node", "segments"), "node").coalesce(files_for(lists.count())))
-        scratch.release()
+        sets = scratch.table(whole_sets(docs, nodes, n, members=False))
+        lists = scratch.table(lists.join(sets.select("node", "signature"), "node"))
+        own.release()
         labels = found = None
-        for low, high in ROUNDS:
-            if labels is None:
-                now = lists.withColumn("comp", F.col("node"))
-            else:  # lists within one component have nothing to add
-                now = lists.join(labels.withColumnRenamed("label", "comp"), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-                open_lists = now.groupBy("shingle").agg(F.min("comp").alias("c"), F.max("comp").alias("d")).where(F.col("c") < F.col("d")).select("shingle")
-                now = now.where(F.col("length") > low).join(scratch.keep(open_lists), "shingle")
-            pairs = scratch.keep(candidates(now, percent, low, high))
-            wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(sets.select("node", "doc_id"), "node").select("doc_id")
-            new = verified(pairs, scratch.keep(whole_sets(docs, scratch.keep(wanted), n, members=True)), percent)
-            new = written(new.repartition(files_for(pairs.count())))
-            scratch.release()
+        for most, only_joining in ROUNDS:
+            pairs = own.keep(candidates(dealt(lists, labels), percent, most, only_joining))
+            wanted = own.keep(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(sets.select("node", "doc_id"), "node").select("doc_id"))
+            if wanted.isEmpty():
+                own.release()
+                continue
+            new = scratch.table(verified(pairs, own.keep(whole_sets(docs, wanted, n, members=True)), percent))
+            own.release()
             if not new.isEmpty():
                 found = new if found is None else found.unionByName(new)
-                labels = components(found)
+                labels = components(found, scratch)
         return labels
     finally:
-        scratch.release()
+        own.release()
 
 
 def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
@@ -374,19 +446,30 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame
     linked to its copies only, and their component is null. Other columns are ignored; an empty table gives no rows.
     """
     docs = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    documents = sets_of(docs, n)
-    labels = links(docs, documents, n, percent)
+    scratch = Scratch()
+    documents = Scratch().table(sets_of(docs, n))
+    labels = links(docs, documents, n, percent, scratch)
     some = documents.where("n_shingles > 0")
     if labels is not None:
         some = some.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     else:
         some = some.withColumn("label", F.col("node"))
-    least = written(some.groupBy("label").agg(F.min("doc_id").alias("component_id")).coalesce(files_for(docs.count())))
-    out = some.join(least, "label").select("doc_id", "n_shingles", "component_id")
+    least = some.groupBy("label").agg(F.min("doc_id").alias("component_id"))
+    out = written(some.join(least, "label").select("doc_id", "n_shingles", "component_id").coalesce(files_for(docs.count())))
+    scratch.release()
     return out.unionByName(documents.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
 
 
 def deduplicated(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
-    """docs with one document of each component: that of the least doc_id. All columns stay; rows with equal doc_id stay or go together."""
-    dropped = near_duplicates(docs, n, percent).where("doc_id <> component_id").select("doc_id").distinct()
-    return without(docs, written(dropped.coalesce(files_for(docs.count()))))
+    """docs with one row of each component: that of the least doc_id (null ids last; of equal ids the first row of the table). All columns stay."""
+    numbered, name = distinct_ids(docs)
+    same = near_duplicates(numbered, n, percent)
+    if name == "doc_id":
+        dropped = same.where("doc_id <> component_id").select("doc_id")
+    else:
+        ids = numbered.select("doc_id", F.col(f"`{name}`").alias("id"))
+        first = F.min(F.struct(F.col("id").isNull(), F.col("id"), F.col("doc_id"))).alias("first")
+        kept = same.join(ids, "doc_id").groupBy("component_id").agg(first).select("component_id", F.col("first.doc_id").alias("kept"))
+        dropped = same.join(kept, "component_id").where("doc_id <> kept").select("doc_id")
+    out = without(numbered, written(dropped.coalesce(files_for(docs.count()))))
+    return out if name == "doc_id" else out.drop("doc_id").withColumnRenamed(name, "doc_id").select(*docs.columns)

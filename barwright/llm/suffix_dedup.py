@@ -26,14 +26,15 @@ from pyspark.sql import functions as F
 
 from barwright.llm import bytesets
 from barwright.llm.jaccard_join import runs
-from barwright.llm.store import Scratch, files_for, join_by_weight, small_batches, written
+from barwright.llm.store import Scratch, distinct_ids, files_for, fresh, join_by_weight, small_batches, written
 
 LENGTH = 400
 GRAM = 48
 CHUNK = 96
 #: Bytes of contexts in one suffix array.
 ARRAY_BYTES = 1 << 20
-BUCKETS = 2048
+#: Windows of spread anchors in a bucket, about.
+BUCKET_WINDOWS = 2_000_000
 #: Tables up to this size are broadcast; larger ones are joined by a shuffle.
 BROADCAST_BYTES = 8 << 20
 #: Documents of a task of the last step, whose rows are small.
@@ -220,8 +221,8 @@ def _spans_batch(doc: np.ndarray, lo: np.ndarray, n: np.ndarray) -> pa.RecordBat
     return pa.RecordBatch.from_arrays([pa.array(np.zeros(k, np.int32)), pa.nulls(k, pa.int32()), pa.array(doc), pa.array(lo), pa.array(n), pa.nulls(k, pa.binary())], names=["kind", "bucket", "doc", "lo", "n", "packed"])
 
 
-def chunk_matches(parts: DataFrame, length: int, keep_first: bool) -> DataFrame:
-    """Spans of windows with matches in their chunk, and packed windows where the anchor is spread over chunks."""
+def chunk_matches(parts: DataFrame, length: int, keep_first: bool, buckets: int) -> DataFrame:
+    """Spans of windows with matches in their chunk, and packed windows, for so many buckets, where the anchor is spread over chunks."""
     keys = ["anchor", "salt"]
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, np.ndarray]]:
@@ -268,7 +269,7 @@ def chunk_matches(parts: DataFrame, length: int, keep_first: bool) -> DataFrame:
                 packed["h2"] = bytesets.mixed(x["anchor"][row[part]].view(_U) + _U(7) * hashed.of(starts[part] + length // 3, starts[part] + length))
                 packed["doc"], packed["start"], packed["done"] = doc[part], start[part], gone[part]
                 packed = packed[np.argsort(packed["h1"], kind="stable")]
-                bucket = (packed["h1"] >> _U(64 - 11)).astype(np.int32)
+                bucket = ((packed["h1"] >> _U(33)) * _U(buckets) >> _U(31)).astype(np.int32)
                 names, first = np.unique(bucket, return_index=True)
                 blobs = [p.tobytes() for p in np.split(packed, first[1:])]
                 k = len(names)
@@ -306,7 +307,7 @@ def repeated_windows(docs: DataFrame, length: int, keep_first: bool, scratch: Sc
     met = scratch.keep(join_by_weight(first, twice, ["anchor"], "rows"))
     files = files_for(met.count())
     place = F.struct("doc", "lo", "n")
-    classes = written(met.groupBy("anchor", "context").agg(F.sum("copies").alias("copies"), F.count("*").alias("rows"), F.min(place).alias("first")).coalesce(files))
+    classes = scratch.written(met.groupBy("anchor", "context").agg(F.sum("copies").alias("copies"), F.count("*").alias("rows"), F.min(place).alias("first")).coalesce(files))
     kinds = scratch.keep(classes.groupBy("anchor").agg(F.count("*").alias("kinds")).where("kinds > 1"))
     # all occurrences in classes of two or more
     copied = classes.where("copies > 1").select("anchor", "context", "rows", F.col("first.doc").alias("first_doc"), F.col("first.lo").alias("first_lo"))
@@ -316,13 +317,14 @@ def repeated_windows(docs: DataFrame, length: int, keep_first: bool, scratch: Sc
     several = join_by_weight(classes.drop("rows"), kinds.withColumn("rows", F.col("kinds")), ["anchor"], "rows")
     chunks = F.ceil(F.col("kinds") / CHUNK).cast("int")
     wanted = scratch.keep(several.select("anchor", F.pmod(F.xxhash64("context"), chunks).cast("int").alias("salt"), "first.doc", "first.lo", "first.n", (F.col("copies") > 1).alias("many"), (chunks > 1).alias("spread")))
-    found = written(chunk_matches(contexts(docs, wanted, length), length, keep_first).repartition(files_for(wanted.count(), 20_000)))
+    spread = wanted.where("spread").agg(F.sum("n")).first()[0] or 0
+    found = scratch.table(chunk_matches(contexts(docs, wanted, length), length, keep_first, max(1, -(-spread // BUCKET_WINDOWS))))
     out = again.select("doc", "lo", "n").unionByName(copies.select("doc", "lo", "n")).unionByName(found.where("kind = 0").select("doc", "lo", "n"))
     return out.unionByName(across_chunks(found.where("kind = 1"), keep_first))
 
 
-def with_spans(docs: DataFrame, length: int, keep_first: bool) -> DataFrame:
-    """docs and removed (binary: begin and end bytes, 64-bit each, of the maximal removed runs; null: none)."""
+def with_spans(docs: DataFrame, length: int, keep_first: bool) -> tuple[DataFrame, str]:
+    """docs and a column (its name is given back) of the maximal removed runs (binary: their begin and end bytes, 64-bit each; null: none)."""
     scratch = Scratch()
     windows = repeated_windows(small_batches(docs).select("doc_id", "text"), length, keep_first, scratch)
 
@@ -344,15 +346,9 @@ def with_spans(docs: DataFrame, length: int, keep_first: bool) -> DataFrame:
     spans = written(lists.mapInArrow(merge, "doc long, removed binary").coalesce(files_for(docs.count())))
     scratch.release()
     size = spans.agg(F.sum(F.octet_length("removed") + 24)).first()[0] or 0
-    return docs.join(F.broadcast(spans) if size <= BROADCAST_BYTES else spans, docs["doc_id"] == spans["doc"], "left").drop("doc")
-
-
-def distinct_ids(docs: DataFrame) -> tuple[DataFrame, bool]:
-    """docs, with doc_ids of their own: as they are, or, if one is null or repeated, the rows' numbers (then True)."""
-    rows, different = docs.agg(F.count("*"), F.countDistinct("doc_id")).first()
-    if rows == different:
-        return docs, False
-    return written(docs.withColumn("_doc_id", F.col("doc_id")).withColumn("doc_id", F.monotonically_increasing_id())), True
+    removed = fresh(docs, "removed")
+    spans = spans.select(F.col("doc").alias("doc_id"), F.col("removed").alias(removed))
+    return docs.join(F.broadcast(spans) if size <= BROADCAST_BYTES else spans, "doc_id", "left").select(*docs.columns, removed), removed
 
 
 def removals(docs: DataFrame, length: int = LENGTH, keep_first: bool = False) -> DataFrame:
@@ -363,8 +359,7 @@ def removals(docs: DataFrame, length: int = LENGTH, keep_first: bool = False) ->
     repeated, rows are told apart by their order in the table instead. Other columns are ignored.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    docs, renamed = distinct_ids(docs)
-    name = "_doc_id" if renamed else "doc_id"
+    docs, name = distinct_ids(docs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in bytesets.chunks(batches):
@@ -383,7 +378,7 @@ def removals(docs: DataFrame, length: int = LENGTH, keep_first: bool = False) ->
                     c.append(v)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.string()), strict=True))], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    rows = with_spans(docs, length, keep_first).select(F.col(name).alias("doc_id"), "text", "removed").coalesce(files_for(docs.count(), DOCS_A_TASK))
+    rows = with_spans(docs, length, keep_first)[0].select(F.col(name).alias("doc_id"), "text", "removed").coalesce(files_for(docs.count(), DOCS_A_TASK))
     return rows.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
@@ -394,12 +389,13 @@ def deduplicated(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     ordered as in the table.
     """
     names = docs.columns
-    docs, renamed = distinct_ids(docs)
+    docs, name = distinct_ids(docs)
+    out, removed_runs = with_spans(docs, length, keep_first=True)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = []
-            for text, removed in zip(batch.column("text").to_pylist(), batch.column("removed").to_pylist(), strict=True):
+            for text, removed in zip(batch.column("text").to_pylist(), batch.column(removed_runs).to_pylist(), strict=True):
                 if text is not None and removed:
                     raw = text.encode()
                     parts, at = [], 0
@@ -413,10 +409,7 @@ def deduplicated(docs: DataFrame, length: int = LENGTH) -> DataFrame:
                     parts.append(raw[at:])
                     text = b"".join(parts).decode()
                 texts.append(text)
-            yield batch.set_column(batch.schema.get_field_index("text"), "text", pa.array(texts, pa.string())).drop_columns(["removed"])
+            yield batch.set_column(batch.schema.get_field_index("text"), "text", pa.array(texts, pa.string())).drop_columns([removed_runs])
 
-    out = with_spans(docs, length, keep_first=True)
     changed = out.mapInArrow(run, docs.schema)
-    if renamed:
-        changed = changed.withColumn("doc_id", F.col("_doc_id"))
-    return changed.select(*names)
+    return changed.select(*(F.col(f"`{name if c == 'doc_id' else c}`").alias(c) for c in names))
