@@ -2,7 +2,10 @@
 
 Each stage takes (spark, docs, sf_dir), where docs is what the stage before it kept, with the columns of documents, and works
 on all of docs. `run` writes every stage's result to the shared folder and reads it again for the next, so a lost executor
-costs one stage's tasks at most.
+costs one stage's tasks at most; then it deletes what the stage before left there.
+
+In all stages null and empty texts are texts without words, rows with a null or a repeated doc_id are rows of their own (the
+docstrings of the operators say what becomes of them), columns of any other name pass through, and an empty table stays empty.
 """
 
 from __future__ import annotations
@@ -10,10 +13,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from barwright.llm import decontamination, jaccard_join, packing, suffix_dedup, toxicity
-from barwright.llm.store import files_for, written
+from barwright.llm.store import drop_tables, files_for, noting, written
 
 #: Documents in a file that a stage leaves, about: stages that drop rows would leave many small ones.
 DOCS_A_FILE = 10_000
+#: Bytes of a repeated passage that goes: passages of over 50 words are longer, at 4.8 bytes for a word and the blank after it.
+PASSAGE = 240
 
 
 def _files(df: DataFrame, docs: DataFrame) -> DataFrame:
@@ -32,8 +37,8 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Bytes in strings of 400 that start earlier too go; the first copy stays."""
-    return _files(suffix_dedup.deduplicated(docs), docs)
+    """Bytes in strings of PASSAGE bytes that start earlier too go; the first copy stays."""
+    return _files(suffix_dedup.deduplicated(docs, PASSAGE), docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -59,6 +64,15 @@ ORACLE_SQL: str | None = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    before: list[str] = []
     for _, stage in STAGES:
-        docs = written(stage(spark, docs, sf_dir))
+        on_the_way: list[str] = []
+        with noting(on_the_way):
+            result = stage(spark, docs, sf_dir)
+        kept: list[str] = []
+        with noting(kept):
+            docs = written(result)
+        drop_tables(spark, before)
+        drop_tables(spark, on_the_way)
+        before = kept
     return docs
