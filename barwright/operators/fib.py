@@ -48,27 +48,23 @@ def candidates(df: DataFrame) -> DataFrame:
 def max_rows(df: DataFrame) -> DataFrame:
     """symbol, m (the chosen row's number), how: the one row of each symbol that the run is built around.
 
-    One hit: that row. Several: among the candidates from the first hit to the last, the first of these rules that leaves
-    rows decides - (1) top 2 by range, top 2 by change and among the 3 earliest, (2) top 2 by change and among the 3 earliest,
-    (3) top 5 by change and top 3 by gap; of the rows left the earliest if they are 1 to 5, else the largest range. No hit:
-    the largest change. Ties go to the earlier row.
+    One hit: that row. Several: of the candidates from the first hit to the last, the first of these rules that leaves rows
+    counts - (1) top 2 by range, top 2 by change and among the 3 earliest, (2) top 2 by change and among the 3 earliest,
+    (3) top 5 by change and top 3 by gap. One row left: that row (sort1 to sort3). 2 to 5 rows left: the earliest of all
+    candidates in question (sort4). None or more left: that of the largest range (sort5). No hit: the largest change. Rows
+    with the value of the last one of a top are in it too; ties go to the earlier row.
     """
     c = candidates(df)
     per = Window.partitionBy("symbol")
     c = c.withColumns({"hits": F.sum(F.coalesce(F.col("hit").cast("int"), F.lit(0))).over(per), "first": F.min(F.when(F.col("hit"), F.col("rn"))).over(per), "last": F.max(F.when(F.col("hit"), F.col("rn"))).over(per)})
     inside = c.where(F.col("rn").between(F.col("first"), F.col("last")))
-    rank = lambda col: F.row_number().over(per.orderBy(F.desc(col), "rn"))
-    inside = inside.withColumns({"r_range": rank("fRange"), "r_chg": rank("fChangeP"), "r_gap": rank("gap"), "r_time": F.row_number().over(per.orderBy("rn"))})
-    early = F.col("r_time") <= 3
-    rules = [(F.col("r_range") <= 2) & (F.col("r_chg") <= 2) & early, (F.col("r_chg") <= 2) & early, (F.col("r_chg") <= 5) & (F.col("r_gap") <= 3)]
-    rule = F.lit(None).cast("int")
-    for k, r in reversed(list(enumerate(rules, 1))):
-        rule = F.when(F.max(r.cast("int")).over(per) == 1, k).otherwise(rule)
-    inside = inside.withColumn("rule", rule)
-    passes = F.coalesce(F.when(F.col("rule") == 1, rules[0]).when(F.col("rule") == 2, rules[1]).when(F.col("rule") == 3, rules[2]), F.lit(True))
-    left = inside.where(passes & (F.col("hits") > 1))
-    several = left.groupBy("symbol").agg(F.min("rn").alias("_early"), F.min_by("rn", F.struct(-F.col("fRange"), "rn")).alias("_wide"), F.count("*").alias("_k"), F.first("rule").alias("_rule"))
-    several = several.select("symbol", F.when(F.col("_k") <= 5, F.col("_early")).otherwise(F.col("_wide")).alias("m"), F.concat(F.lit("sort"), F.coalesce(F.col("_rule").cast("string"), F.lit("5"))).alias("how"))
+    rank = lambda order: F.rank().over(per.orderBy(order))
+    inside = inside.withColumns({"r_range": rank(F.desc("fRange")), "r_chg": rank(F.desc("fChangeP")), "r_gap": rank(F.desc("gap")), "r_time": rank("rn")})
+    rules = ["r_range <= 2 AND r_chg <= 2 AND r_time <= 3", "r_chg <= 2 AND r_time <= 3", "r_chg <= 5 AND r_gap <= 3"]
+    counts = [f(F.when(F.expr(r), F.col("rn"))).alias(f"{n}{k}") for k, r in enumerate(rules, 1) for f, n in ((F.count, "k"), (F.min, "m"))]
+    several = inside.where("hits > 1").groupBy("symbol").agg(*counts, F.min("rn").alias("early"), F.min_by("rn", F.struct(-F.col("fRange"), "rn")).alias("wide"))
+    rule = F.expr("CASE WHEN k1 > 0 THEN struct('sort1' AS how, k1 AS k, m1 AS m) WHEN k2 > 0 THEN struct('sort2' AS how, k2 AS k, m2 AS m) ELSE struct('sort3' AS how, k3 AS k, m3 AS m) END")
+    several = several.withColumn("r", rule).select("symbol", F.expr("CASE WHEN r.k = 1 THEN r.m WHEN r.k BETWEEN 2 AND 5 THEN early ELSE wide END").alias("m"), F.expr("CASE WHEN r.k = 1 THEN r.how WHEN r.k BETWEEN 2 AND 5 THEN 'sort4' ELSE 'sort5' END").alias("how"))
     single = c.where("hits = 1 AND hit").select("symbol", F.col("rn").alias("m"), F.lit("1").alias("how"))
     none = c.where("hits = 0").groupBy("symbol").agg(F.min_by("rn", F.struct(-F.col("fChangeP"), "rn")).alias("m")).select("symbol", "m", F.lit("else").alias("how"))
     return single.unionByName(several).unionByName(none)
@@ -109,11 +105,11 @@ def runs(df: DataFrame, chosen: DataFrame) -> DataFrame:
 
 def levels(df: DataFrame, run: DataFrame) -> DataFrame:
     """symbol, start, high, range, perc_range, ext_end, ext_date, cond and the 14 retracement and 14 extension levels of each run. Needs `numbered`."""
-    inside = df.join(run, "symbol")
-    spans = inside.where("rn BETWEEN begin AND end").groupBy("symbol", "m").agg(F.min("fLow").alias("start"), F.max("fHigh").alias("high"), F.min("date").alias("first_date"), F.max("date").alias("last_date"))
-    row = inside.where("rn = m").select("symbol", F.col("fLow").alias("m_l"), F.col("date").alias("m_date"))
-    after = inside.where("rn = m + 1").select("symbol", F.col("fLow").alias("n_l"), F.col("date").alias("n_date"))
-    j = spans.join(row, "symbol").join(after, "symbol", "left").withColumn("range", F.col("high") - F.col("start"))
+    inside = df.join(run, "symbol").where("rn BETWEEN begin AND end OR rn BETWEEN m AND m + 1")
+    of_run, at_m, after = F.expr("rn BETWEEN begin AND end"), F.expr("rn = m"), F.expr("rn = m + 1")
+    only = lambda f, cond, c: f(F.when(cond, F.col(c)))
+    found = {"start": (F.min, of_run, "fLow"), "high": (F.max, of_run, "fHigh"), "first_date": (F.min, of_run, "date"), "last_date": (F.max, of_run, "date"), "m_l": (F.max, at_m, "fLow"), "m_date": (F.max, at_m, "date"), "n_l": (F.max, after, "fLow"), "n_date": (F.max, after, "date")}
+    j = inside.groupBy("symbol", "m").agg(*[only(*how).alias(name) for name, how in found.items()]).withColumn("range", F.col("high") - F.col("start"))
     goes_on = F.coalesce(F.col("n_l") < F.col("m_l"), F.lit(False))
     by_618 = (F.col("high") - 0.382 * F.col("range")) * 0.618
     first = F.when(goes_on & (F.col("range") > F.col("start")), F.col("high") - (F.col("start") + 0.5 * F.col("range"))).otherwise(by_618)

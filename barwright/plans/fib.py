@@ -26,11 +26,13 @@ chosen AS (SELECT *, rank() OVER ({_PER} ORDER BY fChangeP DESC) AS chg_rank FRO
 cand AS (SELECT *, CASE WHEN prev_chg IS NOT NULL AND next_chg IS NOT NULL AND fRange <> 0 THEN
  (chg_rank <= 5 AND fHighMax IS NOT NULL AND fClose - fOpen > 0.5::DOUBLE * fRange) OR (prev_chg > 0 AND next_chg < 1 AND next_c < fHigh AND prev_h < fHigh) OR (prev_chg > 0 AND next_chg < fChangeP AND next_h < fHigh) END AS hit FROM chosen)"""
 _MAX = f"""{_CAND}, c2 AS (SELECT *, count(*) FILTER (WHERE hit) OVER ({_PER}) AS hits, min(rn) FILTER (WHERE hit) OVER ({_PER}) AS f, max(rn) FILTER (WHERE hit) OVER ({_PER}) AS l FROM cand),
-i AS (SELECT *, row_number() OVER ({_PER} ORDER BY fRange DESC, rn) AS rr, row_number() OVER ({_PER} ORDER BY fChangeP DESC, rn) AS rc, row_number() OVER ({_PER} ORDER BY gap DESC, rn) AS rg, row_number() OVER ({_PER} ORDER BY rn) AS rt FROM c2 WHERE rn BETWEEN f AND l),
-i2 AS (SELECT *, rr <= 2 AND rc <= 2 AND rt <= 3 AS s1, rc <= 2 AND rt <= 3 AS s2, rc <= 5 AND rg <= 3 AS s3 FROM i),
-i3 AS (SELECT *, CASE WHEN bool_or(s1) OVER ({_PER}) THEN 1 WHEN bool_or(s2) OVER ({_PER}) THEN 2 WHEN bool_or(s3) OVER ({_PER}) THEN 3 END AS rule FROM i2),
-i4 AS (SELECT * FROM i3 WHERE hits > 1 AND CASE rule WHEN 1 THEN s1 WHEN 2 THEN s2 WHEN 3 THEN s3 ELSE true END),
-max_row AS (SELECT symbol, CASE WHEN count(*) <= 5 THEN min(rn) ELSE arg_min(rn, row(-fRange, rn)) END AS m, 'sort' || coalesce(any_value(rule)::VARCHAR, '5') AS how FROM i4 GROUP BY 1
+i AS (SELECT * FROM c2 WHERE hits > 1 AND rn BETWEEN f AND l),
+i2 AS (SELECT a.*, (SELECT count(*) FROM i b WHERE b.symbol = a.symbol AND b.fRange > a.fRange) AS wider, (SELECT count(*) FROM i b WHERE b.symbol = a.symbol AND b.fChangeP > a.fChangeP) AS stronger,
+ (SELECT count(*) FROM i b WHERE b.symbol = a.symbol AND b.gap > a.gap) AS gappier, (SELECT count(*) FROM i b WHERE b.symbol = a.symbol AND b.rn < a.rn) AS earlier FROM i a),
+i3 AS (SELECT symbol, list(rn) FILTER (WHERE wider < 2 AND stronger < 2 AND earlier < 3) AS s1, list(rn) FILTER (WHERE stronger < 2 AND earlier < 3) AS s2, list(rn) FILTER (WHERE stronger < 5 AND gappier < 3) AS s3,
+ min(rn) AS early, arg_min(rn, row(-fRange, rn)) AS wide FROM i2 GROUP BY 1),
+i4 AS (SELECT *, coalesce(s1, s2, s3, []) AS rest, CASE WHEN s1 IS NOT NULL THEN 'sort1' WHEN s2 IS NOT NULL THEN 'sort2' ELSE 'sort3' END AS rule FROM i3),
+max_row AS (SELECT symbol, CASE WHEN len(rest) = 1 THEN rest[1] WHEN len(rest) BETWEEN 2 AND 5 THEN early ELSE wide END AS m, CASE WHEN len(rest) = 1 THEN rule WHEN len(rest) BETWEEN 2 AND 5 THEN 'sort4' ELSE 'sort5' END AS how FROM i4
  UNION ALL SELECT symbol, rn, '1' FROM c2 WHERE hits = 1 AND hit UNION ALL SELECT symbol, arg_min(rn, row(-fChangeP, rn)), 'else' FROM c2 WHERE hits = 0 GROUP BY 1)"""
 _RUN = f"""{_MAX}, mrow AS (SELECT n.symbol, m, fOpen AS m_o, fHigh AS m_h, fLow AS m_l, fClose AS m_c FROM n JOIN max_row r ON n.symbol = r.symbol AND n.rn = r.m),
 walk AS (SELECT n.*, m, m_o, m_h, m_l, m_c, p_h, p_l FROM (SELECT *, lead(fHigh) OVER {W} AS p_h, lead(fLow) OVER {W} AS p_l FROM n) n JOIN mrow USING (symbol) WHERE abs(rn - m) <= 50),
