@@ -319,7 +319,7 @@ def partnered(lists: DataFrame, percent: int) -> DataFrame:
     return short.mapInArrow(run, "node long").unionByName(lists.where(F.col("length") > BLOCK).select("node")).distinct()
 
 
-def dealt(lists: DataFrame, labels: DataFrame | None) -> DataFrame:
+def dealt(lists: DataFrame, labels: DataFrame | None, scratch: Scratch) -> DataFrame:
     """lists (shingle, node, n, place, signature) with comp, and the keys under which rows meet: shingle, left, right, side, front (see `passing`).
 
     Without labels every node is a component, and a row goes to its own block only. With labels, lists within one component
@@ -332,7 +332,8 @@ def dealt(lists: DataFrame, labels: DataFrame | None) -> DataFrame:
         return lists.select("shingle", "node", "n", "place", "signature", F.col("node").alias("comp"), block.alias("left"), block.alias("right"), zero.alias("side"), F.lit(1).alias("front"))
     now = lists.drop("length").join(labels.withColumnRenamed("label", "comp"), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     sizes = now.groupBy("shingle", "comp").agg(F.count("*").alias("c")).groupBy("shingle").agg(F.max_by("comp", "c").alias("top"), F.max("c").alias("most"), F.sum("c").alias("length"))
-    now = join_by_weight(now, sizes.where("most < length").withColumn("rows", F.col("length")), ["shingle"], "rows")
+    sizes = scratch.written(sizes.where("most < length").withColumn("rows", F.col("length")))
+    now = join_by_weight(now, sizes, ["shingle"], "rows")
     rest = F.col("comp") != F.col("top")
     blocks, top_blocks = F.ceil((F.col("length") - F.col("most")) / BLOCK).cast("int"), F.ceil(F.col("most") / BLOCK).cast("int")
     key = lambda left, right, side, front: F.struct(left.cast("int").alias("left"), right.cast("int").alias("right"), side.cast("int").alias("side"), front.cast("int").alias("front"))
@@ -411,27 +412,25 @@ def links(docs: DataFrame, documents: DataFrame, n: int, percent: int, scratch:
         counts = docs.sparkSession.sparkContext.broadcast(sketch(docs))
         postings = documents.agg(F.sum(F.floor(F.col("n_shingles") * (100 - percent) / 100) + 1)).first()[0] or 0
         buckets = max(BUCKETS * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-4 * postings // BUCKET_ROWS))
-        lists = own.keep(different_lists(own.keep(shared_lists(prefixes(docs, n, percent, counts, buckets)))))
+        # tables are written where more is built on them, so that plans stay short
+        lists = own.written(different_lists(own.keep(shared_lists(prefixes(docs, n, percent, counts, buckets)))))
         one = documents.where("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
-        nodes = own.keep(partnered(lists, percent).join(one, "node").select("doc_id"))
+        nodes = own.written(partnered(lists, percent).join(one, "node").select("doc_id"))
         if nodes.isEmpty():
             return None
-        # written, so that the rounds' plans begin here
         sets = scratch.table(whole_sets(docs, nodes, n, members=False))
         lists = scratch.table(lists.join(sets.select("node", "signature"), "node"))
         own.release()
         labels = found = None
         for most, only_joining in ROUNDS:
-            pairs = own.keep(candidates(dealt(lists, labels), percent, most, only_joining))
-            wanted = own.keep(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(sets.select("node", "doc_id"), "node").select("doc_id"))
-            if wanted.isEmpty():
-                own.release()
-                continue
-            new = scratch.table(verified(pairs, own.keep(whole_sets(docs, wanted, n, members=True)), percent))
+            pairs = own.written(candidates(dealt(lists, labels, own), percent, most, only_joining))
+            wanted = own.written(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(sets.select("node", "doc_id"), "node").select("doc_id"))
+            if not wanted.isEmpty():
+                new = scratch.written(verified(pairs, own.keep(whole_sets(docs, wanted, n, members=True)), percent))
+                if not new.isEmpty():
+                    found = new if found is None else found.unionByName(new)
+                    labels = components(found, scratch)
             own.release()
-            if not new.isEmpty():
-                found = new if found is None else found.unionByName(new)
-                labels = components(found, scratch)
         return labels
     finally:
         own.release()

@@ -139,10 +139,10 @@ class Scratch:
         self.paths.append(path)
         return df
 
-    def table(self, df: DataFrame) -> DataFrame:
+    def table(self, df: DataFrame, rows_a_file: int = ROWS_A_FILE) -> DataFrame:
         """df as a table in the shared folder, computed by as many tasks as it has and then put into few files."""
         held = df.persist(StorageLevel.DISK_ONLY)
-        out = self.written(held.coalesce(files_for(held.count())))
+        out = self.written(held.coalesce(files_for(held.count(), rows_a_file)))
         held.unpersist()
         return out
 

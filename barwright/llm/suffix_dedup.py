@@ -318,7 +318,7 @@ def repeated_windows(docs: DataFrame, length: int, keep_first: bool, scratch: Sc
     chunks = F.ceil(F.col("kinds") / CHUNK).cast("int")
     wanted = scratch.keep(several.select("anchor", F.pmod(F.xxhash64("context"), chunks).cast("int").alias("salt"), "first.doc", "first.lo", "first.n", (F.col("copies") > 1).alias("many"), (chunks > 1).alias("spread")))
     spread = wanted.where("spread").agg(F.sum("n")).first()[0] or 0
-    found = scratch.table(chunk_matches(contexts(docs, wanted, length), length, keep_first, max(1, -(-spread // BUCKET_WINDOWS))))
+    found = scratch.table(chunk_matches(contexts(docs, wanted, length), length, keep_first, max(1, -(-spread // BUCKET_WINDOWS))), 20_000)
     out = again.select("doc", "lo", "n").unionByName(copies.select("doc", "lo", "n")).unionByName(found.where("kind = 0").select("doc", "lo", "n"))
     return out.unionByName(across_chunks(found.where("kind = 1"), keep_first))
 
