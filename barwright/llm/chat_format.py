@@ -17,8 +17,8 @@ LOSS_ROLE = "assistant"
 
 
 def pair_of(conv_id: Column) -> tuple[Column, Column]:
-    """The pair of a conversation, and whether it is the chosen one."""
-    return F.floor(conv_id / 2).cast("long"), F.pmod(conv_id, F.lit(2)) == 0
+    """The pair of a conversation, and whether it is the chosen one; in whole numbers throughout, so the largest ids have their own pairs too."""
+    return F.shiftright(conv_id.cast("long"), 1), conv_id.cast("long").bitwiseAND(1) == 0
 
 
 def rendered(turn: Column) -> Column:
