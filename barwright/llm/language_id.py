@@ -1,13 +1,14 @@
 """Language identification by language-bitmask n-gram filters.
 
-A filter is one array of 64-bit words. Each n-gram sets the bits of its languages in the words at `PROBES` places of the
-array (a Bloom filter for each language, sliced by bit), so the AND of those words gives all languages that have the
-n-gram, at once. A text's n-grams are counted for each language by those bits; the counts are corrected for the filter's
-false positives; the language with the most decides.
+A filter is one array of rows of 64-bit words, one word for every 64 languages. Each n-gram sets the bits of its languages in
+the rows at `PROBES` places of the array (a Bloom filter for each language, sliced by bit), so the AND of those rows gives all
+languages that have the n-gram, at once. A text's n-grams are counted for each language by those bits; the counts are
+corrected for the filter's false positives; the language with the most decides.
 
 n-grams are runs of `GRAM` bytes of the lower-cased UTF-8 text in which everything but letters' bytes is a blank. Their
-counts by language are gathered over all training texts; a language has an n-gram if it is among its most frequent ones
-and its rate there is not far below the highest rate among the languages (words of other languages stray into texts).
+counts by language are gathered over all training texts. A language has an n-gram if at least one in 1 / `RATE` of its n-grams
+is that one (so it has 1 / RATE at most, whatever the input, and the filters have a bound) and its rate there is not far below
+the highest rate among the languages (words of other languages stray into texts).
 """
 
 from __future__ import annotations
@@ -23,8 +24,8 @@ from barwright.llm import bytesets
 
 GRAM = 4
 PROBES = 4
-#: The most frequent n-grams of each language that its filter takes (the model's size, not a cap on the corpus).
-GRAMS = 30_000
+#: The least rate of an n-gram among those of a language.
+RATE = 1 / 200_000
 #: A language has an n-gram if its rate is at least this share of the highest rate.
 SHARE = 0.2
 #: Bits of a filter for each n-gram in it.
@@ -80,23 +81,25 @@ def gram_counts(training: DataFrame) -> DataFrame:
 
 
 class Filters:
-    """The filters of all languages in one array of bitmasks."""
+    """The filters of all languages, any number of them, in one array of bitmasks."""
 
     def __init__(self, langs: list[str], by_lang: list[np.ndarray], shares: list[float]):
-        if len(langs) > 64:
-            raise ValueError("one word of the filter holds at most 64 languages")
         self.langs, self.shares = langs, shares
         most = max([1, *map(len, by_lang)])
         self.size = 1 << max(10, int(np.ceil(np.log2(most * BITS_A_GRAM))))
-        self.words = np.zeros(self.size, _U)
+        self.words = np.zeros((self.size, -(-len(langs) // 64)), _U)
         for i, values in enumerate(by_lang):
             for at in places(values, self.size):
-                np.bitwise_or.at(self.words, at, _U(1 << i))
-        fill = np.array([((self.words >> _U(i)) & _U(1)).mean() for i in range(len(langs))])
-        self.false_positives = fill**PROBES
+                np.bitwise_or.at(self.words[:, i // 64], at, _U(1) << _U(i % 64))
+        self.false_positives = np.array([self.bit(self.words, i).mean() for i in range(len(langs))]) ** PROBES
+
+    @staticmethod
+    def bit(masks: np.ndarray, i: int) -> np.ndarray:
+        """Whether each mask has language i: 0 or 1."""
+        return (masks[:, i // 64] >> _U(i % 64)) & _U(1)
 
     def masks(self, values: np.ndarray) -> np.ndarray:
-        out = np.full(len(values), ~_U(0))
+        out = np.full((len(values), self.words.shape[1]), ~_U(0))
         for at in places(values, self.size):
             out &= self.words[at]
         return out
@@ -106,22 +109,36 @@ class Filters:
         value, owner = grams(data, offsets)
         mask, texts = self.masks(value), len(offsets) - 1
         total = np.bincount(owner, minlength=texts)
-        found = np.stack([np.bincount(owner, (mask >> _U(i)) & _U(1), texts) for i in range(len(self.langs))], axis=1)
+        found = np.stack([np.bincount(owner, self.bit(mask, i), texts) for i in range(len(self.langs))], axis=1)
         return np.maximum(found - total[:, None] * self.false_positives, 0) / (1 - self.false_positives)
 
 
+def packed_grams(rows: DataFrame) -> dict[str, np.ndarray]:
+    """The n-grams (lang, gram) of each language; four bytes each come to the driver, at most 1 / RATE of a language."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lang, gram = np.array(batch.column("lang").to_pylist(), object), batch.column("gram").to_numpy().astype("<u4")
+            names = sorted(set(lang))
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array([gram[lang == x].tobytes() for x in names], pa.binary())], names=["lang", "grams"])
+
+    out: dict[str, list[np.ndarray]] = {}
+    for row in rows.select("lang", "gram").mapInArrow(run, "lang string, grams binary").toLocalIterator():
+        out.setdefault(row["lang"], []).append(np.frombuffer(bytes(row["grams"]), "<u4"))
+    return {x: np.concatenate(parts).astype(_U) for x, parts in out.items()}
+
+
 def learned(training: DataFrame) -> Filters:
-    """Filters from all rows of training (text, lang) with a lang; null texts count as empty."""
-    counts = gram_counts(training.where(F.col("lang").isNotNull()))
-    by_gram, by_lang = Window.partitionBy("gram"), Window.partitionBy("lang")
+    """Filters from all rows of training (text, lang) with a lang, for any number of languages; null texts count as empty."""
+    labelled = training.where(F.col("lang").isNotNull())
+    counts = gram_counts(labelled)
     sums = counts.groupBy("lang").agg(F.sum("n").alias("total"))
-    rated = counts.join(F.broadcast(sums), "lang").withColumn("rate", F.col("n") / F.col("total"))
-    kept = rated.withColumn("top", F.max("rate").over(by_gram)).where((F.col("rate") >= SHARE * F.col("top")) & (F.col("n") >= 2))
-    kept = kept.withColumn("place", F.row_number().over(by_lang.orderBy(F.desc("n"), "gram"))).where(F.col("place") <= GRAMS)
-    rows = kept.select("lang", "gram").toPandas()
-    totals = {r["lang"]: r["n"] for r in training.where(F.col("lang").isNotNull()).groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    rated = counts.join(F.broadcast(sums), "lang").withColumn("rate", F.col("n") / F.col("total")).where(F.col("rate") >= RATE)
+    kept = rated.withColumn("top", F.max("rate").over(Window.partitionBy("gram"))).where(F.col("rate") >= SHARE * F.col("top"))
+    by_lang = packed_grams(kept)
+    totals = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     langs = sorted(totals)
-    return Filters(langs, [rows["gram"][rows["lang"] == x].to_numpy(np.uint64) for x in langs], [totals[x] / sum(totals.values()) for x in langs])
+    return Filters(langs, [by_lang.get(x, np.zeros(0, _U)) for x in langs], [totals[x] / sum(totals.values()) for x in langs])
 
 
 def identify(docs: DataFrame, filters: Filters) -> DataFrame:
