@@ -4,13 +4,15 @@ Words are `[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+` of the text with A-Z lower-cas
 item; an item of fewer words, but not none, is one window. Every task hashes the windows of its documents in bulk; only
 windows whose hash is in the set are compared word by word. There is no shuffle.
 
-The broadcast set has a checked size: items are dealt into blocks of at most `block_bytes` of text, one scan for each block,
-and only if there is more than one block are the blocks' findings joined by document.
+The broadcast set is arrays (`Windows`): of each word 24 bytes and its text, so about six times the items' text. Its size is
+checked by that: items are dealt into blocks of at most `block_bytes` of text, one scan for each block, and only if there is
+more than one block are the blocks' findings joined by document.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -18,35 +20,45 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from barwright.llm import bytesets
-from barwright.llm.store import without, written
+from barwright.llm.store import fresh, without, written
 
 WINDOW_WORDS = 13
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 8 << 20
 
 
-def windows_of(items: list[tuple[str | None, str | None]], n: int) -> dict[int, dict[int, list[tuple[bytes, str | None]]]]:
-    """window length -> hash -> the windows (words with one space between them) with that hash and their items."""
-    out: dict[int, dict[int, list[tuple[bytes, str | None]]]] = {}
-    if not items:
-        return out
-    words = bytesets.Words(*bytesets.utf8(pa.array([t or "" for _, t in items], pa.string())), bytesets.PLAIN_WORD)
-    at_text = words.text_offsets
-    by_length: dict[int, list[int]] = {}
-    for i in range(len(items)):
-        count = int(at_text[i + 1] - at_text[i])
-        if count:
-            by_length.setdefault(min(n, count), []).append(i)
-    for length, members in by_length.items():
-        hashes, _ = words.shingles(length)
-        found = out.setdefault(length, {})
-        for i in members:
-            for at in range(int(at_text[i]), int(at_text[i + 1]) - length + 1):
-                found.setdefault(int(hashes[at]), []).append((window_at(words, at, length), items[i][0]))
-    return out
+def window_at(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, at: int, n: int) -> bytes:
+    return b" ".join(data[starts[k] : ends[k]].tobytes() for k in range(at, at + n))
+
+
+@dataclass
+class Windows:
+    """The windows of a block of items: by length, sorted hashes, the first word of each window and its item; and the words."""
 
+    by_length: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]
+    data: np.ndarray
+    starts: np.ndarray
+    ends: np.ndarray
+    names: list[str | None]
 
-def window_at(words: bytesets.Words, at: int, n: int) -> bytes:
-    return b" ".join(words.data[words.starts[k] : words.ends[k]].tobytes() for k in range(at, at + n))
+    def items(self, length: int, value: np.uint64, text: bytes) -> list[str | None]:
+        """The items that have the window of this hash and text; none: no such window."""
+        hashes, at, item = self.by_length[length]
+        lo, hi = np.searchsorted(hashes, value, "left"), np.searchsorted(hashes, value, "right")
+        return [self.names[i] for k, i in zip(at[lo:hi].tolist(), item[lo:hi].tolist(), strict=True) if window_at(self.data, self.starts, self.ends, k, length) == text]
+
+
+def windows_of(items: list[tuple[str | None, str | None]], n: int) -> Windows:
+    words = bytesets.Words(*bytesets.utf8(pa.array([t or "" for _, t in items], pa.string())), bytesets.PLAIN_WORD)
+    counts = words.counts()
+    owner = np.repeat(np.arange(len(counts)), counts)
+    own = np.minimum(counts, n)[owner]  # the window length of each word's item
+    by_length = {}
+    for length in np.unique(own).tolist():
+        hashes, fits = words.shingles(length)
+        at = np.flatnonzero(fits & (own == length))
+        at = at[np.argsort(hashes[at], kind="stable")]
+        by_length[length] = hashes[at], at.astype(np.int32), owner[at].astype(np.int32)
+    return Windows(by_length, words.data, words.starts.astype(np.int32), words.ends.astype(np.int32), [i for i, _ in items])
 
 
 def scan(docs: DataFrame, items: list[tuple[str | None, str | None]], n: int) -> DataFrame:
@@ -55,16 +67,15 @@ def scan(docs: DataFrame, items: list[tuple[str | None, str | None]], n: int) ->
     span = pa.list_(pa.struct([("begin", pa.int32()), ("end", pa.int32())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sets = {length: (np.sort(np.fromiter(x, np.uint64, len(x))), x) for length, x in known.value.items()}
+        windows = known.value
         for batch in bytesets.chunks(batches):
             words = bytesets.Words(*bytesets.utf8(batch.column("text")), bytesets.PLAIN_WORD)
             hits: dict[int, tuple[list[tuple[int, int]], set[str]]] = {}
-            for length, (sorted_hashes, windows) in sets.items():
+            for length, (sorted_hashes, _, _) in windows.by_length.items():
                 hashes, fits = words.shingles(length)
                 at = np.minimum(np.searchsorted(sorted_hashes, hashes), len(sorted_hashes) - 1)
                 for k in np.flatnonzero(fits & (sorted_hashes[at] == hashes)).tolist():
-                    text = window_at(words, k, length)
-                    if same := [item for w, item in windows[int(hashes[k])] if w == text]:
+                    if same := windows.items(length, hashes[k], window_at(words.data, words.starts, words.ends, k, length)):
                         doc = int(np.searchsorted(words.text_offsets, k, side="right")) - 1
                         spans, names = hits.setdefault(doc, ([], set()))
                         spans.append((k, k + length))
@@ -175,10 +186,11 @@ def clean(docs: DataFrame, benchmark: DataFrame, spans: bool = False, block_byte
         found = hits(docs, benchmark, block_bytes=block_bytes)
         return without(docs, written(found.where(contaminated(F.col("n_hit"), F.col("n_words"))).select("doc_id").distinct()))
     found = findings(docs, benchmark, WINDOW_WORDS, block_bytes, by_content=True)
-    cuts = found.where(F.size("byte_spans") > 0).groupBy(F.col("row").alias("_row")).agg(F.first("byte_spans").alias("_cuts"))
+    row, cut = fresh(docs, "row"), fresh(docs, "cuts")
+    cuts = found.where(F.size("byte_spans") > 0).groupBy(F.col("row").alias(row)).agg(F.first("byte_spans").alias(cut))
     raw = F.encode("text", "utf-8")
-    begins = F.concat(F.array(F.lit(0)), F.col("_cuts")["end"])
-    ends = F.concat(F.col("_cuts")["begin"], F.array(F.octet_length("text")))
+    begins = F.concat(F.array(F.lit(0)), F.col(cut)["end"])
+    ends = F.concat(F.col(cut)["begin"], F.array(F.octet_length("text")))
     kept = F.aggregate(F.zip_with(begins, ends, lambda b, e: F.decode(F.substring(raw, b + 1, e - b), "utf-8")), F.lit(""), lambda a, x: F.concat(a, x))
-    joined = docs.withColumn("_row", row_key()).join(cuts, "_row", "left")
-    return joined.withColumn("text", F.when(F.col("_cuts").isNull(), F.col("text")).otherwise(kept)).select(*docs.columns)
+    joined = docs.withColumn(row, row_key()).join(cuts, row, "left")
+    return joined.withColumn("text", F.when(F.col(cut).isNull(), F.col("text")).otherwise(kept)).select(*docs.columns)
