@@ -9,8 +9,9 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from barwright.llm import bytesets, chat_format, components, decontamination, jaccard_join, language_id, lm_scoring, media, motion_jpeg, packing, pretokens, suffix_dedup, token_counts, toxicity
+from barwright.llm import bytesets, chat_format, components, decontamination, jaccard_join, language_id, lm_scoring, media, motion_jpeg, packing, pretokens, store, suffix_dedup, token_counts, toxicity
 
 DIR = "/root/testdata/sf0.001"
 SCHEMA = "doc_id long, text string, lang string, node string, n long"  # with columns whose names the operators use themselves
@@ -609,3 +610,89 @@ def test_noisy_or_of_sentences():
     model = toxicity.Model(np.zeros(toxicity.BUCKETS), 0.0, 0.1)
     scores = model.document_scores(s, model.sentence_scores(s))
     assert np.allclose(scores, [1 - 0.9 * 0.125, 0.1, 0.1, 1 - 0.9 * 0.5])
+
+
+def test_packing_keeps_a_lower_limit_on_loss(spark):
+    """Full pieces, placing and filling all keep the three limits, and every token lies in one piece."""
+    rng = np.random.default_rng(7)
+    limits = packing.Limits(tokens=2048, segments=8, loss_tokens=500)
+    lengths = rng.integers(1, 6000, 300)
+    prompts = np.minimum(rng.choice([0, 100, 3000], 300), lengths)
+    pieces = packing.packed(lengths, prompts, limits)
+    covered, sums = collections.defaultdict(list), collections.defaultdict(lambda: np.zeros(3, int))
+    for d, start, n, sequence, _ in pieces:
+        covered[d].append((start, n))
+        sums[sequence] += [n, 1, packing.loss_of(int(prompts[d]), start, n)]
+    assert all((s <= [2048, 8, 500]).all() for s in sums.values())
+    for d, length in enumerate(lengths.tolist()):
+        at = 0
+        for start, n in sorted(covered[d]):
+            assert start == at and n > 0
+            at += n
+        assert at == length
+    rows = spark.createDataFrame([(i, "p " * 300 if i % 2 else None, "w " * 900) for i in range(12)], "doc_id long, ask string, text string")
+    by_sequence = collections.Counter()
+    for r in packing.pack(rows, limits=limits, prompt="ask").collect():
+        by_sequence[r["sequence_id"]] += r["loss_tokens"]
+        assert r["doc_tokens"] == len(ids_by_library("w " * 900)) + 1 + (len(ids_by_library("p " * 300)) if r["doc_id"] % 2 else 0)
+    assert max(by_sequence.values()) <= 500
+
+
+def test_encoder_equals_the_library_when_it_forgets(monkeypatch):
+    texts = ["", "a b  c\n\n d", "x" * 5000, "<|endoftext|> and <|endoftext|>", " ".join(f"w{i}" for i in range(3000)), "  \n ", "é漢字 🙂 " * 50]
+    for kept, block in ((300_000, 200_000), (50, 40)):
+        monkeypatch.setattr(pretokens.Encoder, "KEPT", kept)
+        monkeypatch.setattr(pretokens.Encoder, "BLOCK", block)
+        e = pretokens.Encoder(pretokens.tokenizer_path())
+        for _ in range(2):
+            assert [x.tolist() for x in e.batch(texts)] == [ids_by_library(t) for t in texts]
+
+
+def test_pairs_of_the_largest_ids(spark):
+    ids = [2**53, 2**53 + 1, 2**53 + 2, 2**53 + 3, 2**60 + 1, 2**60 + 2, 2**63 - 2, 2**63 - 1, -1, -2]
+    rows = spark.createDataFrame([(i, 0, "assistant", str(i)) for i in ids], "conv_id long, turn int, role string, text string")
+    got = {r["pair_id"]: (r["n_chosen"], r["n_rejected"], r["n_prompt"]) for r in chat_format.preferences(rows).collect()}
+    assert got == {i // 2: ((1, 1, 0) if {2 * (i // 2), 2 * (i // 2) + 1} <= set(ids) else (1, None, 0) if i % 2 == 0 else (None, 1, 0)) for i in ids}
+
+
+def test_very_long_texts_and_clashing_columns(spark):
+    """Columns named as helper columns are, and a text far longer than a batch, with rows that repeat."""
+    long = " ".join(f"w{i % 977}" for i in range(200_000))
+    rows = [(1, long, 5, 6), (2, "short one", 5, 6), (2, "short one", 5, 6), (None, None, 5, 6)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, doc int, removed int").withColumns({"given_doc_id": F.lit("x"), "node": F.lit(1), "span": F.lit(2), "_cuts": F.lit(3)})
+    for out in (suffix_dedup.deduplicated(df, 240), jaccard_join.deduplicated(df), decontamination.clean(df, spark.createDataFrame([("i", "never seen words")], "item_id string, text string"), spans=True)):
+        assert set(df.columns) <= set(out.columns)
+        assert {r["doc_id"] for r in out.select("doc_id").collect()} == {1, 2, None}
+        assert {r["given_doc_id"] for r in out.collect()} == {"x"}
+    assert jaccard_join.deduplicated(df).count() == 3
+    assert sorted(r["n_tokens"] for r in token_counts.token_counts(df).collect())[-1] == len(ids_by_library(long))
+    scores = lm_scoring.score(df).collect()
+    assert len(scores) == 4 and max(r["n_tokens"] for r in scores) == 200_001
+    assert language_id.identify(df.withColumn("lang", F.lit("en")), language_id.learned(df.withColumn("lang", F.lit("en")))).count() == 4
+
+
+def test_shared_folder_must_be_named_on_a_cluster(monkeypatch):
+    class Context:
+        master = "spark://x:7077"
+
+        def getCheckpointDir(self):
+            return None
+
+    class Session:
+        sparkContext = Context()
+        conf = type("Conf", (), {"get": staticmethod(lambda *a: None)})()
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        store.shared_dir(Session())
+
+
+def test_hot_shingles_are_sent_in_parts(spark, monkeypatch):
+    """Buckets larger than a task holds, lists longer than a block, and lists of equal nodes: the same components."""
+    rng = random.Random(11)
+    base, other = [f"b{i}" for i in range(60)], [f"c{i}" for i in range(60)]
+    rows = [(i, edited(rng, base if i % 3 else other, rng.choice([0, 0, 1, 2, 4]))) for i in range(90)] + [(1000, None), (1001, " ".join(base))]
+    for name, value in (("BLOCK", 8), ("BUCKET_ROWS", 40), ("HELD_ROWS", 50), ("HELD_PAIRS", 5)):
+        monkeypatch.setattr(jaccard_join, name, value)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard_join.near_duplicates(df, 5, 80).collect()}
+    assert got == brute_components(rows, 5, 80)
