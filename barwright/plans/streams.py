@@ -8,12 +8,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from barwright.plans.registry import query, table
+from barwright.sources.sinks import keyed_table
 from barwright.streaming import feeds as S
 
 
 def _folder(spark: SparkSession) -> str:
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if found is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
         import tempfile
 
         found = "file://" + tempfile.mkdtemp(prefix="barwright-")
@@ -70,7 +73,7 @@ def stream_upsert(spark: SparkSession, d: str) -> DataFrame:
     at = _folder(spark)
     stream = _events(spark, d).select("user_id", "ts")
     S.upsert_sink(stream, f"{at}/table", ["user_id"], [F.desc("ts")], f"{at}/state").trigger(availableNow=True).start().awaitTermination()
-    return spark.read.parquet(f"{at}/table").withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+    return keyed_table(spark, f"{at}/table").withColumn("ts", F.col("ts").cast("timestamp_ntz"))
 
 
 @query("stream_unsent", "SELECT event_id FROM events WHERE event_type <> 'view'")

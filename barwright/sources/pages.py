@@ -1,7 +1,8 @@
 """A batch data source that lists numbered pages of records, such as a web service gives, as a table.
 
 The service is a function from a page number to its records; each page is a partition, so pages are fetched in parallel and
-a lost task fetches its page again. Services that hand out a token for the next page are read from landed files instead.
+a lost task fetches its page again. Where a page is known by the token of the page before only (`token_source`), the chain of
+each key is a partition.
 """
 
 from __future__ import annotations
@@ -40,3 +41,36 @@ def paged_source(name: str, schema: str, pages: int, fetch: Callable[[int], list
             return Reader()
 
     return Source
+
+
+def token_source(name: str, schema: str, keys: list, fetch: Callable[[object, str | None], tuple[list[tuple], str | None]], most_pages: int = 10_000) -> type[DataSource]:
+    """A DataSource class for services that give a token for the next page: fetch(key, token) gives rows and the next token (None: no more).
+
+    The chains of different keys are read in parallel; a chain that doesn't end within most_pages is an error.
+    """
+
+    class Reader(DataSourceReader):
+        def partitions(self):
+            return [InputPartition(k) for k in keys]
+
+        def read(self, partition: InputPartition) -> Iterator[tuple]:
+            token = None
+            for _ in range(most_pages):
+                rows, token = fetch(partition.value, token)
+                yield from rows
+                if token is None:
+                    return
+            raise RuntimeError(f"{partition.value}: more than {most_pages} pages")
+
+    class Source(DataSource):
+        @classmethod
+        def name(cls) -> str:
+            return name
+
+        def schema(self) -> str:
+            return schema
+
+        def reader(self, schema) -> DataSourceReader:
+            return Reader()
+
+    return Source

@@ -5,8 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.errors import StreamingQueryException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from barwright.sources.sinks import upsert_table
@@ -31,28 +33,45 @@ def once(stream: DataFrame, keys: Sequence[str], late: str) -> DataFrame:
     return stream.withWatermark("ts", late).dropDuplicatesWithinWatermark(list(keys))
 
 
-def last_known(stream: DataFrame, key: str, value: str, schema: str, timeout: str = "GroupStateTimeout.NoTimeout") -> DataFrame:
-    """Rows (key, ts, value) with nulls replaced by the key's last value, across batches. The state is one value a key.
+def last_known(stream: DataFrame, key: str, value: str, schema: str, late: str | None = None) -> DataFrame:
+    """Rows (key, ts, value) with nulls replaced by the key's last value before them, across batches.
 
-    Within a batch rows go by ts; a row that is older than the state's time is filled from what is known then.
+    The state of a key is its newest value and that value's time. Within a batch rows go by ts. A late row neither changes a
+    newer state nor is filled from it: its null stays. With late, the state of a key that had no row for so long (by the
+    stream's watermark) is let go. A key's rows of one batch are held at once; the trigger's limit on files bounds them.
     """
 
     def run(k: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        held = state.get[0] if state.exists else None
+        if state.hasTimedOut:
+            state.remove()
+            return
+        since, newest = state.get if state.exists else (None, None)
+        held = None  # the last value among this batch's rows so far
         rows = pd.concat(list(parts)).sort_values("ts", kind="stable")
         filled = []
-        for v in rows[value]:
-            held = held if pd.isna(v) else float(v)
-            filled.append(held)
-        if held is not None:
-            state.update((held,))
+        for at, v in zip(rows["ts"], rows[value], strict=True):
+            at = pd.Timestamp(at).value
+            if not pd.isna(v):
+                held = (at, float(v))
+            best = max((x for x in (held, (since, newest) if since is not None and since <= at else None) if x), key=lambda x: x[0], default=None)
+            filled.append(best[1] if best else None)
+        if held is not None and (since is None or held[0] >= since):
+            since, newest = held
+        if since is not None:
+            state.update((since, newest))
+            if late is not None:
+                seen = max(since, pd.Timestamp(rows["ts"].max()).value) // 1_000_000
+                state.setTimeoutTimestamp(max(seen, state.getCurrentWatermarkMs()) + int(pd.Timedelta(late).total_seconds() * 1000) + 1)
         yield pd.DataFrame({key: rows[key], "ts": rows["ts"], value: pd.array(filled, "Float64").astype("float64")})
 
-    return stream.select(key, "ts", value).groupBy(key).applyInPandasWithState(run, schema, "v double", "append", GroupStateTimeout.NoTimeout)
+    if late is not None:
+        stream = stream.withWatermark("ts", late)
+    timeout = GroupStateTimeout.NoTimeout if late is None else GroupStateTimeout.EventTimeTimeout
+    return stream.select(key, "ts", value).groupBy(key).applyInPandasWithState(run, schema, "at long, v double", "append", timeout)
 
 
 def upsert_sink(stream: DataFrame, path: str, keys: Sequence[str], order: Sequence[Column], checkpoint: str):
-    """Writes each batch into the table at path, old rows first: a batch that comes twice changes nothing."""
+    """Writes each batch into the keyed table at path (see `sinks.upsert_table`: only buckets that it touches), old rows first: a batch that comes twice changes nothing."""
 
     def write(batch: DataFrame, _: int) -> None:
         if not batch.isEmpty():
@@ -85,3 +104,43 @@ def exploded_messages(stream: DataFrame, column: str, schema: str) -> DataFrame:
 def unsent(stream: DataFrame, sent: DataFrame, key: str) -> DataFrame:
     """Rows whose key isn't among those sent (a static table, read again for each batch)."""
     return stream.join(sent.select(F.col(key).alias("_k"), F.lit(True).alias("_sent")), F.col(key) == F.col("_k"), "left").where("_sent IS NULL").drop("_k", "_sent")
+
+
+class Listener(StreamingQueryListener):
+    """Supervision of streams: what each batch did, as a table; streams that ended with an error are restarted by `supervised`."""
+
+    FIELDS = "query string, batch long, ts string, rows long, rows_a_second double, state_rows long"
+
+    def __init__(self) -> None:
+        self.batches: list[tuple] = []
+        self.ended: list[tuple[str, str | None]] = []
+
+    def onQueryStarted(self, event) -> None:
+        pass
+
+    def onQueryProgress(self, event) -> None:
+        p = event.progress
+        rate = p.processedRowsPerSecond
+        self.batches.append((p.name or str(p.id), p.batchId, p.timestamp, p.numInputRows, None if rate is None or rate != rate else float(rate), sum(s.numRowsTotal for s in p.stateOperators)))
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryTerminated(self, event) -> None:
+        self.ended.append((str(event.id), event.exception))
+
+    def table(self, spark: SparkSession) -> DataFrame:
+        return spark.createDataFrame(self.batches, self.FIELDS)
+
+
+def supervised(start: Callable[[], StreamingQuery], restarts: int) -> StreamingQuery:
+    """Runs the stream that start() gives until it ends, and starts it again after an error, `restarts` times at most; its checkpoint makes it go on where it was."""
+    for left in range(restarts, -1, -1):
+        query = start()
+        try:
+            query.awaitTermination()
+            return query
+        except StreamingQueryException:
+            if not left:
+                raise
+    raise AssertionError

@@ -2,6 +2,7 @@
 
 import datetime
 import json
+import time
 
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -94,3 +95,93 @@ def test_option_symbols_round_trip(spark):
 def test_numbers_from_text(spark):
     df = spark.createDataFrame([("$1,234",), ("($0.12)",), ("5%",), ("N/A",), (None,)], "t string")
     assert [r[0] for r in df.select(text.number_of(F.col("t"))).collect()] == [1234.0, -0.12, 5.0, None, None]
+
+
+def test_a_failed_upsert_leaves_the_table(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "table")
+    rows = lambda *r: spark.createDataFrame(list(r), "k int, v string")
+    sinks.upsert_table(rows((1, "a"), (2, "b")), path, ["k"], [F.col("v")])
+    publish = sinks._publish
+
+    def fails(*_):
+        raise OSError("lost")
+
+    monkeypatch.setattr(sinks, "_publish", fails)
+    try:
+        sinks.upsert_table(rows((3, "c")), path, ["k"], [F.col("v")])
+        raise AssertionError
+    except OSError:
+        pass
+    assert sorted(map(tuple, sinks.keyed_table(spark, path).collect())) == [(1, "a"), (2, "b")]
+    monkeypatch.setattr(sinks, "_publish", publish)
+    held = sinks.keyed_table(spark, path)
+    after = sinks.upsert_table(rows((3, "c"), (1, "z")), path, ["k"], [F.col("v")])
+    assert sorted(map(tuple, after.collect())) == [(1, "a"), (2, "b"), (3, "c")]
+    assert held.count() == 2  # a reader of the table as it was is not disturbed
+
+
+def test_an_upsert_writes_touched_buckets_only(spark, tmp_path):
+    path = str(tmp_path / "table")
+    sinks.upsert_table(spark.range(200).selectExpr("id AS k", "'old' AS v"), path, ["k"], [F.col("v")])
+    first = sinks._folders(spark, path, sinks._listed(spark, path)[-1])
+    sinks.upsert_table(spark.createDataFrame([(1000, "new")], "k long, v string"), path, ["k"], [F.col("v")])
+    second = sinks._folders(spark, path, sinks._listed(spark, path)[-1])
+    assert len(first) == 16 and sum(first[b] != second[b] for b in first) == 1
+    assert sinks.keyed_table(spark, path).count() == 201
+
+
+def test_last_known_by_time_with_late_rows(spark, tmp_path):
+    at = lambda m: datetime.datetime(2024, 1, 1, 0, m)
+    batches = [[("a", at(10), 1.0), ("a", at(12), None)], [("a", at(5), None), ("a", at(6), 9.0), ("a", at(7), None), ("a", at(20), None)]]
+    for i, rows in enumerate(batches):
+        spark.createDataFrame(rows, "k string, ts timestamp, v double").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = spark.readStream.schema("k string, ts timestamp, v double").parquet(str(tmp_path / "in"))
+        out = feeds.last_known(stream, "k", "v", "k string, ts timestamp, v double")
+        out.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start().awaitTermination()
+    got = {r["ts"].minute: r["v"] for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    # the late row at 5 knows nothing, 7 knows 6's value, and 20 has 10's value although 9.0 came after it
+    assert {k: None if v != v else v for k, v in got.items()} == {10: 1.0, 12: 1.0, 5: None, 6: 9.0, 7: 9.0, 20: 1.0}
+
+
+def test_supervised_stream_goes_on_after_an_error(spark, tmp_path):
+    spark.range(10).write.parquet(str(tmp_path / "in"))
+    failures, seen, listener = [1], [], feeds.Listener()
+
+    def sink(batch, number):
+        if failures:
+            failures.pop()
+            raise RuntimeError("once")
+        seen.extend(r["id"] for r in batch.collect())
+
+    start = lambda: spark.readStream.schema("id long").parquet(str(tmp_path / "in")).writeStream.queryName("watched").foreachBatch(sink).option("checkpointLocation", str(tmp_path / "s")).trigger(availableNow=True).start()
+    spark.streams.addListener(listener)
+    try:
+        feeds.supervised(start, 2)
+        for _ in range(50):
+            if listener.batches:
+                break
+            time.sleep(0.2)
+    finally:
+        spark.streams.removeListener(listener)
+    assert sorted(seen) == list(range(10))
+    assert listener.table(spark).where("query = 'watched'").agg(F.sum("rows")).first()[0] == 10
+
+
+def test_files_by_key_date_csv_json_and_size(spark, tmp_path):
+    df = spark.createDataFrame([(i % 3, datetime.date(2023 + i % 2, 1, 1 + i), float(i)) for i in range(12)], "k int, date date, v double")
+    sinks.write_by_key(df, str(tmp_path / "k"), "k")
+    assert spark.read.parquet(str(tmp_path / "k")).where("year = 2023 AND k = 0").count() == df.where("year(date) = 2023 AND k = 0").count() > 0
+    sinks.write_csv(df, str(tmp_path / "c"))
+    assert spark.read.option("header", True).schema("k int, date date, v double").csv(str(tmp_path / "c")).exceptAll(df).count() == 0
+    df.select("k", "v").write.option("compression", "gzip").json(str(tmp_path / "j"))
+    assert sinks.json_to_parquet(spark, str(tmp_path / "j"), str(tmp_path / "p"), "k int, v double").count() == 12
+    assert readers.large_files(spark, str(tmp_path / "k"), 1).count() > 0 and readers.large_files(spark, str(tmp_path / "k"), 10**9).count() == 0
+
+
+def test_messages_go_to_their_service(spark, tmp_path):
+    spark.createDataFrame([("Q", 1), ("T", 2), ("X", 3), (None, 4)], "service string, v int").write.json(str(tmp_path / "in"))
+    got = {"Q": [], "T": [], "rest": []}
+    put = lambda name: lambda batch, _: got[name].extend(r["v"] for r in batch.collect())
+    stream = spark.readStream.schema("service string, v int").json(str(tmp_path / "in"))
+    feeds.demultiplexed(stream, "service", {"Q": put("Q"), "T": put("T")}, put("rest"), str(tmp_path / "s")).trigger(availableNow=True).start().awaitTermination()
+    assert {k: sorted(v) for k, v in got.items()} == {"Q": [1], "T": [2], "rest": [3, 4]}
