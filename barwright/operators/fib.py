@@ -167,6 +167,65 @@ def days_until(df: DataFrame, flag: Column) -> DataFrame:
     return df.withColumn("next_date", ahead).withColumn("days_until", weekdays_between(F.col("date"), F.col("next_date")))
 
 
+def peaks_near_levels(df: DataFrame, lv: DataFrame) -> DataFrame:
+    """What each bar's high and low do near the levels, with the moves after it.
+
+    symbol, date; kind: peak (of the highs) or trough (of the lows; both: trough) or null; code: high or low, whichever is
+    nearer to a level as a share of itself (equal: low), with level and close_val; prominence of that peak or trough (0 where
+    it is none); perc_{k}: the absolute running change k rows later less that now (perc_5: without absolute values), and
+    hl_perc_{k}: the high k rows later over the low now; both are null on a symbol's first row and where there is no such row.
+    Needs fChangeP.
+    """
+    from barwright.operators.smoothing import prominences
+    from barwright.operators.studies import peaks, rows
+
+    df = df.select("symbol", "date", "fHigh", "fLow", "fChangeP").withColumn("_depth", -F.col("fLow"))
+    flagged = peaks(peaks(df, "fHigh", "_peak"), "_depth", "_trough")
+    flagged = flagged.withColumns({"_cum": F.sum("fChangeP").over(rows(Window.unboundedPreceding, 0)), "_rn": F.row_number().over(W())})
+    later = lambda c, k: F.when(F.col("_rn") > 1, F.lead(c, k).over(W()))
+    moves = {f"perc_{k}": F.abs(later("_cum", k)) - F.abs("_cum") for k in (1, 2, 3, 10, 20)} | {"perc_5": later("_cum", 5) - F.col("_cum")}
+    moves |= {f"hl_perc_{k}": F.try_divide(later("fHigh", k) - F.col("fLow"), F.col("fLow")) for k in (1, 2, 3)}
+    flagged = flagged.withColumns(moves)
+    at = nearest(df, lv).drop("h_pct", "l_pct")
+    both = flagged.join(at, ["symbol", "date"])
+    share = lambda side, of: F.try_divide(F.abs(F.col(of) - F.col(f"{side}_value")), F.col(of))
+    both = both.withColumns({"high_diff": share("h", "fHigh"), "low_diff": share("l", "fLow")})
+    by_high = F.coalesce(F.col("high_diff") < F.col("low_diff"), F.lit(False))
+    for column, name in (("fHigh", "_ph"), ("_depth", "_pl")):
+        both = both.join(prominences(df, column).withColumnRenamed("prominence", name), ["symbol", "date"], "left")
+    pick = lambda a, b: F.when(by_high, F.col(a)).otherwise(F.col(b))
+    both = both.withColumns({
+        "kind": F.when(F.col("_trough") == 1, "trough").when(F.col("_peak") == 1, "peak"),
+        "code": F.when(by_high, "high").otherwise("low"),
+        "level": pick("h_level", "l_level"),
+        "close_val": pick("high_diff", "low_diff"),
+        "prominence": F.coalesce(pick("_ph", "_pl"), F.lit(0.0)),
+    })
+    return both.select("symbol", "date", "kind", "code", "level", "close_val", "prominence", "high_diff", "low_diff", "h_level", "l_level", *moves)
+
+
+def closeness_by_symbol(near: DataFrame) -> DataFrame:
+    """symbol, n (peaks and troughs), total and mean distance to the nearest level; symbols at no distance are left out. Needs `peaks_near_levels`."""
+    g = near.where("kind IS NOT NULL").groupBy("symbol").agg(F.count("*").alias("n"), F.sum("close_val").alias("total"))
+    return g.where("total > 0").withColumn("mean_close", F.col("total") / F.col("n"))
+
+
+def troughs_over_peaks(near: DataFrame, lv: DataFrame, share: float = 0.05) -> DataFrame:
+    """level, peaks, troughs, t_p (troughs over peaks) of rows after the run whose high and low are both within share of a level."""
+    after = near.join(lv.select("symbol", "last_date"), "symbol").where((F.col("date") > F.col("last_date")) & (F.col("high_diff") < share) & (F.col("low_diff") < share))
+    g = after.groupBy("level").agg(F.count_if(F.col("kind") == "peak").alias("peaks"), F.count_if(F.col("kind") == "trough").alias("troughs"))
+    return g.where("peaks + troughs > 0").withColumn("t_p", F.try_divide("troughs", F.nullif("peaks", F.lit(0))))
+
+
+def bounces(near: DataFrame, lv: DataFrame, share: float = 0.05) -> DataFrame:
+    """Rows after the extension's date within share of a level: the first of each symbol and level of the high, and of these the first of each symbol and level of the low."""
+    after = near.join(lv.select("symbol", "ext_date"), "symbol").where((F.col("date") > F.col("ext_date")) & (F.col("close_val") < share))
+    for level in ("h_level", "l_level"):
+        w = Window.partitionBy("symbol", level).orderBy("date")
+        after = after.withColumn("_k", F.row_number().over(w)).where("_k = 1").drop("_k")
+    return after.drop("ext_date")
+
+
 def pipeline(df: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """The levels, the confirmations and the runs of all symbols, from one plan."""
     n = numbered(df)

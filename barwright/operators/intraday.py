@@ -42,3 +42,11 @@ def clean_minutes(df: DataFrame, date: str, minute: str, value: str) -> DataFram
     """dtime from text dates and minutes; rows without a value go; the value as a 32-bit float."""
     when = F.try_to_timestamp(F.concat_ws(" ", date, minute), F.lit("yyyy-MM-dd HH:mm"))
     return df.where(F.col(value).isNotNull()).withColumns({"dtime": when, value: F.col(value).cast("float")})
+
+
+def time_ordinals(df: DataFrame, ts: str, name: str = "ordinal") -> DataFrame:
+    """df with the number, from 0, of a time's minute of the day among those that occur (at most 1,440, so the table of them is broadcast)."""
+    minute = minute_of_day(F.col(ts))
+    times = df.select(minute.alias("_m")).where("_m IS NOT NULL").distinct()
+    numbers = times.select("_m", (F.row_number().over(Window.orderBy("_m")) - 1).alias(name))
+    return df.withColumn("_m", minute).join(F.broadcast(numbers), "_m", "left").drop("_m")

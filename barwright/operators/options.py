@@ -130,3 +130,27 @@ def flatten_tree(df: DataFrame, column: str) -> DataFrame:
 def missing_expiries(wanted: DataFrame, have: DataFrame) -> DataFrame:
     """symbol, expires (sorted array) of the wanted (symbol, expires) that are not there."""
     return wanted.join(have.select("symbol", "expires").distinct(), ["symbol", "expires"], "left_anti").groupBy("symbol").agg(F.array_sort(F.collect_set("expires")).alias("expires"))
+
+
+def pc_table(df: DataFrame, column: str, ratio_name: str, cutoff: float | None = None, only_ratio: bool = False) -> DataFrame:
+    """underlying, sums of column by side ({column}C, {column}P; a sum of 0 counts as 1) and puts over calls (null where a side is absent); with cutoff, rows with a side above it."""
+    total = lambda s: F.sum(F.when(F.col("side") == s, F.coalesce(F.col(column), F.lit(0))))
+    one = lambda c: F.when(F.col(c) == 0, F.lit(1)).otherwise(F.col(c))
+    c, p = f"{column}C", f"{column}P"
+    wide = df.groupBy("underlying").agg(total("C").alias(c), total("P").alias(p)).withColumns({c: one(c), p: one(p)}).withColumn(ratio_name, F.try_divide(p, c))
+    if cutoff is not None:
+        wide = wide.where((F.col(c) > cutoff) | (F.col(p) > cutoff))
+    return wide.drop(c, p) if only_ratio else wide
+
+
+def clean_flex(df: DataFrame) -> DataFrame:
+    """Report lines of flexible options (SYMBOL, YR, MO, DAY, SIDE and others, as text): repeated headers and lines that are no contract go; STYLE is the symbol's first character, expirationDate its three parts together."""
+    kept = df.where(F.col("SIDE").isin("C", "P") & (F.col("SYMBOL") != "SYMBOL"))
+    return kept.withColumns({"STYLE": F.substring("SYMBOL", 1, 1), "SYMBOL": F.expr("substring(SYMBOL, 2)"), "expirationDate": F.concat("YR", "MO", "DAY")})
+
+
+def clean_trade_volume(df: DataFrame) -> DataFrame:
+    """Trade volumes by exchange with short names, quantities as whole numbers (what is none: null)."""
+    short = {"exchangeId": "exId", "exchangeName": "exName", "firmQuantity": "fQuant", "customerQuantity": "cQuant", "marketQuantity": "mQuant"}
+    df = df.withColumnsRenamed(short)
+    return df.withColumns({c: F.col(c).try_cast("bigint") for c in ("fQuant", "cQuant", "mQuant") if c in df.columns})

@@ -25,6 +25,12 @@ def with_count(missing: DataFrame, key: str = "symbol") -> DataFrame:
     return missing.withColumn("n", F.count("*").over(Window.partitionBy(key)))
 
 
+def singles_and_multiples(missing: DataFrame, key: str = "symbol") -> tuple[DataFrame, DataFrame]:
+    """The missing dates of keys that miss one, and those of keys that miss more."""
+    counted = with_count(missing, key)
+    return counted.where("n = 1").drop("n"), counted.where("n > 1").drop("n")
+
+
 def gap_fill(df: DataFrame, second: DataFrame, keys: Sequence[str]) -> DataFrame:
     """df and the rows of a second source whose keys df hasn't."""
     return df.unionByName(second.join(df.select(*keys), list(keys), "left_anti"), allowMissingColumns=True)

@@ -193,6 +193,21 @@ def rsi(df: DataFrame, n: int = 14) -> DataFrame:
     return df.withColumns({"rsi_ob": flag(F.col("rsi") > 70), "rsi_os": flag(F.col("rsi") < 30)}).drop("_rn", "_gain", "_loss", "_gain_mean", "_loss_mean")
 
 
+def rsi_parts(df: DataFrame, n: int = 14) -> DataFrame:
+    """change, gain, loss, avg_gain, avg_loss, rs and rsi_{n} = 100 - 100 / (1 + rs), as one study: the means begin at row n (from 0) with the plain means of the changes up to it, null before.
+
+    Without losses rs has no value and rsi is 100; without changes at all it is null.
+    """
+    change = F.col("fClose") - F.lag("fClose").over(W())
+    df = df.withColumns({"_rn": F.row_number().over(W()) - 1, "change": change}).withColumns({"gain": F.when(F.col("change") < 0, 0.0).otherwise(F.col("change")), "loss": F.when(F.col("change") > 0, 0.0).otherwise(-F.col("change"))})
+    for side in ("gain", "loss"):
+        x = F.when(F.col("_rn") < n, F.lit(0.0)).when(F.col("_rn") == n, F.avg(side).over(rows(1 - n, 0))).otherwise(F.col(side) / n)
+        df = decayed(df, x, 1 - 1 / n, f"avg_{side}").withColumn(f"avg_{side}", F.when(F.col("_rn") >= n, F.col(f"avg_{side}")))
+    df = df.withColumn("rs", F.try_divide("avg_gain", "avg_loss"))
+    value = F.when(F.col("rs").isNotNull(), 100 - 100 / (1 + F.col("rs"))).when(F.col("avg_gain") > 0, F.lit(100.0))
+    return df.withColumn(f"rsi_{n}", value).drop("_rn")
+
+
 def obv(df: DataFrame) -> DataFrame:
     """On-balance volume: + volume after a rise, - after a fall or no change, 0 on the first row; its running sum."""
     before = F.lag("fClose").over(W())

@@ -7,7 +7,7 @@ import importlib
 from barwright.plans.registry import QUERIES, SQL, Query
 
 FLAGSHIP = "ma_cross_lookahead"
-MODULES = ("relational", "bars", "windows", "studies", "candles", "fib", "options", "text", "dates", "quality", "streams", "sources", "extras")
+MODULES = ("relational", "bars", "windows", "studies", "candles", "fib", "options", "text", "dates", "quality", "streams", "sources", "extras", "flow")
 
 
 def _load() -> None:

@@ -142,15 +142,6 @@ def osi_parse(spark: SparkSession, d: str) -> DataFrame:
     return _symbols(spark, d).select("o_orderkey", *[c.alias(n) for n, c in O.parse_symbol(F.col("osi")).items()])
 
 
-@query("option_tree", None)
-def option_tree(spark: SparkSession, d: str) -> DataFrame:
-    contracts = F.struct("volume", "oi", "bid", "ask")
-    by_strike = _chain(spark, d).groupBy("underlying", "side", "expires", "strike").agg(F.array_sort(F.collect_list(contracts)).alias("l"))
-    by_expiry = by_strike.groupBy("underlying", "side", "expires").agg(F.map_from_entries(F.collect_list(F.struct("strike", "l"))).alias("m"))
-    tree = by_expiry.groupBy("underlying", "side").agg(F.map_from_entries(F.collect_list(F.struct(F.col("expires").cast("string"), "m"))).alias("tree"))
-    return P.flatten_tree(tree, "tree")
-
-
 @query("missing_expiries", with_chain(", w AS (SELECT u.underlying AS symbol, e.expires FROM (SELECT DISTINCT underlying FROM chain) u CROSS JOIN (SELECT DISTINCT expires FROM chain) e) SELECT symbol, array_to_string(list_sort(list(expires)), ',') AS expires FROM w WHERE (symbol, expires) NOT IN (SELECT (underlying, expires) FROM chain WHERE side = 'C') GROUP BY 1"))
 def missing_expiries(spark: SparkSession, d: str) -> DataFrame:
     c = _chain(spark, d).withColumnRenamed("underlying", "symbol")

@@ -67,31 +67,3 @@ def rising_runs(spark: SparkSession, d: str) -> DataFrame:
     from barwright.operators.patterns import rising_runs
 
     return rising_runs(load(spark, d, "week"), 4)
-
-
-@query("gap_islands_merged", None)
-def gap_islands_merged(spark: SparkSession, d: str) -> DataFrame:
-    from barwright.operators.patterns import merge_near, rising_runs
-
-    return merge_near(rising_runs(load(spark, d, "week"), 2), 10)
-
-
-@query("kalman_level", None, "level")
-def kalman_level(spark: SparkSession, d: str) -> DataFrame:
-    from barwright.operators.smoothing import kalman
-
-    return kalman(load(spark, d, "month"), "fClose")
-
-
-@query("peak_prominence", None)
-def peak_prominence(spark: SparkSession, d: str) -> DataFrame:
-    from barwright.operators.smoothing import prominences
-
-    return prominences(load(spark, d, "month"), "fClose")
-
-
-@query("distant_peaks", None)
-def distant_peaks(spark: SparkSession, d: str) -> DataFrame:
-    from barwright.operators.smoothing import distant_peaks
-
-    return distant_peaks(load(spark, d, "month"), "fClose", 15)
