@@ -15,11 +15,11 @@ def scan_pruned(spark: SparkSession, d: str) -> DataFrame:
     return df.where("l_shipdate >= '2000-01-01' AND l_shipdate < '2000-02-01'").drop("l_shipdate")
 
 
-@query("catalog_table", "SELECT o_orderkey, upper(o_orderstatus) AS o_orderstatus FROM orders WHERE o_custkey = 7")
+@query("catalog_table", "SELECT o_orderkey, upper(o_orderstatus) AS o_orderstatus FROM orders")
 def catalog_table(spark: SparkSession, d: str) -> DataFrame:
     catalog = R.Catalog(spark, d)
     catalog.register("orders", lambda df: df.withColumn("o_orderstatus", F.upper("o_orderstatus")))
-    return catalog.table("orders", ["o_orderkey", "o_orderstatus"], o_custkey=7)
+    return catalog.table("orders", ["o_orderkey", "o_orderstatus"])
 
 
 @query("html_titles", "SELECT page_id, nullif(trim(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)), '') AS title, len(regexp_extract_all(html, '(?i)<a\\s[^>]*href=[\"'']([^\"'']*)[\"'']'))::INT AS links FROM pages")

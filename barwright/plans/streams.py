@@ -37,19 +37,31 @@ def _run(stream: DataFrame, mode: str = "append") -> DataFrame:
     return spark.read.schema(stream.schema).parquet(f"{at}/out")
 
 
-@query("stream_window_watermark", None)
+#: A window or session is given out when the watermark, an hour behind the newest event, has passed its end.
+_PASSED = "<= (SELECT date_trunc('milliseconds', max(ts)) FROM events) - INTERVAL 1 HOUR"
+_OHLC = "arg_min(value, row(ts, value)) AS o, max(value) AS h, min(value) AS l, arg_max(value, row(ts, value)) AS c, count(*) AS n"
+
+
+@query("stream_window_watermark", f"SELECT event_type, date_trunc('hour', ts) AS bucket, {_OHLC} FROM events GROUP BY 1, 2 HAVING date_trunc('hour', ts) + INTERVAL 1 HOUR {_PASSED}")
 def stream_window_watermark(spark: SparkSession, d: str) -> DataFrame:
-    return _run(S.windowed(_events(spark, d), ["event_type"], "1 hour", "1 hour", "value"))
+    return _run(S.windowed(_events(spark, d), ["event_type"], "1 hour", "1 hour", "value")).withColumn("bucket", F.col("bucket").cast("timestamp_ntz"))
 
 
-@query("stream_window_sliding", None)
+@query(
+    "stream_window_sliding",
+    f"WITH w AS (SELECT *, date_trunc('hour', ts) AS bucket FROM events UNION ALL SELECT *, date_trunc('hour', ts) - INTERVAL 1 HOUR FROM events) SELECT event_type, bucket, {_OHLC} FROM w GROUP BY 1, 2 HAVING bucket + INTERVAL 2 HOUR {_PASSED}",
+)
 def stream_window_sliding(spark: SparkSession, d: str) -> DataFrame:
-    return _run(S.windowed(_events(spark, d), ["event_type"], "2 hours", "1 hour", "value", "1 hour"))
+    return _run(S.windowed(_events(spark, d), ["event_type"], "2 hours", "1 hour", "value", "1 hour")).withColumn("bucket", F.col("bucket").cast("timestamp_ntz"))
 
 
-@query("stream_session", None)
+@query(
+    "stream_session",
+    f"""WITH g AS (SELECT *, sum(step) OVER (PARTITION BY user_id ORDER BY ts) AS s FROM (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) <= INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS step FROM events))
+SELECT user_id, min(ts) AS "begin", max(ts) + INTERVAL 30 MINUTE AS "end", count(*) AS n FROM g GROUP BY user_id, s HAVING max(ts) + INTERVAL 30 MINUTE {_PASSED}""",
+)
 def stream_session(spark: SparkSession, d: str) -> DataFrame:
-    return _run(S.sessions(_events(spark, d), ["user_id"], "30 minutes", "1 hour"))
+    return _run(S.sessions(_events(spark, d), ["user_id"], "30 minutes", "1 hour")).withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("begin", "end")})
 
 
 @query("stream_dedup", "SELECT event_id, user_id, value FROM events")

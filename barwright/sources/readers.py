@@ -18,8 +18,9 @@ def parquet(spark: SparkSession, *paths: str, columns: Sequence[str] | None = No
 def delimited(spark: SparkSession, path: str, schema: T.StructType, sep: str = ",", header_cell: str | None = None, skip: int = 0, null_value: str = "") -> DataFrame:
     """A delimited file with an explicit schema.
 
-    skip: lines of each file to leave out. header_cell: everything up to the line whose first field is this goes, wherever
-    that line is in its file (each file's lines are numbered as they are read).
+    skip: lines of each file to leave out (they lie in the first part of a file that is read by one task). header_cell:
+    everything up to the line whose first field is this goes, wherever that line is in its file. Each file's lines are
+    numbered as they are read; nothing is sorted.
     """
     lines = spark.read.text(path, wholetext=False).select("value", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_at"))
     if header_cell is not None:
@@ -27,9 +28,8 @@ def delimited(spark: SparkSession, path: str, schema: T.StructType, sep: str = "
         heads = lines.where(first == header_cell).groupBy("_file").agg(F.min("_at").alias("_head"))  # a row a file
         lines = lines.join(F.broadcast(heads), "_file").where("_at > _head")
     elif skip:
-        from pyspark.sql import Window
-
-        lines = lines.withColumn("_n", F.row_number().over(Window.partitionBy("_file").orderBy("_at"))).where(F.col("_n") > skip)
+        heads = lines.where("_block = 0").groupBy("_file").agg(F.min("_at").alias("_head"))  # a row a file
+        lines = lines.join(F.broadcast(heads), "_file").where((F.col("_block") > 0) | (F.col("_at") - F.col("_head") >= skip))
     kept = lines.where(F.trim("value") != "")
     return kept.select(F.from_csv("value", schema.simpleString().removeprefix("struct<").removesuffix(">").replace(":", " "), {"sep": sep, "nullValue": null_value, "mode": "PERMISSIVE"}).alias("r")).select("r.*")
 

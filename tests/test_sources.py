@@ -185,3 +185,32 @@ def test_messages_go_to_their_service(spark, tmp_path):
     stream = spark.readStream.schema("service string, v int").json(str(tmp_path / "in"))
     feeds.demultiplexed(stream, "service", {"Q": put("Q"), "T": put("T")}, put("rest"), str(tmp_path / "s")).trigger(availableNow=True).start().awaitTermination()
     assert {k: sorted(v) for k, v in got.items()} == {"Q": [1], "T": [2], "rest": [3, 4]}
+
+
+def test_catalog_filters_reach_the_scan(spark):
+    catalog = readers.Catalog(spark, "/root/testdata/sf0.001")
+    catalog.register("orders", lambda df: df.withColumn("o_orderstatus", F.upper("o_orderstatus")))
+    one = catalog.table("orders", ["o_orderkey", "o_orderstatus"], o_custkey=7)
+    plan = one._jdf.queryExecution().toString()
+    assert "EqualTo(o_custkey,7)" in plan and one.count() == catalog.table("orders").where("o_custkey = 7").count()
+
+
+def test_pages_by_number_and_by_token(spark):
+    from barwright.sources.pages import paged_source, token_source
+
+    spark.dataSource.register(paged_source("numbered_pages", "id bigint", 3, lambda page: [(page * 10 + i,) for i in range(4)]))
+    assert sorted(r["id"] for r in spark.read.format("numbered_pages").load().collect()) == [0, 1, 2, 3, 10, 11, 12, 13, 20, 21, 22, 23]
+
+    def fetch(key, token):
+        at = int(token or 0)
+        return [(key, at)], str(at + 1) if at < key else None
+
+    spark.dataSource.register(token_source("token_pages", "k bigint, at bigint", [0, 2, 5], fetch))
+    assert sorted(map(tuple, spark.read.format("token_pages").load().collect())) == [(k, i) for k in (0, 2, 5) for i in range(k + 1)]
+
+
+def test_call_log_counts_against_a_budget(spark, tmp_path):
+    at = lambda h, m: datetime.datetime(2024, 1, 1, h, m)
+    sinks.log_calls(spark.createDataFrame([("news", at(1, 0)), ("news", at(1, 30))], "service string, ts timestamp"), str(tmp_path / "log"))
+    log = sinks.log_calls(spark.createDataFrame([("news", at(1, 40)), ("bars", at(2, 0))], "service string, ts timestamp"), str(tmp_path / "log"))
+    assert sorted((r["service"], r["begin"].hour, r["n"], r["left"]) for r in sinks.call_budget(log, "1 hour", 2).collect()) == [("bars", 2, 1, 1), ("news", 1, 3, 0)]
