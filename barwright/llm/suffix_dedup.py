@@ -34,7 +34,7 @@ CHUNK = 96
 #: Bytes of contexts in one suffix array.
 ARRAY_BYTES = 1 << 20
 #: Windows of spread anchors in a bucket, about.
-BUCKET_WINDOWS = 2_000_000
+BUCKET_WINDOWS = 250_000
 #: Tables up to this size are broadcast; larger ones are joined by a shuffle.
 BROADCAST_BYTES = 8 << 20
 #: Documents of a task of the last step, whose rows are small.
@@ -262,7 +262,7 @@ def chunk_matches(parts: DataFrame, length: int, keep_first: bool, buckets: int)
             if gone.any():
                 yield _spans_batch(*spans_of(doc[gone], start[gone]))
             send = np.flatnonzero(lone & x["spread"][row])
-            for part in np.array_split(send, -(-len(send) // 200_000)) if len(send) else []:
+            for part in np.array_split(send, -(-len(send) // 20_000)) if len(send) else []:
                 hashed = Hashed(data)
                 packed = np.zeros(len(part), _PACKED)
                 packed["h1"] = hashed.of(starts[part], starts[part] + length)
