@@ -14,8 +14,7 @@ All words, bigrams and trigrams are counted, none is merged with others or left
 * a chunk has then the counts of its tokens' n-grams and contexts, side by side (`Counted`), and scores its documents.
 
 So a bucket and a chunk hold a bounded number of keys at any input size, and the most frequent n-gram comes once from a chunk.
-
-`word_counts` to `Model` are a model of word classes, which `score` does not use.
+Counts have 64 bits. For every context that was seen, the probabilities of all words and of one unknown word sum to one.
 """
 
 from __future__ import annotations
@@ -32,9 +31,6 @@ from pyspark.sql import functions as F
 from barwright.llm import bytesets
 from barwright.llm.store import small_batches, written
 
-CLASSES2 = 2000
-CLASSES3 = 120
-KNOWN_WORDS = 400_000
 #: Of the classes crc32(doc_id) mod 7 that train (all but 2), the one on which the weights are learned.
 DELETED = 5
 HELD_OUT = 2
@@ -63,181 +59,6 @@ def tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return out, words.text_offsets + np.arange(len(counts) + 1)
 
 
-def word_counts(training: DataFrame) -> DataFrame:
-    """word (its 64-bit value), c: one row for each distinct token of the training texts."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray]] = []
-        size = 0
-
-        def merged() -> tuple[np.ndarray, np.ndarray]:
-            both, at = np.unique(np.concatenate([h[0] for h in held]), return_inverse=True)
-            return both, np.bincount(at, np.concatenate([h[1] for h in held]), len(both)).astype(np.int64)
-
-        def out(both: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(both.view(np.int64)), pa.array(n)], names=["word", "c"])
-
-        for batch in bytesets.chunks(batches):
-            held.append(np.unique(tokens(*bytesets.utf8(batch.column("text")))[0], return_counts=True))
-            size += len(held[-1][0])
-            if size > 2_000_000:
-                held = [merged()]
-                size = len(held[0][0])
-                if size > 1_500_000:  # a task's memory is bounded
-                    yield out(*held[0])
-                    held, size = [], 0
-        if held:
-            yield out(*merged())
-
-    return training.select("text").mapInArrow(run, "word long, c long").groupBy("word").agg(F.sum("c").alias("c"))
-
-
-@dataclass
-class Vocabulary:
-    """The frequent words, sorted by value, their counts and their places by frequency; totals of all words."""
-
-    words: np.ndarray
-    counts: np.ndarray
-    rank: np.ndarray
-    total: int  # N, all training tokens
-    distinct: int  # V
-
-    def look_up(self, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Place by frequency (very large if not here) and count (-1 if not here) of each token."""
-        if not len(self.words):
-            return np.full(len(values), 1 << 40), np.full(len(values), -1, np.int64)
-        at = np.minimum(np.searchsorted(self.words, values), len(self.words) - 1)
-        here = self.words[at] == values
-        return np.where(here, self.rank[at], 1 << 40), np.where(here, self.counts[at], -1)
-
-
-def vocabulary(counts: DataFrame) -> Vocabulary:
-    row = counts.agg(F.sum("c"), F.count("*")).first()
-    total, distinct = row[0] or 0, row[1]
-    # the least count that keeps to the bound, from a histogram by count (its size grows with the logarithm of the counts)
-    step = F.floor(F.log2("c") * 8)
-    sizes = {r["s"]: r["n"] for r in counts.groupBy(step.alias("s")).agg(F.count("*").alias("n")).collect()}
-    held, least = 0, None
-    for s in sorted(sizes, reverse=True):
-        held += sizes[s]
-        if held > KNOWN_WORDS:
-            break
-        least = s
-    rows = counts.where(step >= least).toPandas() if least is not None else counts.limit(0).toPandas()
-    words, c = rows["word"].to_numpy(np.int64).view(_U), rows["c"].to_numpy(np.int64)
-    order = np.lexsort((words, -c))
-    rank = np.empty(len(words), np.int64)
-    rank[order] = np.arange(len(words))
-    by_value = np.argsort(words)
-    return Vocabulary(words[by_value], c[by_value], rank[by_value], int(total), int(distinct))
-
-
-class Classes:
-    """Class numbers of a batch's tokens for bigrams and trigrams, with those of the two tokens before (starts of texts are a class too)."""
-
-    def __init__(self, rank: np.ndarray, offsets: np.ndarray):
-        self.two = self._before(np.minimum(rank, CLASSES2), offsets, CLASSES2 + 1)
-        self.three = self._before(np.minimum(rank, CLASSES3), offsets, CLASSES3 + 1)
-
-    @staticmethod
-    def _before(c: np.ndarray, offsets: np.ndarray, start: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        one, two = np.roll(c, 1), np.roll(c, 2)
-        first = offsets[:-1]
-        one[first] = start
-        two[first] = start
-        second = first + 1
-        second = second[second < offsets[1:]]
-        two[second] = start
-        return two, one, c
-
-    def bigrams(self) -> np.ndarray:
-        _, v, w = self.two
-        return v * (CLASSES2 + 2) + w
-
-    def trigrams(self) -> np.ndarray:
-        u, v, w = self.three
-        return (u * (CLASSES3 + 2) + v) * (CLASSES3 + 2) + w
-
-
-def ngram_counts(training: DataFrame, known) -> list[tuple[np.ndarray, np.ndarray]]:
-    """For n = 2 and 3 the n-grams' numbers and counts over all texts; at most as many as the two arrays have places.
-
-    They come to the driver packed, 8 bytes each.
-    """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = {2: np.zeros((CLASSES2 + 2) ** 2, np.int64), 3: np.zeros((CLASSES3 + 2) ** 3, np.int64)}
-        vocab = known.value
-        for batch in bytesets.chunks(batches):
-            values, offsets = tokens(*bytesets.utf8(batch.column("text")))
-            classes = Classes(vocab.look_up(values)[0], offsets)
-            for n, grams in ((2, classes.bigrams()), (3, classes.trigrams())):
-                at, c = np.unique(grams, return_counts=True)
-                total[n][at] += c
-        for n, c in total.items():
-            some = np.flatnonzero(c)
-            for part in np.array_split(some, max(1, len(some) // 100_000)):
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), n, np.int32)), pa.array(part), pa.array(c[part])], names=["n", "gram", "c"])
-
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            n, gram, c = (batch.column(k).to_numpy() for k in ("n", "gram", "c"))
-            for k in (2, 3):
-                own = n == k
-                pairs = np.stack([gram[own], np.minimum(c[own], 2**31 - 1)], axis=1).astype("<i4")
-                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([pairs.tobytes()], pa.binary())], names=["n", "packed"])
-
-    counted = training.select("text").mapInArrow(run, "n int, gram long, c long").groupBy("n", "gram").agg(F.sum("c").alias("c"))
-    parts: dict[int, list[np.ndarray]] = {2: [], 3: []}
-    for row in counted.mapInArrow(pack, "n int, packed binary").toLocalIterator():
-        parts[row["n"]].append(np.frombuffer(bytes(row["packed"]), "<i4").reshape(-1, 2))
-    out = []
-    for k in (2, 3):
-        both = np.concatenate(parts.pop(k) or [np.zeros((0, 2), "<i4")])
-        out.append((both[:, 0], both[:, 1]))
-    return out
-
-
-class Model:
-    """Arrays of fixed size: bigram and trigram counts by class, the classes' unigram counts, and the mixing weights."""
-
-    def __init__(self, vocab: Vocabulary, grams: list[tuple[np.ndarray, np.ndarray]]):
-        n2, n3 = CLASSES2 + 2, CLASSES3 + 2
-        self.c2, self.c3 = np.zeros(n2 * n2, np.int32), np.zeros(n3**3, np.int32)
-        for table, (at, c) in zip((self.c2, self.c3), grams, strict=True):
-            table[at] = c
-        self.x2, self.x3 = self.c2.reshape(n2, n2).sum(axis=1, dtype=np.int64), self.c3.reshape(n3 * n3, n3).sum(axis=1, dtype=np.int64)
-        top = np.zeros(CLASSES2 + 1, np.int64)
-        few = vocab.rank < CLASSES2
-        top[vocab.rank[few]] = vocab.counts[few]
-        top[CLASSES2] = vocab.total - top.sum()
-        self.top = top
-        self.total, self.distinct = vocab.total, vocab.distinct
-        self.weights = np.full((BINS * BINS, 4), 0.25)
-        self.other2 = float(top[CLASSES2] + vocab.distinct + 1)  # the shared class, each of its words counted once more
-        three = np.append(top[:CLASSES3], vocab.total - top[:CLASSES3].sum())
-        self.p3 = three / max(vocab.total, 1)
-
-    def components(self, classes: Classes) -> tuple[np.ndarray, np.ndarray]:
-        """Bucket of the contexts, and the four estimates of each token's class."""
-        u3, v3, w3 = classes.three
-        _, v2, w2 = classes.two
-        n3 = CLASSES3 + 2
-        x2, x3 = self.x2[v2], self.x3[u3 * n3 + v3]
-        p1 = (self.top[w2] + 1) / (self.total + len(self.top))
-        p2 = self.c2[classes.bigrams()] / np.maximum(x2, 1)
-        p3 = self.c3[classes.trigrams()] / np.maximum(x3, 1)
-        own = np.where(w3 < CLASSES3, 1.0, p1 / np.maximum(self.p3[CLASSES3], 1e-12))  # a word of the trigrams' shared class has its share of it
-        p0 = np.full(len(w2), 1.0 / len(self.top))
-        octave = lambda x: np.minimum(np.log2(x + 1.0).astype(np.int64), BINS - 1)
-        bucket = octave(x3) * BINS + octave(x2)
-        return bucket, np.stack([p0, p1, p2, np.minimum(p3 * own, 1.0)], axis=1)
-
-    def log10(self, classes: Classes) -> np.ndarray:
-        bucket, p = self.components(classes)
-        return np.log10((self.weights[bucket] * p).sum(axis=1))
-
-
 def packed(x: np.ndarray) -> bytes:
     """64-bit values by place of their bytes, compressed."""
     planes = np.ascontiguousarray(np.ascontiguousarray(x).astype(_U, copy=False).view(np.uint8).reshape(-1, 8).T)

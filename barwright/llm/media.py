@@ -49,7 +49,7 @@ def shots(shares: np.ndarray) -> list[tuple[int, int]]:
 def encoded(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, media: each text's bytes, zeros appended up to a positive multiple of 64, as an AVI file.
 
-    Null texts are empty; other columns are ignored.
+    Null texts are empty. Rows with equal or null doc_ids have a file each; an empty table gives no rows; other columns are ignored.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -76,7 +76,8 @@ def encoded(docs: DataFrame) -> DataFrame:
 def digest(media: DataFrame) -> DataFrame:
     """doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature of each file of `encoded`, from its stored bytes.
 
-    feature: the number of frames and the shots in milliseconds, from histograms of the samples read back.
+    feature: the number of frames and the shots in milliseconds, from histograms of the samples read back. A row for each row,
+    repeated and null doc_ids included; an empty table gives no rows.
     """
     names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
 

@@ -197,6 +197,45 @@ def test_filters_return_all_languages_and_correct_false_positives():
     assert np.allclose(rate, f.false_positives, atol=0.01)
 
 
+def test_languages_by_definition(spark):
+    """Languages of n-grams from dictionaries, decided by plain counts: the filters decide alike but where counts are close."""
+    rng = random.Random(4)
+    letters = {"x": "abcdeä", "y": "defghö", "z": "ghijk"}
+    text = lambda lang: " ".join("".join(rng.choice(letters[lang]) for _ in range(rng.randrange(2, 7))) for _ in range(40))
+    rows = [(i, text(lang), lang) for i, lang in enumerate(rng.choice("xyz") for _ in range(150))] + [(900, None, "x"), (901, "42 !", "y"), (902, "abcd", None)]
+
+    def grams(t):
+        b = "".join(c if c.isalpha() else " " for c in lowered(t)).encode()
+        return [g for g in (b[k : k + 4] for k in range(len(b) - 3)) if g != b"    "]
+
+    counts = collections.defaultdict(collections.Counter)
+    for i, t, lang in rows:
+        if lang and zlib.crc32(str(i).encode()) % 5:
+            counts[lang].update(grams(t))
+    rate = {lang: {g: n / sum(c.values()) for g, n in c.items()} for lang, c in counts.items()}
+    has = lambda lang, g: rate[lang].get(g, 0) >= max(language_id.RATE, language_id.SHARE * max(r.get(g, 0) for r in rate.values()))
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    filters = language_id.learned(df.where(~language_id.is_held_out()))
+    for r in language_id.identify(df.unionByName(df.limit(3)), filters).collect():
+        found = {lang: sum(has(lang, g) for g in grams(rows[r["doc_id"]][1])) for lang in rate} if r["doc_id"] < 900 else {}
+        if found:
+            best = sorted(found.values())
+            assert r["lang_pred"] == max(found, key=found.get) or best[-1] - best[-2] < 3
+            assert abs(r["score"] - best[-1] / sum(best)) < 0.05
+        elif r["doc_id"] in (900, 901):
+            assert (r["lang_pred"], r["score"]) == ("und", 0.0)
+
+
+def test_more_languages_than_bits_of_a_word():
+    rng = np.random.default_rng(3)
+    own = [rng.integers(1, 2**32, 200).astype(np.uint64) for _ in range(130)]
+    f = language_id.Filters([f"l{i:03d}" for i in range(130)], own, [1 / 130] * 130)
+    assert f.words.shape[1] == 3
+    for i in (0, 63, 64, 127, 128, 129):
+        masks = f.masks(own[i])
+        assert f.bit(masks, i).all() and f.bit(masks, (i + 1) % 130).mean() < 0.05
+
+
 # 4 benchmark decontamination
 
 
@@ -308,9 +347,7 @@ def test_placing_keeps_all_three_limits():
 # 7 language-model scoring
 
 
-@pytest.mark.parametrize("known", [400_000, 500])
-def test_lm_scores(spark, docs, edge, monkeypatch, known):
-    monkeypatch.setattr(lm_scoring, "KNOWN_WORDS", known)
+def test_lm_scores(spark, docs, edge):
     both = docs.select("doc_id", "text").union(edge.select(edge.doc_id + 10_000, "text"))
     rows = {r[0]: [*spaced(r[1]), 0] for r in both.collect()}
     counts = collections.Counter()
@@ -330,8 +367,7 @@ def test_lm_scores(spark, docs, edge, monkeypatch, known):
     assert sum(s for _, s in held) > sum(b for b, _ in held)  # better than the base on held-out texts
 
 
-def test_lm_scores_of_repeated_rows(spark, monkeypatch):
-    monkeypatch.setattr(lm_scoring, "KNOWN_WORDS", 2)
+def test_lm_scores_of_repeated_rows(spark):
     one = next(i for i in range(99) if zlib.crc32(str(i).encode()) % 7 not in (lm_scoring.HELD_OUT, lm_scoring.DELETED))
     rows = [(one, "the cat sat"), (one, "the cat sat"), (one, "rare words here"), (None, "the end")]
     got = lm_scoring.score(spark.createDataFrame(rows, "doc_id long, text string")).collect()
@@ -344,16 +380,56 @@ def test_lm_scores_of_nothing(spark, empty):
     assert all(r["n_known"] == 0 and r["train_tokens"] == 0 and math.isfinite(r["score"]) for r in lm_scoring.score(lone).collect())
 
 
-def test_probabilities_of_known_classes_sum_to_one(docs, spark):
-    """Over all words that follow one context, of every class."""
-    counts = lm_scoring.word_counts(docs)
-    vocab = lm_scoring.vocabulary(counts)
-    known = spark.sparkContext.broadcast(vocab)
-    model = lm_scoring.Model(vocab, lm_scoring.ngram_counts(docs, known))
-    top = np.arange(lm_scoring.CLASSES2 + 1)
-    rank = np.stack([np.zeros_like(top), top], axis=1).reshape(-1)  # each class behind the most frequent word
-    p = 10 ** model.log10(lm_scoring.Classes(rank, np.arange(0, len(rank) + 1, 2)))[1::2]
-    assert 0.98 < p.sum() < 1.02
+def test_lm_scores_by_definition(spark, monkeypatch):
+    """score against counts in dictionaries and weights drawn by chance; and the probabilities after every context sum to one."""
+    rng = random.Random(5)
+    rows = [(i, " ".join(rng.choice("abcdefgh") * rng.choice([1, 1, 2]) for _ in range(rng.randrange(0, 9)))) for i in range(70)]
+    bins = lm_scoring.BINS
+    weights = np.random.default_rng(5).random((bins * bins, 4))
+    weights[np.arange(bins * bins) % bins == 0, 2] = 0
+    weights[:bins, 3] = 0
+    weights /= weights.sum(axis=1, keepdims=True)
+    monkeypatch.setattr(lm_scoring, "learn_weights", lambda deleted, totals: weights)
+    counts = collections.Counter()
+    texts = 0
+    for i, t in rows:
+        if zlib.crc32(str(i).encode()) % 7 != lm_scoring.HELD_OUT:
+            texts += 1
+            w = ["<", "<", *spaced(t), 0]
+            counts.update(tuple(w[k - n + 1 : k + 1]) for k in range(2, len(w)) for n in (1, 2, 3))
+    vocabulary = [g[0] for g in counts if len(g) == 1]
+    total = sum(counts[(w,)] for w in vocabulary)
+
+    def probability(u, v, w):
+        x2 = texts if v == "<" else counts[(v,)]
+        x3 = texts if v == "<" else counts[(u, v)]
+        l0, l1, l2, l3 = weights[int(math.log2(x3 + 1)) * bins + int(math.log2(x2 + 1))]
+        return l0 / (len(vocabulary) + 1) + l1 * counts[(w,)] / total + l2 * counts[(v, w)] / max(x2, 1) + l3 * counts[(u, v, w)] / max(x3, 1)
+
+    for u, v, _ in [g for g in counts if len(g) == 3]:
+        assert math.isclose(sum(probability(u, v, w) for w in [*vocabulary, "unknown"]), 1, rel_tol=1e-9)
+    got = {r["doc_id"]: r["score"] for r in lm_scoring.score(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for i, t in rows:
+        w = ["<", "<", *spaced(t), 0]
+        assert math.isclose(got[i], sum(math.log10(probability(*w[k - 2 : k + 1])) for k in range(2, len(w))), rel_tol=1e-9)
+
+
+def test_em_raises_the_likelihood_of_the_class_of_the_weights(spark, docs, monkeypatch):
+    """More steps, a better fit to the texts on which the weights are learned."""
+    some = docs.select("doc_id", "text").where("length(text) < 2000").limit(80).collect()
+    df = spark.createDataFrame(some, "doc_id long, text string")
+    chunks = lm_scoring.chunked(df)
+    back = lm_scoring.replies(lm_scoring.messages(chunks, 3))
+    met = chunks.unionByName(back.where("chunk IS NOT NULL"), allowMissingColumns=True).where("deleted")
+    fit = []
+    for steps in (0, 1, 30):
+        monkeypatch.setattr(lm_scoring, "EM_STEPS", steps)
+        weights = lm_scoring.learn_weights(met, lm_scoring.Totals(60, 10_000, 3_000))
+        assert np.allclose(weights.sum(axis=1), 1)
+        monkeypatch.setattr(lm_scoring, "learn_weights", lambda *_, w=weights: w)
+        fit.append(sum(r["score"] for r in lm_scoring.score(df).collect() if zlib.crc32(str(r["doc_id"]).encode()) % 7 == lm_scoring.DELETED))
+        monkeypatch.undo()
+    assert fit[0] < fit[2]
 
 
 def of_class(c, n):
@@ -547,6 +623,32 @@ def test_media_of_texts(spark, docs, edge, empty):
     assert media.digest(media.encoded(empty)).count() == 0
 
 
+def test_feature_by_definition(spark):
+    """Frames of 2,048 bytes, shares of 16 levels, cuts by the rule, one frame after the other."""
+    rng = random.Random(6)
+    texts = ["".join(chr(rng.choice([65 + 16 * (k // 5000 % 3), 97])) for k in range(n)) for n in (0, 1, 63, 64, 5000, 40_000)]
+    rows = [(i, t) for i, t in enumerate(texts)] + [(5, texts[5]), (None, None)]
+    size = 64 * motion_jpeg.FRAME_BLOCKS
+    for r in media.digest(media.encoded(spark.createDataFrame(rows, "doc_id long, text string"))).collect():
+        raw = (texts[r["doc_id"]] if r["doc_id"] is not None else "").encode()
+        payload = raw + bytes(-len(raw) % 64) or bytes(64)
+        frames = [payload[k : k + size] for k in range(0, len(payload), size)]
+        shares = [[sum(b >> 4 == level for b in f) / len(f) for level in range(16)] for f in frames]
+        cuts, begin, history = [], 0, []
+        for i in range(len(frames) - 1):
+            d = sum(abs(x - y) for x, y in zip(shares[i], shares[i + 1], strict=True))
+            near = history[-media.HISTORY :]
+            mean = sum(near) / len(near) if near else 0
+            limit = max(media.LEAST, mean + media.DEVIATIONS * math.sqrt(sum((x - mean) ** 2 for x in near) / len(near))) if near else media.LEAST
+            history.append(d)
+            if d > limit:
+                cuts.append((begin, i))
+                begin, history = i + 1, []
+        cuts.append((begin, len(frames) - 1))
+        ms = motion_jpeg.MILLISECONDS
+        assert r["feature"] == f"frames={len(frames)};shots=" + ",".join(f"{round(a * ms)}-{round((b + 1) * ms)}" for a, b in cuts)
+
+
 def test_clips(spark):
     dark, light = np.full(64 * 32, 10, np.uint8), np.tile(np.arange(64, dtype=np.uint8) * 3, 32)
     frames = [motion_jpeg.frames_of(x, np.array([32]))[0] for x in (dark, dark, dark, light, light)]
@@ -638,14 +740,10 @@ def test_packing_keeps_a_lower_limit_on_loss(spark):
     assert max(by_sequence.values()) <= 500
 
 
-def test_encoder_equals_the_library_when_it_forgets(monkeypatch):
-    texts = ["", "a b  c\n\n d", "x" * 5000, "<|endoftext|> and <|endoftext|>", " ".join(f"w{i}" for i in range(3000)), "  \n ", "é漢字 🙂 " * 50]
-    for kept, block in ((300_000, 200_000), (50, 40)):
-        monkeypatch.setattr(pretokens.Encoder, "KEPT", kept)
-        monkeypatch.setattr(pretokens.Encoder, "BLOCK", block)
-        e = pretokens.Encoder(pretokens.tokenizer_path())
-        for _ in range(2):
-            assert [x.tolist() for x in e.batch(texts)] == [ids_by_library(t) for t in texts]
+def test_encoder_equals_the_library():
+    texts = ["", "a b  c\n\n d", "x" * 5000, "<|endoftext|> and <|endoftext|>", " ".join(f"w{i}" for i in range(3000)), "  \n ", "é漢字 🙂 " * 50, "\t\t a\u00a0b\u3000c" * 9, "1234567" * 700]
+    e = pretokens.Encoder(pretokens.tokenizer_path())
+    assert [x.tolist() for x in e.batch(texts)] == [ids_by_library(t) for t in texts]
 
 
 def test_pairs_of_the_largest_ids(spark):
