@@ -1,10 +1,13 @@
-"""Sequential filters over each symbol's series: what windows can't express, in grouped maps (a symbol's series is one group)."""
+"""Filters over each symbol's series: the local level by windows; peaks and their prominence in grouped maps (a symbol's series is one group)."""
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from barwright.operators.studies import W, decayed, rows
 
 
 def _per_symbol(df: DataFrame, column: str, schema: str, f) -> DataFrame:
@@ -16,21 +19,43 @@ def _per_symbol(df: DataFrame, column: str, schema: str, f) -> DataFrame:
     return df.select("symbol", "date", column).where(f"{column} IS NOT NULL").groupBy("symbol").applyInPandas(run, schema)
 
 
-def kalman(df: DataFrame, column: str, q: float = 0.01, r: float = 1.0) -> DataFrame:
-    """symbol, date, level: a local-level filter with state variance q and noise variance r, from the first value on."""
+#: Rows after which the filter's gain must have settled.
+SETTLED = 2000
 
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        x = part[column].to_numpy(float)
-        out, level, spread = np.empty(len(x)), x[0] if len(x) else 0.0, 1.0
-        for i, value in enumerate(x):
-            spread += q
-            gain = spread / (spread + r)
-            level += gain * (value - level)
-            spread *= 1 - gain
-            out[i] = level
-        return pd.DataFrame({"symbol": part["symbol"], "date": part["date"], "level": out})
-
-    return _per_symbol(df, column, "symbol long, date date, level double", run)
+
+def gains(q: float, r: float) -> list[float]:
+    """The filter's gain at each row until it no longer changes: it depends on the variances only, not on the values."""
+    out, spread = [], 1.0
+    while len(out) < 2 or out[-1] != out[-2]:
+        if len(out) > SETTLED:
+            raise ValueError(f"the gain doesn't settle within {SETTLED} rows; the state's variance is too small against the noise's")
+        spread += q
+        out.append(spread / (spread + r))
+        spread *= 1 - out[-1]
+    return out
+
+
+def kalman(df: DataFrame, column: str, q: float = 0.01, r: float = 1.0) -> DataFrame:
+    """symbol, date, level: a local-level filter with state variance q and noise variance r, from the first value on. Rows with a null value are left out.
+
+    Gains are known in advance, so the level is a weighted sum of the values so far: with the gains' own weights in the rows
+    until the gain settles, and from there on as an exponential mean. All of it is windows over a symbol's rows.
+    """
+    g = gains(q, r)
+    left = [1.0]  # what is left of the first value's weight
+    for x in g[1:]:
+        if left[-1] < 1e-200:
+            break
+        left.append(left[-1] * (1 - x))
+    last = len(left) - 1
+    at = lambda values: F.get(F.array(*map(F.lit, values)), F.col("_rn"))
+    weights = [1.0, *(x / p for x, p in zip(g[1 : last + 1], left[1:], strict=True))]
+    df = df.select("symbol", "date", F.col(column).cast("double").alias("_x")).where("_x IS NOT NULL").withColumn("_rn", F.row_number().over(W()) - 1)
+    early = F.col("_rn") <= last
+    df = df.withColumn("_early", F.sum(F.when(early, at(weights) * F.col("_x"))).over(rows(Window.unboundedPreceding, 0)) * F.when(early, at(left)))
+    x = F.when(F.col("_rn") < last, F.lit(0.0)).when(F.col("_rn") == last, F.col("_early")).otherwise(g[-1] * F.col("_x"))
+    df = decayed(df, x, 1 - g[-1], "_late")
+    return df.select("symbol", "date", F.when(early, F.col("_early")).otherwise(F.col("_late")).alias("level"))
 
 
 def peak_places(x: np.ndarray) -> np.ndarray:

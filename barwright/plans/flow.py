@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,7 +16,7 @@ from barwright.plans.fib import _LEVELS, _input, _least
 from barwright.plans.options import _chain, with_chain
 from barwright.plans.quality import _MISSING, _missing
 from barwright.plans.registry import query, table
-from barwright.plans.streams import _folder
+from barwright.plans.streams import folder
 from barwright.plans.studies import RN, W, recursive
 
 # analyst ratings: orders stand for ratings
@@ -317,7 +315,7 @@ def training_set_full(spark: SparkSession, d: str) -> DataFrame:
 def call_log_budget(spark: SparkSession, d: str) -> DataFrame:
     from barwright.sources.sinks import call_budget, log_calls
 
-    at = f"{_folder(spark)}-{uuid.uuid4().hex}"
+    at = folder(spark)
     calls = table(spark, d, "events").select(F.col("event_type").alias("service"), "ts", "event_id")
     log_calls(calls.where("event_type = 'view'"), at)
     log = log_calls(calls.where("event_type <> 'view'"), at)

@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from barwright.plans.registry import query, table
+from barwright.plans.streams import folder
 from barwright.sources import readers as R
+from barwright.sources import sinks
 
 
 @query("scan_pruned", "SELECT l_orderkey, l_quantity FROM lineitem WHERE l_shipdate >= TIMESTAMP '2000-01-01' AND l_shipdate < TIMESTAMP '2000-02-01'")
@@ -54,3 +56,50 @@ def paged_service(spark: SparkSession, d: str) -> DataFrame:
 
     spark.dataSource.register(paged_source("squares_service", "id bigint, square bigint", 4, lambda page: [(i, i * i) for i in range(page * 10, page * 10 + 10)]))
     return spark.read.format("squares_service").load()
+
+
+# files written to the shared folder and read again
+
+
+@query("scan_many_files", "SELECT r_regionkey, r_name, NULL AS n_nationkey, NULL AS n_name FROM region UNION ALL SELECT NULL, NULL, n_nationkey, n_name FROM nation")
+def scan_many_files(spark: SparkSession, d: str) -> DataFrame:
+    return R.parquet(spark, f"{d}/region.parquet", f"{d}/nation.parquet", columns=["r_regionkey", "r_name", "n_nationkey", "n_name"])
+
+
+@query("csv_with_headers_inside", "SELECT o_orderkey, o_orderstatus, o_totalprice FROM orders")
+def csv_with_headers_inside(spark: SparkSession, d: str) -> DataFrame:
+    at = folder(spark)
+    rows = table(spark, d, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice")
+    sinks.write_csv(rows, at)
+    return R.delimited(spark, at, rows.schema, header_cell="o_orderkey")
+
+
+@query("json_to_parquet", "SELECT o_orderkey, o_orderpriority FROM orders")
+def json_to_parquet(spark: SparkSession, d: str) -> DataFrame:
+    at = folder(spark)
+    table(spark, d, "orders").select("o_orderkey", "o_orderpriority").write.option("compression", "gzip").json(f"{at}/json")
+    return sinks.json_to_parquet(spark, f"{at}/json", f"{at}/parquet", "o_orderkey bigint, o_orderpriority string")
+
+
+@query("latest_day", "SELECT event_id, event_type FROM events WHERE ts::DATE = (SELECT max(ts)::DATE FROM events)")
+def latest_day(spark: SparkSession, d: str) -> DataFrame:
+    at = folder(spark)
+    sinks.write_by_date(table(spark, d, "events").select("event_id", "event_type", F.to_date("ts").alias("date")), at)
+    days = spark.read.parquet(at)
+    return days.join(F.broadcast(days.agg(F.max("date").alias("date"))), "date").select("event_id", "event_type")  # one row
+
+
+@query("upsert_into_table", "SELECT s_suppkey, CASE WHEN s_suppkey % 2 = 0 THEN s_acctbal ELSE s_acctbal + 1 END AS s_acctbal FROM supplier")
+def upsert_into_table(spark: SparkSession, d: str) -> DataFrame:
+    at = folder(spark)
+    rows = table(spark, d, "supplier").select("s_suppkey", "s_acctbal")
+    sinks.upsert_table(rows.where("s_suppkey % 2 = 0"), at, ["s_suppkey"], [F.col("s_acctbal")])
+    return sinks.upsert_table(rows.withColumn("s_acctbal", F.col("s_acctbal") + 1), at, ["s_suppkey"], [F.col("s_acctbal")])
+
+
+@query("xml_rows", "SELECT p_partkey, p_name, p_size FROM part")
+def xml_rows(spark: SparkSession, d: str) -> DataFrame:
+    at = folder(spark)
+    rows = table(spark, d, "part").select("p_partkey", "p_name", "p_size")
+    rows.write.format("xml").option("rowTag", "part").option("rootTag", "parts").save(at)
+    return R.xml(spark, at, "part", rows.schema)

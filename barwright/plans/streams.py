@@ -12,7 +12,8 @@ from barwright.sources.sinks import keyed_table
 from barwright.streaming import feeds as S
 
 
-def _folder(spark: SparkSession) -> str:
+def folder(spark: SparkSession) -> str:
+    """A new folder in the shared one."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if found is None:
         if not spark.sparkContext.master.startswith("local"):
@@ -32,7 +33,7 @@ def _events(spark: SparkSession, d: str) -> DataFrame:
 def _run(stream: DataFrame, mode: str = "append") -> DataFrame:
     """All of a stream's output, by way of a table in the shared folder."""
     spark = stream.sparkSession
-    at = _folder(spark)
+    at = folder(spark)
     stream.writeStream.format("parquet").option("path", f"{at}/out").option("checkpointLocation", f"{at}/state").outputMode(mode).trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{at}/out")
 
@@ -82,7 +83,7 @@ def stream_ffill_state(spark: SparkSession, d: str) -> DataFrame:
 
 @query("stream_upsert", "SELECT user_id, max(ts) AS ts FROM events GROUP BY 1")
 def stream_upsert(spark: SparkSession, d: str) -> DataFrame:
-    at = _folder(spark)
+    at = folder(spark)
     stream = _events(spark, d).select("user_id", "ts")
     S.upsert_sink(stream, f"{at}/table", ["user_id"], [F.desc("ts")], f"{at}/state").trigger(availableNow=True).start().awaitTermination()
     return keyed_table(spark, f"{at}/table").withColumn("ts", F.col("ts").cast("timestamp_ntz"))

@@ -130,3 +130,50 @@ def test_empty_bars(spark):
     empty = spark.createDataFrame([], SCHEMA)
     for f in (studies.stock_eod, studies.ema, studies.local_extrema, studies.change_pct_grid):
         assert f(empty).count() == 0
+
+
+def test_kalman_level_by_recursion(spark):
+    """Past the row at which the gain has settled, and for gains that settle at once."""
+    rng = random.Random(2)
+    start = datetime.date(2020, 1, 1)
+    values_of = {s: [rng.uniform(1, 100) for _ in range(n)] for s, n in ((1, 420), (2, 1), (3, 40))}
+    data = [(s, start + datetime.timedelta(i), v) for s, values in values_of.items() for i, v in enumerate(values)] + [(1, start + datetime.timedelta(5000), None)]
+    df = spark.createDataFrame(data, "symbol long, date date, v double")
+    for q, r in ((0.01, 1.0), (50.0, 1.0)):
+        got = {(x["symbol"], x["date"]): x["level"] for x in smoothing.kalman(df, "v", q, r).collect()}
+        assert len(got) == sum(map(len, values_of.values()))
+        for s, values in values_of.items():
+            level, spread = values[0], 1.0
+            for i, v in enumerate(values):
+                spread += q
+                gain = spread / (spread + r)
+                level += gain * (v - level)
+                spread *= 1 - gain
+                assert abs(got[s, start + datetime.timedelta(i)] - level) < 1e-8
+    try:
+        smoothing.gains(1e-9, 1.0)
+        raise AssertionError
+    except ValueError:
+        pass
+
+
+def test_rsi_parts_by_recursion(spark):
+    rng = random.Random(3)
+    start = datetime.date(2020, 1, 1)
+    values = [50.0]
+    for _ in range(60):
+        values.append(values[-1] + rng.choice([-2, -1, 0, 1, 2]))
+    flat = [7.0] * 20
+    rows = [(s, start + datetime.timedelta(i), v) for s, x in ((1, values), (2, flat)) for i, v in enumerate(x)]
+    df = spark.createDataFrame(rows, "symbol long, date date, fClose double")
+    got = {(r["symbol"], r["date"]): r for r in studies.rsi_parts(df).collect()}
+    gain = loss = 0.0
+    for i in range(1, len(values)):
+        up, down = max(values[i] - values[i - 1], 0), max(values[i - 1] - values[i], 0)
+        gain, loss = (gain + up / 14, loss + down / 14) if i <= 14 else (13 * gain / 14 + up / 14, 13 * loss / 14 + down / 14)
+        r = got[1, start + datetime.timedelta(i)]
+        if i < 14:
+            assert r["rsi_14"] is None and r["avg_gain"] is None
+        else:
+            assert abs(r["avg_gain"] - gain) < 1e-9 and abs(r["rsi_14"] - (100 - 100 / (1 + gain / loss))) < 1e-7
+    assert all(got[2, start + datetime.timedelta(i)]["rsi_14"] is None for i in range(20))
