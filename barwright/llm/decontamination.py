@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from barwright.llm import bytesets
-from barwright.llm.store import fresh, without, written
+from barwright.llm.store import fresh, written
 
 WINDOW_WORDS = 13
 BLOCK_BYTES = 8 << 20
@@ -61,6 +61,29 @@ def windows_of(items: list[tuple[str | None, str | None]], n: int) -> Windows:
     return Windows(by_length, words.data, words.starts.astype(np.int32), words.ends.astype(np.int32), [i for i, _ in items])
 
 
+def found_in(words: bytesets.Words, windows: Windows) -> dict[int, tuple[list[tuple[int, int]], set[str]]]:
+    """By text, the runs of words (by their places in the batch) that occurring windows cover, in order and apart, and the items."""
+    hits: dict[int, tuple[list[tuple[int, int]], set[str]]] = {}
+    for length, (sorted_hashes, _, _) in windows.by_length.items():
+        hashes, fits = words.shingles(length)
+        at = np.minimum(np.searchsorted(sorted_hashes, hashes), len(sorted_hashes) - 1)
+        for k in np.flatnonzero(fits & (sorted_hashes[at] == hashes)).tolist():
+            if same := windows.items(length, hashes[k], window_at(words.data, words.starts, words.ends, k, length)):
+                doc = int(np.searchsorted(words.text_offsets, k, side="right")) - 1
+                spans, names = hits.setdefault(doc, ([], set()))
+                spans.append((k, k + length))
+                names.update(x for x in same if x is not None)
+    for doc, (spans, names) in hits.items():
+        apart: list[tuple[int, int]] = []
+        for b, e in sorted(spans):
+            if apart and b <= apart[-1][1]:
+                apart[-1] = apart[-1][0], max(apart[-1][1], e)
+            else:
+                apart.append((b, e))
+        hits[doc] = apart, names
+    return hits
+
+
 def scan(docs: DataFrame, items: list[tuple[str | None, str | None]], n: int) -> DataFrame:
     """row (a key of the document's row), n_words, spans (of words, end exclusive), byte_spans and items of all documents against one block of items."""
     known = docs.sparkSession.sparkContext.broadcast(windows_of(items, n))
@@ -70,16 +93,7 @@ def scan(docs: DataFrame, items: list[tuple[str | None, str | None]], n: int) ->
         windows = known.value
         for batch in bytesets.chunks(batches):
             words = bytesets.Words(*bytesets.utf8(batch.column("text")), bytesets.PLAIN_WORD)
-            hits: dict[int, tuple[list[tuple[int, int]], set[str]]] = {}
-            for length, (sorted_hashes, _, _) in windows.by_length.items():
-                hashes, fits = words.shingles(length)
-                at = np.minimum(np.searchsorted(sorted_hashes, hashes), len(sorted_hashes) - 1)
-                for k in np.flatnonzero(fits & (sorted_hashes[at] == hashes)).tolist():
-                    if same := windows.items(length, hashes[k], window_at(words.data, words.starts, words.ends, k, length)):
-                        doc = int(np.searchsorted(words.text_offsets, k, side="right")) - 1
-                        spans, names = hits.setdefault(doc, ([], set()))
-                        spans.append((k, k + length))
-                        names.update(x for x in same if x is not None)
+            hits = found_in(words, windows)
             spans_out, bytes_out, items_out = [], [], []
             for d in range(batch.num_rows):
                 if d not in hits:
@@ -87,12 +101,7 @@ def scan(docs: DataFrame, items: list[tuple[str | None, str | None]], n: int) ->
                     bytes_out.append([])
                     items_out.append([])
                     continue
-                merged: list[list[int]] = []
-                for b, e in sorted(hits[d][0]):
-                    if merged and b <= merged[-1][1]:
-                        merged[-1][1] = max(merged[-1][1], e)
-                    else:
-                        merged.append([b, e])
+                merged = hits[d][0]
                 first, base = int(words.text_offsets[d]), int(words.offsets[d])
                 spans_out.append([{"begin": b - first, "end": e - first} for b, e in merged])
                 bytes_out.append([{"begin": int(words.starts[b]) - base, "end": int(words.ends[e - 1]) - base} for b, e in merged])
@@ -134,11 +143,16 @@ def hits(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW_WORDS, block_byt
     return findings(docs, benchmark, n, block_bytes).drop("row")
 
 
-def findings(docs: DataFrame, benchmark: DataFrame, n: int, block_bytes: int, by_content: bool = False) -> DataFrame:
-    """`hits` and row: a row's number or, with several blocks or by_content, its `row_key`."""
+def items_of(benchmark: DataFrame, block_bytes: int) -> tuple[DataFrame, int]:
+    """item_id and text of the items, and the number of blocks that their text makes."""
     items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text"))
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = -(-total // block_bytes) or 1
+    return items, -(-total // block_bytes) or 1
+
+
+def findings(docs: DataFrame, benchmark: DataFrame, n: int, block_bytes: int, by_content: bool = False) -> DataFrame:
+    """`hits` and row: a row's number or, with several blocks or by_content, its `row_key`."""
+    items, blocks = items_of(benchmark, block_bytes)
     number = F.monotonically_increasing_id().cast("string") if blocks == 1 and not by_content else row_key()
     docs = docs.select(number.alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     found = None
@@ -179,14 +193,30 @@ def digest(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 def clean(docs: DataFrame, benchmark: DataFrame, spans: bool = False, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """docs without contaminated documents; with spans=True, those stay and lose the hit passages instead. All columns stay.
 
-    The text of a document that loses spans is what lies outside them, as it was; every row loses its own. Without spans, rows
-    with equal doc_id share their fate.
+    The text of a document that loses spans is what lies outside them, as it was. Every row is judged by its own text, rows
+    with null or equal doc_ids too. Null and empty texts stay; an empty table stays empty.
     """
-    if not spans:
-        found = hits(docs, benchmark, block_bytes=block_bytes)
-        return without(docs, written(found.where(contaminated(F.col("n_hit"), F.col("n_words"))).select("doc_id").distinct()))
-    found = findings(docs, benchmark, WINDOW_WORDS, block_bytes, by_content=True)
+    items, blocks = items_of(benchmark, block_bytes)
+    if not spans and blocks == 1:
+        known = docs.sparkSession.sparkContext.broadcast(windows_of([tuple(r) for r in items.collect()], WINDOW_WORDS))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                kept = []
+                for part in bytesets.chunks(iter([batch])):
+                    words = bytesets.Words(*bytesets.utf8(part.column("text")), bytesets.PLAIN_WORD)
+                    hit = np.zeros(part.num_rows, np.int64)
+                    for d, (runs, _) in found_in(words, known.value).items():
+                        hit[d] = sum(e - b for b, e in runs)
+                    kept.append(~contaminated(hit, words.counts()))
+                yield batch.filter(pa.array(np.concatenate(kept))) if kept else batch
+
+        return docs.mapInArrow(run, docs.schema)
     row, cut = fresh(docs, "row"), fresh(docs, "cuts")
+    found = findings(docs, benchmark, WINDOW_WORDS, block_bytes, by_content=True)
+    if not spans:
+        gone = written(found.where(contaminated(F.col("n_hit"), F.col("n_words"))).select(F.col("row").alias(row)).distinct())
+        return docs.withColumn(row, row_key()).join(gone, row, "left_anti").select(*docs.columns)
     cuts = found.where(F.size("byte_spans") > 0).groupBy(F.col("row").alias(row)).agg(F.first("byte_spans").alias(cut))
     raw = F.encode("text", "utf-8")
     begins = F.concat(F.array(F.lit(0)), F.col(cut)["end"])

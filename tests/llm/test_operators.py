@@ -794,3 +794,28 @@ def test_hot_shingles_are_sent_in_parts(spark, monkeypatch):
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard_join.near_duplicates(df, 5, 80).collect()}
     assert got == brute_components(rows, 5, 80)
+
+
+@pytest.mark.parametrize("block_bytes", [decontamination.BLOCK_BYTES, 60])
+def test_contaminated_rows_go_by_their_own_text(spark, block_bytes):
+    words = [f"q{i}" for i in range(40)]
+    bench = spark.createDataFrame([("a", " ".join(words[:20])), ("b", " ".join(words[20:])), ("c", None)], "item_id string, text string")
+    bad, other = " ".join(words[:13]), "nothing of the kind " * 5
+    rows = [(1, bad), (1, other), (None, bad), (None, other), (2, None), (3, ""), (4, "x " * 241 + bad), (5, "x " * 247 + bad), (2, " ".join(words[20:33]))]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("row", F.lit("r"))
+    kept = decontamination.clean(df, bench, block_bytes=block_bytes)
+    # 13 of 254 words are one in twenty, 13 of 260 too; of row 5's 260 words 13 are hit, so it goes as well
+    want = [r for r in rows if not (r[1] and len(plain_words(r[1])) <= 260 and any(b in r[1] for b in (bad, " ".join(words[20:33]))))]
+    assert kept.columns == df.columns
+    assert sorted(map(str, ((r["doc_id"], r["text"]) for r in kept.collect()))) == sorted(map(str, want))
+
+
+def test_toxicity_of_repeated_rows(spark, docs):
+    labels = spark.read.parquet(f"{DIR}/labels.parquet")
+    model = toxicity.learned(toxicity.labelled_training(docs, labels))
+    twice = docs.select("doc_id", "text").limit(30)
+    by_id = collections.defaultdict(set)
+    rows = toxicity.score(twice.union(twice).union(twice.select(F.lit(None).cast("long"), "text")), model).collect()
+    for r in rows:
+        by_id[r["doc_id"]].add((r["score"], r["predicted"]))
+    assert len(rows) == 90 and all(len(v) == 1 for k, v in by_id.items() if k is not None)
