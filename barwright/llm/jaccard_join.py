@@ -322,8 +322,9 @@ def partnered(lists: DataFrame, percent: int) -> DataFrame:
 def dealt(lists: DataFrame, labels: DataFrame | None, scratch: Scratch) -> DataFrame:
     """lists (shingle, node, n, place, signature) with comp, and the keys under which rows meet: shingle, left, right, side, front (see `passing`).
 
-    Without labels every node is a component, and a row goes to its own block only. With labels, lists within one component
-    go; nodes of a list's largest component meet the other nodes, and these meet each other, in all pairs of blocks.
+    Without labels every node is a component, and a row goes to its own block only: what is found so is but a first part of
+    the links. With labels (those of nodes without links may be missing), lists within one component go; nodes of a list's
+    largest component meet the other nodes, and these meet each other, in all pairs of blocks.
     """
     own = lambda blocks: F.pmod(F.xxhash64("node"), F.greatest(blocks, F.lit(1))).cast("int")
     zero = F.lit(0)
@@ -418,12 +419,15 @@ def links(docs: DataFrame, documents: DataFrame, n: int, percent: int, scratch:
         nodes = own.written(partnered(lists, percent).join(one, "node").select("doc_id"))
         if nodes.isEmpty():
             return None
+        unlinked = docs.sparkSession.createDataFrame([], "node long, label long")
         sets = scratch.table(whole_sets(docs, nodes, n, members=False))
         lists = scratch.table(lists.join(sets.select("node", "signature"), "node"))
         own.release()
         labels = found = None
         for most, only_joining in ROUNDS:
             pairs = own.written(candidates(dealt(lists, labels, own), percent, most, only_joining))
+            if labels is None:  # from the second round on all pairs of blocks meet, also if the first found no link
+                labels = unlinked
             wanted = own.written(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(sets.select("node", "doc_id"), "node").select("doc_id"))
             if not wanted.isEmpty():
                 new = scratch.written(verified(pairs, own.keep(whole_sets(docs, wanted, n, members=True)), percent))

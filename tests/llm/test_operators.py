@@ -131,6 +131,38 @@ def test_jaccard_join_of_a_large_group_in_blocks_and_rounds(spark, monkeypatch):
     assert got == brute_components(rows, 3, 90)
 
 
+@pytest.mark.parametrize(("block", "copies", "other"), [(64, 1000, False), (64, 1000, True), (1024, 3300, False)])
+def test_jaccard_join_finds_the_only_link_of_a_long_list(spark, monkeypatch, block, copies, other):
+    """Two near texts among many that share their shingles but are not near: whatever blocks they are dealt to, and whether other links are found or not."""
+    monkeypatch.setattr(jaccard_join, "BLOCK", block)
+    r = random.Random(block)
+    base = [f"w{i}" for i in range(200)]
+
+    def changed(k):
+        words = list(base)
+        for i in r.sample(range(5, 195), k):
+            words[i] = f"x{r.random()}"
+        return " ".join(words)
+
+    rows = [(i, changed(6)) for i in range(copies)]
+    words = list(base)
+    words[60] = "a1"
+    words[120] = "a2"
+    near = list(words)
+    near[160] = "b1"
+    near[30] = "b2"
+    rows += [(copies, " ".join(words)), (copies + 1, " ".join(near))]
+    if other:
+        rows += [(copies + 2, " ".join(f"o{i}" for i in range(100))), (copies + 3, " ".join(f"o{i}" for i in range(101)))]
+    sets = {i: {tuple(t.split()[k : k + 5]) for k in range(len(t.split()) - 4)} for i, t in rows}
+    near_to = {a: [b for b in sets if a != b and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])] for a in range(copies, len(rows))}
+    assert near_to[copies] and near_to[copies + 1]
+    got = {r["doc_id"]: r["component_id"] for r in jaccard_join.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 5, 80).collect()}
+    for a, others in near_to.items():
+        assert all(got[a] == got[b] for b in others)
+    assert len(got) == len(rows) and (not other or got[copies + 3] == copies + 2)
+
+
 def test_jaccard_join_edge_cases(edge, empty):
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard_join.near_duplicates(edge, 3, 90).collect()}
     assert got[1] == (0, 1) and got[2] == (0, 2) and got[3] == (0, 3)
