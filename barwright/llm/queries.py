@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from barwright.llm import chat_format, decontamination, jaccard_join, language_id, lm_scoring, media, packing, suffix_dedup, token_counts, toxicity
+from barwright.llm import chat_format, decontamination, hard_negatives, jaccard_join, language_id, lm_scoring, media, packing, prefix_trie, sharding, suffix_dedup, token_counts, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -58,6 +58,18 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, model)
 
 
+def op11_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.digest(_table(spark, sf_dir, "documents"))
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives.hard_negatives(_table(spark, sf_dir, "embeddings"))
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.conversation_trie(_table(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_jaccard_join": op1_jaccard_join,
     "op2_chat_formatting": op2_chat_formatting,
@@ -69,6 +81,9 @@ QUERIES: dict[str, Query] = {
     "op8_suffix_dedup": op8_suffix_dedup,
     "op9_media_columns": op9_media_columns,
     "op10_toxicity": op10_toxicity,
+    "op11_sharding": op11_sharding,
+    "op12_hard_negatives": op12_hard_negatives,
+    "op13_prefix_trie": op13_prefix_trie,
 }
 _LOWER = "translate({text}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
@@ -103,4 +118,11 @@ FROM d LEFT JOIN pos ON pos.doc_id = d.doc_id LEFT JOIN its ON its.doc_id = d.do
 """
 
 #: Where SQL can say it and is fast enough on whole tables; the other operators are tested against brute force and by round trips.
-ORACLE_SQL: dict[str, str] = {"op1_jaccard_join": _OP1, "op2_chat_formatting": chat_format.ORACLE_SQL, "op4_decontamination": _OP4}
+ORACLE_SQL: dict[str, str] = {
+    "op1_jaccard_join": _OP1,
+    "op2_chat_formatting": chat_format.ORACLE_SQL,
+    "op4_decontamination": _OP4,
+    "op11_sharding": sharding.ORACLE_SQL,
+    "op12_hard_negatives": hard_negatives.ORACLE_SQL,
+    "op13_prefix_trie": prefix_trie.ORACLE_SQL,
+}

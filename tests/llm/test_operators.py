@@ -1,4 +1,4 @@
-"""The ten operators: edge cases, brute force on small tables, round trips and held-out accuracy."""
+"""Operators 1 to 10: edge cases, brute force on small tables, round trips and held-out accuracy."""
 
 import collections
 import hashlib
