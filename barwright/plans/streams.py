@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from barwright.plans.registry import query, table
 from barwright.sources.sinks import keyed_table
 from barwright.streaming import feeds as S
+from barwright.streaming.log_source import LogSource
 
 
 def folder(spark: SparkSession) -> str:
@@ -71,14 +73,90 @@ def stream_dedup(spark: SparkSession, d: str) -> DataFrame:
     return _run(S.once(twice, ["event_id"], "40 days").select("event_id", "user_id", "value"))
 
 
+_FFILL = "last_value(v IGNORE NULLS) OVER (PARTITION BY {0} ORDER BY ts ROWS UNBOUNDED PRECEDING) AS v"
+
+
+def _filled(spark: SparkSession, d: str, key: Column) -> DataFrame:
+    holes = _events(spark, d).select(key.alias("k"), "ts", F.when(F.col("event_id") % 3 == 0, F.col("value")).alias("v"))
+    before = spark.conf.get(S.ROCKS[0])
+    spark.conf.set(*S.ROCKS)
+    try:
+        return _run(S.last_known(holes, "k", "v", "1 hour")).withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+    finally:
+        spark.conf.set(S.ROCKS[0], before)
+
+
 @query(
     "stream_ffill_state",
-    "SELECT user_id, ts, last_value(v IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS v FROM (SELECT user_id, ts, CASE WHEN event_id % 3 = 0 THEN value END AS v FROM events)",
+    f"SELECT * FROM (SELECT user_id, ts, {_FFILL.format('user_id')} FROM (SELECT user_id, ts, CASE WHEN event_id % 3 = 0 THEN value END AS v FROM events)) WHERE date_trunc('hour', ts) + INTERVAL 1 HOUR {_PASSED}",
 )
 def stream_ffill_state(spark: SparkSession, d: str) -> DataFrame:
-    holes = _events(spark, d).select("user_id", "ts", F.when(F.col("event_id") % 3 == 0, F.col("value")).alias("v"))
-    out = _run(S.last_known(holes, "user_id", "v", "user_id long, ts timestamp, v double"))
-    return out.withColumn("ts", F.col("ts").cast("timestamp_ntz")).withColumn("v", F.nanvl("v", F.lit(None).cast("double")))
+    return _filled(spark, d, F.col("user_id")).withColumnRenamed("k", "user_id")
+
+
+@query(
+    "stream_ffill_hot_key",
+    f"SELECT * FROM (SELECT k, ts, {_FFILL.format('k')} FROM (SELECT CASE WHEN user_id % 3 = 0 THEN 0 ELSE user_id END AS k, ts, CASE WHEN event_id % 3 = 0 THEN value END AS v FROM events)) WHERE date_trunc('hour', ts) + INTERVAL 1 HOUR {_PASSED}",
+)
+def stream_ffill_hot_key(spark: SparkSession, d: str) -> DataFrame:
+    """A third of all rows have one key."""
+    return _filled(spark, d, F.when(F.col("user_id") % 3 == 0, F.lit(0).cast("long")).otherwise(F.col("user_id")))
+
+
+# a source with offsets, replay and commit; sinks that take a batch once; supervision
+
+
+def _log(spark: SparkSession, d: str, at: str, batches: int) -> DataFrame:
+    """events as a message log, in about so many batches."""
+    events = table(spark, d, "events")
+    spark.dataSource.register(LogSource)
+    most = -(-events.count() // batches)
+    return spark.readStream.format("message_log").schema(events.schema).option("sequence", "event_id").option("batchRows", most).option("acks", f"{at}/acks").load(f"{d}/events.parquet")
+
+
+def _failing(sink: Callable[[DataFrame, int], None], number: int) -> Callable[[DataFrame, int], None]:
+    """The sink, which takes batch number, but reports failure of it once, as a lost connection would."""
+    left = [number]
+
+    def write(rows: DataFrame, n: int) -> None:
+        sink(rows, n)
+        if n in left:
+            left.remove(n)
+            raise ConnectionError(f"lost after batch {n}")
+
+    return write
+
+
+@query("stream_source_replayed", "SELECT event_id, user_id, event_type, value FROM events")
+def stream_source_replayed(spark: SparkSession, d: str) -> DataFrame:
+    """In five batches; the third is written, then lost, and comes again after a restart."""
+    at = folder(spark)
+    sink = _failing(S.batch_sink(f"{at}/out"), 2)
+    start = lambda: _log(spark, d, at, 5).select("event_id", "user_id", "event_type", "value").writeStream.foreachBatch(sink).option("checkpointLocation", f"{at}/state").start()
+    S.supervised(start, 1, drain=True)
+    return spark.read.schema("event_id long, user_id long, event_type string, value double").parquet(f"{at}/out").drop("batch")
+
+
+@query("stream_demultiplexed", "SELECT CASE WHEN event_type IN ('view', 'click') THEN event_type ELSE 'other' END AS service, event_id, value FROM events")
+def stream_demultiplexed(spark: SparkSession, d: str) -> DataFrame:
+    """Three services; the second one's sink fails once, after the first has taken its rows."""
+    at = folder(spark)
+    sinks = {"view": S.batch_sink(f"{at}/view"), "click": _failing(S.batch_sink(f"{at}/click"), 1)}
+    start = lambda: S.demultiplexed(_log(spark, d, at, 3).select("event_type", "event_id", "value"), "event_type", sinks, S.batch_sink(f"{at}/other"), f"{at}/state").start()
+    S.supervised(start, 1, drain=True)
+    read = lambda name: spark.read.schema("event_type string, event_id long, value double").parquet(f"{at}/{name}").select(F.lit(name).alias("service"), "event_id", "value")
+    return read("view").unionByName(read("click")).unionByName(read("other"))
+
+
+@query("stream_supervised", "SELECT count(*) AS read_rows, 4 AS batches, 1 AS errors FROM events")
+def stream_supervised(spark: SparkSession, d: str) -> DataFrame:
+    """What supervision has noted of a stream of four batches that failed once."""
+    at, log = folder(spark), []
+    sink = _failing(S.batch_sink(f"{at}/out"), 1)
+    S.supervised(lambda: _log(spark, d, at, 4).writeStream.foreachBatch(sink).option("checkpointLocation", f"{at}/state").start(), 1, drain=True, log=log)
+    ended = spark.createDataFrame([(x["run"], x.get("batch"), x.get("rows"), x.get("error")) for x in log], "run int, batch long, read_rows long, error string")
+    newest = ended.where("read_rows > 0").groupBy("batch").agg(F.max_by("read_rows", "run").alias("read_rows"))
+    return newest.agg(F.sum("read_rows").alias("read_rows"), F.count("*").cast("int").alias("batches")).crossJoin(ended.agg(F.count("error").cast("int").alias("errors")))  # one row each
 
 
 @query("stream_upsert", "SELECT user_id, max(ts) AS ts FROM events GROUP BY 1")

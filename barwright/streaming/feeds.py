@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
 import pandas as pd
+from pyspark import StorageLevel
 from pyspark.errors import StreamingQueryException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from barwright.sources.sinks import upsert_table
 
@@ -33,41 +35,88 @@ def once(stream: DataFrame, keys: Sequence[str], late: str) -> DataFrame:
     return stream.withWatermark("ts", late).dropDuplicatesWithinWatermark(list(keys))
 
 
-def last_known(stream: DataFrame, key: str, value: str, schema: str, late: str | None = None) -> DataFrame:
-    """Rows (key, ts, value) with nulls replaced by the key's last value before them, across batches.
+#: State of transformWithState needs this store.
+ROCKS = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+_ROW = np.dtype([("at", "<i8"), ("v", "<f8"), ("known", "?")])
 
-    The state of a key is its newest value and that value's time. Within a batch rows go by ts. A late row neither changes a
-    newer state nor is filled from it: its null stays. With late, the state of a key that had no row for so long (by the
-    stream's watermark) is let go. A key's rows of one batch are held at once; the trigger's limit on files bounds them.
+
+class LastKnown(StatefulProcessor):
+    """State of one key: rows that wait, as packed pieces by stretch of time; the newest value given out, with its time; timers.
+
+    A stretch is given out when its timer fires, that is when the watermark has passed its end, with its rows in order. The idle
+    timer lets a value go that had no successor for so long. (Timers of stretches lie at whole stretches, idle timers one
+    millisecond after one.)
     """
 
-    def run(k: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
+    def __init__(self, key: str, value: str, stretch: int, idle: int) -> None:
+        self.key, self.value, self.stretch, self.idle = key, value, stretch, idle
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.last = handle.getValueState("last", "at long, v double, idle long")
+        self.pieces = handle.getMapState("pieces", "stretch long, piece long", "rows binary")
+        self.counts = handle.getMapState("counts", "stretch long", "pieces long")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        for part in rows:  # pieces of the key's rows; none waits for another
+            packed = np.zeros(len(part), _ROW)
+            packed["at"] = part["ts"].to_numpy().astype("datetime64[us]").astype(np.int64)
+            v = part[self.value].astype("Float64")
+            packed["v"], packed["known"] = v.to_numpy(float, na_value=0.0), v.notna().to_numpy(bool)
+            stretch = packed["at"] // (1000 * self.stretch)
+            for s in np.unique(stretch).tolist():
+                n = (self.counts.getValue((s,)) or (0,))[0]
+                if not n:
+                    self.handle.registerTimer((s + 1) * self.stretch)
+                self.pieces.updateValue((s, n), (packed[stretch == s].tobytes(),))
+                self.counts.updateValue((s,), (n + 1,))
+        yield self._frame(key, np.zeros(0, _ROW))
+
+    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        at, rest = divmod(expiredTimerInfo.getExpiryTimeInMs(), self.stretch)
+        if rest:
+            self.last.clear()
             return
-        since, newest = state.get if state.exists else (None, None)
-        held = None  # the last value among this batch's rows so far
-        rows = pd.concat(list(parts)).sort_values("ts", kind="stable")
-        filled = []
-        for at, v in zip(rows["ts"], rows[value], strict=True):
-            at = pd.Timestamp(at).value
-            if not pd.isna(v):
-                held = (at, float(v))
-            best = max((x for x in (held, (since, newest) if since is not None and since <= at else None) if x), key=lambda x: x[0], default=None)
-            filled.append(best[1] if best else None)
-        if held is not None and (since is None or held[0] >= since):
-            since, newest = held
-        if since is not None:
-            state.update((since, newest))
-            if late is not None:
-                seen = max(since, pd.Timestamp(rows["ts"].max()).value) // 1_000_000
-                state.setTimeoutTimestamp(max(seen, state.getCurrentWatermarkMs()) + int(pd.Timedelta(late).total_seconds() * 1000) + 1)
-        yield pd.DataFrame({key: rows[key], "ts": rows["ts"], value: pd.array(filled, "Float64").astype("float64")})
-
-    if late is not None:
-        stream = stream.withWatermark("ts", late)
-    timeout = GroupStateTimeout.NoTimeout if late is None else GroupStateTimeout.EventTimeTimeout
-    return stream.select(key, "ts", value).groupBy(key).applyInPandasWithState(run, schema, "at long, v double", "append", timeout)
+        s = at - 1
+        count = self.counts.getValue((s,))[0]
+        rows = np.concatenate([np.frombuffer(self.pieces.getValue((s, i))[0], _ROW) for i in range(count)])
+        rows = rows[np.argsort(rows["at"], kind="stable")]
+        for i in range(count):
+            self.pieces.removeKey((s, i))
+        self.counts.removeKey((s,))
+        before = self.last.get() if self.last.exists() else None
+        known = before is not None and s < before[2] // self.stretch  # its idle timer may be due in this same batch
+        source = np.maximum.accumulate(np.where(rows["known"], np.arange(len(rows)), -1))
+        if known:
+            rows["v"][source < 0] = before[1]
+            rows["known"][source < 0] = True
+        rows["v"], rows["known"] = np.where(source >= 0, rows["v"][source], rows["v"]), rows["known"] | (source >= 0)
+        if source[-1] >= 0:
+            idle = (at + -(-self.idle // self.stretch)) * self.stretch + 1
+            if before is not None:
+                self.handle.deleteTimer(before[2])
+            self.handle.registerTimer(idle)
+            self.last.update((int(rows["at"][source[-1]]), float(rows["v"][-1]), idle))
+        yield self._frame(key, rows)
+
+    def _frame(self, key: tuple, rows: np.ndarray) -> pd.DataFrame:
+        v = pd.Series(np.where(rows["known"], rows["v"], 0.0)).astype("Float64").mask(~rows["known"])
+        return pd.DataFrame({self.key: pd.Series([key[0]] * len(rows), dtype="object"), "ts": rows["at"].astype("datetime64[us]"), self.value: v})
+
+
+def last_known(stream: DataFrame, key: str, value: str, late: str, stretch: str = "1 hour", idle: str = "3650 days") -> DataFrame:
+    """Rows (key, ts, value as a double) with nulls replaced by the key's last value before them by time (of equal times the one that came first).
+
+    Rows wait until the watermark (`late` behind the newest row) has passed their stretch of time, so rows that come late and
+    out of order, in one batch or in several, get what a sorted table would give; rows behind the watermark are dropped. A
+    key's rows are held in pieces as they come, and those of one stretch only when they are given out, so memory does not
+    grow with a key's rows in a batch nor with its history. A value without a successor for `idle` is let go. The session's
+    state store must be RocksDB (`ROCKS`).
+    """
+    rows = stream.withWatermark("ts", late).select(key, "ts", F.col(value).cast("double").alias(value))
+    kind = rows.schema[key].dataType.simpleString()
+    ms = lambda t: int(pd.Timedelta(t).total_seconds() * 1000)
+    return rows.groupBy(key).transformWithStateInPandas(LastKnown(key, value, ms(stretch), ms(idle)), f"`{key}` {kind}, ts timestamp, `{value}` double", "append", "EventTime")
 
 
 def upsert_sink(stream: DataFrame, path: str, keys: Sequence[str], order: Sequence[Column], checkpoint: str):
@@ -80,11 +129,24 @@ def upsert_sink(stream: DataFrame, path: str, keys: Sequence[str], order: Sequen
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
 
 
+def batch_sink(path: str) -> Callable[[DataFrame, int], None]:
+    """A sink that keeps each batch in a folder of its own, by number: a batch that comes twice replaces itself."""
+
+    def write(rows: DataFrame, number: int) -> None:
+        rows.write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    return write
+
+
 def demultiplexed(stream: DataFrame, field: str, sinks: dict[str, Callable[[DataFrame, int], None]], default: Callable[[DataFrame, int], None], checkpoint: str):
-    """Sends each batch's rows to the sink of their service; all services of a message are sent, unknown ones to the default."""
+    """Sends each batch's rows to the sink of their service, unknown ones to the default; the batch is read once for all of them.
+
+    A sink is called with the rows and the batch's number. If one fails the whole batch comes again under the same number, to
+    those too that had it: sinks must take a number once (`batch_sink`, `upsert_table`).
+    """
 
     def write(batch: DataFrame, number: int) -> None:
-        batch.persist()
+        batch.persist(StorageLevel.DISK_ONLY)
         try:
             for name, sink in sinks.items():
                 sink(batch.where(F.col(field) == name), number)
@@ -133,14 +195,27 @@ class Listener(StreamingQueryListener):
         return spark.createDataFrame(self.batches, self.FIELDS)
 
 
-def supervised(start: Callable[[], StreamingQuery], restarts: int) -> StreamingQuery:
-    """Runs the stream that start() gives until it ends, and starts it again after an error, `restarts` times at most; its checkpoint makes it go on where it was."""
-    for left in range(restarts, -1, -1):
+def supervised(start: Callable[[], StreamingQuery], restarts: int, drain: bool = False, log: list[dict] | None = None) -> StreamingQuery:
+    """Runs the stream that start() gives until it ends, and starts it again after an error, `restarts` times at most; its checkpoint makes it go on where it was.
+
+    drain: for streams without an end; they are stopped when all that is there has been read. log: gets a record of each batch
+    that ended (run, batch, rows) and of each error (run, error).
+    """
+    for run in range(restarts + 1):
         query = start()
         try:
-            query.awaitTermination()
+            if drain:
+                query.processAllAvailable()
+                query.stop()
+            else:
+                query.awaitTermination()
             return query
-        except StreamingQueryException:
-            if not left:
+        except StreamingQueryException as e:
+            if log is not None:
+                log.append({"run": run, "error": str(e).splitlines()[0]})
+            if run == restarts:
                 raise
+        finally:
+            if log is not None:
+                log += [{"run": run, "batch": p["batchId"], "rows": p["numInputRows"]} for p in query.recentProgress]
     raise AssertionError

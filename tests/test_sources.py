@@ -131,16 +131,73 @@ def test_an_upsert_writes_touched_buckets_only(spark, tmp_path):
 
 
 def test_last_known_by_time_with_late_rows(spark, tmp_path):
-    at = lambda m: datetime.datetime(2024, 1, 1, 0, m)
-    batches = [[("a", at(10), 1.0), ("a", at(12), None)], [("a", at(5), None), ("a", at(6), 9.0), ("a", at(7), None), ("a", at(20), None)]]
-    for i, rows in enumerate(batches):
-        spark.createDataFrame(rows, "k string, ts timestamp, v double").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-        stream = spark.readStream.schema("k string, ts timestamp, v double").parquet(str(tmp_path / "in"))
-        out = feeds.last_known(stream, "k", "v", "k string, ts timestamp, v double")
-        out.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start().awaitTermination()
-    got = {r["ts"].minute: r["v"] for r in spark.read.parquet(str(tmp_path / "out")).collect()}
-    # the late row at 5 knows nothing, 7 knows 6's value, and 20 has 10's value although 9.0 came after it
-    assert {k: None if v != v else v for k, v in got.items()} == {10: 1.0, 12: 1.0, 5: None, 6: 9.0, 7: 9.0, 20: 1.0}
+    """Rows in three batches, out of order: those within the watermark are put in order, those behind it are dropped, an idle value goes."""
+    at = lambda h, m=0: datetime.datetime(2024, 1, 1, h, m)
+    batches = [
+        [("a", at(1, 10), 1.0), ("a", at(1, 30), None), ("b", at(1, 5), None)],
+        [("a", at(1, 20), 2.0), ("a", at(1, 50), None), ("a", at(2, 10), None), ("b", at(2, 0), 5.0)],
+        [("a", at(6), None), ("b", at(6, 30), None), ("c", at(9), None)],  # the watermark goes to 8:00
+        [("a", at(1, 40), 7.0), ("c", at(12), None)],
+    ]
+    before = spark.conf.get(feeds.ROCKS[0])
+    spark.conf.set(*feeds.ROCKS)
+    try:
+        for rows in batches:
+            spark.createDataFrame(rows, "k string, ts timestamp, v double").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+            stream = spark.readStream.schema("k string, ts timestamp, v double").parquet(str(tmp_path / "in"))
+            out = feeds.last_known(stream, "k", "v", "1 hour", idle="3 hours")
+            out.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start().awaitTermination()
+    finally:
+        spark.conf.set(feeds.ROCKS[0], before)
+    got = sorted((r["k"], r["ts"].hour, r["ts"].minute, r["v"]) for r in spark.read.parquet(str(tmp_path / "out")).collect())
+    want = [("a", 1, 10, 1.0), ("a", 1, 20, 2.0), ("a", 1, 30, 2.0), ("a", 1, 50, 2.0), ("a", 2, 10, 2.0), ("a", 6, 0, None), ("b", 1, 5, None), ("b", 2, 0, 5.0), ("b", 6, 30, None), ("c", 9, 0, None)]
+    assert got == want
+
+
+def test_log_source_replays_a_range_and_notes_what_is_committed(spark, tmp_path):
+    import json
+
+    from barwright.streaming.log_source import LogReader, log_groups
+
+    df = spark.createDataFrame([(i, f"v{i}") for i in range(100)], "seq long, v string")
+    for part in (df.where("seq < 40"), df.where("seq >= 40 AND seq < 70"), df.where("seq >= 70")):
+        part.coalesce(1).write.mode("append").parquet(str(tmp_path / "log"))
+    options = {"path": str(tmp_path / "log"), "sequence": "seq", "batchRows": "25", "acks": str(tmp_path / "acks" / "state")}
+    reader = LogReader(df.schema, options)
+    assert sorted(g[2:] for g in log_groups(options["path"], "seq")) == [(0, 39), (40, 69), (70, 99)]
+    assert reader.initialOffset() == {"next": 0} and reader.latestOffset() == {"next": 25}
+    values = lambda parts: sorted(x for p in parts for b in reader.read(p) for x in b.column("seq").to_pylist())
+    assert len(reader.partitions({"next": 30}, {"next": 75})) == 3
+    first = values(reader.partitions({"next": 30}, {"next": 75}))
+    assert first == list(range(30, 75)) == values(reader.partitions({"next": 30}, {"next": 75}))
+    reader.commit({"next": 75})
+    assert json.loads((tmp_path / "acks" / "state").read_text()) == {"planned": 75, "committed": 75}
+    again = LogReader(df.schema, options)  # after a restart
+    assert again.latestOffset() == {"next": 100} and again.initialOffset() == {"next": 0}
+
+
+def test_log_source_reads_on_after_a_lost_connection(spark, tmp_path, monkeypatch):
+    from barwright.streaming import log_source
+
+    spark.range(20_000).withColumnRenamed("id", "seq").coalesce(1).write.parquet(str(tmp_path / "log"))
+    reader = log_source.LogReader(spark.read.parquet(str(tmp_path / "log")).schema, {"path": str(tmp_path / "log"), "sequence": "seq"})
+    real, calls = log_source.pq.ParquetFile, []
+
+    class Breaking:
+        def __init__(self, f):
+            self.file = real(f)
+            self.metadata = self.file.metadata
+
+        def iter_batches(self, *args, **kwargs):
+            calls.append(1)
+            for i, batch in enumerate(self.file.iter_batches(*args, **kwargs)):
+                if i == len(calls) and len(calls) < 3:
+                    raise OSError("lost")
+                yield batch
+
+    monkeypatch.setattr(log_source.pq, "ParquetFile", Breaking)
+    (part,) = reader.partitions({"next": 5}, {"next": 19_000})
+    assert [x for b in reader.read(part) for x in b.column("seq").to_pylist()] == list(range(5, 19_000)) and len(calls) == 3
 
 
 def test_supervised_stream_goes_on_after_an_error(spark, tmp_path):
