@@ -177,11 +177,10 @@ def peaks_near_levels(df: DataFrame, lv: DataFrame) -> DataFrame:
     Needs fChangeP.
     """
     from barwright.operators.smoothing import prominences
-    from barwright.operators.studies import peaks, rows
+    from barwright.operators.studies import rows
 
     df = df.select("symbol", "date", "fHigh", "fLow", "fChangeP").withColumn("_depth", -F.col("fLow"))
-    flagged = peaks(peaks(df, "fHigh", "_peak"), "_depth", "_trough")
-    flagged = flagged.withColumns({"_cum": F.sum("fChangeP").over(rows(Window.unboundedPreceding, 0)), "_rn": F.row_number().over(W())})
+    flagged = df.withColumns({"_cum": F.sum("fChangeP").over(rows(Window.unboundedPreceding, 0)), "_rn": F.row_number().over(W())})
     later = lambda c, k: F.when(F.col("_rn") > 1, F.lead(c, k).over(W()))
     moves = {f"perc_{k}": F.abs(later("_cum", k)) - F.abs("_cum") for k in (1, 2, 3, 10, 20)} | {"perc_5": later("_cum", 5) - F.col("_cum")}
     moves |= {f"hl_perc_{k}": F.try_divide(later("fHigh", k) - F.col("fLow"), F.col("fLow")) for k in (1, 2, 3)}
@@ -191,11 +190,13 @@ def peaks_near_levels(df: DataFrame, lv: DataFrame) -> DataFrame:
     share = lambda side, of: F.try_divide(F.abs(F.col(of) - F.col(f"{side}_value")), F.col(of))
     both = both.withColumns({"high_diff": share("h", "fHigh"), "low_diff": share("l", "fLow")})
     by_high = F.coalesce(F.col("high_diff") < F.col("low_diff"), F.lit(False))
-    for column, name in (("fHigh", "_ph"), ("_depth", "_pl")):
-        both = both.join(prominences(df, column).withColumnRenamed("prominence", name), ["symbol", "date"], "left")
+    # highs and depths are two series of a symbol, so one pass finds the peaks and prominences of both
+    series = df.select("symbol", "date", F.inline(F.array(F.struct(F.lit("h").alias("_series"), F.col("fHigh").alias("_v")), F.struct(F.lit("l").alias("_series"), F.col("_depth").alias("_v")))))
+    high = prominences(series, "_v", ["symbol", "_series"]).groupBy("symbol", "date").agg(*[F.max(F.when(F.col("_series") == side, F.col("prominence"))).alias(f"_p{side}") for side in "hl"])
+    both = both.join(high, ["symbol", "date"], "left").withColumns({"_peak": F.col("_ph").isNotNull(), "_trough": F.col("_pl").isNotNull()})
     pick = lambda a, b: F.when(by_high, F.col(a)).otherwise(F.col(b))
     both = both.withColumns({
-        "kind": F.when(F.col("_trough") == 1, "trough").when(F.col("_peak") == 1, "peak"),
+        "kind": F.when(F.col("_trough"), "trough").when(F.col("_peak"), "peak"),
         "code": F.when(by_high, "high").otherwise("low"),
         "level": pick("h_level", "l_level"),
         "close_val": pick("high_diff", "low_diff"),

@@ -1,7 +1,10 @@
-"""Filters over each symbol's series: the local level by windows; peaks and their prominence in grouped maps (a symbol's series is one group)."""
+"""Filters over each symbol's series: the local level by windows; peaks by windows, their prominence in blocks of a series."""
 
 from __future__ import annotations
 
+import bisect
+from collections.abc import Sequence
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -10,15 +13,6 @@ from pyspark.sql import functions as F
 from barwright.operators.studies import W, decayed, rows
 
 
-def _per_symbol(df: DataFrame, column: str, schema: str, f) -> DataFrame:
-    """f(sorted frame of one symbol) by symbol; rows with a null value are left out."""
-
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        return f(part.sort_values("date").reset_index(drop=True))
-
-    return df.select("symbol", "date", column).where(f"{column} IS NOT NULL").groupBy("symbol").applyInPandas(run, schema)
-
-
 #: Rows after which the filter's gain must have settled.
 SETTLED = 2000
 
@@ -58,52 +52,121 @@ def kalman(df: DataFrame, column: str, q: float = 0.01, r: float = 1.0) -> DataF
     return df.select("symbol", "date", F.when(early, F.col("_early")).otherwise(F.col("_late")).alias("level"))
 
 
-def peak_places(x: np.ndarray) -> np.ndarray:
-    """Places of strict local maxima; of a plateau the lower middle one."""
-    out, i, n = [], 1, len(x)
-    while i < n - 1:
-        if x[i - 1] < x[i]:
-            j = i
-            while j < n - 1 and x[j + 1] == x[i]:
-                j += 1
-            if j < n - 1 and x[j + 1] < x[i]:
-                out.append((i + j) // 2)
-            i = j
-        i += 1
-    return np.array(out, int)
-
-
-def prominence(x: np.ndarray, p: int) -> float:
-    """How far a peak stands above the higher of the two valleys that part it from higher ground (or the end)."""
-    left = np.flatnonzero(x[:p] > x[p])
-    right = np.flatnonzero(x[p + 1 :] > x[p])
-    low_left = x[(left[-1] if len(left) else 0) : p + 1].min()
-    low_right = x[p : (p + 1 + right[0] if len(right) else len(x) - 1) + 1].min()
-    return float(x[p] - max(low_left, low_right))
-
-
-def prominences(df: DataFrame, column: str) -> DataFrame:
-    """symbol, date, prominence of each peak."""
-
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        x = part[column].to_numpy(float)
-        at = peak_places(x)
-        return pd.DataFrame({"symbol": part["symbol"].iloc[at], "date": part["date"].iloc[at], "prominence": [prominence(x, p) for p in at]})
-
-    return _per_symbol(df, column, "symbol long, date date, prominence double", run)
+#: Rows of a block of a series at least, and how many times the root of its length; so a block, and the list of all blocks' extremes, which each block gets, stay small for series of any length.
+BLOCK, ROOTS = 4096, 4
+#: Searches that one copy of a block answers.
+SEARCHES = 65_536
+
+
+def with_peaks(df: DataFrame, keys: Sequence[str], column: str) -> DataFrame:
+    """keys, date, rn (from 0), n (rows of the series), x, and peak: at the last row of a run of equal values that is a strict local maximum, the number of its (lower) middle row. Rows with a null value are left out."""
+    w = Window.partitionBy(*keys).orderBy("date")
+    so_far = w.rowsBetween(Window.unboundedPreceding, 0)
+    rows = df.select(*keys, "date", F.col(column).cast("double").alias("x")).where("x IS NOT NULL")
+    rows = rows.withColumns({"rn": F.row_number().over(w).cast("long") - 1, "n": F.count("*").over(Window.partitionBy(*keys)), "_b": F.lag("x").over(w), "_a": F.lead("x").over(w)})
+    head = F.col("_b").isNull() | (F.col("_b") != F.col("x"))
+    run = F.last(F.when(head, F.struct("rn", "_b")), ignorenulls=True).over(so_far)
+    top = (F.col("x") > F.col("_a")) & (F.col("x") > run["_b"])
+    return rows.withColumn("peak", F.when(top, F.floor((run["rn"] + F.col("rn")) / 2))).drop("_b", "_a")
+
+
+def lows(x: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each place the least value back to the nearest greater one on its left (or to the start), and whether there is one. One pass with a stack."""
+    low, found, stack, least = np.empty(len(x)), np.zeros(len(x), bool), [], []
+    for i, v in enumerate(x.tolist()):
+        m = v
+        while stack and stack[-1] <= v:
+            stack.pop()
+            m = min(m, least.pop())
+        low[i], found[i] = m, bool(stack)
+        stack.append(v)
+        least.append(m)
+    return low[at], found[at]
+
+
+def prominences(df: DataFrame, column: str, keys: Sequence[str] = ("symbol",)) -> DataFrame:
+    """keys, date, prominence of each peak: how far it stands above the higher of the two lowest points between it and higher ground (or the series' end) on either side.
+
+    A series is cut into blocks. A block finds higher ground within itself; for what is left it gets the extremes of all
+    blocks of the series, which tell the nearest block with higher ground and the least value of those between. Such searches
+    then go to that block, in copies where there are many.
+    """
+    keys, kinds = list(keys), {f.name: f.dataType.simpleString() for f in df.schema.fields}
+    typed = ", ".join(f"`{k}` {kinds[k]}" for k in keys)
+    size = F.greatest(F.lit(BLOCK), ROOTS * F.ceil(F.sqrt("n")))
+    rows = with_peaks(df, keys, column)
+    block = lambda rn: F.floor(rn / size).cast("long")
+    row = F.struct(block(F.col("rn")).alias("block"), F.col("rn"), F.lit(0).alias("kind"), F.col("x"), F.col("date"))
+    peak = F.when(F.col("peak").isNotNull(), F.struct(block(F.col("peak")).alias("block"), F.col("peak").cast("long").alias("rn"), F.lit(1).alias("kind"), F.lit(None).cast("double").alias("x"), F.lit(None).cast(kinds["date"]).alias("date")))
+    points = rows.select(*keys, F.inline(F.array_compact(F.array(row, peak))))
+    extremes = rows.groupBy(*keys, block(F.col("rn")).alias("block")).agg(F.max("x").alias("high"), F.min("x").alias("low"))
+    lists = extremes.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("block", "high", "low"))).alias("l")).select(*keys, F.col("l.high").alias("highs"), F.col("l.low").alias("lows"))
+    lists = extremes.select(*keys, "block").join(lists, keys)
+    none = lambda kind: F.lit(None).cast(kind)
+    points = points.withColumns({"highs": none("array<double>"), "lows": none("array<double>")})
+    lists = lists.select(*keys, "block", F.lit(-1).cast("long").alias("rn"), F.lit(2).alias("kind"), none("double").alias("x"), none(kinds["date"]).alias("date"), "highs", "lows")
+
+    def within(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values(["kind", "rn"])
+        kind = part["kind"].to_numpy()
+        own, b = part[kind == 0], int(part["block"].iloc[0])
+        x, first = own["x"].to_numpy(), int(own["rn"].iloc[0])
+        at = part["rn"].to_numpy()[kind == 1] - first
+        listed = part[kind == 2].iloc[0]
+        out = []
+        for side, (v, p) in enumerate(((x, at), (x[::-1], len(x) - 1 - at))):
+            low, found = lows(v, p)
+            far = slice(b - 1, None, -1) if side == 0 and b else slice(b + 1, None) if side else slice(0, 0)
+            high = np.maximum.accumulate(np.asarray(listed["highs"])[far])
+            between = np.concatenate([[np.inf], np.minimum.accumulate(np.asarray(listed["lows"])[far])])
+            k = np.where(found, 0, np.searchsorted(high, x[at], "right"))  # blocks until one is higher
+            low = np.minimum(low, np.where(found, np.inf, between[k]))
+            open_ = ~found & (k < len(high))
+            out.append(pd.DataFrame({"date": own["date"].to_numpy()[at], "x": x[at], "side": side, "low": low, "target": pd.array(np.where(open_, b - 1 - k if side == 0 else b + 1 + k, -1), "Int64")}))
+        found = pd.concat(out, ignore_index=True)
+        for k in keys:
+            found[k] = part[k].iloc[0]
+        return found[[*keys, "date", "x", "side", "low", "target"]]
+
+    seen = points.unionByName(lists).groupBy(*keys, "block").applyInPandas(within, f"{typed}, date {kinds['date']}, x double, side int, low double, target long")
+    left = seen.where("target >= 0")
+    copies = left.groupBy(*keys, "target").agg(F.ceil(F.count("*") / SEARCHES).cast("int").alias("copies"))
+    copy = F.pmod(F.xxhash64("date", "side"), F.col("copies")).cast("int")
+    # new names for all columns, as both sides of the cogroup stem from the same rows
+    renamed = lambda df, *names: df.select(*[F.col(c).alias(c) for c in names])
+    searches = renamed(left.join(copies, [*keys, "target"]).withColumn("copy", copy), *keys, "target", "copy", "date", "x", "side", "low")
+    ground = rows.select(*keys, block(F.col("rn")).alias("target"), "rn", "x").join(copies, [*keys, "target"]).withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)))
+    ground = renamed(ground, *keys, "target", "copy", "rn", "x")
+
+    def beyond(searches: pd.DataFrame, ground: pd.DataFrame) -> pd.DataFrame:
+        x = ground.sort_values("rn")["x"].to_numpy()
+        for side, v in enumerate((x[::-1], x)):
+            mine = (searches["side"] == side).to_numpy()
+            k = np.searchsorted(np.maximum.accumulate(v), searches["x"].to_numpy()[mine], "right")  # the nearest higher row
+            least = np.concatenate([[np.inf], np.minimum.accumulate(v)])[k]
+            searches.loc[mine, "low"] = np.minimum(searches["low"].to_numpy()[mine], least)
+        return searches[[*keys, "date", "x", "side", "low"]]
+
+    group = [*keys, "target", "copy"]
+    answered = searches.groupBy(*group).cogroup(ground.groupBy(*group)).applyInPandas(beyond, f"{typed}, date {kinds['date']}, x double, side int, low double")
+    every = seen.where("target < 0").drop("target").unionByName(answered)
+    return every.groupBy(*keys, "date").agg((F.first("x") - F.max("low")).alias("prominence"))
 
 
 def distant_peaks(df: DataFrame, column: str, distance: int) -> DataFrame:
-    """symbol, date: peaks at least `distance` rows apart; of nearer ones the higher stays (of equal ones the later)."""
+    """symbol, date: peaks at least `distance` rows apart; of nearer ones the higher stays (of equal ones the later).
+
+    Peaks are found by windows; which of them stay is decided by symbol, from the highest down, among its peaks only.
+    """
+    rows = with_peaks(df, ["symbol"], column)
+    at = rows.where("peak IS NOT NULL").select("symbol", F.col("peak").alias("rn"), "x")
 
     def run(part: pd.DataFrame) -> pd.DataFrame:
-        x = part[column].to_numpy(float)
-        at = peak_places(x)
-        keep = np.ones(len(at), bool)
-        for k in np.argsort(x[at], kind="stable")[::-1]:
-            if keep[k]:
-                near = (np.abs(at - at[k]) < distance) & (np.arange(len(at)) != k)
-                keep[near] = False
-        return pd.DataFrame({"symbol": part["symbol"].iloc[at[keep]], "date": part["date"].iloc[at[keep]]})
-
-    return _per_symbol(df, column, "symbol long, date date", run)
+        kept: list[int] = []
+        for rn in part.sort_values(["x", "rn"], ascending=False)["rn"].tolist():
+            i = bisect.bisect(kept, rn)
+            if (i == 0 or rn - kept[i - 1] >= distance) and (i == len(kept) or kept[i] - rn >= distance):
+                kept.insert(i, rn)
+        return pd.DataFrame({"symbol": part["symbol"].iloc[0], "rn": kept})
+
+    return rows.select("symbol", "date", "rn").join(at.groupBy("symbol").applyInPandas(run, "symbol long, rn long"), ["symbol", "rn"]).select("symbol", "date")

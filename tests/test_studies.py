@@ -4,6 +4,7 @@ import datetime
 import random
 
 import pandas as pd
+import pytest
 
 from barwright.operators import correlation, fib, intraday, patterns, quality, relational, smoothing, studies
 
@@ -64,17 +65,54 @@ def test_symbols_do_not_mix(spark):
         pd.testing.assert_frame_equal(a, b)
 
 
-def test_peaks_take_plateau_middles_and_match_grouped_map(spark):
+def test_peaks_take_plateau_middles(spark):
     values = [1, 3, 3, 3, 2, 5, 4, 4, 6, 1]
     rows = [(1, datetime.date(2020, 1, 1) + datetime.timedelta(i), 1.0, 1.0, 1.0, float(v), 1.0) for i, v in enumerate(values)]
     df = spark.createDataFrame(rows, SCHEMA)
     at = [r["date"].day - 1 for r in studies.peaks(df).where("peak = 1").collect()]
-    assert sorted(at) == [2, 5, 8] == smoothing.peak_places(pd.Series(values).to_numpy()).tolist()
+    assert sorted(at) == [2, 5, 8]
     heights = {r["date"].day - 1: r["prominence"] for r in smoothing.prominences(df, "fClose").collect()}
     assert heights == {2: 1.0, 5: 1.0, 8: 5.0}
     assert sorted(r["date"].day - 1 for r in smoothing.distant_peaks(df, "fClose", 4).collect()) == [2, 8]
 
 
+def brute_prominences(x):
+    """By the definition, for each strict local maximum (of a plateau its lower middle)."""
+    out, i = {}, 0
+    while i < len(x):
+        j = i
+        while j + 1 < len(x) and x[j + 1] == x[i]:
+            j += 1
+        if 0 < i and j + 1 < len(x) and x[i - 1] < x[i] > x[j + 1]:
+            p = (i + j) // 2
+            left = max((k for k in range(p) if x[k] > x[p]), default=0)
+            right = min((k for k in range(p + 1, len(x)) if x[k] > x[p]), default=len(x) - 1)
+            out[p] = x[p] - max(min(x[left : p + 1]), min(x[p : right + 1]))
+        i = j + 1
+    return out
+
+
+@pytest.mark.parametrize(("block", "searches"), [(4, 3), (16, 1000), (4096, 1000)])
+def test_prominences_by_blocks(spark, monkeypatch, block, searches):
+    """Random walks, plateaus longer than a block, zigzags that rise or fall all along (whose searches all go to one block, so it is copied), nulls."""
+    import random
+
+    r = random.Random(block)
+    walk = [0]
+    for _ in range(400):
+        walk.append(walk[-1] + r.choice([-2, -1, 0, 0, 1, 2]))
+    series = {1: walk, 2: [1000] + [k + 3 * (k % 2) for k in range(120)], 3: [-k + 3 * (k % 2) for k in range(120)] + [1000], 4: [0] * 9 + [5] * 13 + [0] * 7 + [5] * 6 + [1], 5: [3], 6: [r.randrange(3) for _ in range(100)]}
+    monkeypatch.setattr(smoothing, "BLOCK", block)
+    monkeypatch.setattr(smoothing, "ROOTS", 0)
+    monkeypatch.setattr(smoothing, "SEARCHES", searches)
+    day = datetime.date(2000, 1, 1)
+    rows = [(s, day + datetime.timedelta(i), float(v)) for s, x in series.items() for i, v in enumerate(x)]
+    got = {}
+    for q in smoothing.prominences(spark.createDataFrame([*rows, (1, day - datetime.timedelta(1), None)], "symbol long, date date, v double"), "v").collect():
+        got.setdefault(q["symbol"], {})[(q["date"] - day).days] = q["prominence"]
+    assert got == {s: p for s, x in series.items() if (p := brute_prominences(x))}
+
+
 def test_upsert_twice_changes_nothing(spark):
     old = spark.createDataFrame([(1, "a"), (2, "b")], "k int, v string")
     new = spark.createDataFrame([(2, "c"), (3, "d"), (3, "e")], "k int, v string")
