@@ -88,17 +88,74 @@ def one_hot(df: DataFrame, column: str, values: Sequence[str], prefix: str) -> D
     return df.withColumns({f"{prefix}{v}": F.when(F.col(column) == v, 1).otherwise(0) for v in values})
 
 
+#: Rows of a part when a whole table is put in order, and the sample from which the parts' borders are taken.
+PART_ROWS, SAMPLED = 100_000, 20_000
+
+
+def in_parts(df: DataFrame, order: Sequence[tuple[str, bool]], part_rows: int | None = None) -> DataFrame:
+    """df with _part: parts of about so many rows that follow each other in the order (columns, each with whether it descends; nulls come first).
+
+    The borders are rows of a bounded sample by hash, so they are the same whenever the table is read; the parts they make differ
+    in size, but any borders give the same order. Rows that are equal in all columns of the order are one part.
+    """
+    rows = df.count()
+    parts = -(-rows // (part_rows or PART_ROWS))
+    if parts <= 1:
+        return df.withColumn("_part", F.lit(0))
+    names = [c for c, _ in order]
+    sampled = df.select(*names).where(F.pmod(F.xxhash64(*names), F.lit(max(1, rows // SAMPLED))) == 0).distinct()
+    ranked = sampled.orderBy(*[F.desc_nulls_last(c) if down else F.asc_nulls_first(c) for c, down in order]).collect()
+    borders = [ranked[len(ranked) * i // parts] for i in range(1, parts)] if ranked else []
+
+    def before(border) -> Column:
+        """Whether a row comes before the border."""
+        out = F.lit(False)
+        for c, down in reversed(order):
+            v, b = F.col(c), border[c]
+            first = (v.isNotNull() if down else F.lit(False)) if b is None else (v > F.lit(b)) | F.lit(False) if down else v.isNull() | (v < F.lit(b))
+            same = v.eqNullSafe(F.lit(b))
+            out = F.coalesce(first, F.lit(False)) | (same & out)
+        return out
+
+    # borders are in order, so a row's part is found by halving them
+    def place(low: int, high: int) -> Column:
+        if low == high:
+            return F.lit(low)
+        middle = (low + high) // 2
+        return F.when(before(borders[middle]), place(low, middle)).otherwise(place(middle + 1, high))
+
+    return df.withColumn("_part", place(0, len(borders)))
+
+
+def numbered(df: DataFrame, order: Sequence[tuple[str, bool]], name: str = "rn", part_rows: int | None = None) -> DataFrame:
+    """df with the number (from 1) of each row in the order of the whole table: numbers within parts, after the counts of the parts before. No task sees more than a part."""
+    cut = in_parts(df, order, part_rows)
+    counts = cut.groupBy("_part").agg(F.count("*").alias("_n"))
+    starts = counts.select("_part", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    w = Window.partitionBy("_part").orderBy(*[F.desc_nulls_last(c) if down else F.asc_nulls_first(c) for c, down in order])
+    return cut.withColumn("_k", F.row_number().over(w)).join(F.broadcast(starts), "_part").withColumn(name, F.col("_k") + F.col("_before")).drop("_part", "_k", "_before")  # starts: a row a part
+
+
+def gaps_to_next(df: DataFrame, key: str, name: str = "idx_diff", last: int = 1, part_rows: int | None = None) -> DataFrame:
+    """key less the next greater row's key (of equal ones 0); `last` on the last row. Each part looks at the least key of the next one that has rows."""
+    cut = in_parts(df, [(key, False)], part_rows)
+    heads = cut.groupBy("_part").agg(F.min(key).alias("_head"))
+    after = heads.select("_part", F.lead("_head").over(Window.orderBy("_part")).alias("_next"))
+    following = F.lead(key).over(Window.partitionBy("_part").orderBy(F.asc_nulls_first(key)))
+    return cut.withColumn("_f", following).join(F.broadcast(after), "_part").withColumn(name, F.coalesce(F.col(key) - F.coalesce("_f", "_next"), F.lit(last))).drop("_part", "_f", "_next")
+
+
 def factorize(df: DataFrame, column: str, code: str = "code") -> tuple[DataFrame, DataFrame]:
-    """df with a code for each value in order of value (nulls: -1), and the dictionary (code, value). The values are few enough to be numbered in one task."""
+    """df with a code for each value in order of value (nulls: -1), and the dictionary (code, value). However many values there are: they are numbered in parts, and joined by what their size asks for."""
     values = df.select(column).where(F.col(column).isNotNull()).distinct()
-    dictionary = values.select((F.row_number().over(Window.orderBy(column)) - 1).alias(code), column)
-    return df.join(F.broadcast(dictionary), column, "left").withColumn(code, F.coalesce(code, F.lit(-1))), dictionary
+    dictionary = numbered(values, [(column, False)], code).select((F.col(code) - 1).cast("int").alias(code), column)
+    return df.join(dictionary, column, "left").withColumn(code, F.coalesce(code, F.lit(-1))), dictionary
 
 
 def frequency_codes(df: DataFrame, column: str, code: str = "code") -> DataFrame:
     """column, n, code: 0 for the most frequent value, ties in order of value."""
     counts = df.groupBy(column).agg(F.count("*").alias("n"))
-    return counts.withColumn(code, F.row_number().over(Window.orderBy(F.desc("n"), column)) - 1)
+    return numbered(counts, [("n", True), (column, False)], code).withColumn(code, (F.col(code) - 1).cast("int"))
 
 
 def equal_bins(df: DataFrame, keys: Sequence[str], order: Sequence[Column], size: int, name: str = "bin") -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import bisect
+import math
 from collections.abc import Sequence
 
 import numpy as np
@@ -170,3 +171,82 @@ def distant_peaks(df: DataFrame, column: str, distance: int) -> DataFrame:
         return pd.DataFrame({"symbol": part["symbol"].iloc[0], "rn": kept})
 
     return rows.select("symbol", "date", "rn").join(at.groupBy("symbol").applyInPandas(run, "symbol long, rn long"), ["symbol", "rn"]).select("symbol", "date")
+
+
+def daubechies(p: int) -> list[float]:
+    """The 2p taps of the orthogonal scaling filter with p vanishing moments whose roots lie inside the unit circle: of the halfband polynomial's roots in z those within it, and -1 p times."""
+    y = np.roots([math.comb(p - 1 + k, k) for k in range(p)][::-1])
+    z = np.roots([1.0])
+    for root in y:  # y = (2 - z - 1 / z) / 4
+        pair = np.roots([1, 4 * root - 2, 1])
+        z = np.append(z, pair[np.argmin(abs(pair))])
+    taps = np.real(np.poly(np.append(z, np.full(p, -1.0))))
+    return (taps * math.sqrt(2) / taps.sum()).tolist()
+
+
+def _bank(p: int) -> tuple[list[float], list[float]]:
+    """Analysis filters, low and high."""
+    taps = daubechies(p)
+    low = taps[::-1]
+    return low, [(-1) ** (j + 1) * x for j, x in enumerate(taps)]
+
+
+def _wrapped(df: DataFrame, keys: Sequence[str], values: Sequence[str], before: int, after: int) -> DataFrame:
+    """Rows (keys, k, n, values) with as many more at either end as the windows look at, by wrapping round; short series wrap several times."""
+    turn = F.sequence(F.ceil((-before - F.col("k")) / F.col("n")).cast("long"), F.floor((F.col("n") + after - 1 - F.col("k")) / F.col("n")).cast("long"))
+    return df.select(*keys, "n", *values, F.col("k").alias("_k"), F.explode(turn).alias("_turn")).select(*keys, "n", *values, (F.col("_k") + F.col("_turn") * F.col("n")).alias("k"))
+
+
+def analysed(df: DataFrame, keys: Sequence[str], p: int) -> DataFrame:
+    """One level of the periodic wavelet transform of rows (keys, k from 0, n, x): keys, k, n (half of it), x (the averages), d (the details). A series of odd length first repeats its last value."""
+    low, high = _bank(p)
+    odd = (F.col("n") % 2 == 1) & (F.col("k") == F.col("n") - 1)
+    even = df.select(*keys, F.explode(F.when(odd, F.array("k", "n")).otherwise(F.array("k"))).alias("k"), (F.col("n") + F.col("n") % 2).alias("n"), "x")
+    w = Window.partitionBy(*keys).orderBy("k")
+    at = lambda j: F.lead("x", p - j).over(w) if j <= p else F.lag("x", j - p).over(w)
+    out = _wrapped(even, keys, ["x"], p - 1, p + 1).withColumns({"a": sum(at(j) * c for j, c in enumerate(low)), "d": sum(at(j) * c for j, c in enumerate(high))})
+    return out.where((F.col("k") >= 0) & (F.col("k") < F.col("n")) & (F.col("k") % 2 == 0)).select(*keys, F.floor(F.col("k") / 2).alias("k"), F.floor(F.col("n") / 2).alias("n"), F.col("a").alias("x"), "d")
+
+
+def synthesised(df: DataFrame, keys: Sequence[str], p: int) -> DataFrame:
+    """The inverse of `analysed`, for rows (keys, k, n, x, d): keys, k, n (twice it), x."""
+    low, high = _bank(p)
+    w, half = Window.partitionBy(*keys).orderBy("k"), p // 2
+    at = lambda c, by: F.lead(c, by).over(w) if by >= 0 else F.lag(c, -by).over(w)
+    # output m takes tap j of the coefficient at (m - p + j) / 2
+    outputs = [sum(at("x", (m - p + j) // 2) * low[j] + at("d", (m - p + j) // 2) * high[j] for j in range(2 * p) if (m - p + j) % 2 == 0) for m in (0, 1)]
+    out = _wrapped(df, keys, ["x", "d"], half + 1, half + 2).withColumns({"_0": outputs[0], "_1": outputs[1]}).where((F.col("k") >= 0) & (F.col("k") < F.col("n")))
+    return out.select(*keys, (F.col("n") * 2).alias("n"), F.posexplode(F.array("_0", "_1")).alias("_m", "x"), F.col("k").alias("_k")).select(*keys, (F.col("_k") * 2 + F.col("_m")).alias("k"), "n", "x")
+
+
+def wavelet_levels(n: int, p: int) -> int:
+    """Levels after which averages would be shorter than the filter."""
+    return max(0, int(math.log2(n / (2 * p - 1)))) if n >= 2 * p - 1 else 0
+
+
+def wavelet_denoised(df: DataFrame, column: str, scale: float, keys: Sequence[str] = ("symbol",), p: int = 6, levels: int | None = None) -> DataFrame:
+    """keys, date, smooth: each series without the details that a threshold of scale times its maximum takes away (soft: details shrink by the threshold towards 0).
+
+    A periodic wavelet transform with the orthogonal filters of 2p taps, in as many levels as a series' length allows (levels:
+    so many at most). Each level is one window over the coefficients of the level before, half as many; scale 0 gives the series
+    back. Rows with a null value are left out; series shorter than the filter stay as they are.
+    """
+    keys = list(keys)
+    w = Window.partitionBy(*keys)
+    rows = df.select(*keys, "date", F.col(column).cast("double").alias("x")).where("x IS NOT NULL")
+    rows = rows.withColumns({"k": F.row_number().over(w.orderBy("date")).cast("long") - 1, "n": F.count("*").over(w), "_t": F.max("x").over(w) * scale})
+    longest = rows.agg(F.max("n")).first()[0] or 0
+    most = wavelet_levels(longest, p) if levels is None else min(levels, wavelet_levels(longest, p))
+    own = F.least(F.greatest(F.floor(F.log2(F.col("n0") / (2 * p - 1))), F.lit(0)), F.lit(most))  # a series' levels
+    carried = [*keys, "n0", "_t"]
+    now, before, details = rows.select(*keys, F.col("n").alias("n0"), "_t", "k", "n", "x"), [], []
+    for level in range(most):
+        before.append(now)
+        step = analysed(now.where(own > level), carried, p)
+        details.append(step.select(*keys, "k", (F.signum("d") * F.greatest(F.abs("d") - F.col("_t"), F.lit(0.0))).alias("d")))
+        now = step.select(*carried, "k", "n", "x")
+    for level in reversed(range(most)):
+        back = synthesised(now.join(details[level], [*keys, "k"]), carried, p)
+        size = F.ceil(F.col("n0") / (1 << level)).cast("long")  # one less than twice the coefficients where that was odd
+        now = back.where(F.col("k") < size).withColumn("n", size).unionByName(before[level].where(own == level))
+    return rows.select(*keys, "date", "k").join(now.select(*keys, "k", F.col("x").alias("smooth")), [*keys, "k"]).drop("k")

@@ -36,9 +36,17 @@ def tz_convert(spark: SparkSession, d: str) -> DataFrame:
 _H = ", ".join(f"DATE '{h}'" for h in HOLIDAYS)
 
 
-@query("business_calendar", f"SELECT d::DATE AS date, row_number() OVER (ORDER BY d) AS n FROM generate_series(DATE '1996-01-01', DATE '1996-12-31', INTERVAL 1 DAY) AS t(d) WHERE isodow(d) < 6 AND d::DATE NOT IN ({_H})")
+@query(
+    "business_calendar",
+    f"WITH ends AS (SELECT min(o_orderdate)::DATE AS a, max(o_orderdate)::DATE AS b FROM orders), c AS (SELECT d::DATE AS date, row_number() OVER (ORDER BY d) AS n FROM ends, unnest(generate_series(a, b, INTERVAL 1 DAY)) AS t(d) WHERE isodow(d) < 6 AND d::DATE NOT IN ({_H})) SELECT c.date, c.n, count(o_orderkey) AS orders FROM c LEFT JOIN orders ON o_orderdate::DATE = c.date GROUP BY 1, 2",
+)
 def business_calendar(spark: SparkSession, d: str) -> DataFrame:
-    return D.calendar(spark, "1996-01-01", "1996-12-31", HOLIDAYS).withColumn("n", F.col("n").cast("long"))
+    """The business days that orders span, numbered, with each day's orders."""
+    orders = table(spark, d, "orders").select(F.to_date("o_orderdate").alias("date"))
+    first, last = orders.agg(F.min("date"), F.max("date")).first()
+    by_day = orders.groupBy("date").agg(F.count("*").alias("orders"))
+    days = D.calendar(spark, str(first), str(last), HOLIDAYS).withColumn("n", F.col("n").cast("long"))
+    return days.join(by_day, "date", "left").withColumn("orders", F.coalesce("orders", F.lit(0)))
 
 
 @query(

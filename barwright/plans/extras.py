@@ -74,22 +74,67 @@ def fib_top_candidate(spark: SparkSession, d: str) -> DataFrame:
     return B.pipeline(_input(spark, d))[0].orderBy(F.desc("perc_range"), "symbol").limit(10).select("symbol", "range", "cond")
 
 
-@query("linear_model_metrics", None, "rmse r2 sign_accuracy", 3)
-def linear_model_metrics(spark: SparkSession, d: str) -> DataFrame:
-    from barwright.operators.models import fit_and_score
+# models: next month's close from this month's close, its mean of ten and the volume
+
+_FEATURES = ("fClose", "sma_10", "fVolume")
+_SPLIT = """m AS (SELECT symbol, date, fClose, fVolume, CASE WHEN count(*) OVER w10 >= 10 THEN avg(fClose) OVER w10 END AS sma_10, lead(fClose) OVER w AS y, row_number() OVER w AS rn, count(*) OVER (PARTITION BY symbol) AS n FROM bars WINDOW w AS (PARTITION BY symbol ORDER BY date), w10 AS (PARTITION BY symbol ORDER BY date ROWS 9 PRECEDING)),
+whole AS (SELECT [fClose, sma_10, fVolume]::DOUBLE[] AS x, y, CASE WHEN rn <= n - 3 * floor(n * 0.2::DOUBLE) THEN 'train' WHEN rn <= n - 2 * floor(n * 0.2::DOUBLE) THEN 'test' END AS split FROM m WHERE sma_10 IS NOT NULL AND y IS NOT NULL)"""
+_METRICS = "SELECT sqrt(avg((y - p) ** 2)) AS rmse, 1 - sum((y - p) ** 2) / (var_pop(y) * count(*)) AS r2, avg((sign(y) = sign(p))::INT) AS sign_accuracy FROM predicted"
+
+
+def _training(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    df = S.sma(load(spark, d, "month"), (10,)).withColumn("next", F.lead("fClose").over(S.W()))
+    split = Q.time_split(df, ["symbol"], ["date"]).dropna(subset=[*_FEATURES, "next"])
+    return split.where("split = 'train'"), split.where("split = 'test'")
 
-    df = S.sma(S.change_pct(load(spark, d, "month")), (10,)).withColumn("next", F.lead("fClose").over(S.W()))
-    split = Q.time_split(df, ["symbol"], ["date"])
-    return fit_and_score(split.where("split = 'train'"), split.where("split = 'test'"), ["fClose", "sma_10", "fVolume"], "next", regParam=0.1, elasticNetParam=0.0)
 
+def _det(m: list[list[str]]) -> str:
+    (a, b, c), (d, e, f), (g, h, i) = m
+    return f"({a} * ({e} * {i} - {f} * {h}) - {b} * ({d} * {i} - {f} * {g}) + {c} * ({d} * {h} - {e} * {g}))"
 
-@query("tree_model_metrics", None, "rmse r2 sign_accuracy", 3)
+
+def _linear_sql(ridge: float) -> str:
+    """The three normal equations of standardised features by determinants."""
+    r = [[f"({f'covar_pop(x[{i}], x[{j}]) / (stddev_pop(x[{i}]) * stddev_pop(x[{j}]))' if i != j else '1'} + {ridge if i == j else 0}::DOUBLE)" for j in (1, 2, 3)] for i in (1, 2, 3)]
+    cols = ", ".join([f"{r[i][j]} AS r{i}{j}" for i in range(3) for j in range(3)] + [f"covar_pop(x[{i}], y) / stddev_pop(x[{i}]) AS b{i - 1}, stddev_pop(x[{i}]) AS s{i - 1}, avg(x[{i}]) AS m{i - 1}" for i in (1, 2, 3)])
+    m = [[f"r{i}{j}" for j in range(3)] for i in range(3)]
+    weight = lambda k: _det([[f"b{i}" if j == k else m[i][j] for j in range(3)] for i in range(3)]) + f" / {_det(m)} / s{k}"
+    return f"""eq AS (SELECT {cols}, avg(y) AS my FROM whole WHERE split = 'train'), w AS (SELECT *, {', '.join(f'{weight(k)} AS w{k}' for k in range(3))} FROM eq),
+predicted AS (SELECT y, my + w0 * (x[1] - m0) + w1 * (x[2] - m1) + w2 * (x[3] - m2) AS p FROM whole, w WHERE split = 'test')"""
+
+
+@query("linear_model_metrics", over("month", f", {_SPLIT}, {_linear_sql(0.1)} {_METRICS}"), "rmse r2 sign_accuracy", 3)
+def linear_model_metrics(spark: SparkSession, d: str) -> DataFrame:
+    from barwright.operators.models import linear
+
+    train, test = _training(spark, d)
+    return Q.regression_metrics(test.withColumn("_p", linear(train, _FEATURES, "next", ridge=0.1).predicted()), "next", "_p")
+
+
+def _tree_sql(depth: int, bins: int) -> str:
+    """The tree level by level: histograms of each node, the best cut, rows sent to the next level."""
+    parts = [
+        f"ends AS (SELECT {', '.join(f'min(x[{i}]) AS lo{i}, max(x[{i}]) AS hi{i}' for i in (1, 2, 3))} FROM whole WHERE split = 'train')",
+        f"edges AS (SELECT [{', '.join(f'list_transform(range({bins}), lambda b: lo{i} + (hi{i} - lo{i}) * (b + 1) / {bins})' for i in (1, 2, 3))}] AS e FROM ends)",
+        f"r0 AS (SELECT x, y, split, 1 AS node, (SELECT avg(y) FROM whole WHERE split = 'train') AS p, list_transform(range(3), lambda f: least(len(list_filter(e[f + 1], lambda t: t < x[f + 1])), {bins - 1})) AS b FROM whole, edges WHERE split IS NOT NULL)",
+    ]
+    for i in range(depth):
+        parts += [
+            f"h{i} AS (SELECT node, f, b[f + 1] AS bin, count(*)::DOUBLE AS n, sum(y) AS s FROM r{i}, unnest(range(3)) AS u(f) WHERE split = 'train' GROUP BY 1, 2, 3)",
+            f"c{i} AS (SELECT node, f, bin, sum(n) OVER w AS n, sum(s) OVER w AS s, sum(n) OVER (PARTITION BY node, f) AS tn, sum(s) OVER (PARTITION BY node, f) AS ts FROM h{i} WINDOW w AS (PARTITION BY node, f ORDER BY bin))",
+            f"g{i} AS (SELECT *, s * s / n + (ts - s) * (ts - s) / (tn - n) - ts * ts / tn AS gain FROM c{i} WHERE tn > n)",
+            f"k{i} AS (SELECT node, f, bin, s / n AS yes, (ts - s) / (tn - n) AS no FROM g{i} WHERE gain > 1e-9 * greatest(1, ts * ts / tn) QUALIFY row_number() OVER (PARTITION BY node ORDER BY gain DESC, f, bin) = 1)",
+            f"r{i + 1} AS (SELECT x, y, split, r.b, CASE WHEN k.node IS NULL THEN r.node ELSE 2 * r.node + CASE WHEN x[f + 1] <= e[f + 1][bin + 1] THEN 0 ELSE 1 END END AS node, CASE WHEN k.node IS NULL THEN p WHEN x[f + 1] <= e[f + 1][bin + 1] THEN yes ELSE no END AS p FROM r{i} r CROSS JOIN edges LEFT JOIN k{i} k ON k.node = r.node)",
+        ]
+    return ", ".join([*parts, f"predicted AS (SELECT y, p FROM r{depth} WHERE split = 'test')"])
+
+
+@query("tree_model_metrics", over("month", f", {_SPLIT}, {_tree_sql(3, 16)} {_METRICS}"), "rmse r2 sign_accuracy", 3)
 def tree_model_metrics(spark: SparkSession, d: str) -> DataFrame:
-    from barwright.operators.models import fit_and_score
+    from barwright.operators.models import tree
 
-    df = S.sma(S.change_pct(load(spark, d, "month")), (10,)).withColumn("next", F.lead("fClose").over(S.W()))
-    split = Q.time_split(df, ["symbol"], ["date"])
-    return fit_and_score(split.where("split = 'train'"), split.where("split = 'test'"), ["fClose", "sma_10", "fVolume"], "next", "tree", maxDepth=4)
+    train, test = _training(spark, d)
+    return Q.regression_metrics(test.withColumn("_p", tree(train, _FEATURES, "next", depth=3, bins=16).predicted()), "next", "_p")
 
 
 @query("embedding_clusters", None)

@@ -11,13 +11,15 @@ from barwright.operators import options as P
 from barwright.operators import quality as Q
 from barwright.operators import ratings as T
 from barwright.operators import studies as S
+from barwright.operators import candles as K
 from barwright.plans.bars import load, over
+from barwright.plans.candles import _named, _sign
 from barwright.plans.fib import _LEVELS, _input, _least
 from barwright.plans.options import _chain, with_chain
 from barwright.plans.quality import _MISSING, _missing
 from barwright.plans.registry import query, table
 from barwright.plans.streams import folder
-from barwright.plans.studies import RN, W, recursive
+from barwright.plans.studies import RN, W, ema_sql, recursive
 
 # analyst ratings: orders stand for ratings
 
@@ -208,6 +210,31 @@ def kalman_level(spark: SparkSession, d: str) -> DataFrame:
     return kalman(load(spark, d, "month"), "fClose")
 
 
+def wavelet_sql(source: str, share: float, levels: int) -> str:
+    """Tables up to smoothed (symbol, k, x), from source (symbol, rn, x): the periodic transform with sums over taps, step by step, and its transpose."""
+    from barwright.operators.smoothing import _bank
+
+    low, high = (f"[{', '.join(f'{x!r}::DOUBLE' for x in taps)}]" for taps in _bank(6))
+    parts = [f"a0 AS (SELECT symbol, rn - 1 AS k, count(*) OVER (PARTITION BY symbol) AS n, {share}::DOUBLE * max(x) OVER (PARTITION BY symbol) AS t, x FROM {source})"]
+    for i in range(levels):
+        parts.append(f"e{i} AS (SELECT symbol, k, n + n % 2 AS n, t, x FROM a{i} UNION ALL SELECT symbol, n, n + 1, t, x FROM a{i} WHERE n % 2 = 1 AND k = n - 1)")
+        parts.append(f"m{i} AS (SELECT DISTINCT symbol, n, t FROM e{i})")
+        parts.append(f"c{i} AS (SELECT m.symbol, o, m.n // 2 AS n, m.t, sum({low}[j + 1] * e.x) AS x, sum({high}[j + 1] * e.x) AS d FROM m{i} m, unnest(range(m.n // 2)) AS u(o), unnest(range(12)) AS v(j), e{i} e WHERE e.symbol = m.symbol AND e.k = (2 * o + 6 - j + 12 * m.n) % m.n GROUP BY 1, 2, 3, 4)")
+        parts.append(f"a{i + 1} AS (SELECT symbol, o AS k, n, t, x FROM c{i})")
+    now = f"a{levels}"
+    for i in reversed(range(levels)):
+        parts.append(f"r{i} AS (SELECT c.symbol, (2 * c.o + 6 - j + 24 * c.n) % (2 * c.n) AS k, sum({low}[j + 1] * b.x + {high}[j + 1] * sign(c.d) * greatest(abs(c.d) - c.t, 0)) AS x FROM c{i} c JOIN {now} b ON b.symbol = c.symbol AND b.k = c.o, unnest(range(12)) AS v(j) GROUP BY 1, 2)")
+        now = f"r{i}"
+    return ", ".join([*parts, f"smoothed AS (SELECT * FROM {now})"])
+
+
+@query("wavelet_denoised", over("week", f"{_NUMBERED}, w AS (SELECT symbol, date, rn, fClose AS x FROM s), {wavelet_sql('w', 0.02, 3)} SELECT w.symbol, date, smoothed.x AS smooth FROM w JOIN smoothed ON smoothed.symbol = w.symbol AND smoothed.k = rn - 1"), "smooth")
+def wavelet_denoised(spark: SparkSession, d: str) -> DataFrame:
+    from barwright.operators.smoothing import wavelet_denoised
+
+    return wavelet_denoised(load(spark, d, "week"), "fClose", 0.02, levels=3)
+
+
 _DAYS = "(5 * (({0} - DATE '1970-01-05') // 7) + least(({0} - DATE '1970-01-05') % 7, 5))"
 
 
@@ -287,25 +314,48 @@ def fib_bounces(spark: SparkSession, d: str) -> DataFrame:
 # the training set: levels, sectors, studies, filings, ratings
 
 
+_SPANS = (10, 20, 50)
+_BULL, _BEAR = (" + ".join(f"({_sign(p.name)} = {side})::INT" for p in K.PATTERNS) for side in (1, -1))
+
+
+def _wilder(side: str) -> str:
+    return f"CASE WHEN rn < 14 THEN 0 WHEN rn = 14 THEN avg({side}) OVER (PARTITION BY symbol ORDER BY date ROWS 13 PRECEDING) ELSE {side} / 14 END * power(13.0 / 14, -rn) AS {side}_w"
+
+
 @query(
     "training_set_full",
     recursive(
         "week",
         f"""{_NEAR}, {_RATED}, {_BY_DAY}, weekly AS (SELECT symbol, date_trunc('week', date)::DATE AS date, sum(acp_upgr)::BIGINT AS raised, sum(acp_down)::BIGINT AS lowered FROM days GROUP BY 1, 2),
-q AS (SELECT n.symbol, n.date, fChangeP, gap, CASE WHEN count(*) OVER w50 >= 50 THEN avg(fClose) OVER w50 END AS sma_50, min(CASE WHEN fVolume > 100 THEN date END) OVER (PARTITION BY symbol ORDER BY date ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS nxt FROM n WINDOW w50 AS (PARTITION BY symbol ORDER BY date ROWS 49 PRECEDING))
-SELECT q.symbol, q.date, fChangeP, gap, sma_50, kind, code, level, close_val, prominence, perc_5, n_regionkey AS sector, (nxt - q.date) // 7 * 5 AS days_until_filing, coalesce(raised, 0) AS raised, coalesce(lowered, 0) AS lowered
-FROM q JOIN nearby ON nearby.symbol = q.symbol AND nearby.date = q.date JOIN supplier ON s_suppkey = q.symbol JOIN nation ON s_nationkey = n_nationkey LEFT JOIN weekly ON weekly.symbol = q.symbol AND weekly.date = q.date""",
+forms AS (SELECT o_custkey % 100 AS symbol, date_trunc('week', o_orderdate)::DATE AS date, count(*) FILTER (WHERE o_orderpriority = '1-URGENT') AS q10, count(*) FILTER (WHERE o_orderpriority = '2-HIGH') AS k10 FROM orders GROUP BY 1, 2),
+{ema_sql('(SELECT symbol, date, fClose FROM n)', _SPANS, prefix='ema_')},
+rsi_c AS (SELECT symbol, date, {RN} - 1 AS rn, fClose - lag(fClose) OVER {W} AS ch FROM n), rsi_g AS (SELECT *, greatest(ch, 0) AS gain, greatest(-ch, 0) AS loss FROM rsi_c), rsi_w AS (SELECT *, {_wilder('gain')}, {_wilder('loss')} FROM rsi_g),
+rsi_s AS (SELECT symbol, date, rn, sum(gain_w) OVER {W} AS sg, sum(loss_w) OVER {W} AS sl FROM rsi_w), rsis AS (SELECT symbol, date, CASE WHEN rn >= 14 THEN coalesce(100 * sg / nullif(sg + sl, 0), 0) END AS rsi FROM rsi_s),
+{_named('n')}, candles AS (SELECT symbol, date, {_BULL} AS bullish, {_BEAR} AS bearish FROM named),
+q AS (SELECT n.symbol, n.date, fChangeP, gap, CASE WHEN count(*) OVER w50 >= 50 THEN avg(fClose) OVER w50 END AS sma_50, sum(fVolume) OVER w4 AS volume_4, min(CASE WHEN fVolume > 100 THEN date END) OVER (PARTITION BY symbol ORDER BY date ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS nxt FROM n WINDOW w50 AS (PARTITION BY symbol ORDER BY date ROWS 49 PRECEDING), w4 AS (PARTITION BY symbol ORDER BY date ROWS 3 PRECEDING))
+SELECT q.symbol, q.date, fChangeP, gap, sma_50, volume_4, {', '.join(f'ema_{k}' for k in _SPANS)}, ema_10 - ema_20 AS ema_10_20, rsi, bullish, bearish, kind, code, level, close_val, prominence, perc_5, n_regionkey AS sector, s_nationkey AS nation, (nxt - q.date) // 7 * 5 AS days_until_earnings,
+ coalesce(q10, 0) AS q10, coalesce(k10, 0) AS k10, coalesce(raised, 0) AS raised, coalesce(lowered, 0) AS lowered
+FROM q JOIN nearby ON nearby.symbol = q.symbol AND nearby.date = q.date JOIN emas ON emas.symbol = q.symbol AND emas.date = q.date JOIN rsis ON rsis.symbol = q.symbol AND rsis.date = q.date JOIN candles ON candles.symbol = q.symbol AND candles.date = q.date
+JOIN supplier ON s_suppkey = q.symbol JOIN nation ON s_nationkey = n_nationkey LEFT JOIN weekly ON weekly.symbol = q.symbol AND weekly.date = q.date LEFT JOIN forms ON forms.symbol = q.symbol AND forms.date = q.date""",
     ),
-    "fChangeP sma_50 close_val prominence perc_5",
+    "fChangeP sma_50 ema_10 ema_20 ema_50 ema_10_20 rsi close_val prominence perc_5",
+    5,
 )
 def training_set_full(spark: SparkSession, d: str) -> DataFrame:
+    """All five blocks: Fibonacci levels and peaks, symbol meta, studies and candles, filings and earnings, analysts. The studies share one window over a symbol's rows; the other blocks join by symbol and week."""
     n = _input(spark, d)
     near = B.peaks_near_levels(n, B.pipeline(n)[0]).select("symbol", "date", "kind", "code", "level", "close_val", "prominence", "perc_5")
-    sectors = table(spark, d, "supplier").join(table(spark, d, "nation"), F.col("s_nationkey") == F.col("n_nationkey")).select(F.col("s_suppkey").alias("symbol"), F.col("n_regionkey").alias("sector"))
-    weekly = T.by_day(T.cleaned(_ratings(spark, d))).groupBy("symbol", F.trunc("date", "week").alias("date")).agg(F.sum("acp_upgr").alias("raised"), F.sum("acp_down").alias("lowered"))
-    studied = B.days_until(S.sma(n, (50,)), F.col("fVolume") > 100).select("symbol", "date", "fChangeP", "gap", "sma_50", F.col("days_until").cast("long").alias("days_until_filing"))
-    joined = studied.join(near, ["symbol", "date"]).join(sectors, "symbol").join(weekly, ["symbol", "date"], "left")
-    return joined.withColumns({c: F.coalesce(c, F.lit(0)) for c in ("raised", "lowered")})
+    meta = table(spark, d, "supplier").join(table(spark, d, "nation"), F.col("s_nationkey") == F.col("n_nationkey")).select(F.col("s_suppkey").alias("symbol"), F.col("n_regionkey").alias("sector"), F.col("s_nationkey").alias("nation"))
+    week = F.trunc("date", "week").alias("date")
+    ratings = T.by_day(T.cleaned(_ratings(spark, d))).groupBy("symbol", week).agg(F.sum("acp_upgr").alias("raised"), F.sum("acp_down").alias("lowered"))
+    forms = Q.flags_by_day(table(spark, d, "orders").withColumn("symbol", F.col("o_custkey") % 100), "symbol", F.to_date("o_orderdate"), "o_orderpriority", {"q10": "1-URGENT", "k10": "2-HIGH"})
+    filed = forms.groupBy("symbol", week).agg(F.sum("q10").alias("q10"), F.sum("k10").alias("k10"))
+    studied = S.rsi(S.ema(S.sma(n, (50,)), _SPANS)).withColumns({"volume_4": F.sum("fVolume").over(S.rows(-3, 0)), "ema_10_20": F.col("ema_10") - F.col("ema_20")})
+    count = lambda side: sum((F.expr(K.pattern_sql(p)) == side).cast("int") for p in K.PATTERNS)
+    signed = K.with_names(studied).withColumns({"bullish": count(1), "bearish": count(-1)})
+    own = B.days_until(signed, F.col("fVolume") > 100).select("symbol", "date", "fChangeP", "gap", "sma_50", "volume_4", *[f"ema_{k}" for k in _SPANS], "ema_10_20", "rsi", "bullish", "bearish", F.col("days_until").cast("long").alias("days_until_earnings"))
+    joined = own.join(near, ["symbol", "date"]).join(meta, "symbol").join(ratings, ["symbol", "date"], "left").join(filed, ["symbol", "date"], "left")
+    return joined.withColumns({c: F.coalesce(c, F.lit(0)) for c in ("q10", "k10", "raised", "lowered")})
 
 
 # logs and pages

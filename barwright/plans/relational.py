@@ -41,14 +41,15 @@ def chained_isin_nlargest(spark: SparkSession, d: str) -> DataFrame:
     return R.chained_isin(orders, "o_totalprice", nlargest=25).union(R.chained_isin(orders, "o_totalprice", nsmallest=10)).distinct()
 
 
-@query(
-    "chained_isin_gaps",
-    "SELECT s_suppkey, CASE WHEN nxt IS NULL THEN 1 ELSE s_suppkey - nxt END AS idx_diff FROM (SELECT s_suppkey, lead(s_suppkey) OVER (ORDER BY s_suppkey) AS nxt FROM supplier WHERE s_acctbal > 5000)",
-)
+@query("chained_isin_gaps", "SELECT s_suppkey, CASE WHEN nxt IS NULL THEN 1 ELSE s_suppkey - nxt END AS idx_diff FROM (SELECT s_suppkey, lead(s_suppkey) OVER (ORDER BY s_suppkey) AS nxt FROM supplier)")
 def chained_isin_gaps(spark: SparkSession, d: str) -> DataFrame:
-    rich = table(spark, d, "supplier").where("s_acctbal > 5000").select("s_suppkey")
-    nxt = F.lead("s_suppkey").over(Window.orderBy("s_suppkey"))  # one task: suppliers above a balance, a dimension
-    return rich.withColumn("idx_diff", F.coalesce(F.col("s_suppkey") - nxt, F.lit(1)))
+    return R.gaps_to_next(table(spark, d, "supplier").select("s_suppkey"), "s_suppkey")
+
+
+@query("order_gaps", "SELECT o_orderkey, CASE WHEN nxt IS NULL THEN 1 ELSE o_orderkey - nxt END AS idx_diff FROM (SELECT o_orderkey, lead(o_orderkey) OVER (ORDER BY o_orderkey) AS nxt FROM orders WHERE o_orderstatus = 'F')")
+def order_gaps(spark: SparkSession, d: str) -> DataFrame:
+    """The same over a table of facts, in parts of 1,000 rows."""
+    return R.gaps_to_next(table(spark, d, "orders").where("o_orderstatus = 'F'").select("o_orderkey"), "o_orderkey", part_rows=1000)
 
 
 @query("between_inclusive", "SELECT l_orderkey, l_linenumber, coalesce(nullif(l_discount, 0) BETWEEN 0.02 AND 0.04, false) AS mid FROM lineitem")
@@ -246,12 +247,12 @@ def join_followers(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     "join_positional_zip",
-    "SELECT s_suppkey, n_name FROM (SELECT s_suppkey, row_number() OVER (ORDER BY s_suppkey) AS rn FROM supplier WHERE s_acctbal > 9000) JOIN (SELECT n_name, row_number() OVER (ORDER BY n_nationkey) AS rn FROM nation) USING (rn)",
+    "SELECT s_suppkey, c_custkey FROM (SELECT s_suppkey, row_number() OVER (ORDER BY s_suppkey) AS rn FROM supplier) JOIN (SELECT c_custkey, row_number() OVER (ORDER BY c_acctbal DESC, c_custkey) AS rn FROM customer) USING (rn)",
 )
 def join_positional_zip(spark: SparkSession, d: str) -> DataFrame:
-    bins = table(spark, d, "supplier").where("s_acctbal > 9000").select("s_suppkey", F.row_number().over(Window.orderBy("s_suppkey")).alias("rn"))
-    proxies = table(spark, d, "nation").select("n_name", F.row_number().over(Window.orderBy("n_nationkey")).alias("rn"))
-    return bins.join(proxies, "rn").select("s_suppkey", "n_name")  # both sides are dimensions
+    bins = R.numbered(table(spark, d, "supplier").select("s_suppkey"), [("s_suppkey", False)])
+    proxies = R.numbered(table(spark, d, "customer").select("c_custkey", "c_acctbal"), [("c_acctbal", True), ("c_custkey", False)], part_rows=500)
+    return bins.join(proxies, "rn").select("s_suppkey", "c_custkey")
 
 
 @query("join_not_in_manifest", "SELECT DISTINCT l_suppkey FROM lineitem WHERE l_suppkey NOT IN (SELECT s_suppkey FROM supplier WHERE s_acctbal > 0)")
@@ -399,10 +400,15 @@ def top3_values(spark: SparkSession, d: str) -> DataFrame:
     return R.value_counts(table(spark, d, "documents"), "source").orderBy(F.desc("n"), "source").limit(3)
 
 
-@query("sorted_rank", "SELECT c_custkey, row_number() OVER (ORDER BY c_acctbal DESC, c_custkey) AS place FROM customer ORDER BY place LIMIT 100")
+@query("sorted_rank", "SELECT c_custkey, row_number() OVER (ORDER BY c_acctbal DESC, c_custkey) AS place FROM customer")
 def sorted_rank(spark: SparkSession, d: str) -> DataFrame:
-    top = table(spark, d, "customer").select("c_custkey", "c_acctbal").orderBy(F.desc("c_acctbal"), "c_custkey").limit(100)
-    return top.select("c_custkey", F.row_number().over(Window.orderBy(F.desc("c_acctbal"), "c_custkey")).alias("place"))
+    return R.numbered(table(spark, d, "customer").select("c_custkey", "c_acctbal"), [("c_acctbal", True), ("c_custkey", False)], "place", part_rows=500).select("c_custkey", "place")
+
+
+@query("sorted_rank_lines", "SELECT l_orderkey, l_linenumber, row_number() OVER (ORDER BY l_extendedprice DESC, l_orderkey, l_linenumber) AS place FROM lineitem")
+def sorted_rank_lines(spark: SparkSession, d: str) -> DataFrame:
+    lines = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_extendedprice")
+    return R.numbered(lines, [("l_extendedprice", True), ("l_orderkey", False), ("l_linenumber", False)], "place", part_rows=5000).select("l_orderkey", "l_linenumber", "place")
 
 
 # set operations

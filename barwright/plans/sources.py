@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from barwright.plans.registry import query, table
 from barwright.plans.streams import folder
+from barwright.sources import pages as P
 from barwright.sources import readers as R
 from barwright.sources import sinks
 
@@ -50,12 +51,60 @@ def xml_leaf_values(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "part").select("p_partkey", island.alias("island")).select("p_partkey", F.element_at(v, "name").alias("name"), F.element_at(v, "size").alias("size"))
 
 
-@query("paged_service", "SELECT i AS id, i * i AS square FROM range(0, 40) AS t(i)")
+@query("paged_service", "SELECT event_id, event_type, value FROM events")
 def paged_service(spark: SparkSession, d: str) -> DataFrame:
-    from barwright.sources.pages import paged_source
-
-    spark.dataSource.register(paged_source("squares_service", "id bigint, square bigint", 4, lambda page: [(i, i * i) for i in range(page * 10, page * 10 + 10)]))
-    return spark.read.format("squares_service").load()
+    """Pages by number."""
+    service = P.NumberedService(f"{d}/events.parquet", "event_id", ["event_id", "event_type", "value"], 500)
+    return P.paged(spark, service, "page", "event_id long, event_type string, value double, page long").drop("page")
+
+
+class _Unsteady(P.TableService):
+    """Loses its connection after the third page of a chain, unless that page was asked for by someone who has the first three: a task that starts again must not begin anew."""
+
+    def page(self, key: object, token: str | None):
+        at = getattr(self, "asked", 0)
+        self.asked = at + 1
+        if at == 3:
+            raise ConnectionError("lost")
+        return super().page(key, token)
+
+
+@query("token_pages", "SELECT event_id, event_type, value FROM events WHERE event_type IN ('view', 'purchase')")
+def token_pages(spark: SparkSession, d: str) -> DataFrame:
+    """Chains of tokens, one for each type; of two types only, by a filter that reaches the source; connections that break are resumed."""
+    columns = ["event_id", "event_type", "value"]
+    service = _Unsteady(f"{d}/events.parquet", "event_type", "event_id", columns, 100)
+    return P.paged(spark, service, "event_type", "event_id long, event_type string, value double", spool=folder(spark)).where("event_type IN ('view', 'purchase')")
+
+
+@query(
+    "endpoint_calls",
+    "SELECT 'defaults' AS call, o_orderkey, o_totalprice FROM orders WHERE o_orderstatus = 'F' AND o_totalprice >= 200000 AND o_orderdate >= DATE '1995-01-01' UNION ALL SELECT 'given', o_orderkey, o_totalprice FROM orders WHERE o_orderstatus = 'O' AND o_totalprice >= 300000 AND o_orderdate >= DATE '1995-01-01' UNION ALL SELECT 'symbol', l_orderkey, l_extendedprice FROM lineitem WHERE l_suppkey = 3 AND l_quantity >= 25",
+)
+def endpoint_calls(spark: SparkSession, d: str) -> DataFrame:
+    """Two endpoints with parameters and defaults, one called with none given and with two."""
+    ends = R.Endpoints(spark)
+    ends.define("orders_of", f"SELECT o_orderkey, o_totalprice FROM parquet.`{d}/orders.parquet` WHERE o_orderstatus = status AND o_totalprice >= least_price AND o_orderdate >= since", status=("STRING", "F"), least_price=("DOUBLE", 200000), since=("DATE", "1995-01-01"))
+    ends.define("trades_of", f"SELECT l_orderkey AS o_orderkey, l_extendedprice AS o_totalprice FROM parquet.`{d}/lineitem.parquet` WHERE l_suppkey = symbol AND l_quantity >= least", symbol=("BIGINT", None), least=("DOUBLE", 25))
+    calls = {"defaults": ends.call("orders_of"), "given": ends.call("orders_of", status="O", least_price=300000), "symbol": ends.call("trades_of", symbol=3)}
+    named = [df.withColumn("call", F.lit(name)) for name, df in calls.items()]
+    return named[0].unionByName(named[1]).unionByName(named[2])
+
+
+_CELLS = "list_transform(regexp_extract_all(regexp_extract(html, '(?s)<ul>(.*?)</ul>', 1), '(?s)<li>(.*?)</li>', 1), lambda t: trim(regexp_replace(regexp_replace(t, '(?s)<[^>]*>', ' ', 'g'), '[ \t\r\n]+', ' ', 'g')))"
+
+
+@query(
+    "html_table_rows",
+    f"WITH c AS (SELECT page_id, {_CELLS} AS items FROM pages WHERE contains(html, '<ul>')), r AS (SELECT page_id, 0 AS row_no, ['links', 'menu', 'menu'] AS cells FROM c UNION ALL SELECT page_id, i, CASE WHEN i < 3 THEN ['links', items[i]] ELSE [items[i]] END FROM c, unnest(range(1, len(items) + 1)) AS t(i)) SELECT page_id, row_no::INT AS row_no, array_to_string(cells, '|') AS cells FROM r",
+)
+def html_table_rows(spark: SparkSession, d: str) -> DataFrame:
+    """The pages' menus as tables, with a heading over two columns and a label beside three rows."""
+    html = F.col("html")
+    for a, b in (("<ul>", '<table class="menu"><tr><th rowspan="3">links</th><td COLSPAN=2>menu</td></tr>'), ("</ul>", "</table>"), ("<li>", "<tr><td>"), ("</li>", "</td></tr>")):
+        html = F.replace(html, F.lit(a), F.lit(b))
+    rows = R.html_rows(table(spark, d, "pages").where(F.contains("html", F.lit("<ul>"))).select("page_id", html.alias("html")), "page_id", "html")
+    return rows.where("table_no = 0").select("page_id", "row_no", F.array_join("cells", "|").alias("cells"))
 
 
 # files written to the shared folder and read again

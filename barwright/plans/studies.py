@@ -100,14 +100,14 @@ def sma_diffs(spark: SparkSession, d: str) -> DataFrame:
     return S.ma_diffs(S.sma(load(spark, d, "day"))).select("symbol", "date", *[f"sma_{a}_{b}" for a, b in S.PAIRS])
 
 
-def ema_sql(source: str, spans=S.SPANS, keep: str = "") -> str:
+def ema_sql(source: str, spans=S.SPANS, keep: str = "", prefix: str = "") -> str:
     """The recursion itself, row by row: another method than the operator's window sums."""
     cols = ", ".join(f"fClose AS e{n}" for n in spans)
     step = ", ".join(f"e.e{n} * (1 - 2.0 / {n + 1}) + r.fClose * (2.0 / {n + 1})" for n in spans)
     out = ", ".join(f"CASE WHEN rn >= {n} THEN e{n} END AS ema_{n}" for n in spans)
-    return f"""numbered AS (SELECT *, {RN} AS rn FROM {source}),
-e AS (SELECT symbol, date, rn{keep}, {cols} FROM numbered WHERE rn = 1 UNION ALL SELECT r.symbol, r.date, r.rn{keep.replace('f', 'r.f')}, {step} FROM e JOIN numbered r ON r.symbol = e.symbol AND r.rn = e.rn + 1),
-emas AS (SELECT symbol, date{keep}, {out} FROM e)"""
+    return f"""{prefix}numbered AS (SELECT *, {RN} AS rn FROM {source}),
+{prefix}e AS (SELECT symbol, date, rn{keep}, {cols} FROM {prefix}numbered WHERE rn = 1 UNION ALL SELECT r.symbol, r.date, r.rn{keep.replace('f', 'r.f')}, {step} FROM {prefix}e AS e JOIN {prefix}numbered r ON r.symbol = e.symbol AND r.rn = e.rn + 1),
+emas AS (SELECT symbol, date{keep}, {out} FROM {prefix}e)"""
 
 
 def recursive(grain: str, sql: str) -> str:

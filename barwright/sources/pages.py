@@ -1,76 +1,177 @@
-"""A batch data source that lists numbered pages of records, such as a web service gives, as a table.
+"""A batch data source over paged services: pages by number, or chains in which each page names the next one by a token.
 
-The service is a function from a page number to its records; each page is a partition, so pages are fetched in parallel and
-a lost task fetches its page again. Where a page is known by the token of the page before only (`token_source`), the chain of
-each key is a partition.
-"""
-
-from __future__ import annotations
-
-from collections.abc import Callable, Iterator
+A service is an object that executors get a copy of:
 
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+    keys()             -> the chains there are (pages by number: one chain a page)
+    page(key, token)   -> rows of the page as a pyarrow table, and the token of the next page (None: no more); token None: the first
 
+Each chain is a partition, so chains are read in parallel. A filter on the key column reaches the source: only the chains it
+names are read (Spark needs spark.sql.python.filterPushdown.enabled). With a spool, a folder that all executors share, each page
+is kept there with the token that follows it; a task that is started again, after a lost executor or an error, reads what the
+spool has and asks the service from that token on.
+"""
 
-def paged_source(name: str, schema: str, pages: int, fetch: Callable[[int], list[tuple]], retries: int = 1) -> type[DataSource]:
-    """A DataSource class to register with spark.dataSource.register; fetch(page) gives the rows of a page."""
-
-    class Reader(DataSourceReader):
-        def partitions(self):
-            return [InputPartition(i) for i in range(pages)]
+from __future__ import annotations
 
-        def read(self, partition: InputPartition) -> Iterator[tuple]:
-            for attempt in range(retries + 1):
-                try:
-                    rows = fetch(partition.value)
-                    break
-                except OSError:
-                    if attempt == retries:
-                        raise
-            yield from rows
+import hashlib
+import time
+import uuid
+from collections.abc import Iterable, Iterator, Sequence
+
+import pyarrow as pa
+import pyarrow.compute as pc
+import pyarrow.dataset as ds
+import pyarrow.parquet as pq
+from pyarrow import fs as files
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, In, InputPartition
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
+
+PUSHDOWN = "spark.sql.python.filterPushdown.enabled"
+_NEXT = b"next_token"
+
+
+def _at(path: str) -> tuple[files.FileSystem, str]:
+    return files.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (files.LocalFileSystem(), path)
+
+
+class Spool:
+    """The pages of a chain that have been read, numbered from 0; each appears whole or not at all."""
+
+    def __init__(self, path: str, key: object) -> None:
+        self.system, at = _at(path)
+        self.folder = f"{at}/{hashlib.sha256(repr(key).encode()).hexdigest()[:24]}"
+
+    def pages(self) -> Iterator[tuple[pa.Table, str | None]]:
+        n = 0
+        while self.system.get_file_info(f"{self.folder}/{n:08d}.parquet").type == files.FileType.File:
+            with self.system.open_input_file(f"{self.folder}/{n:08d}.parquet") as f:
+                page = pq.read_table(f)
+            token = (page.schema.metadata or {}).get(_NEXT)
+            yield page, None if token is None else token.decode()
+            n += 1
+
+    def add(self, n: int, page: pa.Table, token: str | None) -> None:
+        self.system.create_dir(self.folder, recursive=True)
+        meta = {} if token is None else {_NEXT: token.encode()}
+        new = f"{self.folder}/{uuid.uuid4().hex}.new"
+        with self.system.open_output_stream(new) as f:
+            pq.write_table(page.replace_schema_metadata(meta), f)
+        self.system.move(new, f"{self.folder}/{n:08d}.parquet")
+
+
+def chain(service, key: object, spool: Spool | None = None, retries: int = 2, most_pages: int = 10_000) -> Iterator[pa.Table]:
+    """The pages of one chain; what fails with an OSError is asked for again, `retries` times. A chain that doesn't end within most_pages is an error."""
+    n, token = 0, None
+    for page, token in spool.pages() if spool else ():
+        yield page
+        n += 1
+        if token is None:
+            return
+    while n < most_pages:
+        for attempt in range(retries + 1):
+            try:
+                page, token = service.page(key, token)
+                break
+            except OSError:
+                if attempt == retries:
+                    raise
+                time.sleep(0.05 * 2**attempt)
+        if spool:
+            spool.add(n, page, token)
+        yield page
+        n += 1
+        if token is None:
+            return
+    raise RuntimeError(f"{key}: more than {most_pages} pages")
+
+
+class _Reader(DataSourceReader):
+    def __init__(self, service, key: str, schema: StructType, spool: str | None, retries: int, most_pages: int) -> None:
+        self.service, self.key, self.schema, self.spool, self.retries, self.most_pages = service, key, schema, spool, retries, most_pages
+        self.wanted: set | None = None
+
+    def pushFilters(self, filters: list[Filter]) -> Iterable[Filter]:
+        for f in filters:
+            if isinstance(f, (EqualTo, In)) and f.attribute == (self.key,):
+                values = {f.value} if isinstance(f, EqualTo) else set(f.value)
+                self.wanted = values if self.wanted is None else self.wanted & values
+            else:
+                yield f
+
+    def partitions(self) -> Sequence[InputPartition]:
+        return [InputPartition(k) for k in self.service.keys() if self.wanted is None or k in self.wanted]
+
+    def read(self, partition: InputPartition) -> Iterator[pa.RecordBatch]:
+        key, schema = partition.value, to_arrow_schema(self.schema)
+        for page in chain(self.service, key, Spool(self.spool, key) if self.spool else None, self.retries, self.most_pages):
+            yield from page.select(schema.names).cast(schema).to_batches()
+
+
+def paged(spark: SparkSession, service, key: str, schema: StructType | str, spool: str | None = None, retries: int = 2, most_pages: int = 10_000) -> DataFrame:
+    """All rows of a service's chains; key: the column that holds a row's chain. Registers a source of its own and turns filter push-down on for the session."""
+    schema = schema if isinstance(schema, StructType) else StructType.fromDDL(schema)
+    source = f"pages_{uuid.uuid4().hex}"
 
     class Source(DataSource):
         @classmethod
         def name(cls) -> str:
-            return name
+            return source
 
-        def schema(self) -> str:
+        def schema(self) -> StructType:
             return schema
 
-        def reader(self, schema) -> DataSourceReader:
-            return Reader()
+        def reader(self, schema: StructType) -> DataSourceReader:
+            return _Reader(service, key, schema, spool, retries, most_pages)
 
-    return Source
+    spark.conf.set(PUSHDOWN, "true")
+    spark.dataSource.register(Source)
+    return spark.read.format(source).load()
 
 
-def token_source(name: str, schema: str, keys: list, fetch: Callable[[object, str | None], tuple[list[tuple], str | None]], most_pages: int = 10_000) -> type[DataSource]:
-    """A DataSource class for services that give a token for the next page: fetch(key, token) gives rows and the next token (None: no more).
+class TableService:
+    """A service over a Parquet table, as a vendor's history service would give it: a chain for each value of key, pages of rows in the order of `order` (a whole number, each once), whose tokens are the last row's."""
 
-    The chains of different keys are read in parallel; a chain that doesn't end within most_pages is an error.
-    """
+    def __init__(self, path: str, key: str, order: str, columns: Sequence[str], page_rows: int) -> None:
+        self.path, self.key, self.order, self.columns, self.page_rows = path, key, order, list(columns), page_rows
 
-    class Reader(DataSourceReader):
-        def partitions(self):
-            return [InputPartition(k) for k in keys]
+    def _data(self) -> ds.Dataset:
+        system, at = _at(self.path)
+        return ds.dataset(at, filesystem=system, format="parquet")
 
-        def read(self, partition: InputPartition) -> Iterator[tuple]:
-            token = None
-            for _ in range(most_pages):
-                rows, token = fetch(partition.value, token)
-                yield from rows
-                if token is None:
-                    return
-            raise RuntimeError(f"{partition.value}: more than {most_pages} pages")
+    def keys(self) -> list:
+        found: set = set()
+        for batch in self._data().to_batches(columns=[self.key]):
+            found |= set(pc.unique(batch.column(0)).to_pylist())
+        return sorted(k for k in found if k is not None)
 
-    class Source(DataSource):
-        @classmethod
-        def name(cls) -> str:
-            return name
+    def page(self, key: object, token: str | None) -> tuple[pa.Table, str | None]:
+        test = ds.field(self.key) == key
+        if token is not None:
+            test &= ds.field(self.order) > int(token)
+        rows = pa.table({c: pa.array([], t) for c, t in zip(self.columns, [self._data().schema.field(c).type for c in self.columns], strict=True)})
+        for batch in self._data().to_batches(columns=self.columns, filter=test, batch_size=4 * self.page_rows):
+            rows = pa.concat_tables([rows, pa.Table.from_batches([batch])]).sort_by(self.order)[: self.page_rows + 1]
+        more = rows.num_rows > self.page_rows
+        page = rows[: self.page_rows]
+        return page, str(page[self.order][-1]) if more else None
 
-        def schema(self) -> str:
-            return schema
 
-        def reader(self, schema) -> DataSourceReader:
-            return Reader()
+class NumberedService:
+    """The same with a chain for each page: pages by number, each of a range of `order`."""
+
+    def __init__(self, path: str, order: str, columns: Sequence[str], page_rows: int) -> None:
+        self.path, self.order, self.columns, self.page_rows = path, order, list(columns), page_rows
+
+    def keys(self) -> list[int]:
+        system, at = _at(self.path)
+        data = ds.dataset(at, filesystem=system, format="parquet")
+        last = max((pc.max(b.column(0)).as_py() for b in data.to_batches(columns=[self.order]) if b.num_rows), default=-1)
+        return list(range(last // self.page_rows + 1))
 
-    return Source
+    def page(self, key: int, token: str | None) -> tuple[pa.Table, None]:
+        system, at = _at(self.path)
+        o = ds.field(self.order)
+        rows = ds.dataset(at, filesystem=system, format="parquet").to_table(columns=self.columns, filter=(o >= key * self.page_rows) & (o < (key + 1) * self.page_rows))
+        return rows.append_column("page", pa.array([key] * rows.num_rows, pa.int64())), None

@@ -66,11 +66,55 @@ def html_text(html: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(bare, "(?s)<[^>]*>", " "), "[ \\t\\r\\n]+", " "))
 
 
+#: Spans larger than that count as that.
+MOST_SPAN = 1000
+_CELL = "struct<text: string, left: int>"
+_OPEN = "struct<at: int, text: string, left: int>"
+
+
+def _span(cell: Column, name: str) -> Column:
+    """A cell's rowspan or colspan; 1 where it has none, or none that is a number above 0."""
+    n = F.regexp_extract(cell, rf"(?is)^<t[dh][^>]*?\s{name}\s*=\s*[\"']?\s*(\d{{1,9}})", 1)
+    return F.least(F.greatest(F.coalesce(n.try_cast("int"), F.lit(1)), F.lit(1)), F.lit(MOST_SPAN))
+
+
+def _placed(cells: Column, open_: Column) -> Column:
+    """struct(out: array<string>, open): one row's cells put between those that come down from rows above, and what comes down from it."""
+    width = F.size(cells) + F.size(open_)
+    places = F.when(width > 0, F.sequence(F.lit(0), width - 1)).otherwise(F.array().cast("array<int>"))
+    start = F.struct(F.array().cast("array<string>").alias("out"), F.lit(0).alias("next"), F.array().cast(f"array<{_OPEN}>").alias("open"))
+
+    def put(row: Column, at: Column) -> Column:
+        above = F.get(F.filter(open_, lambda o: o["at"] == at), F.lit(0))
+        own = F.get(cells, row["next"])
+        here = F.when(above.isNotNull(), F.struct(above["text"].alias("text"), above["left"].alias("left"))).otherwise(own)
+        out = F.when(here.isNull(), row["out"]).otherwise(F.concat(row["out"], F.array(here["text"])))
+        down = F.when(here["left"] > 1, F.concat(row["open"], F.array(F.struct(at.alias("at"), here["text"].alias("text"), (here["left"] - 1).alias("left"))))).otherwise(row["open"])
+        return F.struct(out.alias("out"), (row["next"] + F.when(above.isNull(), 1).otherwise(0)).alias("next"), down.alias("open"))
+
+    return F.aggregate(places, start, put, lambda row: F.struct(row["out"].alias("out"), row["open"].alias("open")))
+
+
 def html_rows(df: DataFrame, key: str, html: str) -> DataFrame:
-    """key, row_no, cells: the rows of all tables of each page."""
-    rows = F.regexp_extract_all(F.coalesce(F.col(html), F.lit("")), F.lit("(?is)<tr[^>]*>(.*?)</tr>"), 1)
-    cells = F.transform(F.regexp_extract_all("_row", F.lit("(?is)<t[dh][^>]*>(.*?)</t[dh]>"), 1), html_text)
-    return df.select(key, F.posexplode(rows).alias("row_no", "_row")).select(key, "row_no", cells.alias("cells"))
+    """key, table_no, row_no, cells: the rows of all tables of each page, in expressions only.
+
+    A cell that spans columns is repeated in each of them, one that spans rows in each of those (a span that goes on after the
+    last row ends there). Tags are taken out of cells, entities stay as they are. A table within a cell ends the outer one, as a
+    pattern can't match pairs. Null pages have no rows.
+    """
+    tables = F.regexp_extract_all(F.coalesce(F.col(html), F.lit("")), F.lit("(?is)<table(?:\\s[^>]*)?>(.*?)</table>"), 1)
+    rows = F.regexp_extract_all("_table", F.lit("(?is)<tr(?:\\s[^>]*)?>(.*?)</tr>"), 1)
+    found = lambda row: F.regexp_extract_all(row, F.lit("(?is)<t[dh](?:\\s[^>]*)?>.*?</t[dh]>"), 0)
+    cell = lambda c: F.array_repeat(F.struct(html_text(c).alias("text"), _span(c, "rowspan").alias("left")), _span(c, "colspan"))
+    cells = F.transform(rows, lambda row: F.flatten(F.transform(found(row), cell)).cast(f"array<{_CELL}>"))
+    start = F.struct(F.array().cast("array<array<string>>").alias("done"), F.array().cast(f"array<{_OPEN}>").alias("open"))
+
+    def add(acc: Column, row: Column) -> Column:
+        now = _placed(row, acc["open"])
+        return F.struct(F.concat(acc["done"], F.array(now["out"])).alias("done"), now["open"].alias("open"))
+
+    one = df.select(key, F.posexplode(tables).alias("table_no", "_table")).select(key, "table_no", cells.alias("_rows"))
+    return one.select(key, "table_no", F.posexplode(F.aggregate("_rows", start, add, lambda acc: acc["done"])).alias("row_no", "cells"))
 
 
 def normalized(df: DataFrame, column: str, schema: str, record: str | None = None, meta: Sequence[str] = (), prefix: str = "") -> DataFrame:
@@ -114,3 +158,31 @@ class Catalog:
             df = df.where(F.col(c) == v)
         df = self.cleaners[name](df) if name in self.cleaners else df
         return df.select(*columns) if columns else df
+
+
+class Endpoints:
+    """Named table functions with parameters and defaults, as a service's endpoints have them. They are SQL functions of the session, so a call is planned like a view: parameters become filters that reach the scan."""
+
+    def __init__(self, spark: SparkSession) -> None:
+        self.spark = spark
+        self.parameters: dict[str, dict[str, tuple[str, object]]] = {}
+
+    @staticmethod
+    def _literal(kind: str, value: object) -> str:
+        quoted = str(value).replace("\\", "\\\\").replace("'", "\\'")
+        return f"CAST('{quoted}' AS {kind})"
+
+    def define(self, name: str, select: str, **parameters: tuple[str, object]) -> None:
+        """select: a query that names the parameters; parameters: type and default of each, None where it must be given."""
+        self.parameters[name] = parameters
+        order = sorted(parameters, key=lambda p: parameters[p][1] is not None)  # those without a default come first
+        typed = [f"{p} {kind}" + ("" if default is None else f" DEFAULT {self._literal(kind, default)}") for p, (kind, default) in ((p, parameters[p]) for p in order)]
+        self.spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}({', '.join(typed)}) RETURNS TABLE RETURN {select}")
+
+    def call(self, name: str, **given: object) -> DataFrame:
+        """The rows of an endpoint; unknown and missing parameters are errors."""
+        known = self.parameters[name]
+        unknown, missing = set(given) - set(known), {p for p, (_, default) in known.items() if default is None} - set(given)
+        if unknown or missing:
+            raise ValueError(f"{name}: unknown {sorted(unknown)}, missing {sorted(missing)}")
+        return self.spark.sql(f"SELECT * FROM {name}({', '.join(f'{p} => {self._literal(known[p][0], v)}' for p, v in given.items())})")

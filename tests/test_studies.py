@@ -1,6 +1,7 @@
 """Studies against plain loops, and properties."""
 
 import datetime
+import math
 import random
 
 import pandas as pd
@@ -113,6 +114,47 @@ def test_prominences_by_blocks(spark, monkeypatch, block, searches):
     assert got == {s: p for s, x in series.items() if (p := brute_prominences(x))}
 
 
+def test_wavelet_taps_are_the_known_ones():
+    # fixed values: the published taps of the filter with six vanishing moments
+    known = [0.11154, 0.49462, 0.75113, 0.31525, -0.22626, -0.12977, 0.0975, 0.02752, -0.03158, 0.00055, 0.00478, -0.00108]
+    assert [round(x, 5) for x in smoothing.daubechies(6)] == known
+
+
+def plain_denoise(x, scale, p):
+    """Level by level with sums over taps, and the transpose of it."""
+    low, high = smoothing._bank(p)
+    t, steps, now = scale * max(x), [], list(x)
+    for _ in range(smoothing.wavelet_levels(len(x), p)):
+        e = now + now[-1:] * (len(now) % 2)
+        n = len(e)
+        c = [[sum(f[j] * e[(2 * o + p - j) % n] for j in range(2 * p)) for o in range(n // 2)] for f in (low, high)]
+        steps.append((len(now), [math.copysign(max(abs(v) - t, 0), v) for v in c[1]]))
+        now = c[0]
+    for size, d in reversed(steps):
+        n = 2 * len(d)
+        out = [0.0] * n
+        for o in range(n // 2):
+            for j in range(2 * p):
+                out[(2 * o + p - j) % n] += low[j] * now[o] + high[j] * d[o]
+        now = out[:size]
+    return now
+
+
+def test_wavelet_denoising_by_definition_and_whole_at_no_threshold(spark):
+    """Series of several lengths in one table, odd and even, long enough for 0 to 4 levels."""
+    r = random.Random(5)
+    series = {n: [math.sin(i / 7) * 10 + r.gauss(5, 3) for i in range(n)] for n in (1, 10, 11, 23, 48, 91, 200)}
+    day = datetime.date(2000, 1, 1)
+    df = spark.createDataFrame([(n, day + datetime.timedelta(i), v) for n, x in series.items() for i, v in enumerate(x)], "symbol long, date date, v double")
+    for scale in (0.0, 0.15):
+        got = {(q["symbol"], (q["date"] - day).days): q["smooth"] for q in smoothing.wavelet_denoised(df, "v", scale).collect()}
+        assert len(got) == sum(series)
+        for n, x in series.items():
+            want = plain_denoise(x, scale, 6)
+            assert all(abs(got[n, i] - want[i]) < 1e-9 and (scale or abs(got[n, i] - x[i]) < 1e-9) for i in range(n))
+    assert smoothing.wavelet_denoised(df.where("symbol < 0"), "v", 0.1).count() == 0
+
+
 def test_upsert_twice_changes_nothing(spark):
     old = spark.createDataFrame([(1, "a"), (2, "b")], "k int, v string")
     new = spark.createDataFrame([(2, "c"), (3, "d"), (3, "e")], "k int, v string")
