@@ -43,10 +43,14 @@ PIECES = T.StructType(
 
 @dataclass(frozen=True)
 class Limits:
-    """Limits of a sequence. open_sequences bounds how many a task holds open; batch_tokens how many ids it holds at once."""
+    """Limits of a sequence. open_sequences bounds how many a task holds open; batch_tokens how many ids it holds at once.
+
+    As many segments as tokens are no limit: documents of one id each fill a sequence then. Fewer may leave sequences of short
+    documents mostly empty.
+    """
 
     tokens: int = 2048
-    segments: int = 64
+    segments: int = 2048
     loss_tokens: int = 2048
     open_sequences: int = 256
     batch_tokens: int = 4_000_000

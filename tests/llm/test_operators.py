@@ -339,6 +339,15 @@ def test_token_counts_match_the_library(docs, edge, empty, broadcast_rows):
     assert token_counts.token_counts(empty).count() == 0
 
 
+def test_packing_fills_sequences_with_the_shortest_documents(spark):
+    """Documents of one and of a few ids: all sequences but the last are full."""
+    df = spark.createDataFrame([(i, "" if i % 2 else "a b") for i in range(9000)], "doc_id long, text string").coalesce(1)
+    by = {}
+    for r in packing.pack(df).collect():
+        by[r["sequence_id"]] = by.get(r["sequence_id"], 0) + r["length"]
+    assert sorted(by.values())[1:] == [2048] * (len(by) - 1)
+
+
 def test_packing(spark, docs, edge, empty):
     both = docs.select("doc_id", "text").union(edge.select(edge.doc_id + 10_000, "text"))
     pieces = collections.defaultdict(list)
