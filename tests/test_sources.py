@@ -4,6 +4,7 @@ import datetime
 import json
 import time
 
+import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -30,8 +31,13 @@ def test_xml_rows_and_islands(spark, tmp_path):
 
 
 def test_html_rows(spark):
-    df = spark.createDataFrame([(1, "<table><tr><th>A</th></tr><tr><td>1 <b>x</b></td><td></td></tr></table>"), (2, None)], "id int, html string")
-    assert [(r["row_no"], r["cells"]) for r in readers.html_rows(df, "id", "html").collect()] == [(0, ["A"]), (1, ["1 x", ""])]
+    html = """<p>x</p><TABLE id="t"><thead><tr><th rowspan=2>Day</th><th colspan='2'>Price</th></tr><tr><th>open</th><th>close</th></tr></thead>
+<tr><td>1</td><td><b>2</b> <i>3</i></td><td rowspan="3">4</td></tr><tr><td colspan="2">5</td></tr><tr></tr></TABLE>
+<table><tr><td colspan="0">a</td><td rowspan="x">b</td></tr><tr><td rowspan=5 colspan=2>c</td></tr></table>"""
+    df = spark.createDataFrame([(1, html), (2, None), (3, ""), (4, "<table></table>")], "id int, html string")
+    got = [(r["id"], r["table_no"], r["row_no"], r["cells"]) for r in readers.html_rows(df, "id", "html").orderBy("id", "table_no", "row_no").collect()]
+    first = [["Day", "Price", "Price"], ["Day", "open", "close"], ["1", "2 3", "4"], ["5", "5", "4"], ["4"]]
+    assert got == [(1, 0, i, row) for i, row in enumerate(first)] + [(1, 1, 0, ["a", "b"]), (1, 1, 1, ["c", "c"])]
 
 
 def test_newest_file_and_upsert_table(spark, tmp_path):
@@ -252,18 +258,71 @@ def test_catalog_filters_reach_the_scan(spark):
     assert "EqualTo(o_custkey,7)" in plan and one.count() == catalog.table("orders").where("o_custkey = 7").count()
 
 
-def test_pages_by_number_and_by_token(spark):
-    from barwright.sources.pages import paged_source, token_source
+class Numbers:
+    """Chains of as many pages as the key says; a page has two rows. Breaks where it is told to, and counts what it was asked."""
 
-    spark.dataSource.register(paged_source("numbered_pages", "id bigint", 3, lambda page: [(page * 10 + i,) for i in range(4)]))
-    assert sorted(r["id"] for r in spark.read.format("numbered_pages").load().collect()) == [0, 1, 2, 3, 10, 11, 12, 13, 20, 21, 22, 23]
+    def __init__(self, breaks=()):
+        self.breaks, self.asked = list(breaks), []
 
-    def fetch(key, token):
-        at = int(token or 0)
-        return [(key, at)], str(at + 1) if at < key else None
+    def keys(self):
+        return [0, 2, 5]
+
+    def page(self, key, token):
+        import pyarrow as pa
 
-    spark.dataSource.register(token_source("token_pages", "k bigint, at bigint", [0, 2, 5], fetch))
-    assert sorted(map(tuple, spark.read.format("token_pages").load().collect())) == [(k, i) for k in (0, 2, 5) for i in range(k + 1)]
+        at = int(token or 0)
+        self.asked.append((key, at))
+        if (key, at) in self.breaks:
+            self.breaks.remove((key, at))
+            raise ConnectionError("lost")
+        return pa.table({"k": [key, key], "at": [2 * at, 2 * at + 1]}), str(at + 1) if at < key else None
+
+
+def test_pages_by_token_and_filters_that_reach_the_source(spark):
+    from barwright.sources import pages
+
+    df = pages.paged(spark, Numbers([(2, 1), (5, 3)]), "k", "k long, at long")
+    assert sorted(map(tuple, df.collect())) == [(k, i) for k in (0, 2, 5) for i in range(2 * k + 2)]
+    some = df.where("k IN (0, 2) AND at > 1")
+    assert sorted(map(tuple, some.collect())) == [(2, i) for i in range(2, 6)]
+    assert some.rdd.getNumPartitions() == 2
+    with pytest.raises(Exception, match="more than 3 pages"):
+        pages.paged(spark, Numbers(), "k", "k long, at long", most_pages=3).collect()
+
+
+def test_a_chain_that_starts_again_asks_for_the_rest_only(tmp_path):
+    from barwright.sources import pages
+
+    lost = Numbers([(5, 3)] * 2)
+    spool = lambda: pages.Spool(str(tmp_path), 5)
+    first = []
+    with pytest.raises(ConnectionError):
+        first += pages.chain(lost, 5, spool(), retries=1)
+    again = Numbers()
+    rows = [v for page in pages.chain(again, 5, spool()) for v in page["at"].to_pylist()]
+    assert rows == list(range(12)) and again.asked == [(5, 3), (5, 4), (5, 5)]
+    done = Numbers()
+    assert sum(page.num_rows for page in pages.chain(done, 5, spool())) == 12 and done.asked == []
+
+
+def test_pages_of_a_table(spark, tmp_path):
+    from barwright.sources import pages
+
+    spark.createDataFrame([(i, "ab"[i % 2], float(i)) for i in range(25)] + [(25, None, 1.0)], "n long, k string, v double").repartition(3).write.parquet(str(tmp_path / "t"))
+    service = pages.TableService(str(tmp_path / "t"), "k", "n", ["n", "k", "v"], 5)
+    assert service.keys() == ["a", "b"]
+    assert [page["n"].to_pylist() for page in pages.chain(service, "a")] == [[0, 2, 4, 6, 8], [10, 12, 14, 16, 18], [20, 22, 24]]
+    assert [page.num_rows for page in pages.chain(service, "nobody")] == [0]
+
+
+def test_endpoints_have_parameters_with_defaults(spark):
+    ends = readers.Endpoints(spark)
+    ends.define("rows_of", "SELECT id, name FROM VALUES (1L, 'it''s'), (2L, 'b'), (3L, 'b') AS t(id, name) WHERE id >= least AND name = wanted", wanted=("STRING", None), least=("BIGINT", 2))
+    ids = lambda **given: sorted(r["id"] for r in ends.call("rows_of", **given).collect())
+    assert ids(wanted="b") == [2, 3] and ids(wanted="b", least=3) == [3] and ids(least=0, wanted="it's") == [1]
+    for wrong in ({}, {"wanted": "b", "other": 1}):
+        with pytest.raises(ValueError):
+            ends.call("rows_of", **wrong)
 
 
 def test_call_log_counts_against_a_budget(spark, tmp_path):

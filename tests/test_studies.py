@@ -6,6 +6,7 @@ import random
 
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from barwright.operators import correlation, fib, intraday, patterns, quality, relational, smoothing, studies
 
@@ -257,3 +258,78 @@ def test_rsi_parts_by_recursion(spark):
         else:
             assert abs(r["avg_gain"] - gain) < 1e-9 and abs(r["rsi_14"] - (100 - 100 / (1 + gain / loss))) < 1e-7
     assert all(got[2, start + datetime.timedelta(i)]["rsi_14"] is None for i in range(20))
+
+
+@pytest.mark.parametrize("part_rows", [7, 100_000])
+def test_numbers_of_a_whole_table_in_parts(spark, part_rows):
+    """Nulls, a value that half of all rows have, descending and ascending columns."""
+    r = random.Random(3)
+    rows = [(i, None if i % 11 == 0 else 5.0 if i % 2 else float(r.randrange(50)), r.choice("abc")) for i in range(300)]
+    df = spark.createDataFrame(rows, "id long, v double, s string").repartition(5)
+    got = {q["id"]: q["rn"] for q in relational.numbered(df, [("v", True), ("s", False), ("id", False)], part_rows=part_rows).collect()}
+    order = sorted(rows, key=lambda x: (x[1] is None, -(x[1] or 0), x[2], x[0]))
+    assert got == {x[0]: i for i, x in enumerate(order, 1)}
+    gaps = {q["id"]: q["idx_diff"] for q in relational.gaps_to_next(df.select("id"), "id", part_rows=part_rows).collect()}
+    assert gaps == {i: -1 for i in range(299)} | {299: 1}
+    assert relational.numbered(df.where("id < 0"), [("id", False)]).count() == 0
+
+
+def test_factorize_and_frequencies_of_many_values(spark, monkeypatch):
+    monkeypatch.setattr(relational, "PART_ROWS", 20)
+    df = spark.createDataFrame([(i, f"v{i % 90:02d}" if i % 7 else None) for i in range(400)], "id long, c string")
+    coded, dictionary = relational.factorize(df, "c")
+    values = sorted({f"v{i % 90:02d}" for i in range(400) if i % 7})
+    assert {r["c"]: r["code"] for r in dictionary.collect()} == {v: i for i, v in enumerate(values)}
+    assert all(r["code"] == (values.index(r["c"]) if r["c"] else -1) for r in coded.collect())
+    counts = [(r["n"], r["c"]) for r in relational.frequency_codes(df, "c").orderBy("code").collect()]
+    assert counts == sorted(counts, key=lambda x: (-x[0], x[1] is not None, x[1] or ""))
+
+
+def test_linear_model_by_normal_equations(spark):
+    from barwright.operators import models
+
+    r = random.Random(8)
+    rows = [(x := r.gauss(1000, 1), y := r.gauss(0, 5), 3 * x - 2 * y + 7, 1.0) for _ in range(60)]
+    df = spark.createDataFrame([*rows, (None, 1.0, 2.0, 1.0)], "x double, y double, z double, same double")
+    m = models.linear(df, ["x", "y", "same"], "z")
+    assert abs(m.coefficients["x"] - 3) < 1e-9 and abs(m.coefficients["y"] + 2) < 1e-9 and m.coefficients["same"] == 0 and abs(m.intercept - 7) < 1e-6
+    double = models.linear(df.withColumn("x2", F.col("x")), ["x", "x2"], "z")
+    assert abs(double.coefficients["x"] - double.coefficients["x2"]) < 1e-9
+    assert abs(models.linear(df, ["x", "y"], "z", ridge=1e9).coefficients["x"]) < 1e-6
+    with pytest.raises(ValueError):
+        models.linear(df.where("x < 0"), ["x"], "z")
+
+
+def brute_tree(rows, depth, bins, ends=None):
+    """A tree as nested (feature, edge, yes, no) or a mean, by trying every cut on the rows themselves."""
+    k = len(rows[0]) - 1
+    ends = ends or [(min(x[f] for x in rows), max(x[f] for x in rows)) for f in range(k)]
+    mean = lambda part: sum(x[-1] for x in part) / len(part)
+    loss = lambda part: sum((x[-1] - mean(part)) ** 2 for x in part)
+    best = None
+    for f in range(k):
+        for b in range(bins):
+            edge = ends[f][0] + (ends[f][1] - ends[f][0]) * (b + 1) / bins
+            yes, no = [x for x in rows if x[f] <= edge], [x for x in rows if x[f] > edge]
+            if depth and yes and no and (gain := loss(rows) - loss(yes) - loss(no)) > 1e-9 and (best is None or gain > best[0] + 1e-9):
+                best = (gain, f, edge, yes, no)
+    return mean(rows) if best is None else (best[1], best[2], brute_tree(best[3], depth - 1, bins, ends), brute_tree(best[4], depth - 1, bins, ends))
+
+
+def test_tree_by_histograms(spark):
+    from barwright.operators import models
+
+    r = random.Random(4)
+    rows = [(x := r.uniform(0, 10), y := r.uniform(-5, 5), r.uniform(0, 1), (x > 6) * 10.0 + (y > 0) * (x < 3) * 4 + r.gauss(0, 0.3)) for _ in range(200)]
+    df = spark.createDataFrame([*rows, (None, 1.0, 2.0, 1.0)], "a double, b double, c double, z double")
+    found = models.tree(df, ["a", "b", "c"], "z", depth=3, bins=8)
+
+    def same(node, want):
+        if node.feature is None:
+            return abs(node.value - want) < 1e-9
+        return ("abc".index(node.feature), node.edge) == want[:2] and same(node.yes, want[2]) and same(node.no, want[3])
+
+    assert same(found, brute_tree(rows, 3, 8))
+    values = {q["p"] for q in df.dropna().select(found.predicted().alias("p")).collect()}
+    assert len(values) == 8
+    assert models.tree(spark.createDataFrame([(1.0, 2.0), (1.0, 4.0)], "a double, z double"), ["a"], "z").value == 3.0
