@@ -10,8 +10,9 @@ pair's score does too, and each plane narrows it. A pair goes as soon as its int
 
 Anchors are a stated set of rows (ids divisible by `every`). They are taken in chunks of a bounded number of components; a
 chunk is broadcast and meets all rows where they are, so no row is shuffled, whatever its label. Each task sends its best for
-each anchor only, and, so that this does not grow with the number of tasks, no more than what can still beat the best of a
-sixteenth of all rows, which are looked at first for these bounds (and again with all others).
+each anchor only, and, so that this does not grow with the number of tasks, only what is no worse than the k-th best of a
+sixteenth of the rows, which are looked at first for this bound, after a sixteenth of them, and so on from what one task
+holds. All rows count in the end; bounds only save work.
 """
 
 from __future__ import annotations
@@ -34,7 +35,7 @@ CHUNK = 1 << 21
 #: Rows of a task's part of the table, and what is compared at once.
 ROWS_A_TASK = 5_000
 ROW_BLOCK, ANCHOR_BLOCK = 1024, 256
-#: The bounds' pass reads every so-manieth row.
+#: A pass for bounds reads so many times fewer rows than the next one.
 BOUNDS = 16
 _LEAST, _MOST = np.iinfo(np.int64).min, np.iinfo(np.int64).max
 
@@ -203,6 +204,14 @@ def other_label(rows: DataFrame, anchors, width: int, k: int, ranges) -> DataFra
     return first_of(rows.mapInArrow(run, _FOUND), k)
 
 
+def steps(tasks: int) -> list[int]:
+    """By what the passes for bounds divide the rows, the smallest pass first: what it reads fits a task or so."""
+    out = [BOUNDS]
+    while out[0] < tasks:
+        out.insert(0, out[0] * BOUNDS)
+    return out
+
+
 def _table(df: DataFrame) -> dict[str, np.ndarray]:
     return {name: column.to_numpy() for name, column in zip(df.columns, df.toArrow().columns, strict=True)}
 
@@ -215,8 +224,8 @@ def hard_negatives(embeddings: DataFrame, every: int = 50, positives: int = 5, n
     at least least % and at most most % of the positive's. Higher scores come first, then smaller ids, then (rows with one id)
     earlier rows; rows that repeat are rows of their own, anchors and positives too. Rows with a null id, label or vector, a
     null or non-finite component, or a vector of a length of 2**18 or more (its scores could leave a long) take no part; of
-    vectors of different sizes the missing components count as 0, so an empty one scores 0. A positive with a negative score has no negatives. Other
-    columns are ignored; no anchors, no rows.
+    vectors of different sizes the missing components count as 0, so an empty one scores 0. A positive with a negative score
+    has no negatives. Other columns are ignored; no anchors, no rows.
     """
     spark = embeddings.sparkSession
     scratch, out = Scratch(), Scratch()
@@ -224,8 +233,9 @@ def hard_negatives(embeddings: DataFrame, every: int = 50, positives: int = 5, n
     is_anchor = F.col("vec_id") % every == 0
     count, n_anchors, width, largest, smallest = table.agg(F.count("*"), F.count_if(is_anchor), F.max(F.size("v")), F.max(F.array_max("v")), F.min(F.array_min("v"))).first()
     width, bits = max(1, width or 0), 1 + max(int(largest or 0).bit_length(), (-int(smallest or 0) - 1).bit_length() if (smallest or 0) < 0 else 0, 1)
-    rows = scratch.keep(table.repartition(max(1, -(-count // ROWS_A_TASK)), "row"))
-    sample = rows.where(F.pmod(F.xxhash64("row"), F.lit(BOUNDS)) == 0)
+    tasks = max(1, -(-count // ROWS_A_TASK))
+    rows = scratch.keep(table.repartition(tasks, "row"))
+    samples = [rows.where(F.pmod(F.xxhash64("row"), F.lit(step)) == 0).coalesce(max(1, tasks // step)) for step in steps(tasks)]
     names = table.select(F.col("row"), F.col("vec_id").alias("id"))
     chunks = max(1, -(-n_anchors * width // CHUNK))
     found = []
@@ -248,22 +258,26 @@ def hard_negatives(embeddings: DataFrame, every: int = 50, positives: int = 5, n
                 out[b][i * slots + s] = x
             return out
 
-        def bounds(best: DataFrame, k: int, slots: int) -> list[np.ndarray]:
-            """The k-th best of the sample, where there are as many: the best of all rows can't be lower."""
-            x = _table(best.where(F.col("rank") == k).select("anchor", "slot", "score"))
-            return spread(x["score"], x["anchor"], x["slot"], slots, _LEAST)
+        def told(values: list):
+            shared.append(spark.sparkContext.broadcast(values))
+            return shared[-1]
+
+        def bounds(best, k: int, slots: int, spread=spread, blocks=blocks) -> list[np.ndarray]:
+            """The k-th best of each sample, where there are as many: the k-th best of all rows can't be lower. best: from rows and floors so far."""
+            floors = [np.full(len(a.row) * slots, _LEAST, np.int64) for a in blocks]
+            for sample in samples:
+                x = _table(best(sample, floors).where(F.col("rank") == k).select("anchor", "slot", "score"))
+                floors = [np.maximum(a, b) for a, b in zip(floors, spread(x["score"], x["anchor"], x["slot"], slots, _LEAST), strict=True)]
+            return floors
 
-        shared.append(spark.sparkContext.broadcast([np.full(len(a.row), _LEAST, np.int64) for a in blocks]))
-        shared.append(spark.sparkContext.broadcast(bounds(same_label(sample, shared[0], width, positives, shared[1]), positives, 1)))
-        near = scratch.written(same_label(rows, shared[0], width, positives, shared[2]).select("anchor", (F.col("rank") - 1).alias("slot"), "score", F.col("vec_id").alias("positive_id")))
+        alike = lambda some, floors: same_label(some, shared[0], width, positives, told(floors))
+        near = scratch.written(alike(rows, bounds(alike, positives, 1)).select("anchor", (F.col("rank") - 1).alias("slot"), "score", F.col("vec_id").alias("positive_id")))
         x = _table(near.select("anchor", "slot", "score"))
         none = x["score"] < 0  # 50 % of it would be more than 95 %
         low, high = np.where(none, _MOST, -(-x["score"] * least // 100)), np.where(none, _LEAST, x["score"] * most // 100)
         lows, highs = spread(low, x["anchor"], x["slot"], positives, _MOST), spread(high, x["anchor"], x["slot"], positives, _LEAST)
-        shared.append(spark.sparkContext.broadcast([(a, b, np.full(len(a), _LEAST, np.int64)) for a, b in zip(lows, highs, strict=True)]))
-        floors = bounds(other_label(sample, shared[0], width, negatives, shared[3]), negatives, positives)
-        shared.append(spark.sparkContext.broadcast(list(zip(lows, highs, floors, strict=True))))
-        hard = other_label(rows, shared[0], width, negatives, shared[4]).select("anchor", "slot", "rank", F.col("vec_id").alias("negative_id"), F.col("score").alias("negative_score"))
+        unlike = lambda some, floors: other_label(some, shared[0], width, negatives, told(list(zip(lows, highs, floors, strict=True))))
+        hard = unlike(rows, bounds(unlike, negatives, positives)).select("anchor", "slot", "rank", F.col("vec_id").alias("negative_id"), F.col("score").alias("negative_score"))
         joined = hard.join(near.withColumnRenamed("score", "positive_score"), ["anchor", "slot"]).join(names, F.col("anchor") == F.col("row"))
         found.append(out.written(joined.select(F.col("id").alias("anchor_id"), "positive_id", "rank", "negative_id", "positive_score", "negative_score")))
         for b in shared:

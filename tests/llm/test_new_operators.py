@@ -109,12 +109,13 @@ def vectors(seed, n, width, repeat):
     return rows
 
 
-@pytest.mark.parametrize(("width", "repeat", "chunk"), [(8, 5, 1 << 21), (70, 1000, 140)])
-def test_hard_negatives_are_exact(spark, monkeypatch, width, repeat, chunk):
-    """Also with a fifth of all rows alike, vectors of two words, and anchors in several chunks and blocks."""
+@pytest.mark.parametrize(("width", "repeat", "chunk", "task"), [(8, 5, 1 << 21, 10), (70, 1000, 140, 100)])
+def test_hard_negatives_are_exact(spark, monkeypatch, width, repeat, chunk, task):
+    """Also with a fifth of all rows alike, vectors of two words, anchors in several chunks and blocks, and two passes for bounds."""
     monkeypatch.setattr(hard_negatives, "CHUNK", chunk)
     monkeypatch.setattr(hard_negatives, "ANCHOR_BLOCK", 3)
-    monkeypatch.setattr(hard_negatives, "ROWS_A_TASK", 100)
+    monkeypatch.setattr(hard_negatives, "ROWS_A_TASK", task)
+    assert hard_negatives.steps(50) == [256, 16] and hard_negatives.steps(5) == [16]
     rows = vectors(width, 500, width, repeat)
     assert negatives_of(spark, rows) == brute_negatives(rows) != []
 
