@@ -124,6 +124,26 @@ def _place(root: Node, open_nodes: dict[int, Node]) -> Column:
     return at(root)
 
 
+def lloyd(df: DataFrame, array: str, first: list[list[float]], rounds: int) -> DataFrame:
+    """df with cluster: k-means from the given centres (their places name the clusters), in so many rounds.
+
+    A round is one aggregate: each row goes to its nearest centre (of equal ones the first), and the driver gets the means of k
+    centres by component. A centre without rows stays where it is. All vectors have one size; null ones get a null cluster.
+    """
+    v = F.col(array).cast("array<double>")
+    centres = [list(map(float, c)) for c in first]
+
+    def nearest(centres: list[list[float]]) -> Column:
+        far = lambda c: F.aggregate(F.zip_with(v, F.array(*map(F.lit, c)), lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x)
+        return F.array_min(F.array(*[F.named_struct(F.lit("d"), far(c), F.lit("c"), F.lit(i)) for i, c in enumerate(centres)]))["c"]
+
+    for _ in range(rounds):
+        placed = df.where(F.col(array).isNotNull()).select(nearest(centres).alias("_c"), F.posexplode(v).alias("_at", "_x"))
+        for r in placed.groupBy("_c", "_at").agg(F.avg("_x").alias("m")).collect():
+            centres[r["_c"]][r["_at"]] = r["m"]
+    return df.withColumn("cluster", F.when(F.col(array).isNotNull(), nearest(centres)))
+
+
 def clusters(df: DataFrame, array: str, k: int, seed: int = 1) -> tuple[DataFrame, float]:
     """df with cluster, and the silhouette of the clustering of an array column."""
     x = df.withColumn("_x", array_to_vector(F.col(array).cast("array<double>")))

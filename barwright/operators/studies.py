@@ -269,3 +269,16 @@ def trend_fit(df: DataFrame, flag: Column, column: str = "fClose") -> DataFrame:
 def stock_eod(df: DataFrame) -> DataFrame:
     """The daily pipeline: clean, change, gap, RSI, means of 50 and 200 with trend, running high."""
     return running_high(trend_flags(sma(rsi(gap(change_pct(clean(df)))), (50, 200))))
+
+
+def moving_averages(df: DataFrame) -> DataFrame:
+    """All of the averages of bars, in one window over a symbol's rows: fRange, simple and exponential means, their differences, the prices' distances from them, and the crossings ahead of both kinds (sma_cross_{pair}, ema_cross_{pair})."""
+    df = price_ma_diffs(ma_diffs(ma_diffs(ema(sma(df.withColumn("fRange", F.col("fHigh") - F.col("fLow")))), "sma_"), "ema_"))
+    for prefix in ("sma_", "ema_"):
+        df = ma_cross_ahead(df, prefix).withColumnsRenamed({f"cross_{a}_{b}": f"{prefix}cross_{a}_{b}" for a, b in PAIRS})
+    return df
+
+
+def regular(df: DataFrame) -> DataFrame:
+    """The standard studies of bars: relative strength with its parts, on-balance volume, accumulation and distribution."""
+    return accumulation(obv(rsi_parts(df)))

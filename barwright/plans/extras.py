@@ -18,10 +18,10 @@ from barwright.plans.registry import query, table
 from barwright.plans.studies import CHANGED
 
 
-@query("sample_rows", None)
+@query("sample_rows", "SELECT c_custkey FROM customer ORDER BY md5('7:' || c_custkey), c_custkey LIMIT 50")
 def sample_rows(spark: SparkSession, d: str) -> DataFrame:
     """A sample of n rows by a seeded order: a top-k, which sorts nothing whole."""
-    return table(spark, d, "customer").select("c_custkey").orderBy(F.xxhash64("c_custkey", F.lit(7)), "c_custkey").limit(50)
+    return table(spark, d, "customer").select("c_custkey").orderBy(F.md5(F.concat(F.lit("7:"), F.col("c_custkey").cast("string"))), "c_custkey").limit(50)
 
 
 @query("identical_columns", "SELECT o_orderkey, o_orderstatus FROM orders")
@@ -137,11 +137,22 @@ def tree_model_metrics(spark: SparkSession, d: str) -> DataFrame:
     return Q.regression_metrics(test.withColumn("_p", tree(train, _FEATURES, "next", depth=3, bins=16).predicted()), "next", "_p")
 
 
-@query("embedding_clusters", None)
+def _lloyd_sql(k: int, rounds: int) -> str:
+    """Round by round: rows to their nearest centre, centres to the means of their rows."""
+    parts = [f"v AS (SELECT vec_id, embedding::DOUBLE[] AS x FROM embeddings), m0 AS (SELECT row_number() OVER (ORDER BY vec_id) - 1 AS c, x FROM (SELECT * FROM v ORDER BY vec_id LIMIT {k}))"]
+    for i in range(rounds + 1):
+        parts.append(f"p{i} AS (SELECT vec_id, any_value(v.x) AS x, arg_min(c, row(list_sum(list_transform(range(len(v.x)), lambda j: (v.x[j + 1] - m.x[j + 1]) * (v.x[j + 1] - m.x[j + 1]))), c)) AS c FROM v, m{i} m GROUP BY vec_id)")
+        parts.append(f"a{i} AS (SELECT c, j, avg(x[j]) AS x FROM p{i}, unnest(range(1, len(x) + 1)) AS t(j) GROUP BY 1, 2), m{i + 1} AS (SELECT o.c, coalesce(n.x, o.x) AS x FROM m{i} o LEFT JOIN (SELECT c, list(x ORDER BY j) AS x FROM a{i} GROUP BY 1) n ON n.c = o.c)")
+    return f"WITH {', '.join(parts)} SELECT vec_id, c::INT AS cluster FROM p{rounds}"
+
+
+@query("embedding_clusters", _lloyd_sql(5, 4))
 def embedding_clusters(spark: SparkSession, d: str) -> DataFrame:
-    from barwright.operators.models import clusters
+    from barwright.operators.models import lloyd
 
-    return clusters(table(spark, d, "embeddings"), "embedding", 5)[0].select("vec_id", "cluster")
+    vectors = table(spark, d, "embeddings").select("vec_id", "embedding")
+    first = [r["embedding"] for r in vectors.orderBy("vec_id").limit(5).collect()]  # five rows
+    return lloyd(vectors, "embedding", first, 4).select("vec_id", "cluster")
 
 
 @query("approximate_aggregates", None)

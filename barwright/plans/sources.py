@@ -138,6 +138,46 @@ def latest_day(spark: SparkSession, d: str) -> DataFrame:
     return days.join(F.broadcast(days.agg(F.max("date").alias("date"))), "date").select("event_id", "event_type")  # one row
 
 
+@query("latest_business_day", "SELECT event_id, event_type, ts::DATE AS date FROM events WHERE ts::DATE = (SELECT max(ts::DATE) FROM events WHERE isodow(ts) < 6 AND ts::DATE <= DATE '2024-01-14' AND ts::DATE <> DATE '2024-01-12')")
+def latest_business_day(spark: SparkSession, d: str) -> DataFrame:
+    """As of a Sunday after a holiday: two business days back."""
+    at = folder(spark)
+    sinks.write_by_date(table(spark, d, "events").select("event_id", "event_type", F.to_date("ts").alias("date")), at)
+    return R.as_of(spark, at, "2024-01-14", holidays=["2024-01-12"])
+
+
+@query("per_key_layout", "SELECT l_suppkey, year(l_shipdate) AS year, count(*) AS n, sum(l_quantity) AS volume FROM lineitem GROUP BY 1, 2", "volume")
+def per_key_layout(spark: SparkSession, d: str) -> DataFrame:
+    """Trades in folders by year, sorted by symbol within, read again."""
+    at = folder(spark)
+    trades = table(spark, d, "lineitem").select("l_suppkey", F.to_date("l_shipdate").alias("date"), "l_quantity")
+    sinks.write_by_key(trades, at, "l_suppkey")
+    return spark.read.parquet(at).groupBy("l_suppkey", F.col("year").cast("long").alias("year")).agg(F.count("*").alias("n"), F.sum("l_quantity").alias("volume"))
+
+
+@query("file_size_audit", "SELECT event_type, true AS found FROM events GROUP BY 1 UNION ALL SELECT 'over 1 GB', false")
+def file_size_audit(spark: SparkSession, d: str) -> DataFrame:
+    """Which folders of a written table have files of a byte and more, and whether any file is over 1 GB."""
+    at = folder(spark)
+    table(spark, d, "events").write.partitionBy("event_type").parquet(at)
+    some = R.file_sizes(spark, at, 1).select(F.regexp_extract("path", "event_type=([^/]*)/", 1).alias("event_type")).where("event_type <> ''").distinct().withColumn("found", F.lit(True))
+    large = R.file_sizes(spark, at, 1 << 30).agg((F.count("*") > 0).alias("found")).select(F.lit("over 1 GB").alias("event_type"), "found")
+    return some.unionByName(large)
+
+
+@query("csv_with_junk_above", "SELECT o_orderkey, o_orderstatus, o_totalprice FROM orders")
+def csv_with_junk_above(spark: SparkSession, d: str) -> DataFrame:
+    """Eight files, each with lines of a report above its header."""
+    at = folder(spark)
+    rows = table(spark, d, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice")
+    part = F.pmod("o_orderkey", F.lit(8)).cast("int")
+    lines = rows.select(part.alias("part"), F.col("o_orderkey").alias("at"), F.concat_ws(",", "o_orderkey", "o_orderstatus", F.col("o_totalprice").cast("string")).alias("value"))
+    above = spark.range(8).select(F.col("id").cast("int").alias("part"), F.posexplode(F.array(F.lit("Report of orders,,"), F.lit("9,X,1.5"), F.lit("o_orderkey,o_orderstatus,o_totalprice"))).alias("at", "value"))
+    above = above.withColumn("at", F.col("at").cast("long") - 3)
+    lines.unionByName(above).repartition("part").sortWithinPartitions("part", "at").select("part", "value").write.partitionBy("part").text(at)
+    return R.delimited(spark, at, rows.schema, header_cell="o_orderkey")
+
+
 @query("upsert_into_table", "SELECT s_suppkey, CASE WHEN s_suppkey % 2 = 0 THEN s_acctbal ELSE s_acctbal + 1 END AS s_acctbal FROM supplier")
 def upsert_into_table(spark: SparkSession, d: str) -> DataFrame:
     at = folder(spark)

@@ -27,6 +27,12 @@ def folder(spark: SparkSession) -> str:
     return f"{found.rstrip('/')}/streams/{uuid.uuid4().hex}"
 
 
+def checkpointed(df: DataFrame) -> DataFrame:
+    """df computed once and kept in the shared folder, with its partitioning and order; Spark's cleaner may delete it when it is no longer referred to."""
+    folder(df.sparkSession)  # sets the folder where none is set
+    return df.checkpoint()
+
+
 def _events(spark: SparkSession, d: str) -> DataFrame:
     schema = table(spark, d, "events").schema
     return spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet*").parquet(d).withColumn("ts", F.col("ts").cast("timestamp"))

@@ -339,3 +339,45 @@ def corr_extreme(spark: SparkSession, d: str) -> DataFrame:
     from barwright.operators.correlation import peers
 
     return peers(S.change_pct(load(spark, d, "month")), least_move=0.05)
+
+
+_LEVELS_OF = [f"{m}{n}" for m in ("sma_", "ema_") for n in S.SPANS]
+_DIFFS_OF = [f"{m}{a}_{b}" for m in ("sma_", "ema_") for a, b in S.PAIRS]
+_PRICES_OF = [f"{p}_{m}{n}" for p, m, n in _PRICE]
+
+
+def _crossing(prefix: str, a: int, b: int) -> str:
+    d, later = f"{prefix}{a}_{b}", f"lead({prefix}{a}_{b}) OVER {W}"
+    return f"CASE WHEN {d} <> 0 AND sign({d}) < sign({later}) THEN 1 WHEN {d} <> 0 AND sign({d}) > sign({later}) THEN -1 ELSE 0 END AS {prefix}cross_{a}_{b}"
+
+
+@query(
+    "moving_averages_all",
+    recursive(
+        "month",
+        f""", {ema_sql('bars', keep=', fClose, fHigh, fLow')}, both_ma AS (SELECT *, {_SMAS} FROM emas), d AS (SELECT *, {_DIFFS('sma_')}, {_DIFFS('ema_')} FROM both_ma)
+SELECT symbol, date, fHigh - fLow AS fRange, {', '.join(_LEVELS_OF + _DIFFS_OF)}, {', '.join(f'{p} - {m}{n} AS {p}_{m}{n}' for p, m, n in _PRICE)}, {', '.join(_crossing(m, a, b) for m in ('sma_', 'ema_') for a, b in S.PAIRS)} FROM d""",
+    ),
+    " ".join(_LEVELS_OF + _DIFFS_OF + _PRICES_OF),
+)
+def moving_averages_all(spark: SparkSession, d: str) -> DataFrame:
+    crosses = [f"{m}cross_{a}_{b}" for m in ("sma_", "ema_") for a, b in S.PAIRS]
+    return S.moving_averages(load(spark, d, "month")).select("symbol", "date", "fRange", *_LEVELS_OF, *_DIFFS_OF, *_PRICES_OF, *crosses)
+
+
+@query(
+    "regular_studies_all",
+    recursive(
+        "month",
+        f""", n AS (SELECT *, {RN} - 1 AS rn, lag(fClose) OVER {W} AS pc FROM bars), g AS (SELECT *, fClose - pc AS change, CASE WHEN fClose < pc THEN 0 ELSE fClose - pc END AS gain, CASE WHEN fClose > pc THEN 0 ELSE pc - fClose END AS loss FROM n),
+seed AS (SELECT symbol, avg(gain) AS ag, avg(loss) AS al FROM g WHERE rn BETWEEN 1 AND 14 GROUP BY 1),
+r AS (SELECT g.symbol, rn, ag, al FROM g JOIN seed USING (symbol) WHERE rn = 14 UNION ALL SELECT g.symbol, g.rn, (13 * ag + gain) / 14, (13 * al + loss) / 14 FROM r JOIN g ON g.symbol = r.symbol AND g.rn = r.rn + 1),
+v AS (SELECT *, CASE WHEN pc IS NULL THEN 0 WHEN fClose > pc THEN fVolume ELSE -fVolume END AS x, coalesce(((fClose - fLow) - (fHigh - fClose)) / nullif(fHigh - fLow, 0) * fVolume, 0) AS ad FROM g)
+SELECT v.symbol, date, change, ag AS avg_gain, al AS avg_loss, CASE WHEN al <> 0 THEN 100 - 100 / (1 + ag / al) WHEN ag > 0 THEN 100 END AS rsi_14, sum(x) OVER w AS obv, ad, sum(ad) OVER w AS ad_line
+FROM v LEFT JOIN r ON r.symbol = v.symbol AND r.rn = v.rn WINDOW w AS (PARTITION BY v.symbol ORDER BY date)""",
+    ),
+    "change avg_gain avg_loss rsi_14 ad ad_line",
+    5,
+)
+def regular_studies_all(spark: SparkSession, d: str) -> DataFrame:
+    return S.regular(load(spark, d, "month")).select("symbol", "date", "change", "avg_gain", "avg_loss", "rsi_14", "obv", "ad", "ad_line")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -80,7 +81,8 @@ def _span(cell: Column, name: str) -> Column:
 
 def _placed(cells: Column, open_: Column) -> Column:
     """struct(out: array<string>, open): one row's cells put between those that come down from rows above, and what comes down from it."""
-    width = F.size(cells) + F.size(open_)
+    last = F.coalesce(F.array_max(F.transform(open_, lambda o: o["at"])), F.lit(-1))  # it may lie beyond a short row's cells
+    width = F.greatest(F.size(cells) + F.size(open_), last + 1)
     places = F.when(width > 0, F.sequence(F.lit(0), width - 1)).otherwise(F.array().cast("array<int>"))
     start = F.struct(F.array().cast("array<string>").alias("out"), F.lit(0).alias("next"), F.array().cast(f"array<{_OPEN}>").alias("open"))
 
@@ -137,9 +139,29 @@ def newest(spark: SparkSession, path: str, pattern: str = r"(\d{4}-?\d{2}-?\d{2}
     return spark.read.parquet(*top["paths"])
 
 
-def large_files(spark: SparkSession, path: str, least_bytes: int = 100_000_000) -> DataFrame:
-    """path, size of files of that size and more."""
-    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).where(F.col("length") >= least_bytes).select("path", F.col("length").alias("size"))
+def folders(spark: SparkSession, path: str, name: str) -> list[str]:
+    """The values of the partition folders name=... of a table, by their names only."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    found = (f.getPath().getName() for f in p.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(p) if f.isDirectory())
+    return sorted(f.partition("=")[2] for f in found if f.startswith(f"{name}="))
+
+
+def as_of(spark: SparkSession, path: str, day: str, holidays: Sequence[str] = (), most: int = 10, date: str = "date") -> DataFrame:
+    """Of a table with a folder for each date, the rows of the last business day up to `day` that has a folder, `most` business days back at most. Only that folder is read."""
+    have, at, back = set(folders(spark, path, date)), datetime.date.fromisoformat(day), 0
+    while back <= most:
+        if at.weekday() < 5 and str(at) not in holidays:
+            if str(at) in have:
+                return spark.read.option("basePath", path).parquet(f"{path}/{date}={at}")
+            back += 1
+        at -= datetime.timedelta(1)
+    raise FileNotFoundError(f"no folder under {path} for the {most} business days up to {day}")
+
+
+def file_sizes(spark: SparkSession, path: str, least_bytes: int = 100_000_000) -> DataFrame:
+    """path, size of files of that size and more, from their listing: no file is opened, whatever is in it."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    return files.where(F.col("length") >= least_bytes).select("path", F.col("length").alias("size"))
 
 
 class Catalog:

@@ -54,7 +54,7 @@ def test_query_matches_sql(spark, duck, name):
 
 @pytest.mark.parametrize("name", sorted(set(catalog.queries()) - set(catalog.oracle_sql())))
 def test_query_without_sql_runs(spark, name):
-    assert entry.queries()[name](spark, DIR).count() >= 0
+    assert entry.queries()[name](spark, DIR).count() > 0
 
 
 def test_entry(spark):

@@ -238,7 +238,7 @@ def test_files_by_key_date_csv_json_and_size(spark, tmp_path):
     assert spark.read.option("header", True).schema("k int, date date, v double").csv(str(tmp_path / "c")).exceptAll(df).count() == 0
     df.select("k", "v").write.option("compression", "gzip").json(str(tmp_path / "j"))
     assert sinks.json_to_parquet(spark, str(tmp_path / "j"), str(tmp_path / "p"), "k int, v double").count() == 12
-    assert readers.large_files(spark, str(tmp_path / "k"), 1).count() > 0 and readers.large_files(spark, str(tmp_path / "k"), 10**9).count() == 0
+    assert readers.file_sizes(spark, str(tmp_path / "k"), 1).count() > 0 and readers.file_sizes(spark, str(tmp_path / "k"), 10**9).count() == 0
 
 
 def test_messages_go_to_their_service(spark, tmp_path):
@@ -330,3 +330,15 @@ def test_call_log_counts_against_a_budget(spark, tmp_path):
     sinks.log_calls(spark.createDataFrame([("news", at(1, 0)), ("news", at(1, 30))], "service string, ts timestamp"), str(tmp_path / "log"))
     log = sinks.log_calls(spark.createDataFrame([("news", at(1, 40)), ("bars", at(2, 0))], "service string, ts timestamp"), str(tmp_path / "log"))
     assert sorted((r["service"], r["begin"].hour, r["n"], r["left"]) for r in sinks.call_budget(log, "1 hour", 2).collect()) == [("bars", 2, 1, 1), ("news", 1, 3, 0)]
+
+
+def test_the_last_business_day_that_has_a_folder(spark, tmp_path):
+    days = [datetime.date(2024, 1, d) for d in (2, 4, 5, 6)]  # Tuesday, Thursday, Friday, Saturday
+    sinks.write_by_date(spark.createDataFrame([(d, i) for i, d in enumerate(days)], "date date, v int"), str(tmp_path))
+    at = lambda day, **more: [(r["v"], str(r["date"])) for r in readers.as_of(spark, str(tmp_path), day, **more).collect()]
+    assert at("2024-01-07") == at("2024-01-05") == [(2, "2024-01-05")] and at("2024-01-07", holidays=["2024-01-05"]) == [(1, "2024-01-04")]
+    assert at("2024-01-03") == [(0, "2024-01-02")]
+    with pytest.raises(FileNotFoundError):
+        at("2024-01-25", most=5)
+    with pytest.raises(FileNotFoundError):
+        at("2024-01-01")

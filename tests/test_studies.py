@@ -333,3 +333,14 @@ def test_tree_by_histograms(spark):
     values = {q["p"] for q in df.dropna().select(found.predicted().alias("p")).collect()}
     assert len(values) == 8
     assert models.tree(spark.createDataFrame([(1.0, 2.0), (1.0, 4.0)], "a double, z double"), ["a"], "z").value == 3.0
+
+
+def test_k_means_from_given_centres(spark):
+    from barwright.operators import models
+
+    r = random.Random(6)
+    rows = [(i, [r.gauss(c, 0.1), r.gauss(-c, 0.1)]) for i, c in enumerate([0, 3, 9] * 10)]
+    df = spark.createDataFrame([*rows, (99, None)], "id long, v array<double>")
+    got = {q["id"]: q["cluster"] for q in models.lloyd(df, "v", [[1.0, 1.0], [2.0, -2.0], [8.0, -8.0], [500.0, 500.0]], 3).collect()}
+    assert got == {i: i % 3 for i in range(30)} | {99: None}
+    assert models.lloyd(df, "v", [[0.0, 0.0], [0.0, 0.0]], 0).where("cluster = 1").count() == 0  # ties go to the first
