@@ -134,13 +134,14 @@ def lloyd(df: DataFrame, array: str, first: list[list[float]], rounds: int) -> D
     centres = [list(map(float, c)) for c in first]
 
     def nearest(centres: list[list[float]]) -> Column:
-        far = lambda c: F.aggregate(F.zip_with(v, F.array(*map(F.lit, c)), lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x)
+        far = lambda c: F.aggregate(F.zip_with(v, F.expr(f"array({', '.join(f'{x!r}D' for x in c)})"), lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x)
         return F.array_min(F.array(*[F.named_struct(F.lit("d"), far(c), F.lit("c"), F.lit(i)) for i, c in enumerate(centres)]))["c"]
 
     for _ in range(rounds):
-        placed = df.where(F.col(array).isNotNull()).select(nearest(centres).alias("_c"), F.posexplode(v).alias("_at", "_x"))
-        for r in placed.groupBy("_c", "_at").agg(F.avg("_x").alias("m")).collect():
-            centres[r["_c"]][r["_at"]] = r["m"]
+        placed = df.where(F.col(array).isNotNull()).select(nearest(centres).alias("_c"), v.alias("_v"))
+        means = [F.avg(F.get("_v", F.lit(j))).alias(f"m{j}") for j in range(len(centres[0]))]
+        for r in placed.groupBy("_c").agg(*means).collect():
+            centres[r["_c"]] = list(r[1:])
     return df.withColumn("cluster", F.when(F.col(array).isNotNull(), nearest(centres)))
 
 

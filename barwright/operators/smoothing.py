@@ -8,6 +8,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -107,29 +108,32 @@ def prominences(df: DataFrame, column: str, keys: Sequence[str] = ("symbol",)) -
     points = points.withColumns({"highs": none("array<double>"), "lows": none("array<double>")})
     lists = lists.select(*keys, "block", F.lit(-1).cast("long").alias("rn"), F.lit(2).alias("kind"), none("double").alias("x"), none(kinds["date"]).alias("date"), "highs", "lows")
 
-    def within(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values(["kind", "rn"])
-        kind = part["kind"].to_numpy()
-        own, b = part[kind == 0], int(part["block"].iloc[0])
-        x, first = own["x"].to_numpy(), int(own["rn"].iloc[0])
-        at = part["rn"].to_numpy()[kind == 1] - first
-        listed = part[kind == 2].iloc[0]
-        out = []
+    def within(part: pa.Table) -> pa.Table:
+        kind, rn, b = part["kind"].to_numpy(), part["rn"].to_numpy(), part["block"][0].as_py()
+        own = np.flatnonzero(kind == 0)
+        own = own[np.argsort(rn[own])]
+        x = part["x"].to_numpy()[own]
+        at = np.sort(rn[kind == 1]) - rn[own[0]]
+        listed = int(np.flatnonzero(kind == 2)[0])
+        highs, least = (np.array(part[c][listed].as_py()) for c in ("highs", "lows"))
+        low, target = [], []
         for side, (v, p) in enumerate(((x, at), (x[::-1], len(x) - 1 - at))):
-            low, found = lows(v, p)
+            near, found = lows(v, p)
             far = slice(b - 1, None, -1) if side == 0 and b else slice(b + 1, None) if side else slice(0, 0)
-            high = np.maximum.accumulate(np.asarray(listed["highs"])[far])
-            between = np.concatenate([[np.inf], np.minimum.accumulate(np.asarray(listed["lows"])[far])])
+            high = np.maximum.accumulate(highs[far])
+            between = np.concatenate([[np.inf], np.minimum.accumulate(least[far])])
             k = np.where(found, 0, np.searchsorted(high, x[at], "right"))  # blocks until one is higher
-            low = np.minimum(low, np.where(found, np.inf, between[k]))
-            open_ = ~found & (k < len(high))
-            out.append(pd.DataFrame({"date": own["date"].to_numpy()[at], "x": x[at], "side": side, "low": low, "target": pd.array(np.where(open_, b - 1 - k if side == 0 else b + 1 + k, -1), "Int64")}))
-        found = pd.concat(out, ignore_index=True)
-        for k in keys:
-            found[k] = part[k].iloc[0]
-        return found[[*keys, "date", "x", "side", "low", "target"]]
-
-    seen = points.unionByName(lists).groupBy(*keys, "block").applyInPandas(within, f"{typed}, date {kinds['date']}, x double, side int, low double, target long")
+            low.append(np.minimum(near, np.where(found, np.inf, between[k])))
+            target.append(np.where(~found & (k < len(high)), b - 1 - k if side == 0 else b + 1 + k, -1))
+        dates, n = part["date"].take(pa.array(own[at])), len(at)
+        columns = {k: pa.array([part[k][0].as_py()] * (2 * n), part.schema.field(k).type) for k in keys}
+        columns |= {"date": pa.chunked_array([*dates.chunks, *dates.chunks], dates.type), "x": np.tile(x[at], 2), "side": np.repeat(np.arange(2, dtype=np.int32), n), "low": np.concatenate(low), "target": np.concatenate(target).astype(np.int64)}
+        return pa.table(columns)
+
+    # parts as many as set, though they are small: the work is Python's
+    spread = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    group = [*keys, "block"]
+    seen = points.unionByName(lists).repartition(spread, *group).groupBy(*group).applyInArrow(within, f"{typed}, date {kinds['date']}, x double, side int, low double, target long")
     left = seen.where("target >= 0")
     copies = left.groupBy(*keys, "target").agg(F.ceil(F.count("*") / SEARCHES).cast("int").alias("copies"))
     copy = F.pmod(F.xxhash64("date", "side"), F.col("copies")).cast("int")
@@ -139,17 +143,18 @@ def prominences(df: DataFrame, column: str, keys: Sequence[str] = ("symbol",)) -
     ground = rows.select(*keys, block(F.col("rn")).alias("target"), "rn", "x").join(copies, [*keys, "target"]).withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)))
     ground = renamed(ground, *keys, "target", "copy", "rn", "x")
 
-    def beyond(searches: pd.DataFrame, ground: pd.DataFrame) -> pd.DataFrame:
-        x = ground.sort_values("rn")["x"].to_numpy()
-        for side, v in enumerate((x[::-1], x)):
-            mine = (searches["side"] == side).to_numpy()
-            k = np.searchsorted(np.maximum.accumulate(v), searches["x"].to_numpy()[mine], "right")  # the nearest higher row
-            least = np.concatenate([[np.inf], np.minimum.accumulate(v)])[k]
-            searches.loc[mine, "low"] = np.minimum(searches["low"].to_numpy()[mine], least)
-        return searches[[*keys, "date", "x", "side", "low"]]
+    def beyond(searches: pa.Table, ground: pa.Table) -> pa.Table:
+        x = ground["x"].to_numpy()[np.argsort(ground["rn"].to_numpy())]
+        side, low, wanted = searches["side"].to_numpy(), searches["low"].to_numpy().copy(), searches["x"].to_numpy()
+        for s, v in enumerate((x[::-1], x)):
+            mine = side == s
+            k = np.searchsorted(np.maximum.accumulate(v), wanted[mine], "right")  # the nearest higher row
+            low[mine] = np.minimum(low[mine], np.concatenate([[np.inf], np.minimum.accumulate(v)])[k])
+        at = searches.schema.get_field_index("low")
+        return searches.set_column(at, "low", pa.array(low)).select([*keys, "date", "x", "side", "low"])
 
     group = [*keys, "target", "copy"]
-    answered = searches.groupBy(*group).cogroup(ground.groupBy(*group)).applyInPandas(beyond, f"{typed}, date {kinds['date']}, x double, side int, low double")
+    answered = searches.repartition(spread, *group).groupBy(*group).cogroup(ground.repartition(spread, *group).groupBy(*group)).applyInArrow(beyond, f"{typed}, date {kinds['date']}, x double, side int, low double")
     every = seen.where("target < 0").drop("target").unionByName(answered)
     return every.groupBy(*keys, "date").agg((F.first("x") - F.max("low")).alias("prominence"))
 
@@ -170,7 +175,7 @@ def distant_peaks(df: DataFrame, column: str, distance: int) -> DataFrame:
                 kept.insert(i, rn)
         return pd.DataFrame({"symbol": part["symbol"].iloc[0], "rn": kept})
 
-    return rows.select("symbol", "date", "rn").join(at.groupBy("symbol").applyInPandas(run, "symbol long, rn long"), ["symbol", "rn"]).select("symbol", "date")
+    return rows.select("symbol", "date", "rn").join(at.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), "symbol").groupBy("symbol").applyInPandas(run, "symbol long, rn long"), ["symbol", "rn"]).select("symbol", "date")
 
 
 def daubechies(p: int) -> list[float]:
