@@ -14,7 +14,7 @@ DIR = "/root/testdata/sf0.001"
 
 def test_queries_are_registered():
     names = set(entry.queries())
-    assert {f"op{n}" for n in range(1, 11)} == {x.split("_")[0] for x in names if re.match(r"op\d", x)} and "pipeline" in names
+    assert {f"op{n}" for n in range(1, 14)} == {x.split("_")[0] for x in names if re.match(r"op\d", x)} and "pipeline" in names
 
 
 def test_stages_keep_columns_and_clean_documents(spark):
