@@ -342,3 +342,36 @@ def test_the_last_business_day_that_has_a_folder(spark, tmp_path):
         at("2024-01-25", most=5)
     with pytest.raises(FileNotFoundError):
         at("2024-01-01")
+
+
+def test_last_known_has_one_timer_a_slot_and_a_beat_gives_out_the_rest(spark, tmp_path):
+    """As many keys and hours as one likes: state is kept by slot. Null keys are a key; nothing waits behind a beat."""
+    start = datetime.datetime(2024, 1, 1)
+    rows = [(None if i % 7 == 0 else 2**60 + i % 7, start + datetime.timedelta(minutes=17 * i), float(i) if i % 3 == 0 else None, False) for i in range(120)]
+    rows.append((None, start + datetime.timedelta(days=9), None, True))
+    schema = "k long, ts timestamp, v double, beat boolean"
+    spark.createDataFrame(rows, schema).write.parquet(str(tmp_path / "in"))
+    before = spark.conf.get(feeds.ROCKS[0])
+    spark.conf.set(*feeds.ROCKS)
+    try:
+        out = feeds.last_known(spark.readStream.schema(schema).parquet(str(tmp_path / "in")), "k", "v", "1 hour", beat="beat", slots=2)
+        query = out.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
+        query.awaitTermination()
+        operator = query.lastProgress["stateOperators"][0]["customMetrics"]
+    finally:
+        spark.conf.set(feeds.ROCKS[0], before)
+    last, want = {}, []
+    for k, ts, v, _ in rows[:-1]:
+        last[k] = last.get(k) if v is None else v
+        want.append((k, ts, last[k]))
+    got = [tuple(r) for r in spark.read.parquet(str(tmp_path / "out")).collect()]
+    assert sorted(got, key=str) == sorted(want, key=str)
+    assert operator["numExpiredTimers"] <= 3
+
+
+def test_the_filled_stream_has_every_event(spark):
+    import __spark_entry__ as entry
+
+    d = "/root/testdata/sf0.001"
+    assert entry.queries()["stream_ffill_state"](spark, d).count() == spark.read.parquet(f"{d}/events.parquet").count()
+    assert " WHERE date_trunc" not in entry.oracle_sql()["stream_ffill_state"]
