@@ -344,3 +344,14 @@ def test_k_means_from_given_centres(spark):
     got = {q["id"]: q["cluster"] for q in models.lloyd(df, "v", [[1.0, 1.0], [2.0, -2.0], [8.0, -8.0], [500.0, 500.0]], 3).collect()}
     assert got == {i: i % 3 for i in range(30)} | {99: None}
     assert models.lloyd(df, "v", [[0.0, 0.0], [0.0, 0.0]], 0).where("cluster = 1").count() == 0  # ties go to the first
+
+
+def test_volatilities_of_a_batch_are_found_together(spark):
+    from barwright.functions import options
+
+    df = spark.range(1000).selectExpr("100D AS s", "80 + id % 50 AS k", "0.5D AS t", "0.1 + id % 30 / 100 AS v").union(spark.sql("SELECT 100D, 90D, 0.5D, NULL"))
+    s, k, t, v = (F.col(c) for c in "sktv")
+    found = df.select("v", options.implied_vol(options.bs_call(s, k, t, F.lit(0.03), v), s, k, t, F.lit(0.03)).alias("found"), options.implied_vol(s + 1, s, k, t, F.lit(0.03)).alias("none"))
+    assert "lambda" not in found._jdf.queryExecution().toString()
+    got = found.collect()
+    assert all(r["none"] is None and (r["found"] is None if r["v"] is None else abs(r["found"] - r["v"]) < 1e-5) for r in got)
