@@ -355,3 +355,14 @@ def test_volatilities_of_a_batch_are_found_together(spark):
     assert "lambda" not in found._jdf.queryExecution().toString()
     got = found.collect()
     assert all(r["none"] is None and (r["found"] is None if r["v"] is None else abs(r["found"] - r["v"]) < 1e-5) for r in got)
+
+
+def test_correlations_in_slices_of_small_blocks(spark, monkeypatch):
+    df = studies.change_pct(series(spark, 30, range(40)))
+    key = lambda rows: {(r["key"], r["symbol"]): (round(r["corr"], 9), r["n"]) for r in rows}
+    whole = key(correlation.peers(df, blocks=1).collect())
+    monkeypatch.setattr(correlation, "BLOCK", 2)
+    monkeypatch.setattr(correlation, "PAIRS_AT_ONCE", 3)
+    cut = correlation.peers(df)
+    assert key(cut.collect()) == whole and len(whole) == 40 * 39
+    assert cut.select("key").count() == 40 * 39
