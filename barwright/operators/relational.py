@@ -88,43 +88,21 @@ def one_hot(df: DataFrame, column: str, values: Sequence[str], prefix: str) -> D
     return df.withColumns({f"{prefix}{v}": F.when(F.col(column) == v, 1).otherwise(0) for v in values})
 
 
-#: Rows of a part when a whole table is put in order, and the sample from which the parts' borders are taken.
-PART_ROWS, SAMPLED = 100_000, 20_000
+#: Rows of a part when a whole table is put in order, and parts at most: a larger table has larger parts, which are sorted on disk.
+PART_ROWS, MOST_PARTS = 100_000, 512
 
 
 def in_parts(df: DataFrame, order: Sequence[tuple[str, bool]], part_rows: int | None = None) -> DataFrame:
-    """df with _part: parts of about so many rows that follow each other in the order (columns, each with whether it descends; nulls come first).
+    """df with _part: parts of about so many rows that follow each other in the order (columns, each with whether it descends; nulls come first), each in order.
 
-    The borders are rows of a bounded sample by hash, so they are the same whenever the table is read; the parts they make differ
-    in size, but any borders give the same order. Rows that are equal in all columns of the order are one part.
+    The parts are Spark's ranges. They are kept in the shared folder, as ranges come from a sample and would differ if the table
+    was read again. Rows that are equal in all columns of the order are in one part.
     """
-    rows = df.count()
-    parts = -(-rows // (part_rows or PART_ROWS))
-    if parts <= 1:
-        return df.withColumn("_part", F.lit(0))
-    names = [c for c, _ in order]
-    sampled = df.select(*names).where(F.pmod(F.xxhash64(*names), F.lit(max(1, rows // SAMPLED))) == 0).distinct()
-    ranked = sampled.orderBy(*[F.desc_nulls_last(c) if down else F.asc_nulls_first(c) for c, down in order]).collect()
-    borders = [ranked[len(ranked) * i // parts] for i in range(1, parts)] if ranked else []
-
-    def before(border) -> Column:
-        """Whether a row comes before the border."""
-        out = F.lit(False)
-        for c, down in reversed(order):
-            v, b = F.col(c), border[c]
-            first = (v.isNotNull() if down else F.lit(False)) if b is None else (v > F.lit(b)) | F.lit(False) if down else v.isNull() | (v < F.lit(b))
-            same = v.eqNullSafe(F.lit(b))
-            out = F.coalesce(first, F.lit(False)) | (same & out)
-        return out
-
-    # borders are in order, so a row's part is found by halving them
-    def place(low: int, high: int) -> Column:
-        if low == high:
-            return F.lit(low)
-        middle = (low + high) // 2
-        return F.when(before(borders[middle]), place(low, middle)).otherwise(place(middle + 1, high))
-
-    return df.withColumn("_part", place(0, len(borders)))
+    from barwright.plans.streams import checkpointed
+
+    parts = min(MOST_PARTS, max(1, -(-df.count() // (part_rows or PART_ROWS))))
+    by = [F.desc_nulls_last(c) if down else F.asc_nulls_first(c) for c, down in order]
+    return checkpointed(df.repartitionByRange(parts, *by).sortWithinPartitions(*by).withColumn("_part", F.spark_partition_id()))
 
 
 def numbered(df: DataFrame, order: Sequence[tuple[str, bool]], name: str = "rn", part_rows: int | None = None) -> DataFrame:
@@ -132,8 +110,8 @@ def numbered(df: DataFrame, order: Sequence[tuple[str, bool]], name: str = "rn",
     cut = in_parts(df, order, part_rows)
     counts = cut.groupBy("_part").agg(F.count("*").alias("_n"))
     starts = counts.select("_part", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
-    w = Window.partitionBy("_part").orderBy(*[F.desc_nulls_last(c) if down else F.asc_nulls_first(c) for c, down in order])
-    return cut.withColumn("_k", F.row_number().over(w)).join(F.broadcast(starts), "_part").withColumn(name, F.col("_k") + F.col("_before")).drop("_part", "_k", "_before")  # starts: a row a part
+    place = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)) + 1  # parts are partitions, in order
+    return cut.withColumn("_k", place).join(F.broadcast(starts), "_part").withColumn(name, F.col("_k") + F.col("_before")).drop("_part", "_k", "_before")  # starts: a row a part
 
 
 def gaps_to_next(df: DataFrame, key: str, name: str = "idx_diff", last: int = 1, part_rows: int | None = None) -> DataFrame:

@@ -366,3 +366,11 @@ def test_correlations_in_slices_of_small_blocks(spark, monkeypatch):
     cut = correlation.peers(df)
     assert key(cut.collect()) == whole and len(whole) == 40 * 39
     assert cut.select("key").count() == 40 * 39
+
+
+def test_the_plan_of_a_numbered_table_does_not_grow_with_its_parts(spark):
+    df = spark.range(3000).selectExpr("pmod(xxhash64(id), 1000) AS v", "id")
+    plans = [len(relational.numbered(df, [("v", True), ("id", False)], part_rows=n)._jdf.queryExecution().optimizedPlan().toString()) for n in (3000, 10)]
+    assert plans[1] < 1.5 * plans[0]
+    got = relational.numbered(df, [("v", True), ("id", False)], part_rows=10).orderBy("rn").collect()
+    assert [r["rn"] for r in got] == list(range(1, 3001)) and [(r["v"], r["id"]) for r in got] == sorted(((r["v"], r["id"]) for r in got), key=lambda x: (-x[0], x[1]))
