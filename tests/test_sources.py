@@ -375,3 +375,33 @@ def test_the_filled_stream_has_every_event(spark):
     d = "/root/testdata/sf0.001"
     assert entry.queries()["stream_ffill_state"](spark, d).count() == spark.read.parquet(f"{d}/events.parquet").count()
     assert " WHERE date_trunc" not in entry.oracle_sql()["stream_ffill_state"]
+
+
+def test_pages_of_a_chain_are_looked_up_together_and_have_no_limit(spark, tmp_path, monkeypatch):
+    from barwright.sources import pages
+
+    df = spark.range(30_000).selectExpr("id AS n", "id % 2 AS k", "id * 7 % 30000 AS m")
+    df.repartition(3).write.parquet(str(tmp_path / "t"))
+    for order in ("n", "m"):
+        service = pages.TableService(str(tmp_path / "t"), "k", order, ["n", "k", "m"], 1)
+        monkeypatch.setattr(pages.TableService, "LEAST", 1000)
+        monkeypatch.setattr(pages.TableService, "MOST", 4000)
+        looked, look_up = [], service._look_up
+        service._look_up = lambda key, after: (looked.append(after), look_up(key, after))
+        got = [page[order].to_pylist() for page in pages.chain(service, 1)]
+        want = sorted(r[order] for r in df.where("k = 1").collect())
+        assert got == [[v] for v in want] and len(got) > 10_000 and len(looked) < 20
+    numbered = pages.NumberedService(str(tmp_path / "t"), "m", ["m"], 7)
+    assert [v for key in numbered.keys() for v in numbered.page(key, None)[0]["m"].to_pylist()] == list(range(30_000))
+    assert pages.paged(spark, numbered, "page", "m long, page long").rdd.getNumPartitions() <= pages.MOST_PARTS
+
+
+def test_a_page_that_names_itself_is_an_error():
+    from barwright.sources import pages
+
+    class Stuck(Numbers):
+        def page(self, key, token):
+            return super().page(key, token)[0], "1"
+
+    with pytest.raises(RuntimeError, match="names itself"):
+        list(pages.chain(Stuck(), 5))
