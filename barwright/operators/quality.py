@@ -8,16 +8,24 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def missing_dates(df: DataFrame, calendar: DataFrame, key: str = "symbol", known: DataFrame | None = None) -> DataFrame:
-    """key, date: business days between each key's first and last date that it has no row for, less those in known (key, date).
+def missing_counted(df: DataFrame, calendar: DataFrame, key: str = "symbol", known: DataFrame | None = None) -> DataFrame:
+    """key, date, n: business days between each key's first and last date that it has no row for, less those in known (key, date), and how many the key misses.
 
-    The calendar (a few hundred rows a year) is broadcast; each key's range is joined to it, then what is there taken away.
+    The calendar (a few hundred rows a year) is one array, a key's dates are another, so what is missing is their difference:
+    only the rows that are there are shuffled and sorted, not the missing ones, which may be many times as many.
     """
-    ranges = df.groupBy(key).agg(F.min("date").alias("_lo"), F.max("date").alias("_hi"))
-    days = F.broadcast(calendar.select(F.col("date")))
-    wanted = ranges.join(days, F.col("date").between(F.col("_lo"), F.col("_hi"))).select(key, "date")
-    missing = wanted.join(df.select(key, "date"), [key, "date"], "left_anti")
-    return missing.join(known.select(key, "date"), [key, "date"], "left_anti") if known is not None else missing
+    own = df.groupBy(key).agg(F.min("date").alias("_lo"), F.max("date").alias("_hi"), F.collect_set("date").alias("_own"))
+    days = F.broadcast(calendar.agg(F.array_sort(F.collect_set("date")).alias("_days")))
+    wanted = F.filter("_days", lambda day: day.between(F.col("_lo"), F.col("_hi")))
+    lists = own.crossJoin(days).select(key, F.array_except(wanted, "_own").alias("_missing"))
+    if known is not None:
+        lists = lists.join(known.groupBy(key).agg(F.collect_set("date").alias("_known")), key, "left").select(key, F.array_except("_missing", F.coalesce("_known", F.array().cast("array<date>"))).alias("_missing"))
+    return lists.select(key, F.size("_missing").cast("long").alias("n"), F.explode("_missing").alias("date")).select(key, "date", "n")
+
+
+def missing_dates(df: DataFrame, calendar: DataFrame, key: str = "symbol", known: DataFrame | None = None) -> DataFrame:
+    """key, date of `missing_counted`."""
+    return missing_counted(df, calendar, key, known).drop("n")
 
 
 def with_count(missing: DataFrame, key: str = "symbol") -> DataFrame:
@@ -26,8 +34,8 @@ def with_count(missing: DataFrame, key: str = "symbol") -> DataFrame:
 
 
 def singles_and_multiples(missing: DataFrame, key: str = "symbol") -> tuple[DataFrame, DataFrame]:
-    """The missing dates of keys that miss one, and those of keys that miss more."""
-    counted = with_count(missing, key)
+    """The missing dates of keys that miss one, and those of keys that miss more. With n (`missing_counted`) nothing is counted again."""
+    counted = missing if "n" in missing.columns else with_count(missing, key)
     return counted.where("n = 1").drop("n"), counted.where("n > 1").drop("n")
 
 

@@ -16,17 +16,17 @@ _MISSING = f", {_CAL}, r AS (SELECT symbol, min(date) AS lo, max(date) AS hi FRO
 
 
 def _missing(spark: SparkSession, d: str) -> DataFrame:
-    return Q.missing_dates(load(spark, d, "day"), D.calendar(spark, "1995-01-01", "2002-12-31"))
+    return Q.missing_counted(load(spark, d, "day"), D.calendar(spark, "1995-01-01", "2002-12-31"))
 
 
 @query("missing_dates", over("day", f"{_MISSING} SELECT * FROM missing"))
 def missing_dates(spark: SparkSession, d: str) -> DataFrame:
-    return _missing(spark, d)
+    return _missing(spark, d).drop("n")
 
 
 @query("missing_few", over("day", f"{_MISSING}, n AS (SELECT symbol, date, count(*) OVER (PARTITION BY symbol) AS n FROM missing) SELECT * FROM n WHERE n < 1390"))
 def missing_few(spark: SparkSession, d: str) -> DataFrame:
-    return Q.with_count(_missing(spark, d)).where("n < 1390")
+    return _missing(spark, d).where("n < 1390")
 
 
 @query("gap_fill", over("week", "SELECT symbol, date, fClose FROM bars WHERE symbol % 2 = 0 UNION ALL SELECT symbol, date, -fClose FROM bars WHERE symbol % 2 <> 0"))

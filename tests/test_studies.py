@@ -374,3 +374,15 @@ def test_the_plan_of_a_numbered_table_does_not_grow_with_its_parts(spark):
     assert plans[1] < 1.5 * plans[0]
     got = relational.numbered(df, [("v", True), ("id", False)], part_rows=10).orderBy("rn").collect()
     assert [r["rn"] for r in got] == list(range(1, 3001)) and [(r["v"], r["id"]) for r in got] == sorted(((r["v"], r["id"]) for r in got), key=lambda x: (-x[0], x[1]))
+
+
+def test_missing_dates_are_counted_without_shuffling_them(spark):
+    day = lambda d: datetime.date(2024, 1, d)
+    df = spark.createDataFrame([(1, day(1)), (1, day(3)), (2, day(1)), (2, day(5)), (3, day(2)), (None, day(1)), (None, day(3))], "symbol long, date date")
+    calendar = spark.createDataFrame([(day(d),) for d in range(1, 6)], "date date")
+    got = quality.missing_counted(df, calendar)
+    assert sorted(((r["symbol"], r["date"].day, r["n"]) for r in got.collect()), key=str) == [(1, 2, 1), (2, 2, 3), (2, 3, 3), (2, 4, 3), (None, 2, 1)]
+    assert "Window" not in got._jdf.queryExecution().executedPlan().toString()
+    known = spark.createDataFrame([(2, day(3)), (2, day(4)), (9, day(1))], "symbol long, date date")
+    one, more = quality.singles_and_multiples(quality.missing_counted(df.where("symbol IS NOT NULL"), calendar, known=known))
+    assert sorted((r["symbol"], r["date"].day) for r in one.collect()) == [(1, 2), (2, 2)] and more.count() == 0
