@@ -97,8 +97,23 @@ def two_row_pct(df: DataFrame) -> DataFrame:
 
 
 def sma(df: DataFrame, spans: Sequence[int] = SPANS, column: str = "fClose", prefix: str = "sma_") -> DataFrame:
-    """Means of the last n rows; null until there are n."""
-    return df.withColumns({f"{prefix}{n}": F.when(F.count(column).over(rows(1 - n, 0)) >= n, F.avg(column).over(rows(1 - n, 0))) for n in spans})
+    """Means of the last n rows; null until there are n.
+
+    Spark adds up a sliding frame anew for each row. So the sum of a span is put together from sums of a shorter one that divides
+    it, as many rows apart (200 from four of 50, 50 from five of 10); only spans without such a one slide.
+    """
+    if df.schema[column].dataType.simpleString().startswith("decimal"):
+        return df.withColumns({f"{prefix}{n}": F.when(F.count(column).over(rows(1 - n, 0)) >= n, F.avg(column).over(rows(1 - n, 0))) for n in spans})
+    x, done = F.col(column).cast("double"), []
+    for n in sorted(set(spans)):
+        part = max((m for m in done if n % m == 0), default=None)
+        if part is None:
+            total = F.when(F.count(column).over(rows(1 - n, 0)) >= n, F.sum(x).over(rows(1 - n, 0)))
+        else:  # null where a part is not whole
+            total = sum((F.lag(f"_sum_{part}", i * part).over(W()) for i in range(1, n // part)), F.col(f"_sum_{part}"))
+        df = df.withColumn(f"_sum_{n}", total)
+        done.append(n)
+    return df.withColumns({f"{prefix}{n}": F.col(f"_sum_{n}") / n for n in spans}).drop(*[f"_sum_{n}" for n in done])
 
 
 def rolling_sum(df: DataFrame, column: str, n: int, name: str) -> DataFrame:
@@ -229,13 +244,27 @@ def ttm_trend(df: DataFrame, n: int = 6) -> DataFrame:
 
 
 def local_extrema(df: DataFrame, orders: Sequence[int] = (5, 10, 20, 50, 200)) -> DataFrame:
-    """min_{k}, max_{k}: the close where none within k rows on either side is lower (higher); ties and edges count."""
+    """min_{k}, max_{k}: the close where none within k rows on either side is lower (higher); ties and edges count.
+
+    Extremes of 2, 4, 8... rows back and ahead come from two of half as many; those of k + 1 rows from two that overlap. So the
+    work grows with the logarithm of k, not with k, as that of a sliding frame does.
+    """
+    name = lambda f, way, p: f"_{f}_{way}_{p}"
+    folds, ways = {"min": F.least, "max": F.greatest}, {"back": F.lag, "ahead": F.lead}
+    both = [(f, way) for f in folds for way in ways]
+    joined = lambda f, way, p, by: folds[f](name(f, way, p), ways[way](name(f, way, p), by).over(W()))
+    df, sizes = df.withColumns({name(f, way, 1): F.col("fClose") for f, way in both}), [1]
+    while 2 * sizes[-1] <= max(orders, default=0) + 1:
+        p = sizes[-1]
+        df = df.withColumns({name(f, way, 2 * p): joined(f, way, p, p) for f, way in both})
+        sizes.append(2 * p)
     new = {}
     for k in orders:
-        near = rows(-k, k)
-        new[f"min_{k}"] = F.when(F.col("fClose") == F.min("fClose").over(near), F.col("fClose"))
-        new[f"max_{k}"] = F.when(F.col("fClose") == F.max("fClose").over(near), F.col("fClose"))
-    return df.withColumns(new)
+        p = max(q for q in sizes if q <= k + 1)
+        for f in folds:
+            side = [joined(f, way, p, k + 1 - p) if k + 1 > p else F.col(name(f, way, p)) for way in ways]
+            new[f"{f}_{k}"] = F.when(F.col("fClose") == folds[f](*side), F.col("fClose"))
+    return df.withColumns(new).drop(*[name(f, way, p) for f, way in both for p in sizes])
 
 
 def peaks(df: DataFrame, column: str = "fClose", name: str = "peak") -> DataFrame:

@@ -386,3 +386,19 @@ def test_missing_dates_are_counted_without_shuffling_them(spark):
     known = spark.createDataFrame([(2, day(3)), (2, day(4)), (9, day(1))], "symbol long, date date")
     one, more = quality.singles_and_multiples(quality.missing_counted(df.where("symbol IS NOT NULL"), calendar, known=known))
     assert sorted((r["symbol"], r["date"].day) for r in one.collect()) == [(1, 2), (2, 2)] and more.count() == 0
+
+
+def test_means_and_extremes_are_put_together_from_shorter_ones(spark):
+    df = series(spark, 260).withColumn("fClose", F.when(F.dayofmonth("date") != 7, F.round("fClose", 0)))  # ties and nulls
+    got = studies.local_extrema(studies.sma(df, (20, 10, 50, 7, 200)), (1, 2, 5, 200))
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "specifiedwindowframe(RowFrame, -199," not in plan and "specifiedwindowframe(RowFrame, -200," not in plan
+    assert got.columns == [*df.columns, *[f"sma_{n}" for n in (20, 10, 50, 7, 200)], *[f"{f}_{k}" for k in (1, 2, 5, 200) for f in ("min", "max")]]
+    got = got.orderBy("date").toPandas()
+    x = got["fClose"]
+    for n in (20, 10, 50, 7, 200):
+        pd.testing.assert_series_equal(got[f"sma_{n}"].astype(float), x.rolling(n, min_periods=n).mean(), check_names=False, rtol=1e-12)
+    for k in (1, 2, 5, 200):
+        for f in ("min", "max"):
+            near = getattr(x.rolling(2 * k + 1, center=True, min_periods=1), f)()
+            pd.testing.assert_series_equal(got[f"{f}_{k}"].astype(float), x.where(x == near), check_names=False)
