@@ -6,6 +6,10 @@ stop", which is a minimum over rows. Input: bars with fChangeP, fHighMax and gap
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -57,17 +61,18 @@ def max_rows(df: DataFrame) -> DataFrame:
     c = candidates(df)
     per = Window.partitionBy("symbol")
     c = c.withColumns({"hits": F.sum(F.coalesce(F.col("hit").cast("int"), F.lit(0))).over(per), "first": F.min(F.when(F.col("hit"), F.col("rn"))).over(per), "last": F.max(F.when(F.col("hit"), F.col("rn"))).over(per)})
-    inside = c.where(F.col("rn").between(F.col("first"), F.col("last")))
-    rank = lambda order: F.rank().over(per.orderBy(order))
-    inside = inside.withColumns({"r_range": rank(F.desc("fRange")), "r_chg": rank(F.desc("fChangeP")), "r_gap": rank(F.desc("gap")), "r_time": rank("rn")})
+    c = c.withColumn("_in", F.coalesce((F.col("hits") > 1) & F.col("rn").between(F.col("first"), F.col("last")), F.lit(False)))
+    rank = lambda order: F.rank().over(Window.partitionBy("symbol", "_in").orderBy(order))
+    c = c.withColumns({"r_range": rank(F.desc("fRange")), "r_chg": rank(F.desc("fChangeP")), "r_gap": rank(F.desc("gap")), "r_time": rank("rn")})
     rules = ["r_range <= 2 AND r_chg <= 2 AND r_time <= 3", "r_chg <= 2 AND r_time <= 3", "r_chg <= 5 AND r_gap <= 3"]
-    counts = [f(F.when(F.expr(r), F.col("rn"))).alias(f"{n}{k}") for k, r in enumerate(rules, 1) for f, n in ((F.count, "k"), (F.min, "m"))]
-    several = inside.where("hits > 1").groupBy("symbol").agg(*counts, F.min("rn").alias("early"), F.min_by("rn", F.struct(-F.col("fRange"), "rn")).alias("wide"))
+    counts = [f(F.when(F.expr(f"_in AND {r}"), F.col("rn"))).alias(f"{n}{k}") for k, r in enumerate(rules, 1) for f, n in ((F.count, "k"), (F.min, "m"))]
+    # the first of the largest
+    widest, strongest = (F.min(F.when(cond, F.struct((-F.col(x)).alias("x"), "rn"))) for cond, x in ((F.col("_in"), "fRange"), (F.lit(True), "fChangeP")))
+    g = c.groupBy("symbol").agg(*counts, F.max("hits").alias("hits"), F.min(F.when(F.col("hit"), F.col("rn"))).alias("only"), F.min(F.when(F.col("_in"), F.col("rn"))).alias("early"), widest.alias("wide"), strongest.alias("strong"))
     rule = F.expr("CASE WHEN k1 > 0 THEN struct('sort1' AS how, k1 AS k, m1 AS m) WHEN k2 > 0 THEN struct('sort2' AS how, k2 AS k, m2 AS m) ELSE struct('sort3' AS how, k3 AS k, m3 AS m) END")
-    several = several.withColumn("r", rule).select("symbol", F.expr("CASE WHEN r.k = 1 THEN r.m WHEN r.k BETWEEN 2 AND 5 THEN early ELSE wide END").alias("m"), F.expr("CASE WHEN r.k = 1 THEN r.how WHEN r.k BETWEEN 2 AND 5 THEN 'sort4' ELSE 'sort5' END").alias("how"))
-    single = c.where("hits = 1 AND hit").select("symbol", F.col("rn").alias("m"), F.lit("1").alias("how"))
-    none = c.where("hits = 0").groupBy("symbol").agg(F.min_by("rn", F.struct(-F.col("fChangeP"), "rn")).alias("m")).select("symbol", "m", F.lit("else").alias("how"))
-    return single.unionByName(several).unionByName(none)
+    m = "CASE WHEN hits = 0 THEN strong.rn WHEN hits = 1 THEN only WHEN r.k = 1 THEN r.m WHEN r.k BETWEEN 2 AND 5 THEN early ELSE wide.rn END"
+    how = "CASE WHEN hits = 0 THEN 'else' WHEN hits = 1 THEN '1' WHEN r.k = 1 THEN r.how WHEN r.k BETWEEN 2 AND 5 THEN 'sort4' ELSE 'sort5' END"
+    return g.withColumn("r", rule).select("symbol", F.expr(m).alias("m"), F.expr(how).alias("how"))
 
 
 def _continues(side: str) -> tuple[Column, Column]:
@@ -87,7 +92,8 @@ def runs(df: DataFrame, chosen: DataFrame) -> DataFrame:
     Forward and backward at most WALK rows. A walk ends before the first row that doesn't continue it; backward, such a row
     may still belong to the run. If all WALK rows continue, that bound stays at the chosen row. Needs `numbered`.
     """
-    m = df.join(chosen.select("symbol", "m"), "symbol").where("rn = m").select("symbol", "m", F.col("fOpen").alias("m_o"), F.col("fHigh").alias("m_h"), F.col("fLow").alias("m_l"), F.col("fClose").alias("m_c"))
+    # not as an equation, which would be a key of the join, by which all rows would be dealt out anew
+    m = df.join(chosen.select("symbol", "m"), "symbol").where("rn <= m AND rn >= m").select("symbol", "m", F.col("fOpen").alias("m_o"), F.col("fHigh").alias("m_h"), F.col("fLow").alias("m_l"), F.col("fClose").alias("m_c"))
     after = df.withColumns({"p_h": F.lead("fHigh").over(W()), "p_l": F.lead("fLow").over(W()), "_last": F.count("*").over(Window.partitionBy("symbol"))})
     near = after.join(m, "symbol").where(F.abs(F.col("rn") - F.col("m")) <= WALK)
     go_f, _ = _continues("forward")
@@ -132,14 +138,42 @@ def confirmations(df: DataFrame, run: DataFrame, lv: DataFrame, share: float = 0
     return prices.join(long, "symbol").withColumn("diff", diff).where(F.abs("diff") < share).select("symbol", "level", "date", "price", F.round("diff", 2).alias("diff"), "level_value")
 
 
+def _least(high: pa.Array, low: pa.Array, values: pa.Array) -> pa.Array:
+    """Of each row the place of the value nearest to high (of equally near ones the first), that value and the distance, and the same for low."""
+    table = values.flatten().to_numpy(zero_copy_only=False).reshape(len(values), -1)
+    out, each = [], np.arange(len(table))
+    for x in (high, low):
+        d = np.abs(x.to_numpy(zero_copy_only=False)[:, None] - table)
+        k = np.argmin(d, axis=1)  # the first null one, if there is one
+        out += [pa.array(k.astype(np.int32)), pa.array(table[each, k], from_pandas=True), pa.array(d[each, k], from_pandas=True)]
+    return pa.StructArray.from_arrays(out, ["hk", "hv", "hd", "lk", "lv", "ld"])
+
+
+def with_nearest(df: DataFrame, lv: DataFrame) -> DataFrame:
+    """df with h_level and h_value (the level nearest to the high), l_level and l_value (to the low; ties: the first name), h_d and l_d, the distances; symbols without levels are left out."""
+    return _nearest(_with_levels(df, lv))
+
+
+#: All levels in the order of their names.
+NAMES = sorted(level_name(k, p) for k in ("ret", "ext") for p in LEVELS)
+
+
+def _with_levels(df: DataFrame, lv: DataFrame) -> DataFrame:
+    return df.join(lv.select("symbol", F.array(*NAMES).alias("_lv")), "symbol")
+
+
+def _nearest(df: DataFrame) -> DataFrame:
+    names = F.array(*map(F.lit, NAMES))
+    least = F.arrow_udf(_least, "struct<hk int, hv double, hd double, lk int, lv double, ld double>")
+    out = df.withColumn("_near", least(F.col("fHigh").cast("double"), F.col("fLow").cast("double"), F.col("_lv")))
+    found = [F.get(names, F.col(f"_near.{s}k")).alias(f"{s}_level") if n == "level" else F.col(f"_near.{s}{n[0]}").alias(f"{s}_{n}") for s in "hl" for n in ("level", "value", "d")]
+    return out.select(*[c for c in df.columns if c != "_lv"], *found)
+
+
 def nearest(df: DataFrame, lv: DataFrame) -> DataFrame:
     """symbol, date, and the level nearest to the high and to the low of each bar, its value and the distance as a share (ties: the first name)."""
-    names = [level_name(k, p) for k in ("ret", "ext") for p in LEVELS]
-    joined = df.select("symbol", "date", "fHigh", "fLow").join(lv.select("symbol", *names), "symbol")
-    least = lambda x: F.array_min(F.array(*[F.struct(F.abs(F.col(x) - F.col(n)).alias("d"), F.lit(n).alias("n"), F.col(n).alias("v")) for n in names]))
-    out = joined.withColumns({"_h": least("fHigh"), "_l": least("fLow")})
-    cols = [F.col(f"_{s}.{f}").alias(f"{s}_{n}") for s in "hl" for f, n in (("n", "level"), ("v", "value"))]
-    return out.select("symbol", "date", *cols, F.try_divide(F.col("_h.d"), F.col("_h.v")).alias("h_pct"), F.try_divide(F.col("_l.d"), F.col("_l.v")).alias("l_pct"))
+    out = with_nearest(df.select("symbol", "date", "fHigh", "fLow"), lv)
+    return out.select("symbol", "date", "h_level", "h_value", "l_level", "l_value", F.try_divide("h_d", "h_value").alias("h_pct"), F.try_divide("l_d", "l_value").alias("l_pct"))
 
 
 def crossings(df: DataFrame, lv: DataFrame) -> DataFrame:
@@ -167,33 +201,30 @@ def days_until(df: DataFrame, flag: Column) -> DataFrame:
     return df.withColumn("next_date", ahead).withColumn("days_until", weekdays_between(F.col("date"), F.col("next_date")))
 
 
-def peaks_near_levels(df: DataFrame, lv: DataFrame) -> DataFrame:
+def peaks_near_levels(df: DataFrame, lv: DataFrame, keep: Sequence[str] = (), longest: int | None = None) -> DataFrame:
     """What each bar's high and low do near the levels, with the moves after it.
 
     symbol, date; kind: peak (of the highs) or trough (of the lows; both: trough) or null; code: high or low, whichever is
     nearer to a level as a share of itself (equal: low), with level and close_val; prominence of that peak or trough (0 where
     it is none); perc_{k}: the absolute running change k rows later less that now (perc_5: without absolute values), and
     hl_perc_{k}: the high k rows later over the low now; both are null on a symbol's first row and where there is no such row.
-    Needs fChangeP.
+    Columns to keep of df come last; longest: rows of the longest series, if known. Needs fChangeP. Levels are joined by symbol; all else happens where a symbol's rows are.
     """
-    from barwright.operators.smoothing import prominences
+    from barwright.operators.smoothing import longest_series, with_prominences
     from barwright.operators.studies import rows
 
-    df = df.select("symbol", "date", "fHigh", "fLow", "fChangeP").withColumn("_depth", -F.col("fLow"))
-    flagged = df.withColumns({"_cum": F.sum("fChangeP").over(rows(Window.unboundedPreceding, 0)), "_rn": F.row_number().over(W())})
+    longest = longest_series(df) if longest is None else longest
+    own = df.select(*dict.fromkeys(["symbol", "date", "fHigh", "fLow", "fChangeP", *keep])).withColumn("_depth", -F.col("fLow"))
+    flagged = own.withColumns({"_cum": F.sum("fChangeP").over(rows(Window.unboundedPreceding, 0)), "_rn": F.row_number().over(W())})
     later = lambda c, k: F.when(F.col("_rn") > 1, F.lead(c, k).over(W()))
     moves = {f"perc_{k}": F.abs(later("_cum", k)) - F.abs("_cum") for k in (1, 2, 3, 10, 20)} | {"perc_5": later("_cum", 5) - F.col("_cum")}
     moves |= {f"hl_perc_{k}": F.try_divide(later("fHigh", k) - F.col("fLow"), F.col("fLow")) for k in (1, 2, 3)}
-    flagged = flagged.withColumns(moves)
-    at = nearest(df, lv).drop("h_pct", "l_pct")
-    both = flagged.join(at, ["symbol", "date"])
     share = lambda side, of: F.try_divide(F.abs(F.col(of) - F.col(f"{side}_value")), F.col(of))
-    both = both.withColumns({"high_diff": share("h", "fHigh"), "low_diff": share("l", "fLow")})
+    # rows are put in order before the levels are sought, so that nothing moves from there on
+    flagged = _nearest(_with_levels(flagged.withColumns(moves).drop("_cum", "_rn"), lv).withColumn("_row", F.row_number().over(W())))
+    flagged = flagged.withColumns({"high_diff": share("h", "fHigh"), "low_diff": share("l", "fLow")}).drop("h_value", "l_value", "h_d", "l_d")
+    both = with_prominences(flagged, {"_ph": "fHigh", "_pl": "_depth"}, longest=longest).withColumns({"_peak": F.col("_ph").isNotNull(), "_trough": F.col("_pl").isNotNull()})
     by_high = F.coalesce(F.col("high_diff") < F.col("low_diff"), F.lit(False))
-    # highs and depths are two series of a symbol, so one pass finds the peaks and prominences of both
-    series = df.select("symbol", "date", F.inline(F.array(F.struct(F.lit("h").alias("_series"), F.col("fHigh").alias("_v")), F.struct(F.lit("l").alias("_series"), F.col("_depth").alias("_v")))))
-    high = prominences(series, "_v", ["symbol", "_series"]).groupBy("symbol", "date").agg(*[F.max(F.when(F.col("_series") == side, F.col("prominence"))).alias(f"_p{side}") for side in "hl"])
-    both = both.join(high, ["symbol", "date"], "left").withColumns({"_peak": F.col("_ph").isNotNull(), "_trough": F.col("_pl").isNotNull()})
     pick = lambda a, b: F.when(by_high, F.col(a)).otherwise(F.col(b))
     both = both.withColumns({
         "kind": F.when(F.col("_trough"), "trough").when(F.col("_peak"), "peak"),
@@ -202,7 +233,7 @@ def peaks_near_levels(df: DataFrame, lv: DataFrame) -> DataFrame:
         "close_val": pick("high_diff", "low_diff"),
         "prominence": F.coalesce(pick("_ph", "_pl"), F.lit(0.0)),
     })
-    return both.select("symbol", "date", "kind", "code", "level", "close_val", "prominence", "high_diff", "low_diff", "h_level", "l_level", *moves)
+    return both.select("symbol", "date", "kind", "code", "level", "close_val", "prominence", "high_diff", "low_diff", "h_level", "l_level", *moves, *keep)
 
 
 def closeness_by_symbol(near: DataFrame) -> DataFrame:
@@ -228,8 +259,8 @@ def bounces(near: DataFrame, lv: DataFrame, share: float = 0.05) -> DataFrame:
 
 
 def pipeline(df: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """The levels, the confirmations and the runs of all symbols, from one plan."""
-    n = numbered(df)
+    """The levels, the confirmations and the runs of all symbols, from one plan. Numbers df, if it isn't yet."""
+    n = df if "rn" in df.columns else numbered(df)
     r = runs(n, max_rows(n))
     lv = levels(n, r)
     return lv, confirmations(n, r, lv), r

@@ -1,16 +1,17 @@
-"""Filters over each symbol's series: the local level by windows; peaks by windows, their prominence in blocks of a series."""
+"""Filters over each symbol's series: the local level by windows; peaks by windows; prominences and wavelets of whole short series, many at once, and of long ones in blocks or level by level."""
 
 from __future__ import annotations
 
 import bisect
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from barwright.operators.studies import W, decayed, rows
 
@@ -86,8 +87,109 @@ def lows(x: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return low[at], found[at]
 
 
+def longest_series(df: DataFrame, keys: Sequence[str] = ("symbol",)) -> int:
+    """Rows of the longest series; 0 for none. One pass over the keys."""
+    return df.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
+
+
+def along_series(df: DataFrame, keys: Sequence[str], columns: Sequence[str], names: Sequence[str], work: Callable[..., list[np.ndarray]]) -> DataFrame:
+    """df with the columns names: what work(series, a, b, ..) makes of the numbers of its rows' series and the values of columns (null: NaN), as one array of doubles a name (NaN: null).
+
+    A task's rows stand in the order of the window that numbers them (`_row`, if df has none yet), so series come one after another;
+    each batch that work gets holds whole series, many short ones at once. A task holds one series and one batch at a time.
+    """
+    numbered = df if "_row" in df.columns else df.withColumn("_row", F.row_number().over(Window.partitionBy(*keys).orderBy("date")))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def made(parts: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            whole = pa.Table.from_batches(parts).combine_chunks()
+            row = whole["_row"].to_numpy()
+            if row[0] != 1 or ((row[1:] != 1) & (row[1:] != row[:-1] + 1)).any():
+                raise ValueError("rows of a series are not in order")
+            out = work(np.cumsum(row == 1), *[whole[c].to_numpy() for c in columns])
+            for name, values in zip(names, out, strict=True):
+                whole = whole.append_column(name, pa.array(values, pa.float64(), from_pandas=True))
+            yield from whole.drop_columns(["_row"]).to_batches()
+
+        kept: list[pa.RecordBatch] = []
+        for batch in batches:
+            first = np.flatnonzero(batch["_row"].to_numpy() == 1)
+            if len(first) and (kept or first[-1]):
+                yield from made([*kept, batch.slice(0, first[-1])])
+                kept = []
+            kept.append(batch.slice(first[-1]) if len(first) else batch)
+        if sum(b.num_rows for b in kept):
+            yield from made(kept)
+
+    return numbered.mapInArrow(run, StructType([*numbered.drop("_row").schema.fields, *[StructField(n, DoubleType()) for n in names]]))
+
+
+def heights(series: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """The prominence of each peak of series that stand one after another, at the peak's row; NaN elsewhere. NaN values are left out.
+
+    Only a series' first and last values and its peaks can be higher ground, so one pass each way over these, with the least
+    values between them, is enough.
+    """
+    out, at = np.full(len(x), np.nan), np.flatnonzero(~np.isnan(x))
+    if not len(at):
+        return out
+    series, x = series[at], x[at]
+    new = np.append(True, series[1:] != series[:-1])
+    head = np.flatnonzero(new | np.append(True, x[1:] != x[:-1]))  # first rows of runs of equal values
+    tail = np.append(head[1:], len(x)) - 1
+    v, starts = x[head], new[head]
+    ends = np.append(starts[1:], True)
+    peak = ~starts & ~ends
+    peak[1:-1] &= (v[1:-1] > v[:-2]) & (v[1:-1] > v[2:])
+    node = np.flatnonzero(starts | ends | peak)
+    value = v[node]
+    valley = np.minimum.reduceat(v, node)  # from each node to before the next
+    before = np.append(value[0], np.minimum(valley[:-1], value[1:]))  # from the node before to each
+    low = []
+    for values, between, first in ((value, before, starts[node]), (value[::-1], np.append(np.minimum(valley[:-1], value[1:]), value[-1])[::-1], ends[node][::-1])):
+        found, stack, least = [], [], []
+        for y, m, f in zip(values.tolist(), between.tolist(), first.tolist(), strict=True):
+            if f:
+                stack, least, m = [], [], y
+            while stack and stack[-1] <= y:
+                stack.pop()
+                m = min(m, least.pop())
+            found.append(m)
+            stack.append(y)
+            least.append(m)
+        low.append(np.array(found))
+    mine = peak[node]
+    out[at[(head[node] + tail[node])[mine] // 2]] = (value - np.maximum(low[0], low[1][::-1]))[mine]
+    return out
+
+
+def with_prominences(df: DataFrame, columns: dict[str, str], keys: Sequence[str] = ("symbol",), longest: int | None = None) -> DataFrame:
+    """df with a column name for each {name: column}: the prominence of the column's peaks in the series by keys and date, null at other rows. longest: rows of the longest series, if known.
+
+    Series of up to BLOCK rows are done where they are, many at once; longer ones in blocks (`prominences`).
+    """
+    keys = list(keys)
+    longest = longest_series(df, keys) if longest is None else longest
+    work = lambda series, *values: [heights(series, x) for x in values]
+    short = lambda rows: along_series(rows, keys, list(columns.values()), list(columns), work)
+    df = df.withColumns({c: F.col(c).cast("double") for c in columns.values()})
+    if longest <= BLOCK:
+        return short(df)
+    sized = df.withColumn("_size", F.count("*").over(Window.partitionBy(*keys)))
+    long = sized.where(F.col("_size") > BLOCK).drop("_size")
+    series = long.select(*keys, "date", F.inline(F.array(*[F.struct(F.lit(name).alias("_series"), F.col(c).alias("_v")) for name, c in columns.items()])))
+    found = _by_blocks(series, "_v", [*keys, "_series"]).groupBy(*keys, "date").agg(*[F.max(F.when(F.col("_series") == name, F.col("prominence"))).alias(name) for name in columns])
+    return short(sized.where(F.col("_size") <= BLOCK).drop("_size")).unionByName(long.drop("_row").join(found, [*keys, "date"], "left"))
+
+
 def prominences(df: DataFrame, column: str, keys: Sequence[str] = ("symbol",)) -> DataFrame:
-    """keys, date, prominence of each peak: how far it stands above the higher of the two lowest points between it and higher ground (or the series' end) on either side.
+    """keys, date, prominence of each peak: how far it stands above the higher of the two lowest points between it and higher ground (or the series' end) on either side."""
+    found = with_prominences(df.select(*keys, "date", F.col(column).cast("double").alias("_x")).where("_x IS NOT NULL"), {"prominence": "_x"}, keys)
+    return found.where("prominence IS NOT NULL").select(*keys, "date", "prominence")
+
+
+def _by_blocks(df: DataFrame, column: str, keys: Sequence[str]) -> DataFrame:
+    """`prominences` of long series.
 
     A series is cut into blocks. A block finds higher ground within itself; for what is left it gets the extremes of all
     blocks of the series, which tell the nearest block with higher ground and the least value of those between. Such searches
@@ -229,18 +331,84 @@ def wavelet_levels(n: int, p: int) -> int:
     return max(0, int(math.log2(n / (2 * p - 1)))) if n >= 2 * p - 1 else 0
 
 
+def denoised(series: np.ndarray, x: np.ndarray, scale: float, p: int, levels: int | None) -> np.ndarray:
+    """`wavelet_denoised` of series without missing values that stand one after another."""
+    low, high = _bank(p)
+    n = np.bincount(series - series[0])
+    share = scale * np.maximum.reduceat(x, np.cumsum(n) - n)
+    own = np.array([wavelet_levels(int(k), p) for k in n])
+    own = own if levels is None else np.minimum(own, levels)
+    # of each level: rows of the series that end there, and of those that go on
+    sizes, steps, now = n, [], x
+    which = np.arange(len(n))
+
+    def spread(sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of each row its series' place, its own place in it, and where the series begins."""
+        begin = np.cumsum(sizes) - sizes
+        of = np.repeat(np.arange(len(sizes)), sizes)
+        return of, np.arange(len(of)) - begin[of], begin
+
+    level = 0
+    while True:
+        of, k, begin = spread(sizes)
+        on = own[which] > level
+        rest = now[~on[of]]
+        if not on.any():
+            break
+        even = sizes[on] + sizes[on] % 2
+        half = even // 2
+        to, o, _ = spread(half)
+        # an odd series repeats its last value
+        source = lambda turn, b=begin[on], last=sizes[on] - 1, to=to, even=even: b[to] + np.minimum(turn % even[to], last[to])
+        a, d = np.zeros(len(to)), np.zeros(len(to))
+        for j in range(2 * p):
+            v = now[source(2 * o + p - j)]
+            a, d = a + v * low[j], d + v * high[j]
+        d = np.sign(d) * np.maximum(np.abs(d) - share[which[on]][to], 0.0)
+        steps.append((on, sizes, rest, d))
+        sizes, which, now, level = half, which[on], a, level + 1
+    for on, sizes, rest, d in reversed(steps):
+        half = (sizes[on] + 1) // 2
+        _, _, from_ = spread(half)
+        of, k, _ = spread(sizes[on])
+        back = np.zeros(len(of))
+        for m in (0, 1):
+            rows = np.flatnonzero(k % 2 == m)
+            s, place = of[rows], k[rows] // 2
+            for j in range(2 * p):
+                if (m - p + j) % 2 == 0:
+                    at = from_[s] + (place + (m - p + j) // 2) % half[s]
+                    back[rows] += now[at] * low[j] + d[at] * high[j]
+        whole = np.empty(int(sizes.sum()))
+        mask = np.repeat(on, sizes)
+        whole[mask], whole[~mask] = back, rest
+        now = whole
+    return now
+
+
 def wavelet_denoised(df: DataFrame, column: str, scale: float, keys: Sequence[str] = ("symbol",), p: int = 6, levels: int | None = None) -> DataFrame:
     """keys, date, smooth: each series without the details that a threshold of scale times its maximum takes away (soft: details shrink by the threshold towards 0).
 
     A periodic wavelet transform with the orthogonal filters of 2p taps, in as many levels as a series' length allows (levels:
-    so many at most). Each level is one window over the coefficients of the level before, half as many; scale 0 gives the series
-    back. Rows with a null value are left out; series shorter than the filter stay as they are.
+    so many at most). Scale 0 gives the series back. Rows with a null value are left out; series shorter than the filter stay as
+    they are. Series of up to BLOCK rows are done where they are, many at once; of longer ones, each level is one window over the
+    coefficients of the level before, half as many.
     """
     keys = list(keys)
-    w = Window.partitionBy(*keys)
     rows = df.select(*keys, "date", F.col(column).cast("double").alias("x")).where("x IS NOT NULL")
+    longest = longest_series(rows, keys)
+    short = lambda rows: along_series(rows, keys, ["x"], ["smooth"], lambda series, x: [denoised(series, x, scale, p, levels)]).drop("x")
+    if longest <= BLOCK:
+        return short(rows)
+    sized = rows.withColumn("_size", F.count("*").over(Window.partitionBy(*keys)))
+    long = _by_levels(sized.where(F.col("_size") > BLOCK).drop("_size"), keys, scale, p, levels, longest)
+    return short(sized.where(F.col("_size") <= BLOCK).drop("_size")).unionByName(long)
+
+
+def _by_levels(rows: DataFrame, keys: list[str], scale: float, p: int, levels: int | None, longest: int) -> DataFrame:
+    """`wavelet_denoised` of long series of rows (keys, date, x)."""
+    w = Window.partitionBy(*keys)
     rows = rows.withColumns({"k": F.row_number().over(w.orderBy("date")).cast("long") - 1, "n": F.count("*").over(w), "_t": F.max("x").over(w) * scale})
-    longest = rows.agg(F.max("n")).first()[0] or 0
     most = wavelet_levels(longest, p) if levels is None else min(levels, wavelet_levels(longest, p))
     own = F.least(F.greatest(F.floor(F.log2(F.col("n0") / (2 * p - 1))), F.lit(0)), F.lit(most))  # a series' levels
     carried = [*keys, "n0", "_t"]

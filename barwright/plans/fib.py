@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from barwright.operators import fib as B
 from barwright.operators import studies as S
-from barwright.plans.bars import load, over
+from barwright.plans.bars import dealt, load, over
 from barwright.plans.registry import query
 from barwright.plans.streams import checkpointed
 from barwright.plans.studies import CHANGED, RN, W
@@ -15,7 +15,7 @@ from barwright.plans.studies import CHANGED, RN, W
 
 def _input(spark: SparkSession, d: str) -> DataFrame:
     """Numbered bars. All steps of the pipeline start from them, so they are kept, dealt by symbol and in order: what follows shuffles only what it picks out."""
-    return checkpointed(B.numbered(S.running_high(S.gap(S.change_pct(load(spark, d, "week"))))))
+    return checkpointed(B.numbered(S.running_high(S.gap(S.change_pct(dealt(spark, d, "week"))))))
 
 
 _PER = "PARTITION BY symbol"

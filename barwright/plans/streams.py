@@ -30,7 +30,13 @@ def folder(spark: SparkSession) -> str:
 def checkpointed(df: DataFrame) -> DataFrame:
     """df computed once and kept in the shared folder, with its partitioning and order; Spark's cleaner may delete it when it is no longer referred to."""
     folder(df.sparkSession)  # sets the folder where none is set
-    return df.checkpoint()
+    conf = df.sparkSession.conf
+    adaptive = conf.get("spark.sql.adaptive.enabled")
+    conf.set("spark.sql.adaptive.enabled", "false")  # an adaptive plan doesn't tell its partitioning, and all that follows would deal the rows out again
+    try:
+        return df.select("*").checkpoint()
+    finally:
+        conf.set("spark.sql.adaptive.enabled", adaptive)
 
 
 def _events(spark: SparkSession, d: str) -> DataFrame:

@@ -1,5 +1,7 @@
 """The choice of a symbol's strongest row: a case for each rule."""
 
+import datetime
+
 import pytest
 
 from barwright.operators import fib
@@ -32,3 +34,29 @@ def test_rows_of_equal_value_share_a_place(spark, monkeypatch):
     df = spark.createDataFrame([("S", *r) for r in rows], "symbol string, rn int, hit boolean, fRange double, fChangeP double, gap double")
     monkeypatch.setattr(fib, "candidates", lambda x: x)
     assert [(r["m"], r["how"]) for r in fib.max_rows(df).collect()] == [(1, "sort4")]
+
+
+def test_steps_after_the_numbered_bars_deal_out_nothing_again(spark, monkeypatch):
+    from barwright.plans import bars as plans
+    from barwright.plans.fib import _input
+
+    monkeypatch.setattr(plans, "PART", 1000)
+    d = "/root/testdata/sf0.001"
+    n = _input(spark, d)
+    lines = spark.read.parquet(f"{d}/lineitem.parquet").count()
+    assert n.rdd.getNumPartitions() == -(-lines // 1000) > 4  # parts grow in number with the table
+    for q in (fib.max_rows(n), fib.pipeline(n)[0]):
+        plan = q._jdf.queryExecution().executedPlan().toString()
+        assert "hashpartitioning" not in plan
+
+
+def test_nearest_level_of_ties_and_missing_prices(spark):
+    day = datetime.date(2020, 1, 1)
+    names = sorted(fib.level_name(k, p) for k in ("ret", "ext") for p in fib.LEVELS)
+    lv = spark.createDataFrame([(1, *[10.0 * (k // 2) for k in range(len(names))])], "symbol long, " + ", ".join(f"{n} double" for n in names))
+    df = spark.createDataFrame([(1, day, 5.0, 21.0), (1, day + datetime.timedelta(1), None, 19.0), (2, day, 1.0, 1.0)], "symbol long, date date, fHigh double, fLow double")
+    got = {r["date"]: r for r in fib.nearest(df, lv).collect()}
+    assert len(got) == 2
+    a, b = got[day], got[day + datetime.timedelta(1)]
+    assert (a["h_level"], a["h_value"], a["h_pct"], a["l_level"], a["l_value"], a["l_pct"]) == (names[0], 0.0, None, names[4], 20.0, 0.05)
+    assert (b["h_value"], b["h_pct"], b["l_level"], b["l_pct"]) == (0.0, None, names[4], 0.05)

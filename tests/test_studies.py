@@ -156,6 +156,45 @@ def test_wavelet_denoising_by_definition_and_whole_at_no_threshold(spark):
     assert smoothing.wavelet_denoised(df.where("symbol < 0"), "v", 0.1).count() == 0
 
 
+def test_wavelet_of_short_and_long_series_in_one_table(spark, monkeypatch):
+    """Series up to BLOCK rows are done whole, others level by level; batches of few rows cut the short ones."""
+    monkeypatch.setattr(smoothing, "BLOCK", 60)
+    r = random.Random(6)
+    series = {n: [r.gauss(5, 3) for _ in range(n)] for n in (1, 11, 22, 45, 60, 61, 100)}
+    day = datetime.date(2000, 1, 1)
+    df = spark.createDataFrame([(n, day + datetime.timedelta(i), v) for n, x in series.items() for i, v in enumerate(x)], "symbol long, date date, v double")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        got = {(q["symbol"], (q["date"] - day).days): q["smooth"] for q in smoothing.wavelet_denoised(df, "v", 0.15).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert len(got) == sum(series)
+    for n, x in series.items():
+        assert all(abs(got[n, i] - v) < 1e-9 for i, v in enumerate(plain_denoise(x, 0.15, 6)))
+
+
+def test_prominences_of_two_columns_beside_the_rows(spark, monkeypatch):
+    monkeypatch.setattr(smoothing, "BLOCK", 20)
+    r = random.Random(7)
+    day = datetime.date(2000, 1, 1)
+    values = {n: [[None if r.random() < 0.1 else float(r.randrange(6)) for _ in range(n)] for _ in "ab"] for n in (1, 2, 19, 20, 21, 70)}
+    df = spark.createDataFrame([(n, day + datetime.timedelta(i), a, b) for n, (x, y) in values.items() for i, (a, b) in enumerate(zip(x, y, strict=True))], "symbol long, date date, a double, b double")
+    got = {(q["symbol"], (q["date"] - day).days): q for q in smoothing.with_prominences(df, {"pa": "a", "pb": "b"}).collect()}
+    assert len(got) == sum(values)
+    for n, both in values.items():
+        for name, x in zip("ab", both, strict=True):
+            at = [i for i, v in enumerate(x) if v is not None]
+            want = {at[k]: p for k, p in brute_prominences([x[i] for i in at]).items()}
+            assert {i: got[n, i]["p" + name] for i in range(n) if got[n, i]["p" + name] is not None} == want
+
+
+def test_work_on_short_series_has_no_windows_of_taps_and_no_groups(spark):
+    df = series(spark, 80, (1, 2))
+    for q in (smoothing.wavelet_denoised(df, "fClose", 0.1), smoothing.prominences(df, "fClose")):
+        plan = q._jdf.queryExecution().executedPlan().toString()
+        assert "lag(" not in plan and "FlatMapGroups" not in plan and "MapInArrow" in plan
+
+
 def test_upsert_twice_changes_nothing(spark):
     old = spark.createDataFrame([(1, "a"), (2, "b")], "k int, v string")
     new = spark.createDataFrame([(2, "c"), (3, "d"), (3, "e")], "k int, v string")
