@@ -12,13 +12,13 @@ from barwright.operators import quality as Q
 from barwright.operators import ratings as T
 from barwright.operators import studies as S
 from barwright.operators import candles as K
-from barwright.plans.bars import load, over
+from barwright.plans.bars import dealt, load, over
 from barwright.plans.candles import _named, _sign
 from barwright.plans.fib import _LEVELS, _input, _least
 from barwright.plans.options import _chain, with_chain
 from barwright.plans.quality import _MISSING, _missing
 from barwright.plans.registry import query, table
-from barwright.plans.streams import folder
+from barwright.plans.streams import checkpointed, folder
 from barwright.plans.studies import RN, W, ema_sql, recursive
 
 # analyst ratings: orders stand for ratings
@@ -232,7 +232,7 @@ def wavelet_sql(source: str, share: float, levels: int) -> str:
 def wavelet_denoised(spark: SparkSession, d: str) -> DataFrame:
     from barwright.operators.smoothing import wavelet_denoised
 
-    return wavelet_denoised(load(spark, d, "week"), "fClose", 0.02, levels=3)
+    return wavelet_denoised(checkpointed(dealt(spark, d, "week").select("symbol", "date", "fClose")), "fClose", 0.02, levels=3)
 
 
 _DAYS = "(5 * (({0} - DATE '1970-01-05') // 7) + least(({0} - DATE '1970-01-05') % 7, 5))"
@@ -279,7 +279,7 @@ _MOVED = " ".join([f"perc_{k}" for k in (1, 2, 3, 5, 10, 20)] + [f"hl_perc_{k}"
 
 def _near(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     n = _input(spark, d)
-    lv = B.pipeline(n)[0]
+    lv = checkpointed(B.pipeline(n)[0])
     return B.peaks_near_levels(n, lv), lv
 
 
