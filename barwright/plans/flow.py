@@ -342,20 +342,29 @@ JOIN supplier ON s_suppkey = q.symbol JOIN nation ON s_nationkey = n_nationkey L
     5,
 )
 def training_set_full(spark: SparkSession, d: str) -> DataFrame:
-    """All five blocks: Fibonacci levels and peaks, symbol meta, studies and candles, filings and earnings, analysts. The studies share one window over a symbol's rows; the other blocks join by symbol and week."""
+    """All five blocks: Fibonacci levels and peaks, symbol meta, studies and candles, filings and earnings, analysts. All that goes by symbol happens where a symbol's rows are; the counts by symbol and week come last."""
+    from barwright.operators.smoothing import longest_series
+
     n = _input(spark, d)
-    near = B.peaks_near_levels(n, B.pipeline(n)[0]).select("symbol", "date", "kind", "code", "level", "close_val", "prominence", "perc_5")
+    lv, longest = checkpointed(B.pipeline(n)[0]), longest_series(n)
     meta = table(spark, d, "supplier").join(table(spark, d, "nation"), F.col("s_nationkey") == F.col("n_nationkey")).select(F.col("s_suppkey").alias("symbol"), F.col("n_regionkey").alias("sector"), F.col("s_nationkey").alias("nation"))
+    # as a list, which is opened at the end: a supplier that is there twice must not double rows that windows look at
+    meta = meta.groupBy("symbol").agg(F.collect_list(F.struct("sector", "nation")).alias("meta"))
     week = F.trunc("date", "week").alias("date")
-    ratings = T.by_day(T.cleaned(_ratings(spark, d))).groupBy("symbol", week).agg(F.sum("acp_upgr").alias("raised"), F.sum("acp_down").alias("lowered"))
-    forms = Q.flags_by_day(table(spark, d, "orders").withColumn("symbol", F.col("o_custkey") % 100), "symbol", F.to_date("o_orderdate"), "o_orderpriority", {"q10": "1-URGENT", "k10": "2-HIGH"})
-    filed = forms.groupBy("symbol", week).agg(F.sum("q10").alias("q10"), F.sum("k10").alias("k10"))
-    studied = S.rsi(S.ema(S.sma(n, (50,)), _SPANS)).withColumns({"volume_4": F.sum("fVolume").over(S.rows(-3, 0)), "ema_10_20": F.col("ema_10") - F.col("ema_20")})
+    rated = T.by_day(T.cleaned(_ratings(spark, d))).select("symbol", week, F.col("acp_upgr").alias("raised"), F.col("acp_down").alias("lowered"))
+    filed = Q.flags_by_day(table(spark, d, "orders").withColumn("symbol", F.col("o_custkey") % 100), "symbol", F.to_date("o_orderdate"), "o_orderpriority", {"q10": "1-URGENT", "k10": "2-HIGH"}).select("symbol", week, "q10", "k10")
+    counts = ["q10", "k10", "raised", "lowered"]
+    weekly = rated.unionByName(filed, allowMissingColumns=True).groupBy("symbol", "date").agg(*[F.sum(c).alias(c) for c in counts])
+    studied = S.rsi(S.ema(S.sma(n.join(meta, "symbol"), (50,)), _SPANS)).withColumns({"volume_4": F.sum("fVolume").over(S.rows(-3, 0)), "ema_10_20": F.col("ema_10") - F.col("ema_20")})
     count = lambda side: sum((F.expr(K.pattern_sql(p)) == side).cast("int") for p in K.PATTERNS)
     signed = K.with_names(studied).withColumns({"bullish": count(1), "bearish": count(-1)})
-    own = B.days_until(signed, F.col("fVolume") > 100).select("symbol", "date", "fChangeP", "gap", "sma_50", "volume_4", *[f"ema_{k}" for k in _SPANS], "ema_10_20", "rsi", "bullish", "bearish", F.col("days_until").cast("long").alias("days_until_earnings"))
-    joined = own.join(near, ["symbol", "date"]).join(meta, "symbol").join(ratings, ["symbol", "date"], "left").join(filed, ["symbol", "date"], "left")
-    return joined.withColumns({c: F.coalesce(c, F.lit(0)) for c in ("q10", "k10", "raised", "lowered")})
+    own = ["fChangeP", "gap", "sma_50", "volume_4", *[f"ema_{k}" for k in _SPANS], "ema_10_20", "rsi", "bullish", "bearish"]
+    all_own = B.days_until(signed, F.col("fVolume") > 100).withColumn("days_until_earnings", F.col("days_until").cast("long"))
+    near = B.peaks_near_levels(all_own, lv, [*own, "days_until_earnings", "meta"], longest)
+    # ratings and filings are of 100 symbols (customers modulo 100) however many there are, so their weeks fit every task
+    joined = near.join(F.broadcast(weekly), ["symbol", "date"], "left").withColumns({c: F.coalesce(c, F.lit(0)) for c in counts})
+    out = ["symbol", "date", *own, "days_until_earnings", "kind", "code", "level", "close_val", "prominence", "perc_5", "sector", "nation", "raised", "lowered", "q10", "k10"]
+    return joined.select("*", F.inline("meta")).select(*out)
 
 
 # logs and pages
