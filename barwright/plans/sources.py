@@ -53,8 +53,8 @@ def xml_leaf_values(spark: SparkSession, d: str) -> DataFrame:
 
 @query("paged_service", "SELECT event_id, event_type, value FROM events")
 def paged_service(spark: SparkSession, d: str) -> DataFrame:
-    """Pages by number."""
-    service = P.NumberedService(f"{d}/events.parquet", "event_id", ["event_id", "event_type", "value"], 500)
+    """Pages by number. Spark puts the table in order first, so no page looks for its rows in all of it."""
+    service = P.StoredPages.of(table(spark, d, "events").select("event_id", "event_type", "value"), "event_id", 500, folder(spark))
     return P.paged(spark, service, "page", "event_id long, event_type string, value double, page long").drop("page")
 
 

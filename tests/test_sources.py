@@ -405,3 +405,33 @@ def test_a_page_that_names_itself_is_an_error():
 
     with pytest.raises(RuntimeError, match="names itself"):
         list(pages.chain(Stuck(), 5))
+
+
+def test_pages_by_number_of_a_table_in_any_order(spark, tmp_path, monkeypatch):
+    import __spark_entry__ as entry
+    from barwright.sources import pages
+
+    ids = [None, -3, -3, 10**6, *range(1000)]
+    events = spark.createDataFrame([(i, "ab"[n % 2], float(n)) for n, i in enumerate(ids)], "event_id long, event_type string, value double")
+    events.orderBy("value").repartition(3).write.parquet(str(tmp_path / "events.parquet"))
+    got = entry.queries()["paged_service"](spark, str(tmp_path))
+    assert sorted(map(str, got.collect())) == sorted(map(str, events.collect()))
+
+    monkeypatch.setattr(pages.StoredPages, "RUN_ROWS", 100)
+    service = pages.StoredPages.of(events, "event_id", 7, str(tmp_path / "pages"))
+    every = [service.page(key, None)[0] for key in service.keys()]
+    assert [p.num_rows for p in every] == [7] * (len(ids) // 7) + [len(ids) % 7]
+    assert [v for p in every for v in p["event_id"].to_pylist()] == [None, -3, -3, *range(1000), 10**6]
+    runs = service.runs(service.keys())
+    assert [len(run) for run in runs] == [14] * 10 + [4]  # each is a partition, and is all that its task reads
+    assert [spark.read.parquet(f"{tmp_path}/pages/run__={n}").count() for n in range(len(runs))] == [98] * 10 + [len(ids) - 980]
+    df = pages.paged(spark, service, "page", "event_id long, event_type string, value double, page long")
+    assert df.rdd.getNumPartitions() == len(runs) and df.count() == len(ids)
+    assert df.where("page IN (2, 143)").rdd.getNumPartitions() == 2 and df.where("page IN (2, 143)").count() == 7 + 3
+
+
+def test_pages_by_number_of_no_rows(spark, tmp_path):
+    import __spark_entry__ as entry
+
+    spark.range(0).selectExpr("id AS event_id", "'a' AS event_type", "1.0D AS value").write.parquet(str(tmp_path / "events.parquet"))
+    assert entry.queries()["paged_service"](spark, str(tmp_path)).count() == 0
