@@ -73,7 +73,8 @@ class _Unsteady(P.TableService):
 def token_pages(spark: SparkSession, d: str) -> DataFrame:
     """Chains of tokens, one for each type; of two types only, by a filter that reaches the source; connections that break are resumed."""
     columns = ["event_id", "event_type", "value"]
-    service = _Unsteady(f"{d}/events.parquet", "event_type", "event_id", columns, 100)
+    at = P.in_order(table(spark, d, "events").select(columns), "event_type", "event_id", folder(spark))
+    service = _Unsteady(at, "event_type", "event_id", columns, 100)
     return P.paged(spark, service, "event_type", "event_id long, event_type string, value double", spool=folder(spark)).where("event_type IN ('view', 'purchase')")
 
 

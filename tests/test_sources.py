@@ -435,3 +435,18 @@ def test_pages_by_number_of_no_rows(spark, tmp_path):
 
     spark.range(0).selectExpr("id AS event_id", "'a' AS event_type", "1.0D AS value").write.parquet(str(tmp_path / "events.parquet"))
     assert entry.queries()["paged_service"](spark, str(tmp_path)).count() == 0
+
+
+def test_chains_of_a_table_in_any_order_read_their_own_rows(spark, tmp_path, monkeypatch):
+    from barwright.sources import pages
+
+    monkeypatch.setattr(pages._Ordered, "LEAST", 500)
+    monkeypatch.setattr(pages._Ordered, "MOST", 1000)
+    df = spark.range(20_000).selectExpr("id * 7919 % 20000 AS n", "id % 4 AS k")  # each row group spans all of n
+    df.repartition(8).write.parquet(str(tmp_path / "t"))
+    service = pages.TableService(pages.in_order(spark.read.parquet(str(tmp_path / "t")), "k", "n", str(tmp_path / "new")), "k", "n", ["n", "k"], 10)
+    read, pieces = [], service._read
+    service._read = lambda piece, test: read.append((out := pieces(piece, test)).num_rows) or out
+    got = [v for page in pages.chain(service, 1) for v in page["n"].to_pylist()]
+    assert got == sorted(r["n"] for r in df.where("k = 1").collect()) and len(got) == 5000
+    assert sum(read) <= 4 * len(got) and max(read) <= 500
