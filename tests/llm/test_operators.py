@@ -563,6 +563,17 @@ def test_removals_are_exact(spark, monkeypatch, keep_first, length, chunk):
     assert got == brute_removals(rows, length, keep_first)
 
 
+def test_passages_of_over_50_words_go_from_400_bytes_on(spark):
+    sizes = (300, 399, 400, 401, 600)
+    rows = []
+    for k, size in enumerate(sizes):
+        passage = " ".join(f"w{k}{i:02d}" for i in range(150))[:size]
+        assert len(passage) == size and len(passage.split()) > 50
+        rows += [(2 * k, f"{'abcde'[k]}<{passage}>fghij"), (2 * k + 1, f"{'klmno'[k]}({passage})pqrst")]
+    got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"]) for r in suffix_dedup.removals(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {2 * k + j: (size + 8, size * (size >= 400), int(size >= 400)) for k, size in enumerate(sizes) for j in (0, 1)}
+
+
 def test_later_copies_go_and_characters_stay_whole(spark, empty):
     passage = "ü" * 5 + " ".join(f"passage{i}ö" for i in range(60))
     rows = [(2, "Second " + passage + " end", "k"), (1, "First " + passage + " ende", "k"), (3, None, None)]
