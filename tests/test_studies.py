@@ -441,3 +441,10 @@ def test_means_and_extremes_are_put_together_from_shorter_ones(spark):
         for f in ("min", "max"):
             near = getattr(x.rolling(2 * k + 1, center=True, min_periods=1), f)()
             pd.testing.assert_series_equal(got[f"{f}_{k}"].astype(float), x.where(x == near), check_names=False)
+
+
+def test_correlations_keep_each_symbol_on_disk_once(spark):
+    found = correlation.peers(studies.change_pct(series(spark, 30, range(40))), blocks=16)
+    assert len(found.collect()) == 40 * 39
+    leaves = found._jdf.queryExecution().executedPlan().executedPlan().plan().collectLeaves()  # exchanges
+    assert sum(leaves.apply(k).getRuntimeStatistics().rowCount().get() for k in range(leaves.size())) <= 2 * 40  # two sides of one exchange; 16 rows of each symbol before
