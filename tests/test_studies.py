@@ -448,3 +448,15 @@ def test_correlations_keep_each_symbol_on_disk_once(spark):
     assert len(found.collect()) == 40 * 39
     leaves = found._jdf.queryExecution().executedPlan().executedPlan().plan().collectLeaves()  # exchanges
     assert sum(leaves.apply(k).getRuntimeStatistics().rowCount().get() for k in range(leaves.size())) <= 2 * 40  # two sides of one exchange; 16 rows of each symbol before
+
+
+def test_correlations_of_symbols_with_few_dates_in_common(spark):
+    r = random.Random(4)
+    rows = [(s, datetime.date(2020, 1, 1) + datetime.timedelta(r.randrange(90) + 3 * (s or 0)), r.gauss(0, 1) if r.random() < 0.9 else None) for s in [*range(30), None] for _ in range(1 + (s or 0) % 7 * 5)]
+    df = spark.createDataFrame(rows, "symbol long, date date, fChangeP double").dropDuplicates(["symbol", "date"]).cache()
+    a, b = (df.where("fChangeP IS NOT NULL AND symbol IS NOT NULL").select(F.col("symbol").alias(k), "date", F.col("fChangeP").alias(f"x_{k}")) for k in ("key", "symbol"))
+    want = a.join(b, "date").where("key <> symbol").groupBy("key", "symbol").agg(F.when(F.count("*") > 1, F.corr("x_key", "x_symbol")).alias("corr"), F.count("*").alias("n"))
+    table = lambda rows: {(r["key"], r["symbol"]): (None if r["corr"] is None else round(r["corr"], 9), r["n"]) for r in rows}
+    got = correlation.peers(df, blocks=5).collect()
+    assert table(got) == table(want.collect()) and len(got) == want.count()
+    df.unpersist()
